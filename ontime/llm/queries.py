@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ontime.llm import exact_dedup, mixing, quality, simhash
+from ontime.llm import exact_dedup, mixing, quality, secret_scan, simhash, warc
 from ontime.llm.common import table
 
 
@@ -25,11 +25,22 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, _ = secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+    return secret_scan.report(findings)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url", "html")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
     "op7_simhash": op7_simhash,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_warc": op9_warc,
 }
 
 ORACLE: dict[str, str] = {}
