@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ontime.llm import exact_dedup, mixing, quality, secret_scan, simhash, warc
+from ontime.llm import exact_dedup, mixing, quality, secret_scan, sentencepiece_fst, simhash, warc
 from ontime.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url", "html")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.encode(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
@@ -41,6 +45,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_secret_scan": op8_secret_scan,
     "op9_warc": op9_warc,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {}
