@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ontime.llm import exact_dedup, mixing, quality, secret_scan, sentencepiece_fst, simhash, substring_dedup, warc
+from ontime.llm import exact_dedup, mixing, quality, secret_scan, sentencepiece_fst, simhash, substring_dedup, suffix_dedup, warc
 from ontime.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_simhash": op7_simhash,
     "op8_secret_scan": op8_secret_scan,
