@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ontime.llm import exact_dedup, mixing, quality, secret_scan, sentencepiece_fst, simhash, substring_dedup, suffix_dedup, warc
+from ontime.llm import exact_dedup, mixing, quality, secret_scan, sentencepiece_fst, simhash, substring_dedup, suffix_dedup, toxicity, warc
 from ontime.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_secret_scan": op8_secret_scan,
     "op9_warc": op9_warc,
