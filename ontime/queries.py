@@ -1,6 +1,787 @@
-"""Driver queries over the test tables, and their SQL."""
+"""Driver queries over the test tables, and their SQL.
+
+The tables have no flights, so roles are mapped: aircraft is user_id, departure is ts, the label is
+event_type = 'error', a reading is value (all of events); lineitem stands for flight facts, routes
+are supplier nation to customer nation.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ontime.functions import scalar as S
+from ontime.operators import aggregate as A
+from ontime.operators import clean as P
+from ontime.operators import encode as T
+from ontime.operators import ensemble as V
+from ontime.operators import features as W
+from ontime.operators import graph as G
+from ontime.operators import metrics as M
+from ontime.operators import models
+from ontime.operators import timejoin as J
+from ontime.operators import validate as K
+from ontime.sources import io
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
+
+
+def events(spark, d) -> DataFrame:
+    return table(spark, d, "events").withColumn("label", (F.col("event_type") == "error").cast("int"))
+
+
+def targets_and_readings(spark, d) -> DataFrame:
+    """Error events with the earlier readings of their user between 24 and 2 hours before."""
+    e = events(spark, d)
+    targets = J.window_bounds(e.where("label = 1").select("event_id", "user_id", "ts"), "ts", 24, 2, ("w_start", "w_end"))
+    readings = e.where("label = 0").select(
+        F.col("user_id").alias("r_user"), F.col("ts").alias("r_ts"), F.col("value").alias("reading"), F.col("event_type").alias("kind"), (F.col("event_id") % 5).alias("distance")
+    )
+    return J.interval_join(targets, readings, [("user_id", "r_user")], "r_ts", "w_start", "w_end")
+
+
+_READINGS = """t AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'),
+r AS (SELECT user_id, ts, value, event_type AS kind, event_id % 5 AS d FROM events WHERE event_type <> 'error'),
+j AS (SELECT t.event_id, r.value, r.kind, r.d, (epoch_us(t.ts) - epoch_us(r.ts)) / 60000000.0 AS m
+  FROM t LEFT JOIN r ON t.user_id = r.user_id AND r.ts BETWEEN t.ts - INTERVAL 24 HOUR AND t.ts - INTERVAL 2 HOUR)"""
+
+
+@query(f"""WITH {_READINGS},
+w AS (SELECT *, (CASE WHEN d = 0 THEN 1.0 ELSE 1.0 / d END)::DOUBLE * (CASE WHEN m = 0 THEN 1.0 ELSE 1.0 / m END)::DOUBLE AS w FROM j)
+SELECT event_id, round(sum(value * w) / sum(CASE WHEN value IS NOT NULL THEN w END), 6) AS reading FROM w GROUP BY event_id""")
+def interval_join_idw(spark, d):
+    j = targets_and_readings(spark, d)
+    return A.collapse_readings(j, ["event_id"], ["reading"], [], "distance", "ts", "r_ts", digits=6)
+
+
+@query(f"""WITH {_READINGS}, c AS (SELECT event_id, kind, count(*) AS n FROM j WHERE kind IS NOT NULL GROUP BY ALL),
+b AS (SELECT event_id, kind, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, kind) AS i FROM c)
+SELECT t.event_id, b.kind FROM t LEFT JOIN b ON t.event_id = b.event_id AND i = 1""")
+def interval_join_mode(spark, d):
+    return A.collapse_readings(targets_and_readings(spark, d), ["event_id"], [], ["kind"], "distance", "ts", "r_ts")
+
+
+@query(f"WITH {_READINGS} SELECT event_id, count(value) AS n FROM j GROUP BY event_id")
+def interval_join_bucketed(spark, d):
+    """The interval join dealt by six-hour buckets."""
+    e = events(spark, d)
+    targets = J.window_bounds(e.where("label = 1").select("event_id", "user_id", "ts"), "ts", 24, 2, ("w_start", "w_end"))
+    readings = e.where("label = 0").select(F.col("user_id").alias("r_user"), F.col("ts").alias("r_ts"), "value")
+    j = J.interval_join(targets, readings, [("user_id", "r_user")], "r_ts", "w_start", "w_end", "left", bucket_hours=6)
+    return j.groupBy("event_id").agg(F.count("value").alias("n"))
+
+
+@query("""SELECT * FROM (SELECT s_suppkey, n_nationkey, abs(s_suppkey * 7 % 31 - n_nationkey) AS distance,
+  CAST(rank() OVER (PARTITION BY s_suppkey ORDER BY abs(s_suppkey * 7 % 31 - n_nationkey)) AS INTEGER) AS nearness
+  FROM supplier JOIN nation ON s_nationkey % 5 = n_regionkey) WHERE nearness <= 3""")
+def nearest_n_rank(spark, d):
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
+    pairs = s.join(n, F.col("s_nationkey") % 5 == F.col("n_regionkey"))
+    pairs = pairs.select("s_suppkey", "n_nationkey", F.abs(F.col("s_suppkey") * 7 % 31 - F.col("n_nationkey")).alias("distance"))
+    return J.nearest(pairs, "s_suppkey", "distance", 3, "nearness")
+
+
+@query("""SELECT event_id, CAST(CASE WHEN ts - INTERVAL 2 HOUR >= p AND ts - INTERVAL 12 HOUR < p THEN l ELSE 0 END AS INTEGER) AS prev_label
+FROM (SELECT *, lag(ts) OVER w AS p, lag(CAST(event_type = 'error' AS INTEGER)) OVER w AS l FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""")
+def prev_event_flag(spark, d):
+    return W.previous_flag(events(spark, d), "user_id", "ts", "label", "prev_label", tie=["event_id"]).select("event_id", "prev_label")
+
+
+@query("""SELECT event_id, round(avg(CAST(value > 20 AS INTEGER)) OVER (PARTITION BY event_type, user_id % 10 ORDER BY ts, event_id
+  ROWS BETWEEN 20 PRECEDING AND 5 PRECEDING), 9) AS status FROM events""")
+def rolling_status(spark, d):
+    e = events(spark, d).withColumn("late", (F.col("value") > 20).cast("int")).withColumn("airport", F.col("user_id") % 10)
+    out = W.rolling_share(e, ["event_type", "airport"], "ts", "late", "status", tie=["event_id"])
+    return out.select("event_id", F.round("status", 9).alias("status"))
+
+
+@query("""SELECT event_id, round(avg(CAST(value > 20 AS INTEGER)) OVER (PARTITION BY event_type, user_id % 10 ORDER BY ts
+  RANGE BETWEEN INTERVAL 20 HOUR PRECEDING AND INTERVAL 2 HOUR PRECEDING), 9) AS status FROM events""")
+def rolling_status_by_time(spark, d):
+    e = events(spark, d).withColumn("late", (F.col("value") > 20).cast("int")).withColumn("airport", F.col("user_id") % 10)
+    out = W.rolling_share(e, ["event_type", "airport"], "ts", "late", "status", first=-20, least_hours=2)
+    return out.select("event_id", F.round("status", 9).alias("status"))
+
+
+def holey_part(spark, d):
+    return table(spark, d, "part").select("p_partkey", "p_brand", F.when(F.col("p_partkey") % 3 != 0, F.col("p_size")).alias("p_size"))
+
+
+_HOLEY = "h AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 3 <> 0 THEN p_size END AS p_size FROM part)"
+
+
+@query(f"WITH {_HOLEY} SELECT p_partkey, round(coalesce(p_size, avg(p_size) OVER (PARTITION BY p_brand)), 9) AS p_size_mean FROM h")
+def fill_group_mean(spark, d):
+    return W.fill_group_mean(holey_part(spark, d), ["p_size"], ["p_brand"]).select("p_partkey", F.round("p_size_mean", 9).alias("p_size_mean"))
+
+
+@query(f"WITH {_HOLEY} SELECT p_partkey, coalesce(p_size, quantile_disc(p_size, 0.5) OVER (PARTITION BY p_brand)) AS p_size_median FROM h")
+def fill_group_median(spark, d):
+    return W.fill_group_median(holey_part(spark, d), ["p_size"], ["p_brand"]).select("p_partkey", "p_size_median")
+
+
+@query(f"""WITH {_HOLEY}, c AS (SELECT p_brand, p_size, count(*) AS n FROM h WHERE p_size IS NOT NULL GROUP BY ALL),
+m AS (SELECT p_brand, p_size AS mode FROM c QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_size) = 1)
+SELECT p_partkey, coalesce(p_size, mode, 0) AS p_size_mode FROM h LEFT JOIN m USING (p_brand)""")
+def fill_group_mode(spark, d):
+    return W.fill_group_mode(holey_part(spark, d), ["p_size"], ["p_brand"], 0).select("p_partkey", "p_size_mode")
+
+
+@query(f"""WITH {_HOLEY}, m AS (SELECT p_brand, avg(p_size) AS mean FROM h WHERE p_partkey % 2 = 0 GROUP BY p_brand)
+SELECT p_partkey, round(coalesce(p_size, mean), 9) AS p_size_mean FROM h LEFT JOIN m USING (p_brand)""")
+def fill_from_train(spark, d):
+    """Group means of training rows (even keys) fill all rows."""
+    h = holey_part(spark, d)
+    return W.fill_from_train(h, h.where("p_partkey % 2 = 0"), ["p_size"], ["p_brand"]).select("p_partkey", F.round("p_size_mean", 9).alias("p_size_mean"))
+
+
+def typed_lines(spark, d):
+    return table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+
+
+@query("""SELECT l_returnflag, p_type, n, CAST(rank AS INTEGER) AS rank FROM (SELECT l_returnflag, p_type, count(*) AS n,
+  row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, p_type) AS rank
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_returnflag, p_type) WHERE rank <= 3""")
+def topk_category_per_class(spark, d):
+    return A.top_categories(typed_lines(spark, d), "l_returnflag", "p_type", 3)
+
+
+@query("""SELECT l_orderkey, l_partkey, l_quantity, NULL::BIGINT AS l_suppkey FROM lineitem WHERE l_linenumber = 1
+UNION ALL SELECT l_orderkey, NULL, l_quantity, l_suppkey FROM lineitem WHERE l_linenumber = 2""")
+def union_by_name_missing(spark, d):
+    li = table(spark, d, "lineitem")
+    return io.union_all([li.where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_quantity"), li.where("l_linenumber = 2").select("l_suppkey", "l_quantity", "l_orderkey")])
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (
+  PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) = 1""")
+def dedup_keys(spark, d):
+    out = P.drop_duplicates(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_extendedprice"])
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("""SELECT before, after, before - after AS dropped, round((before - after) * 100.0 / after, 2)::DOUBLE AS percent FROM (
+  SELECT count(*) AS before, count(DISTINCT (l_orderkey, l_linenumber)) AS after FROM lineitem)""")
+def dedup_report(spark, d):
+    return P.duplicate_report(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+def labelled_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars").join(table(spark, d, "labels"), "doc_id", "left")
+
+
+@query("SELECT doc_id, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def fill_zero(spark, d):
+    return P.fill(labelled_documents(spark, d), ["quality", "toxic"], 0).select("doc_id", "quality", "toxic")
+
+
+@query("SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL")
+def drop_null(spark, d):
+    return P.drop_missing(labelled_documents(spark, d), ["quality"]).select("doc_id", "quality")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01'")
+def date_bounded(spark, d):
+    df = io.read_between(spark, f"{d}/orders.parquet", "o_orderdate", "1996-01-01", "1997-01-01")
+    return df.select("o_orderkey", "o_totalprice")
+
+
+@query("""SELECT l_orderkey, l_linenumber, TRY_CAST(x[1] AS INTEGER) AS "WND_Angle", x[2] AS "WND_Quality", TRY_CAST(x[3] AS INTEGER) AS "WND_Speed", x[4] AS "WND_Gust"
+FROM (SELECT l_orderkey, l_linenumber, string_split(concat_ws(',', CAST(l_suppkey AS VARCHAR), l_returnflag,
+  CASE WHEN l_linenumber = 3 THEN 'x' ELSE CAST(l_linenumber AS VARCHAR) END), ',') AS x FROM lineitem)""")
+def packed_split(spark, d):
+    speed = F.when(F.col("l_linenumber") == 3, "x").otherwise(F.col("l_linenumber").cast("string"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(",", F.col("l_suppkey").cast("string"), "l_returnflag", speed).alias("WND"))
+    return P.split_packed(li, {"WND": "Angle:int Quality Speed:int Gust"})
+
+
+@query("""SELECT l_orderkey, l_partkey, CAST(CASE WHEN l_linenumber IN (2, 3, 6, 7) THEN 0 ELSE 1 END AS INTEGER) AS flag,
+  CASE WHEN l_linenumber NOT IN (2, 3, 6, 7) THEN l_quantity END AS value FROM lineitem""")
+def quality_null(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.col("l_linenumber").cast("string").alias("flag"), F.col("l_quantity").alias("value"))
+    return P.flag_quality(li, quality={"flag": ["value"]})
+
+
+@query("""SELECT l_orderkey, l_partkey, nullif(l_linenumber, 7) AS number, CASE WHEN kind = '9' AND speed = 0 THEN 'C' ELSE nullif(kind, '9') END AS kind
+FROM (SELECT *, CASE WHEN l_returnflag = 'A' THEN '9' ELSE l_returnflag END AS kind, l_partkey % 3 AS speed FROM lineitem)""")
+def sentinel_null(spark, d):
+    kind = F.when(F.col("l_returnflag") == "A", "9").otherwise(F.col("l_returnflag"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("number"), kind.alias("kind"), (F.col("l_partkey") % 3).alias("speed"))
+    return P.null_codes(P.calm_wind(li, "kind", "speed"), {"number": 7, "kind": "9"}).drop("speed")
+
+
+@query("""SELECT l_orderkey, l_partkey, CAST(CASE WHEN s > 0 THEN trunc(s * 1.0 / n) END AS INTEGER) AS mean FROM (
+  SELECT l_orderkey, l_partkey, coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0) AS s,
+    (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT AS n FROM (
+    SELECT l_orderkey, l_partkey, CASE WHEN l_linenumber > 3 THEN l_linenumber END AS a,
+      CASE WHEN l_partkey % 2 = 0 THEN CAST(l_quantity AS INTEGER) END AS b, CASE WHEN l_suppkey % 4 = 0 THEN 0 END AS c FROM lineitem))""")
+def repeat_mean_nonnull(spark, d):
+    li = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_partkey", F.when(F.col("l_linenumber") > 3, F.col("l_linenumber")).alias("a"),
+        F.when(F.col("l_partkey") % 2 == 0, F.col("l_quantity").cast("int")).alias("b"), F.when(F.col("l_suppkey") % 4 == 0, 0).alias("c"),
+    )
+    return P.average_repeated(li, {"mean": ["a", "b", "c"]})
+
+
+_HHMM = "CASE WHEN o_orderkey % 97 = 0 THEN 2400 ELSE (o_orderkey % 24) * 100 + o_custkey % 60 END"
+
+
+@query(f"""WITH c AS (SELECT o_orderkey, o_orderdate, {_HHMM} AS hhmm FROM orders)
+SELECT o_orderkey, lpad(CAST(CASE WHEN hhmm = 2400 THEN 0 ELSE hhmm // 100 END AS VARCHAR), 2, '0') || ':' || lpad(CAST(hhmm % 100 AS VARCHAR), 2, '0') AS clock,
+  epoch_us(o_orderdate + to_minutes(CAST(hhmm // 100 * 60 + hhmm % 100 AS BIGINT))) AS at FROM c""")
+def clock_normalise(spark, d):
+    o = table(spark, d, "orders").withColumn("hhmm", F.expr(_HHMM))
+    at = S.local_timestamp(F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("hhmm"))
+    return o.select("o_orderkey", S.clock(F.col("hhmm")).alias("clock"), F.unix_micros(at).alias("at"))
+
+
+_ZONE = "CASE n_regionkey WHEN 0 THEN 'America/New_York' WHEN 1 THEN 'Europe/Berlin' WHEN 2 THEN 'Asia/Tokyo' WHEN 3 THEN 'America/Chicago' ELSE 'Australia/Sydney' END"
+
+
+@query(f"""SELECT o_orderkey, epoch_us((o_orderdate + INTERVAL 12 HOUR) AT TIME ZONE ({_ZONE})) AS utc
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+def local_to_utc(spark, d):
+    n = table(spark, d, "nation")
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    o = o.withColumn("local", F.col("o_orderdate") + F.expr("INTERVAL 12 HOURS"))
+    zones = n.select(F.col("n_name").alias("iata_code"), F.expr(_ZONE).alias("tz"))
+    return J.local_to_utc(o, zones, "n_name", "local", "utc").select("o_orderkey", F.unix_micros("utc").alias("utc"))
+
+
+@query("SELECT event_id, epoch_us(ts - INTERVAL 6 HOUR) AS w_start, epoch_us(ts - INTERVAL 2 HOUR) AS w_end FROM events")
+def window_bounds(spark, d):
+    e = J.window_bounds(events(spark, d), "ts", 6, 2, ("w_start", "w_end"))
+    return e.select("event_id", F.unix_micros("w_start").alias("w_start"), F.unix_micros("w_end").alias("w_end"))
+
+
+@query("""SELECT l_orderkey, l_partkey, coalesce(CASE WHEN l_linenumber = 1 THEN 'a' END, CASE WHEN l_linenumber <= 3 THEN 'b' END,
+  CASE WHEN l_linenumber <= 5 THEN 'c' END) AS condition FROM lineitem""")
+def coalesce_merge(spark, d):
+    n = F.col("l_linenumber")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.when(n == 1, "a").alias("c1"), F.when(n <= 3, "b").alias("c2"), F.when(n <= 5, "c").alias("c3"))
+    return P.merge_first(li, ["c1", "c2", "c3"], "condition")
+
+
+@query("""SELECT o_orderkey, TRY_CAST(replace(CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':30' END, ':', '') AS INTEGER) AS clock,
+  CAST(o_custkey AS INTEGER) AS cust, CAST(o_orderkey AS VARCHAR) AS key FROM orders""")
+def cast_features(spark, d):
+    clock = F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise(F.concat(F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0"), F.lit(":30")))
+    o = table(spark, d, "orders").select("o_orderkey", clock.alias("clock"), F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("key"))
+    return P.cast_all(P.to_integers(o, ["clock", "cust"]), ["key"])
+
+
+@query("SELECT l_orderkey, l_partkey, l_returnflag || '-' || l_linestatus AS route FROM lineitem")
+def concat_key(spark, d):
+    return P.key_of(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "route").select("l_orderkey", "l_partkey", "route")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def unmapped_anti(spark, d):
+    return J.unmapped(table(spark, d, "customer"), table(spark, d, "orders").where("o_totalprice > 200000"), "c_custkey", "o_custkey")
+
+
+_DAYS = [("1996", "7", "4", 2), ("1996", "12", "25", 1), ("1997", "1", "1", 0), ("1998", "11", "26", 2), ("1999", "5", "31", 1)]
+
+
+@query(f"""WITH h(y, m, d, i) AS (VALUES {', '.join(map(str, _DAYS))}), k AS (SELECT make_date(y::INT, m::INT, d::INT) AS day, i FROM h)
+SELECT o_orderkey, CAST(i IS NOT NULL AS INTEGER) AS is_holiday, CAST(coalesce(i + 1, 0) AS INTEGER) AS holiday_imp FROM orders LEFT JOIN k ON o_orderdate::DATE = day""")
+def holiday_lookup(spark, d):
+    calendar = spark.createDataFrame(_DAYS, "Year string, Month string, Day string, Importance int")
+    return W.holidays(table(spark, d, "orders"), calendar, "o_orderdate").select("o_orderkey", "is_holiday", "holiday_imp")
+
+
+def routes(spark, d):
+    """Edges supplier nation -> customer nation, one per line, with carrier and previous delay."""
+    li, s = table(spark, d, "lineitem"), table(spark, d, "supplier")
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    return j.select(
+        "l_orderkey", F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst"),
+        F.col("l_returnflag").alias("carrier"), (F.col("l_discount") > 0.05).cast("int").alias("prev_delay"),
+    )
+
+
+_ROUTES = """e AS (SELECT l_orderkey, s_nationkey AS src, c_nationkey AS dst, l_returnflag AS carrier, CAST(l_discount > 0.05 AS INTEGER) AS prev_delay
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
+
+
+@query(f"""WITH {_ROUTES}, r AS (SELECT src, dst, carrier, avg(prev_delay) AS a FROM e GROUP BY ALL)
+SELECT e.l_orderkey, e.src, e.dst, e.carrier, round(a, 9) AS avg_prev_delay_carrier FROM e LEFT JOIN r USING (src, dst, carrier)""")
+def route_delay_lookup(spark, d):
+    e = routes(spark, d)
+    flights = e.select("l_orderkey", F.col("src").alias("a"), F.col("dst").alias("b"), F.col("carrier").alias("c"))
+    out = W.lookup(flights, G.route_delay(e), [("a", "src"), ("b", "dst"), ("c", "carrier")])
+    return out.select("l_orderkey", F.col("a").alias("src"), F.col("b").alias("dst"), F.col("c").alias("carrier"), F.round("avg_prev_delay_carrier", 9).alias("avg_prev_delay_carrier"))
+
+
+@query(f"""WITH {_ROUTES}, g AS (SELECT dst AS id, count(*) AS d FROM e GROUP BY dst) SELECT e.l_orderkey, e.src, g.d AS "inDegree" FROM e LEFT JOIN g ON e.src = g.id""")
+def indegree_lookup(spark, d):
+    e = routes(spark, d)
+    return W.lookup(e.select("l_orderkey", "src"), G.in_degrees(e), [("src", "id")])
+
+
+@query(f"""WITH {_ROUTES}, g AS (SELECT dst AS id, count(*) AS d FROM e GROUP BY dst)
+SELECT e.carrier, round(avg(g.d), 9) AS mean_in_degree FROM e JOIN g ON e.src = g.id GROUP BY e.carrier""")
+def mean_in_degree(spark, d):
+    e = routes(spark, d)
+    joined = W.lookup(e, G.in_degrees(e), [("src", "id")])
+    return G.mean_in_degree(joined, "carrier").withColumn("mean_in_degree", F.round("mean_in_degree", 9))
+
+
+@query("""WITH e AS (SELECT *, CAST(event_type = 'error' AS INTEGER) AS label FROM events),
+m AS (SELECT user_id, avg(label) AS a FROM e WHERE event_id % 4 <> 0 AND user_id % 7 <> 0 GROUP BY user_id),
+g AS (SELECT avg(label) AS g FROM e WHERE event_id % 4 <> 0 AND user_id % 7 <> 0)
+SELECT event_id, round(coalesce(a, g), 9) AS user_id_mean_encoding FROM e LEFT JOIN m USING (user_id) CROSS JOIN g""")
+def target_mean_encode(spark, d):
+    """Means from training rows; users whom training lacks get the mean of all."""
+    e = events(spark, d)
+    model = T.TargetMeanEncoder("user_id", "label").fit(e.where("event_id % 4 <> 0 AND user_id % 7 <> 0"))
+    return model.transform(e).select("event_id", F.round("user_id_mean_encoding", 9).alias("user_id_mean_encoding"))
+
+
+@query('SELECT p_partkey, p_brand, count(*) OVER (PARTITION BY p_brand) AS "p_brand_COUNT" FROM part')
+def count_encode(spark, d):
+    return T.count_encode(table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand")
+
+
+_INDEX = """i AS (SELECT p_brand, CAST(row_number() OVER (ORDER BY count(*) {order}, p_brand) - 1 AS INTEGER) AS i FROM part WHERE p_partkey % 2 = 0 GROUP BY p_brand)
+SELECT p_partkey, CAST(coalesce(i, (SELECT count(*) FROM i)) AS INTEGER) AS "p_brand_Index" FROM part LEFT JOIN i USING (p_brand)"""
+
+
+@query("WITH " + _INDEX.format(order="DESC"))
+def freq_index(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_brand")
+    return T.apply_index(p, T.frequency_index(p.where("p_partkey % 2 = 0"), "p_brand"), "p_brand").select("p_partkey", "p_brand_Index")
+
+
+@query("WITH " + _INDEX.format(order="ASC"))
+def freq_index_ascending(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_brand")
+    return T.apply_index(p, T.frequency_index(p.where("p_partkey % 2 = 0"), "p_brand", ascending=True), "p_brand").select("p_partkey", "p_brand_Index")
+
+
+@query("""SELECT l_orderkey, l_partkey, CAST(l_returnflag = 'A' AS INTEGER) AS "l_returnflag_A", CAST(l_returnflag = 'N' AS INTEGER) AS "l_returnflag_N",
+  CAST(l_returnflag = 'R' AS INTEGER) AS "l_returnflag_R" FROM lineitem""")
+def one_hot(spark, d):
+    return T.one_hot(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag"), "l_returnflag", ["A", "N", "R"]).drop("l_returnflag")
+
+
+@query(f"""SELECT o_orderkey, CAST(CASE WHEN h >= 0 AND h < 900 THEN 0 WHEN h >= 900 AND h < 1200 THEN 1 WHEN h >= 1200 AND h < 1600 THEN 2
+  WHEN h >= 1600 AND h < 2000 THEN 3 WHEN h >= 2000 AND h <= 2359 THEN 4 ELSE 5 END AS INTEGER) AS part FROM (SELECT o_orderkey, {_HHMM} AS h FROM orders)""")
+def bucketise(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.expr(_HHMM).alias("h"))
+    return T.bucketise(o, "h", name="part").select("o_orderkey", "part")
+
+
+@query("""SELECT p_partkey, round((p_retailprice - m) / s, 9) AS p_retailprice_scaled FROM part,
+  (SELECT avg(p_retailprice) AS m, stddev_samp(p_retailprice) AS s FROM part WHERE p_partkey % 2 = 0)""")
+def standardise(spark, d):
+    p = table(spark, d, "part")
+    return T.standardise(p, p.where("p_partkey % 2 = 0"), ["p_retailprice"], True).select("p_partkey", F.round("p_retailprice_scaled", 9).alias("p_retailprice_scaled"))
+
+
+@query("SELECT p_partkey, round(ln(p_retailprice + 1e-6), 9) AS p_retailprice_log FROM part")
+def log_transform(spark, d):
+    return T.log_columns(table(spark, d, "part"), ["p_retailprice"]).select("p_partkey", F.round("p_retailprice_log", 9).alias("p_retailprice_log"))
+
+
+@query("""SELECT l_orderkey, l_partkey, round(l_quantity * l_discount, 6) AS l_quantity_l_discount, round(l_quantity * l_tax, 6) AS l_quantity_l_tax,
+  round(l_discount * l_tax, 6) AS l_discount_l_tax FROM lineitem""")
+def interactions(spark, d):
+    df, names = W.interactions(table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
+    return df.select("l_orderkey", "l_partkey", *[F.round(n, 6).alias(n) for n in names])
+
+
+@query("""WITH k AS (SELECT count(*) FILTER (event_type <> 'error') // count(*) FILTER (event_type = 'error') AS k FROM events)
+SELECT event_id, event_type FROM events WHERE event_type <> 'error'
+UNION ALL SELECT event_id, event_type FROM events, k, unnest(range(k)) WHERE event_type = 'error'""")
+def oversample(spark, d):
+    return W.oversample(events(spark, d), "label").select("event_id", "event_type")
+
+
+@query()
+def undersample(spark, d):
+    return W.undersample(events(spark, d), "label", seed=7).select("event_id", "event_type")
+
+
+@query("""SELECT event_id, round(CASE WHEN event_type = 'error' THEN r ELSE 1 - r END, 9) AS "classWeights" FROM events,
+  (SELECT count(*) FILTER (event_type <> 'error') / count(*) AS r FROM events)""")
+def class_weights(spark, d):
+    return W.class_weights(events(spark, d), "label").select("event_id", F.round("classWeights", 9).alias("classWeights"))
+
+
+def judged(spark, d):
+    return labelled_documents(spark, d).where("toxic IS NOT NULL").withColumn("prediction", (F.col("n_chars") > 2000).cast("int"))
+
+
+_JUDGED = "j AS (SELECT *, CAST(n_chars > 2000 AS INTEGER) AS prediction FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL)"
+
+
+@query(f"""WITH {_JUDGED}, c AS (SELECT count(*) FILTER (prediction = 1 AND toxic = 1) AS tp, count(*) FILTER (prediction = 1 AND toxic <> 1) AS fp,
+  count(*) FILTER (prediction <> 1 AND toxic = 1) AS fn, count(*) FILTER (prediction <> 1 AND toxic <> 1) AS tn FROM j),
+m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p, coalesce(tp / nullif(tp + fn, 0), 0.0) AS r FROM c)
+SELECT tp, fp, fn, tn, round(p, 9) AS precision, round(r, 9) AS recall, round(coalesce(1.25 * p * r / nullif(0.25 * p + r, 0), 0.0), 9) AS f_beta FROM m""")
+def confusion_metrics(spark, d):
+    m = M.confusion(judged(spark, d), label="toxic")
+    return m.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f_beta")})
+
+
+@query(f"""WITH {_JUDGED} SELECT CASE WHEN prediction = 1 THEN (CASE WHEN toxic = 1 THEN 'TP' ELSE 'FP' END) WHEN toxic <> 0 THEN 'FN' ELSE 'TN' END AS pred_group,
+  count(*) AS n, round(avg(n_chars), 6) AS n_chars_mean, round(avg(quality), 9) AS quality_mean FROM j GROUP BY 1""")
+def error_groups(spark, d):
+    g = M.error_groups(judged(spark, d), ["n_chars", "quality"], label="toxic")
+    return g.withColumns({"n_chars_mean": F.round("n_chars_mean", 6), "quality_mean": F.round("quality_mean", 9)})
+
+
+@query("""SELECT n_train, n_test, round(n_train / (n_train + n_test), 9) AS share FROM (
+  SELECT count(*) FILTER (event_id % 4 <> 0) AS n_train, count(*) FILTER (event_id % 4 = 0) AS n_test FROM events)""")
+def train_share(spark, d):
+    e = events(spark, d)
+    return M.train_share(e.where("event_id % 4 <> 0"), e.where("event_id % 4 = 0")).withColumn("share", F.round("share", 9))
+
+
+@query(f"""WITH {_JUDGED}, m AS (SELECT count(*) FILTER (prediction = 1 AND toxic = 1) / nullif(count(*) FILTER (prediction = 1), 0) AS p,
+  count(*) FILTER (prediction = 1 AND toxic = 1) / nullif(count(*) FILTER (toxic = 1), 0) AS r FROM j)
+SELECT round(r * 976000.0, 3) AS correct, round(r * 976000.0 / p, 3) AS detected, round(r * 976000.0 * 8504.0, 1) AS savings FROM m""")
+def savings_report(spark, d):
+    s = M.savings(M.confusion(judged(spark, d), label="toxic"), 976_000.0, 8_504.0)
+    return s.select(F.round("correct", 3).alias("correct"), F.round("detected", 3).alias("detected"), F.round("savings", 1).alias("savings"))
+
+
+@query("""SELECT l_returnflag, round(avg(l_quantity), 6) AS l_quantity_mean, round(stddev_samp(l_quantity), 6) AS l_quantity_std,
+  round(avg(l_extendedprice / 10), 6) AS l_extendedprice_mean, round(stddev_samp(l_extendedprice / 10), 6) AS l_extendedprice_std FROM lineitem GROUP BY 1""")
+def class_stats(spark, d):
+    s = A.class_stats(table(spark, d, "lineitem"), "l_returnflag", ["l_quantity", "l_extendedprice"], {"l_extendedprice": 0.1})
+    return s.select("l_returnflag", *[F.round(c, 6).alias(c) for c in s.columns[1:]])
+
+
+@query("""SELECT l_returnflag, p_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag), 9) AS share
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_returnflag, p_type""")
+def category_share(spark, d):
+    return A.category_share(typed_lines(spark, d), "l_returnflag", "p_type").withColumn("share", F.round("share", 9))
+
+
+@query("""WITH s AS (SELECT l_returnflag, l_linestatus, count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag) AS share FROM lineitem GROUP BY 1, 2)
+SELECT l_returnflag, round(max(share) FILTER (l_linestatus = 'F'), 9) AS "F", round(max(share) FILTER (l_linestatus = 'O'), 9) AS "O" FROM s GROUP BY 1""")
+def share_pivot(spark, d):
+    p = A.share_pivot(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", ["F", "O"])
+    return p.select("l_returnflag", F.round("F", 9).alias("F"), F.round("O", 9).alias("O"))
+
+
+_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_PAIRS = [(a, b) for i, a in enumerate(_NUMBERS) for b in _NUMBERS[i + 1 :]]
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 3) AS r FROM lineitem" for a, b in _PAIRS))
+def corr_matrix(spark, d):
+    return A.correlations(table(spark, d, "lineitem"), _NUMBERS)
+
+
+@query("""SELECT 'double' AS "column" WHERE (SELECT abs(corr(l_quantity, 2 * l_quantity + l_tax)) FROM lineitem) > 0.95""")
+def corr_prune(spark, d):
+    li = table(spark, d, "lineitem").withColumn("double", 2 * F.col("l_quantity") + F.col("l_tax"))
+    return A.correlated(li, ["l_quantity", "l_discount", "l_tax", "double"])
+
+
+@query("""WITH j AS (SELECT quality, toxic, CASE WHEN n_chars % 5 > 0 THEN n_chars END AS n FROM documents LEFT JOIN labels USING (doc_id))
+SELECT 'n' AS "column", count(*) FILTER (n IS NULL) AS n_null, round(count(*) FILTER (n IS NULL AND toxic IS NULL) / count(*) FILTER (n IS NULL), 9) AS target_null_share FROM j
+UNION ALL SELECT 'quality', count(*) FILTER (quality IS NULL), round(count(*) FILTER (quality IS NULL AND toxic IS NULL) / count(*) FILTER (quality IS NULL), 9) FROM j""")
+def null_audit(spark, d):
+    j = labelled_documents(spark, d).withColumn("n", F.when(F.col("n_chars") % 5 > 0, F.col("n_chars")))
+    return A.null_audit(j, ["n", "quality"], "toxic").withColumn("target_null_share", F.round("target_null_share", 9))
+
+
+@query("""SELECT 'p_brand' AS "column", count(p_brand) AS n_values, count(DISTINCT p_brand) AS n_distinct FROM part
+UNION ALL SELECT 'p_type', count(p_type), count(DISTINCT p_type) FROM part UNION ALL SELECT 'p_size', count(p_size), count(DISTINCT p_size) FROM part""")
+def distinct_audit(spark, d):
+    return A.distinct_audit(table(spark, d, "part"), ["p_brand", "p_type", "p_size"])
+
+
+@query("SELECT p_brand, quantile_disc(p_size, 0.5) AS quantile FROM part GROUP BY p_brand")
+def approx_quantile(spark, d):
+    return A.quantile(table(spark, d, "part"), "p_size", 0.5, by=["p_brand"])
+
+
+@query("""WITH p AS (SELECT s_suppkey, abs(s_suppkey * 7 % 31 - n_nationkey) AS distance FROM supplier JOIN nation ON s_nationkey % 5 = n_regionkey),
+r AS (SELECT *, CAST(rank() OVER (PARTITION BY s_suppkey ORDER BY distance) AS INTEGER) AS nearness FROM p)
+SELECT nearness, round(avg(distance), 9) AS mean, count(*) AS n FROM r WHERE nearness <= 3 GROUP BY 1""")
+def mean_by_rank(spark, d):
+    return A.mean_by_rank(nearest_n_rank(spark, d), "nearness", "distance").withColumn("mean", F.round("mean", 9))
+
+
+def late_orders(spark, d):
+    return table(spark, d, "orders").withColumn("late", (F.col("o_orderpriority") == "1-URGENT").cast("int"))
+
+
+def _by(sql_dim: str, source: str, label: str, name: str, alias: str):
+    return f"SELECT {sql_dim} AS {alias}, count(*) AS n, round(avg(CAST({label} AS INTEGER)), 9) AS share FROM {source} GROUP BY 1"
+
+
+def _share(df, dim, alias, label):
+    return A.share_by(df, [dim.alias(alias)], label).withColumn("share", F.round("share", 9))
+
+
+@query(_by("CAST(year(o_orderdate) AS INTEGER)", "orders", "o_orderpriority = '1-URGENT'", "", "year"))
+def delay_by_year(spark, d):
+    return _share(late_orders(spark, d), F.year("o_orderdate"), "year", "late")
+
+
+@query(_by("CAST(month(o_orderdate) AS INTEGER)", "orders", "o_orderpriority = '1-URGENT'", "", "month"))
+def delay_by_month(spark, d):
+    return _share(late_orders(spark, d), F.month("o_orderdate"), "month", "late")
+
+
+@query(_by("CAST(isodow(o_orderdate) AS INTEGER)", "orders", "o_orderpriority = '1-URGENT'", "", "weekday"))
+def delay_by_weekday(spark, d):
+    return _share(late_orders(spark, d), (F.weekday("o_orderdate") + 1).cast("int"), "weekday", "late")
+
+
+@query(_by("CAST(CASE WHEN hour(ts) < 6 THEN 0 WHEN hour(ts) < 10 THEN 1 WHEN hour(ts) < 14 THEN 2 WHEN hour(ts) < 18 THEN 3 ELSE 4 END AS INTEGER)", "events", "event_type = 'error'", "", "part"))
+def delay_by_daypart(spark, d):
+    return _share(events(spark, d), A.day_part(F.hour("ts")), "part", "label")
+
+
+@query(_by("user_id % 10", "events", "event_type = 'error'", "", "carrier"))
+def delay_by_carrier(spark, d):
+    return _share(events(spark, d), F.col("user_id") % 10, "carrier", "label")
+
+
+@query(_by("CAST(floor(value / 10) AS BIGINT)", "events", "event_type = 'error'", "", "bin"))
+def delay_by_bin(spark, d):
+    return _share(events(spark, d), F.floor(F.col("value") / 10), "bin", "label")
+
+
+@query("""WITH s AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, avg(CAST(o_orderpriority = '1-URGENT' AS INTEGER)) AS share FROM orders GROUP BY ALL)
+SELECT CAST(m AS INTEGER) AS month, round(stddev_samp(share), 9) AS spread, count(*) AS n_years FROM s GROUP BY m""")
+def monthly_spread(spark, d):
+    s = A.monthly_spread(late_orders(spark, d), F.year("o_orderdate"), F.month("o_orderdate"), "late")
+    return s.withColumn("spread", F.round("spread", 9))
+
+
+@query("""WITH p AS (SELECT event_id, CAST(event_type = 'error' AS INTEGER) AS label, ts, lag(ts) OVER w AS p, lag(CAST(event_type = 'error' AS INTEGER)) OVER w AS l FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT label, count(*) AS n, round(avg(CASE WHEN ts - INTERVAL 2 HOUR >= p AND ts - INTERVAL 12 HOUR < p THEN l ELSE 0 END), 9) AS share FROM p GROUP BY label""")
+def delay_given_previous(spark, d):
+    e = W.previous_flag(events(spark, d), "user_id", "ts", "label", "prev", tie=["event_id"])
+    return _share(e, F.col("label"), "label", "prev")
+
+
+def order_folds():
+    return K.rolling_folds(12 * 1995, train=9, valid=3, step=9, n=5)
+
+
+@query("""WITH f AS (SELECT i + 1 AS fold, 23940 + 9 * i AS s FROM range(5) t(i)), o AS (SELECT o_totalprice, 12 * year(o_orderdate) + month(o_orderdate) - 1 AS m FROM orders)
+SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN m < s + 9 THEN 'train' ELSE 'valid' END AS role, count(*) AS n, round(sum(o_totalprice), 2) AS total
+FROM f JOIN o ON m >= s AND m < s + 12 GROUP BY ALL""")
+def rolling_folds(spark, d):
+    o = table(spark, d, "orders")
+    month = K.month_number(F.year("o_orderdate"), F.month("o_orderdate"))
+    parts = K.label_folds(o, order_folds(), month)
+    return parts.groupBy("fold", "role").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+def three_models(spark, d):
+    """Three derived scores for each labelled document, joined from the first."""
+    base = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    outs = []
+    for i, m in enumerate((3, 5, 7)):
+        p1 = (F.col("n_chars") % m) / F.lit(float(m - 1))
+        scored = base.select("doc_id", (p1 > 0.5).cast("int").alias("prediction"), F.array(1 - p1, p1).alias("probability"))
+        outs.append(V.outputs(scored if i == 0 else scored.where(F.col("doc_id") % (m + 6) != 0), ["doc_id"], f"m{i}"))
+    return V.join_outputs(outs, ["doc_id"])
+
+
+_MODELS = """b AS (SELECT doc_id, (n_chars % 3) / 2.0::DOUBLE AS a, CASE WHEN doc_id % 11 <> 0 THEN (n_chars % 5) / 4.0::DOUBLE END AS b,
+  CASE WHEN doc_id % 13 <> 0 THEN (n_chars % 7) / 6.0::DOUBLE END AS c FROM labels JOIN documents USING (doc_id))"""
+
+
+@query(f"WITH {_MODELS} SELECT doc_id, CAST(CASE WHEN ((a > 0.5)::INT + (b > 0.5)::INT + (c > 0.5)::INT) / 3.0 > 0.5 THEN 1 ELSE 0 END AS INTEGER) AS vote FROM b")
+def hard_vote(spark, d):
+    return three_models(spark, d).select("doc_id", V.hard_vote([F.col(f"m{i}_pred") for i in range(3)]).alias("vote"))
+
+
+@query(f"WITH {_MODELS} SELECT doc_id, CAST(CASE WHEN (1 - a) + (1 - b) + (1 - c) > a + b + c THEN 0 ELSE 1 END AS INTEGER) AS vote FROM b")
+def soft_vote(spark, d):
+    return three_models(spark, d).select("doc_id", V.soft_vote([F.col(f"m{i}_p0") for i in range(3)], [F.col(f"m{i}_p1") for i in range(3)]).alias("vote"))
+
+
+def scaled_events(spark, d):
+    e = events(spark, d)
+    return e.select("event_id", "label", (F.col("value") / 100).alias("value"), (F.hour("ts") / 24).alias("hour"), F.month("ts").alias("month"), F.dayofmonth("ts").alias("day"), "user_id", "ts")
+
+
+@query()
+def gd_logistic(spark, d):
+    return models.gradient_descent(scaled_events(spark, d), ["value", "hour"], "label", rounds=10, rate=0.5)
+
+
+@query("""SELECT 0 AS step, round(avg(y * y), 6) AS loss, round(0.01 * 2 * avg(x * y), 9) AS w_x, round(0.01 * 2 * avg(y), 9) AS w_constant
+FROM (SELECT l_quantity / 50 AS x, l_discount AS y FROM lineitem)""")
+def gd_regularised(spark, d):
+    """One ridge step of least squares from zero weights."""
+    li = table(spark, d, "lineitem").select((F.col("l_quantity") / 50).alias("x"), F.col("l_discount").alias("y"))
+    (w, c), loss = models.gradient_step(li, ["x"], "y", [0.0, 0.0], 0.01, "linear", "ridge", 0.1)
+    return spark.createDataFrame([(0, round(loss, 6), round(w, 9), round(c, 9))], "step int, loss double, w_x double, w_constant double")
+
+
+def day_folds() -> list[K.Fold]:
+    """Folds over days instead of months."""
+    return K.rolling_folds(1, train=9, valid=3, step=9, n=3)
+
+
+def prepared(train, other):
+    model = T.TargetMeanEncoder("user_id", "label").fit(train)
+    train, other = model.transform(train), model.transform(other)
+    pipe = T.tree_pipeline(["value", "hour", "user_id_mean_encoding"]).fit(train)
+    return pipe.transform(train), pipe.transform(other)
+
+
+@query()
+def lr_cv(spark, d):
+    """Logistic regression over rolling folds: metrics of each fold and setting."""
+    lr = models.logistic("label", rounds=5)
+    maps = K.grid({lr.regParam: [0.0, 0.1]})
+    cv = K.TimeFoldValidator(lr, maps, "label", sampling="over", prepare=prepared)
+    return cv.fit(scaled_events(spark, d), day_folds(), F.col("day")).metrics(spark)
+
+
+@query()
+def random_search(spark, d):
+    """Random settings of boosted trees over rolling folds."""
+    gbt = models.boosted("label", rounds=3)
+    maps = K.RandomGrid(2, seed=3).add(gbt.maxDepth, lambda r: r.choice([2, 3])).add(gbt.stepSize, lambda r: r.choice([0.1, 0.2])).build()
+    cv = K.TimeFoldValidator(gbt, maps, "label", sampling="under", prepare=prepared)
+    return cv.fit(scaled_events(spark, d), day_folds()[:2], F.col("day")).metrics(spark)
+
+
+def _holdout(spark, d, estimator):
+    e = scaled_events(spark, d)
+    return K.evaluate_holdout(estimator, e.where("day <= 24"), e.where("day > 24"), "label", "over", prepared)
+
+
+@query()
+def rf_holdout(spark, d):
+    _, scored = _holdout(spark, d, models.forest("label", 4, 10))
+    return scored.select("event_id", "label", F.col("prediction").cast("int").alias("prediction"))
+
+
+@query()
+def gbt_holdout(spark, d):
+    _, scored = _holdout(spark, d, models.boosted("label", 3, 5))
+    return scored.select("event_id", "label", F.col("prediction").cast("int").alias("prediction"))
+
+
+@query()
+def feature_importance(spark, d):
+    model, scored = _holdout(spark, d, models.forest("label", 4, 10))
+    return models.importances(spark, model, models.feature_names(scored))
+
+
+@query(f"WITH {_ROUTES} SELECT count(*) AS n FROM (SELECT src FROM e UNION SELECT dst FROM e)")
+def node_count(spark, d):
+    return G.nodes(routes(spark, d)).agg(F.count("*").alias("n"))
+
+
+_SPARSE = f"{_ROUTES}, s AS (SELECT src, dst FROM e WHERE (src * 7 + dst) % 5 = 0 AND src % 4 <> 0)"
+
+
+def sparse_routes(spark, d):
+    return routes(spark, d).where("(src * 7 + dst) % 5 = 0 AND src % 4 <> 0").select("src", "dst")
+
+
+@query(f"""WITH {_SPARSE}, o AS (SELECT src, count(DISTINCT dst) AS g FROM s GROUP BY src), n AS (SELECT src AS id FROM s UNION SELECT dst FROM s)
+SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM o) AS n_with_targets, (SELECT count(*) FROM n) - (SELECT count(*) FROM o) AS n_dangling, (SELECT round(avg(g), 9) FROM o) AS mean_degree""")
+def degree_stats(spark, d):
+    return G.degree_stats(sparse_routes(spark, d)).withColumn("mean_degree", F.round("mean_degree", 9))
+
+
+@query(f"WITH {_SPARSE} SELECT DISTINCT dst AS id FROM s WHERE dst NOT IN (SELECT src FROM s)")
+def dangling_nodes(spark, d):
+    return G.dangling(sparse_routes(spark, d))
+
+
+@query(f"WITH {_SPARSE} SELECT src, array_to_string(list_sort(list(DISTINCT dst)), ' ') AS targets FROM s GROUP BY src")
+def adjacency_list(spark, d):
+    return G.adjacency(sparse_routes(spark, d)).select("src", F.array_join("targets", " ").alias("targets"))
+
+
+@query(f"WITH {_SPARSE} SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, CAST(count(*) AS INTEGER) AS n FROM s GROUP BY ALL")
+def adjacency_text(spark, d):
+    """Edges written as lines 'node TAB {{dest: count}}' and read back."""
+    counts = sparse_routes(spark, d).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    cells = F.concat_ws(", ", F.collect_list(F.format_string("'%s': %s", F.col("dst").cast("string"), F.col("n").cast("string"))))
+    lines = counts.groupBy("src").agg(cells.alias("c")).select(F.concat(F.col("src").cast("string"), F.lit("\t{"), "c", F.lit("}")).alias("value"))
+    return G.edges_of_text(lines)
+
+
+def _pagerank_sql(rounds: int, alpha: float) -> str:
+    parts = [
+        f"WITH {_SPARSE}",
+        "n AS (SELECT src AS id FROM s UNION SELECT dst FROM s)",
+        "k AS (SELECT count(*)::DOUBLE AS k FROM n)",
+        "w AS (SELECT src, dst, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY src) AS w FROM s GROUP BY src, dst)",
+        "r0 AS (SELECT id, 1 / k AS rank FROM n, k)",
+    ]
+    for i in range(1, rounds + 1):
+        p = f"r{i - 1}"
+        parts.append(
+            f"r{i} AS (SELECT n.id, {alpha} / k + (1 - {alpha}) * ((SELECT coalesce(sum(rank), 0) FROM {p} WHERE id NOT IN (SELECT src FROM w)) / k"
+            f" + coalesce(g, 0)) AS rank FROM n CROSS JOIN k LEFT JOIN (SELECT dst, sum(w * rank) AS g FROM w JOIN {p} ON src = id GROUP BY dst) ON n.id = dst)"
+        )
+    return ",\n".join(parts)
+
+
+@query(_pagerank_sql(8, 0.15) + " SELECT id, round(rank, 9) AS rank FROM r8")
+def pagerank(spark, d):
+    return G.pagerank(sparse_routes(spark, d), 0.15, 8).withColumn("rank", F.round("rank", 9))
+
+
+@query(_pagerank_sql(8, 0.15) + " SELECT id, n_name, round(rank, 9) AS rank FROM r8 JOIN nation ON id = n_nationkey ORDER BY rank DESC, id LIMIT 10")
+def pagerank_topk_named(spark, d):
+    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), "n_name")
+    return G.named(G.pagerank(sparse_routes(spark, d), 0.15, 8), names, k=10).select("id", "n_name", F.round("rank", 9).alias("rank"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def top_orders(spark, d):
+    return G.top(table(spark, d, "orders"), "o_totalprice", 20, "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT count(*) AS n, format('{:,}', count(*)) AS n_text, epoch_us(max(o_orderdate)) AS latest FROM orders")
+def overview(spark, d):
+    return io.overview(table(spark, d, "orders"), "o_orderdate").withColumn("latest", F.unix_micros("latest"))
+
+
+@query("""SELECT CASE WHEN month(o_orderdate) < 6 OR (month(o_orderdate) = 6 AND day(o_orderdate) <= 15) THEN 'train' ELSE 'test' END AS role, count(*) AS n FROM orders GROUP BY 1""")
+def calendar_split(spark, d):
+    o = table(spark, d, "orders").select(F.month("o_orderdate").alias("m"), F.dayofmonth("o_orderdate").alias("dd"))
+    train, test = P.split_by_month(o, "m", 6, "dd", 15)
+    both = train.withColumn("role", F.lit("train")).unionByName(test.withColumn("role", F.lit("test")))
+    return both.groupBy("role").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, CAST((event_type = 'error' AND user_id % 10 IN (1, 2)) OR (event_type = 'click' AND user_id % 10 = 3) AS INTEGER) AS is_hub FROM events")
+def hub_flags(spark, d):
+    e = events(spark, d).withColumn("airport", (F.col("user_id") % 10).cast("string"))
+    return P.hub_flags(e, {"error": ["1", "2"], "click": ["3"]}, "event_type", "airport").select("event_id", "is_hub")

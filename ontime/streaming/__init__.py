@@ -1,0 +1 @@
+"""No operator of this library works on streams yet; all are DataFrame to DataFrame."""
