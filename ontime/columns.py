@@ -117,3 +117,8 @@ def packed_columns() -> dict[str, str]:
 def by_column(spec: dict[str, dict]) -> dict[str, object]:
     """A per-family dictionary of subfields, written out as column_subfield -> value."""
     return {f"{c}_{sub}": v for c, family in packed_columns().items() for sub, v in spec.get(family, {}).items()}
+
+
+def quality_columns() -> dict[str, list[str]]:
+    """Quality column -> the value columns it vouches for."""
+    return {f"{c}_{flag}": [f"{c}_{v}" for v in values] for c, family in packed_columns().items() for flag, values in QUALITY_OF[family].items()}

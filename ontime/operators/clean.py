@@ -73,7 +73,7 @@ def split_packed(df: DataFrame, fields: dict[str, str] | None = None) -> DataFra
 def flag_quality(df: DataFrame, bad: list[str] | None = None, quality: dict[str, list[str]] | None = None) -> DataFrame:
     """Quality codes as flags, and null for the values that a bad code vouches for."""
     bad = C.BAD_QUALITY if bad is None else bad
-    quality = C.by_column(C.QUALITY_OF) if quality is None else quality
+    quality = C.quality_columns() if quality is None else quality
     new = {}
     for flag, values in quality.items():
         new[flag] = S.quality_flag(F.col(flag), bad)
