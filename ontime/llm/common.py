@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,7 +86,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: in
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(text)))
+        sizes = compute.binary_length(batch.column(batch.schema.get_field_index(text)))
         ends = np.cumsum(np.nan_to_num(sizes.to_numpy(zero_copy_only=False).astype(float)))
         start = 0
         while start < batch.num_rows:
