@@ -88,19 +88,23 @@ def quotas(sizes: DataFrame, weights, share, repeats, block, shard_tokens, shard
     return s.select("source", "rank", "source_size", "target", "source_blocks", F.greatest(F.lit(1), parts).alias("shards"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int = 2, block: int = 16,
-        shard_tokens: int = 1_000_000, shard_rows: int = 50_000, seed: int = 1) -> DataFrame:
-    """docs with size, source_size, target, taken, passes (whole copies) and extra (leading
-    words of one more copy): taken = passes * size + extra."""
-    rows = docs.withColumn("size", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long"))
-    rows = rows.withColumn("_key", md5_key(str(seed)))
+def _mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int = 2, block: int = 16,
+         shard_tokens: int = 1_000_000, shard_rows: int = 50_000, seed: int = 1) -> DataFrame:
+    """The columns of docs as c0, c1, ..., and what mix adds."""
+    rows = docs.select(
+        *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)],
+        F.col("doc_id").alias("doc_id"),
+        F.col("source").alias("source"),
+        F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
+        md5_key(str(seed)).alias("key"),
+    )
     sources = quotas(rows.select("source", "size"), weights, share, repeats, block, shard_tokens, shard_rows)
     sources = materialise(sources, "mix-sources")
     few = sources.count() <= 50_000  # under a few MB
-    joined = F.broadcast(sources) if few else sources
-    named = joined.withColumnRenamed("source", "_source")
+    named = sources.withColumnRenamed("source", "named")
+    named = F.broadcast(named) if few else named
     shard = F.pmod(_long_of_md5(md5_key(f"{seed}:shard")), F.col("shards"))
-    with_source = lambda df: df.join(named, df["source"].eqNullSafe(F.col("_source")), "left").withColumn("shard", shard)
+    with_source = lambda df: df.join(named, F.col("source").eqNullSafe(F.col("named")), "left").withColumn("shard", shard)
     sums = with_source(rows.select("doc_id", "source", "size")).groupBy("rank", "shard").agg(
         F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks")
     )
@@ -111,15 +115,28 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int = 2,
         sums.select("rank", "shard", "shard_size", "nb", F.least("quota", F.col("nb") * repeats).alias("quota")), "mix-shards"
     )
     small = F.broadcast(sums) if sums.count() <= 50_000 else sums
-    order = Window.partitionBy("rank", "shard").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size")
+    order = Window.partitionBy("rank", "shard").orderBy("key", F.col("doc_id").asc_nulls_last(), "size")
     full = with_source(rows).join(small, ["rank", "shard"])
     end = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    full = full.withColumn("_start", end - F.col("size"))
+    full = full.withColumn("start", end - F.col("size"))
     full = full.withColumn("passes", F.when(F.col("nb") > 0, F.floor(F.col("quota") / F.col("nb"))).otherwise(0).cast("long"))
     cut = (F.col("quota") - F.col("passes") * F.col("nb")) * block
-    full = full.withColumn("extra", F.least("size", F.greatest(F.lit(0), cut - F.col("_start"))).cast("long"))
-    full = full.withColumn("taken", F.col("passes") * F.col("size") + F.col("extra"))
-    return full.select(*[c for c in docs.columns], "size", "source_size", "target", "taken", "passes", "extra")
+    full = full.withColumn("extra", F.least("size", F.greatest(F.lit(0), cut - F.col("start"))).cast("long"))
+    return full.withColumn("taken", F.col("passes") * F.col("size") + F.col("extra"))
+
+
+ADDED = ["size", "source_size", "target", "taken", "passes", "extra"]
+
+
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """docs with size, source_size, target, taken, passes (whole copies) and extra (leading
+    words of one more copy): taken = passes * size + extra. They replace columns of these names.
+
+    Settings: weights, share, repeats, block, shard_tokens, shard_rows, seed.
+    """
+    mixed = _mix(docs, **settings)
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ADDED]
+    return mixed.select(*kept, *ADDED)
 
 
 def take(docs: DataFrame, **settings) -> DataFrame:
@@ -128,13 +145,13 @@ def take(docs: DataFrame, **settings) -> DataFrame:
     Whole copies keep their text; a document cut by its shard's last block comes once more with
     the words up to there, joined by spaces.
     """
-    mixed = mix(docs, **settings)
+    mixed = _mix(docs, **settings)
     copies = F.concat(
         F.array_repeat(F.col("size"), F.col("passes").cast("int")),
         F.when(F.col("extra") > 0, F.array("extra")).otherwise(F.array().cast("array<bigint>")),
     )
-    rows = mixed.withColumn("_words", F.explode(copies)).where("_words > 0")
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    cut = F.concat_ws(" ", F.slice(words, 1, F.col("_words").cast("int")))
-    text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(cut)
-    return rows.withColumn("text", text).select(*docs.columns)
+    rows = mixed.withColumn("words", F.explode(copies)).where("words > 0")
+    whole = F.col(f"c{docs.columns.index('text')}")
+    cut = F.concat_ws(" ", F.slice(F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), 1, F.col("words").cast("int")))
+    text = F.when(F.col("words") == F.col("size"), whole).otherwise(cut)
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
