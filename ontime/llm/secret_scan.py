@@ -74,34 +74,34 @@ def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
     return t.select("blob", F.array_sort(F.concat(*found)).alias("spans"))
 
 
-def versions(docs: DataFrame) -> DataFrame:
-    """doc_id, blob (binary SHA-256): a row for each path's version."""
-    return docs.select(F.col("doc_id"), F.unhex(F.sha2(text_or_empty().cast("binary"), 256)).alias("blob"))
+LEDGER = "blob binary, rules int, spans array<struct<start:int,rank:int,kind:string,end:int>>"
+_NO_ID = -(1 << 63)
 
 
-LEDGER = "blob binary, rules int, spans array<struct<start:int,rank:int,kind:string,end:int>>"
+def versions(docs: DataFrame) -> DataFrame:
+    """doc_id, id (null: the least long), blob (binary SHA-256), text: a row for each path's version."""
+    d = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), text_or_empty().alias("text"))
+    return d.select("doc_id", "id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("blob"), "text")
 
 
-def extend_ledger(docs: DataFrame, paths: DataFrame, ledger: DataFrame | None, rules=RULES, version: int = RULES_VERSION) -> DataFrame:
+def extend_ledger(all_versions: DataFrame, paths: DataFrame, ledger: DataFrame | None, rules=RULES, version: int = RULES_VERSION) -> DataFrame:
     """Ledger rows of the blobs in paths that `ledger` lacks under this version of the rules.
 
-    paths: doc_id, row, blob; docs: row, text. One copy of each unseen blob is scanned.
+    One copy of each unseen blob is scanned, the one with the largest id.
     """
-    one = paths.groupBy("blob").agg(F.min("row").alias("row"))
+    one = paths.groupBy("blob").agg(F.max("id").alias("id"))
     if ledger is not None:
         one = one.join(ledger.where(F.col("rules") == version), "blob", "left_anti")
-    unseen = docs.join(one, "row").select("blob", "text")
-    return scan(unseen, rules).select("blob", F.lit(version).alias("rules"), "spans")
+    unseen = all_versions.select("blob", "id", "text").join(one, ["blob", "id"])
+    # rows that share id and content are scanned twice, but noted once
+    return scan(unseen, rules).select("blob", F.lit(version).alias("rules"), "spans").dropDuplicates(["blob"])
 
 
 def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, version: int = RULES_VERSION) -> tuple[DataFrame, DataFrame]:
     """(doc_id, blob, spans for every path; the ledger with the new rows)."""
-    numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    paths = materialise(
-        numbered.select("doc_id", "row", F.unhex(F.sha2(text_or_empty().cast("binary"), 256)).alias("blob")), "blob-paths"
-    )
-    texts = numbered.select("row", "text")
-    new = materialise(extend_ledger(texts, paths, ledger, rules, version), "blob-ledger")
+    all_versions = versions(docs)
+    paths = materialise(all_versions.select("doc_id", "id", "blob"), "blob-paths")
+    new = materialise(extend_ledger(all_versions, paths, ledger, rules, version), "blob-ledger")
     known = new if ledger is None else ledger.unionByName(new)
     found = known.where((F.col("rules") == version) & (F.size("spans") > 0)).select("blob", "spans")
     return paths.join(found, "blob", "left").select("doc_id", "blob", "spans"), known
