@@ -14,9 +14,9 @@ Of records with equal payloads of at least `least` bytes, the one with the large
 the response and the others revisit it; smaller payloads are always responses.
 
 Cases: null html is an empty payload, null url an empty target. Rows with a null page_id are
-written and read like others; among equal payloads they come last as response. Rows that share
-page_id and payload give one response and revisits that refer to the same page_id. An empty
-table gives an empty index and an empty result. Other columns are ignored.
+written and read like others; among equal payloads any page_id counts as larger. Rows that share
+page_id and payload are alike: all of them responses, or all revisits. An empty table gives an
+empty index and an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ from ontime.llm.common import materialise, new_path, text_chunks
 INDEX = "page_id long, url string, file string, offset long, length long, digest string, payload_bytes long, record_type string"
 #: Bytes between two records that are rather read than skipped, and the longest read.
 GAP, LONGEST = 1 << 16, 8 << 20
+_NO_ID = -(1 << 63)
 
 
 def file_system(path: str):
@@ -116,14 +117,13 @@ def write(pages: DataFrame, folder: str, least: int = 0, level: int = 2) -> Data
     """Write pages (page_id, url, html) as archives in folder; the index, already stored."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    p = p.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("row", F.monotonically_increasing_id())
+    p = p.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("id", F.coalesce("page_id", F.lit(_NO_ID)))
     big = F.length(F.col("html").cast("binary")) >= least
-    key = F.struct(F.coalesce(F.col("page_id"), F.lit(-(1 << 63))).alias("id"), "row")
-    copies = p.where(big).groupBy("sha").agg(F.max(key).alias("last"), F.max("page_id").alias("last_id"), F.count("*").alias("n"))
+    copies = p.where(big).groupBy("sha").agg(F.max("id").alias("last"), F.count("*").alias("n"))
     copies = materialise(copies.where("n > 1").drop("n"), "warc-copies")
-    joined = p.join(copies, "sha", "left").withColumn("revisit", big & F.col("last").isNotNull() & (F.col("row") != F.col("last.row")))
+    joined = p.join(copies, "sha", "left").withColumn("revisit", big & F.col("last").isNotNull() & (F.col("id") != F.col("last")))
     records = joined.select(
-        "page_id", "url", "html", F.when(F.col("revisit"), "revisit").otherwise("response").alias("kind"), F.when(F.col("revisit"), F.col("last_id")).alias("refers")
+        "page_id", "url", "html", F.when(F.col("revisit"), "revisit").otherwise("response").alias("kind"), F.when(F.col("revisit"), F.col("last")).alias("refers")
     )
     return materialise(records.mapInArrow(_writer(folder, level), INDEX), "warc-index")
 
