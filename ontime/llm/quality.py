@@ -26,8 +26,8 @@ RULES = {
     "symbol_rate": (6.0, 0.05, False),
     "shout_rate": (6.0, 0.10, False),
     "capital_rate": (6.0, 0.30, False),
-    "dup_line_rate": (6.0, 0.30, False),
-    "repeat_rate": (6.0, 0.30, False),
+    "dup_line_rate": (6.0, 0.50, False),
+    "repeat_rate": (6.0, 0.45, False),
     "word_length": (8.0, 2.50, True),
 }
 
