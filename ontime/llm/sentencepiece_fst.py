@@ -98,7 +98,12 @@ class Transducer:
         self.model = model
         usable = [i for i, t in enumerate(model.types) if t in (NORMAL, USER)]
         self.id = {model.pieces[i]: i for i in usable}
-        self.prefixes = {p[:n] for p in self.id for n in range(1, len(p) + 1)}
+        self.trie: dict = {}  # nested by character; "" holds the piece that ends there
+        for piece in self.id:
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = piece
         self.unknown = next((i for i, t in enumerate(model.types) if t == UNKNOWN), 0)
         self.byte = {int(model.pieces[i][1:-1], 16): i for i, t in enumerate(model.types) if t == BYTE}
         self.weight = {p: -model.scores[i] for p, i in self.id.items()}
@@ -107,6 +112,7 @@ class Transducer:
         self.out = [self._bytes_of(i) for i in range(len(model.pieces))]
         self._edges: dict[str, tuple] = {}
         self._runs: dict[str, tuple] = {}
+        self._older: dict[str, tuple] = {}
         self._border: dict[tuple[str, str], bool] = {}  # weights 0 and infinity of BPE arcs
 
     def _bytes_of(self, i: int) -> bytes:
@@ -168,51 +174,89 @@ class Transducer:
 
     def shortest(self, run: str) -> tuple[int, ...]:
         """Ids along the shortest path of a normalised run of characters."""
-        n = len(run)
-        cost, back = [INF] * (n + 1), [0] * (n + 1)
-        last: list[str | None] = [None] * (n + 1)  # None: the start, or after byte fallback
-        cost[0] = 0.0
-        piece_id, prefixes, border, bpe = self.id, self.prefixes, self._border, self.model.kind == BPE
-        for i in range(n):
-            here, before = cost[i], last[i]
-            if here == INF:
-                continue
-            if run[i] not in piece_id:
-                w = here + (0.0 if bpe else self.worst)
-                if w < cost[i + 1]:
-                    cost[i + 1], back[i + 1], last[i + 1] = w, i, None
-            for j in range(i + 1, n + 1):
-                piece = run[i:j]
-                if piece not in prefixes:
-                    break
-                if piece not in piece_id or (bpe and cost[j] <= here):  # BPE arcs weigh 0 or are absent
+        return self._finite_path(run) if self.model.kind == BPE else self._cheapest_path(run)
+
+    def _fallback(self, text: str) -> list[int]:
+        return [self.byte[b] for b in text.encode()] if self.byte else [self.unknown]
+
+    def _arcs(self, run: str, i: int) -> list[str]:
+        """Pieces that start at place i, shortest first; the character itself if none does."""
+        found, node = [], self.trie
+        for j in range(i, len(run)):
+            node = node.get(run[j])
+            if node is None:
+                break
+            piece = node.get("")
+            if piece is not None:
+                found.append(piece)
+        return found if found and len(found[0]) == 1 else [run[i], *found]
+
+    def _finite_path(self, run: str) -> tuple[int, ...]:
+        """BPE: arcs weigh 0 or infinity, so any path of finite weight is the shortest, and only one
+        exists. It is sought depth first, longest pieces first. A place that can't be left again
+        is given up for good: whatever way leads there ends with the same piece."""
+        n, piece_id, border, holds = len(run), self.id, self._border, self.holds
+        given_up: set[int] = set()
+        path: list[tuple[int, str | None, list[str], str]] = []
+        i, last, arcs = 0, None, self._arcs(run, 0)
+        while i < n:
+            while arcs:
+                piece = arcs.pop()
+                j = i + len(piece)
+                if j in given_up:
                     continue
-                if not bpe:
-                    w = here + self.weight[piece]
-                elif before is None:
-                    w = here
-                else:
-                    ok = border.get((before, piece))
+                if piece not in piece_id:
+                    path.append((i, last, arcs, piece))
+                    i, last = j, None
+                    break
+                if last is not None:
+                    key = (last, piece)
+                    ok = border.get(key)
                     if ok is None:
-                        ok = self.holds(before, piece)
+                        ok = holds(last, piece)
                         if len(border) >= REMEMBER:
                             border.clear()
-                        border[before, piece] = ok
-                    w = here if ok else INF
-                if w < cost[j]:
-                    cost[j], back[j], last[j] = w, i, piece
+                        border[key] = ok
+                    if not ok:
+                        continue
+                path.append((i, last, arcs, piece))
+                i, last = j, piece
+                break
+            else:
+                given_up.add(i)
+                i, last, arcs, _ = path.pop()
+                continue
+            if i < n:
+                arcs = self._arcs(run, i)
         ids: list[int] = []
-        j = n
+        for _, _, _, piece in path:
+            if piece in piece_id:
+                ids.append(piece_id[piece])
+            elif self.byte or not ids or ids[-1] != self.unknown:
+                ids += self._fallback(piece)
+        return tuple(ids)
+
+    def _cheapest_path(self, run: str) -> tuple[int, ...]:
+        """Unigram: the path with the least sum of weights."""
+        n, piece_id, weight = len(run), self.id, self.weight
+        cost, arc = [INF] * (n + 1), [""] * (n + 1)
+        cost[0] = 0.0
+        for i in range(n):
+            for piece in self._arcs(run, i):
+                w = cost[i] + weight.get(piece, self.worst)
+                if w < cost[i + len(piece)]:
+                    cost[i + len(piece)], arc[i + len(piece)] = w, piece
+        pieces, j = [], n
         while j:
-            i = back[j]
-            if last[j] is not None:
-                ids.append(piece_id[last[j]])
-            elif self.byte:
-                ids.extend(self.byte[b] for b in reversed(run[i:j].encode()))
-            elif not ids or ids[-1] != self.unknown:
-                ids.append(self.unknown)
-            j = i
-        return tuple(reversed(ids))
+            pieces.append(arc[j])
+            j -= len(arc[j])
+        ids: list[int] = []
+        for piece in reversed(pieces):
+            if piece in piece_id:
+                ids.append(piece_id[piece])
+            elif self.byte or not ids or ids[-1] != self.unknown:
+                ids += self._fallback(piece)
+        return tuple(ids)
 
     def normalise(self, text: str) -> str:
         if self.model.squeeze:
@@ -230,10 +274,11 @@ class Transducer:
         for run in _RUN.findall(whole):
             found = runs.get(run)
             if found is None:
-                found = self.shortest(run)
+                found = self._older.get(run) or self.shortest(run)
                 if len(run) <= REMEMBER_LENGTH:
-                    if len(runs) >= REMEMBER:
-                        runs.clear()
+                    if len(runs) >= REMEMBER:  # runs not seen since the last change are forgotten
+                        self._older, self._runs = runs, {}
+                        runs = self._runs
                     runs[run] = found
             ids += found
         return ids
