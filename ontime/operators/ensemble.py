@@ -30,3 +30,8 @@ def soft_vote(p0: list[Column], p1: list[Column]) -> Column:
     """The class with the larger sum of probabilities; equal sums go to class 1."""
     total = lambda ps: reduce(lambda a, b: a + b, ps)
     return F.when(total(p0) > total(p1), 0).otherwise(1)
+
+
+def attach(features: DataFrame, votes: DataFrame, keys: list[str]) -> DataFrame:
+    """Votes joined back to the rows' features; votes without features keep nulls."""
+    return votes.join(features, keys, "left")

@@ -10,6 +10,8 @@ from itertools import product
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,3 +172,14 @@ def evaluate_holdout(estimator, train: DataFrame, test: DataFrame, label: str, s
         train, test = prepare(train, test)
     model = estimator.fit(resample(train, label, sampling))
     return model, model.transform(test)
+
+
+def kfold(estimator, maps: list[dict], df: DataFrame, label: str, metric: str = "rmse", folds: int = 3, seed: int = 1):
+    """Plain k-fold cross-validation: (best model, mean metric of each map). Rows are dealt at random,
+    so it suits data without an order in time."""
+    if metric in ("rmse", "mae", "r2", "mse"):
+        judge = RegressionEvaluator(labelCol=label, metricName=metric)
+    else:
+        judge = BinaryClassificationEvaluator(labelCol=label, metricName=metric)
+    model = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, seed=seed).fit(df)
+    return model.bestModel, [float(x) for x in model.avgMetrics]

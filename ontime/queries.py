@@ -785,3 +785,60 @@ def calendar_split(spark, d):
 def hub_flags(spark, d):
     e = events(spark, d).withColumn("airport", (F.col("user_id") % 10).cast("string"))
     return P.hub_flags(e, {"error": ["1", "2"], "click": ["3"]}, "event_type", "airport").select("event_id", "is_hub")
+
+
+@query(f"""WITH {_MODELS}, v AS (SELECT doc_id, CASE WHEN ((a > 0.5)::INT + (b > 0.5)::INT + (c > 0.5)::INT) / 3.0 > 0.5 THEN 1 ELSE 0 END AS vote FROM b),
+j AS (SELECT v.*, n_chars, toxic FROM v LEFT JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id))
+SELECT CASE WHEN vote = 1 THEN (CASE WHEN toxic = 1 THEN 'TP' ELSE 'FP' END) WHEN toxic <> 0 THEN 'FN' ELSE 'TN' END AS pred_group,
+  count(*) AS n, round(avg(n_chars), 6) AS n_chars_mean FROM j GROUP BY 1""")
+def ensemble_error_groups(spark, d):
+    """Votes joined back to features, then means by kind of error."""
+    scored = V.attach(labelled_documents(spark, d), hard_vote(spark, d), ["doc_id"])
+    return M.error_groups(scored, ["n_chars"], "vote", "toxic").withColumn("n_chars_mean", F.round("n_chars_mean", 6))
+
+
+@query("SELECT p_partkey, p_brand FROM part")
+def drop_uninformative(spark, d):
+    """Constant and nearly empty columns go; they are found from the data."""
+    p = table(spark, d, "part").select("p_partkey", "p_brand", F.lit("x").alias("constant"), F.when(F.col("p_partkey") < 0, 1).alias("empty"))
+    return P.drop_constant(P.drop_nearly_empty(p))
+
+
+@query("SELECT DISTINCT l_returnflag AS feature FROM lineitem UNION SELECT DISTINCT l_linestatus FROM lineitem UNION SELECT DISTINCT o_orderstatus FROM orders")
+def feature_union(spark, d):
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    return G.union_features([li.select(F.col("l_returnflag").alias("feature")), li.select("l_linestatus"), o.select("o_orderstatus")])
+
+
+@query("SELECT c_nationkey AS id, min(c_name) AS code FROM customer GROUP BY 1")
+def graph_vertices(spark, d):
+    return G.vertices_with_code(table(spark, d, "customer"), "c_nationkey", "c_name")
+
+
+@query()
+def dataset_summary(spark, d):
+    return table(spark, d, "part").summary()
+
+
+@query()
+def sampled_rows(spark, d):
+    return P.sample(table(spark, d, "lineitem"), 0.1, seed=5)
+
+
+@query()
+def random_orders(spark, d):
+    return G.random_rows(table(spark, d, "orders"), 5, seed=5)
+
+
+@query()
+def mean_fold_metrics(spark, d):
+    return M.mean_metrics(lr_cv(spark, d), ["precision", "recall", "f_beta"], ["map"])
+
+
+@query()
+def kfold_forest(spark, d):
+    """Plain k-fold: mean area under the curve for each depth."""
+    rows, _ = prepared(*[scaled_events(spark, d)] * 2)
+    rf = models.forest("label", trees=5)
+    _, means = K.kfold(rf, K.grid({rf.maxDepth: [2, 4]}), rows, "label", "areaUnderROC", folds=2)
+    return spark.createDataFrame([(depth, m) for depth, m in zip((2, 4), means, strict=True)], "depth int, area double")

@@ -66,6 +66,15 @@ def test_cross_validation_and_models(spark, points, tmp_path):
     assert models.importances(spark, fitted, names).first()["feature"] == "x"
 
 
+def test_plain_folds(points):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    df = T.tree_pipeline(["x", "z"]).fit(points).transform(points)
+    rf = RandomForestRegressor(labelCol="y", numTrees=3, seed=1)
+    _, means = K.kfold(rf, K.grid({rf.maxDepth: [1, 4]}), df, "y", "rmse", 2)
+    assert len(means) == 2 and means[1] <= means[0]
+
+
 def test_clock_buckets_reach_the_features(spark):
     df = spark.createDataFrame([(905.0, 1.0), (1300.0, 2.0)], "CRS_DEP_TIME double, v double")
     wanted = ["CRS_DEP_TIME", "v"]
