@@ -139,16 +139,19 @@ def _extend(size: int, seed: int):
             data, offsets = text_bytes(batch.column("text"))
             starts, stops, bounds = words_of(data, offsets)
             prefix = prefix_hash(word_hashes(data, starts, stops))
-            ids, hs = batch.column("id").to_numpy(), batch.column("h").to_numpy()
-            out = []
-            for row, seen in enumerate(batch.column("seen").to_pylist()):
-                for x in seen:
-                    at, n = x["span"] >> 8, x["span"] & 255
-                    begin = np.arange(bounds[row] + at, bounds[row] + at + n)
-                    out.append((x["anchor"], ids[row], hs[row], at, span_hash(prefix, begin, begin + size).tobytes()))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "id", "h", "at", "windows"])
+            seen = batch.column("seen")
+            each = seen.flatten()  # of all texts one after the other
+            row = np.repeat(np.arange(len(seen)), np.diff(seen.offsets.to_numpy()))
+            span = each.field("span").to_numpy()
+            at, n = span >> 8, span & 255
+            ends = np.cumsum(n)
+            begin = np.repeat(bounds[row] + at - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+            windows = span_hash(prefix, begin, begin + size)
+            edges = np.append(0, ends * 8).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(windows)])
+            row = pa.array(row)
+            cols = [each.field("anchor"), batch.column("id").take(row), batch.column("h").take(row), pa.array(at), packed]
+            yield pa.RecordBatch.from_arrays(cols, ["anchor", "id", "h", "at", "windows"])
 
     return run
 
