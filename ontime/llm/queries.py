@@ -63,4 +63,65 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_EXACT = r"""WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)"""
+
+_MIXING = rf"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][(rank - 1) % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM s),
+l AS (SELECT *, cap / weight AS ratio, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+v AS (SELECT arg_min(level, ratio) AS level FROM l WHERE ratio > level),
+t AS (SELECT l.* EXCLUDE (level), least(cap, weight * v.level) AS target, CAST(floor(total / 16 + 0.5) AS BIGINT) AS blocks,
+  greatest(1, CAST(ceil(source_size / 1000000) AS BIGINT), CAST(ceil(n_docs / 50000) AS BIGINT)) AS shards FROM l, v),
+q AS (SELECT rank, blocks, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank) AS i FROM t, unnest(range(blocks)) u(k) WHERE target > 0),
+c AS (SELECT t.*, coalesce(n, 0) AS source_blocks FROM t LEFT JOIN (SELECT rank, count(*) AS n FROM q WHERE i <= blocks GROUP BY rank) USING (rank)),
+e AS (SELECT d.*, c.* EXCLUDE (source), CAST('0x' || substr(md5('1:shard:' || d.doc_id), 1, 15) AS BIGINT) % shards AS shard FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
+h AS (SELECT rank, shard, any_value(source_blocks) AS source_blocks, sum(size)::DOUBLE AS shard_size, ceil(sum(size) / 16.0::DOUBLE) AS nb FROM e GROUP BY rank, shard),
+z AS (SELECT rank, shard, source_blocks, row_number() OVER (PARTITION BY rank ORDER BY shard_size / (2 * k + 1) DESC, shard) AS i FROM h, unnest(range(source_blocks)) u(k) WHERE shard_size > 0),
+y AS (SELECT h.*, least(coalesce(n, 0), nb * 2) AS quota FROM h LEFT JOIN (SELECT rank, shard, count(*) AS n FROM z WHERE i <= source_blocks GROUP BY ALL) USING (rank, shard)),
+x AS (SELECT e.doc_id, e.size, e.source_size, e.target, y.nb, y.quota, CASE WHEN y.nb > 0 THEN floor(y.quota / y.nb) ELSE 0 END AS passes,
+  sum(e.size) OVER (PARTITION BY e.rank, e.shard ORDER BY md5('1:' || e.doc_id), e.doc_id, e.size ROWS UNBOUNDED PRECEDING) - e.size AS start FROM e JOIN y USING (rank, shard))
+SELECT doc_id, size, source_size, target, CAST(passes * size + least(size, greatest(0, (quota - passes * nb) * 16 - start)) AS BIGINT) AS taken FROM x"""
+
+_SUBSTRINGS = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+p AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 12 <= len(w) THEN array_to_string(w[i:i + 12], ' ') END AS win FROM d, unnest(range(1, len(w) + 1)) u(i)),
+f AS (SELECT win, min(doc_id) AS first FROM p WHERE win IS NOT NULL GROUP BY win),
+c AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT doc_id, i FROM p JOIN f USING (win) WHERE first < doc_id), unnest(range(13)) u(j)),
+k AS (SELECT p.doc_id, count(*) AS kept, string_agg(p.word, ' ' ORDER BY p.i) AS text FROM p ANTI JOIN c ON p.doc_id = c.doc_id AND p.i = c.i GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+
+def _found(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    rx = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, start, start + length(m[i]) AS stop FROM (
+  SELECT doc_id, i, m, g, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM (
+    SELECT doc_id, regexp_extract_all(t, '{rx}', 0) AS m, regexp_extract_all(t, '{rx}', {group}) AS g, string_split_regex(t, '{rx}') AS p FROM d),
+  unnest(range(1, len(m) + 1)) u(i)) WHERE length(g[i]) >= {least}"""
+
+
+_SECRETS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_found(i, kind, rx, group, least) for i, (kind, _, rx, group, least) in enumerate(secret_scan.RULES))}),
+s AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s USING (doc_id)"""
+
+_WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (SELECT h, max(page_id) AS last FROM p GROUP BY h),
+b AS (SELECT h, last, array_to_string(list_transform(string_split(sha1(h), ''), lambda c: lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0')), '') AS bits FROM g)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * substr(bits, i * 5 + 1, 1)::INT + 8 * substr(bits, i * 5 + 2, 1)::INT + 4 * substr(bits, i * 5 + 3, 1)::INT + 2 * substr(bits, i * 5 + 4, 1)::INT + substr(bits, i * 5 + 5, 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM p JOIN b USING (h)"""
+
+#: Adaptive thresholds from sketches, columns of byte strings, learned scores, XXH64 and token
+#: paths have no SQL form; the tests hold those queries against brute force.
+ORACLE: dict[str, str] = {
+    "op1_exact_dedup": _EXACT,
+    "op2_mixing": _MIXING,
+    "op5_substring_dedup": _SUBSTRINGS,
+    "op8_secret_scan": _SECRETS,
+    "op9_warc": _WARC,
+}
