@@ -90,9 +90,9 @@ def pagerank(edges: DataFrame, alpha: float = 0.15, rounds: int = 10, every: int
     Edges count by `n` where there is such a column. The sum of ranks stays 1. Each round is one
     join on the node and one aggregation; lineage is cut every few rounds by checkpoint().
     """
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    sc = edges.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:  # as in tests: a cluster names it in spark.checkpoint.dir
+        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     many = F.col("n").cast("double") if "n" in edges.columns else F.lit(1.0)
     e = edges.where("dst IS NOT NULL").groupBy("src", "dst").agg(F.sum(many).alias("w"))
     out = e.groupBy("src").agg(F.sum("w").alias("total"))
