@@ -89,8 +89,9 @@ def thresholds(measured: DataFrame, least: int = 100, k: int = 200) -> DataFrame
     by_lang = group.groupBy("lang").agg(*merged)
     whole = group.agg(*merged)
     renamed = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in df.columns])
-    by_lang, whole = renamed(by_lang, "l_"), renamed(whole, "t_")
-    g = group.join(by_lang, group["lang"].eqNullSafe(by_lang["l_lang"]), "left").join(F.broadcast(whole), F.lit(True), "left")
+    by_lang, whole = renamed(by_lang, "l_"), renamed(whole, "t_").withColumn("one", F.lit(1))
+    g = group.join(by_lang, group["lang"].eqNullSafe(by_lang["l_lang"]), "left")
+    g = g.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")  # a single row
     out = [F.col("lang"), F.col("source"), F.col("n").alias("group_docs")]
     for rate, (times, tolerance, both) in RULES.items():
         sketch = F.when(F.col("n") >= least, F.col(rate)).when(F.col("l_n") >= least, F.col(f"l_{rate}")).otherwise(F.col(f"t_{rate}"))
