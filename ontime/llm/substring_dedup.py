@@ -81,24 +81,55 @@ def _inside(bounds: np.ndarray, n: int, size: int) -> np.ndarray:
     return ok
 
 
+#: What a task knows of an anchor occurrence: nothing; that other documents have the anchor too;
+#: that all its windows are in a document with a smaller id.
+OPEN, SHARED, REPEAT = 0, 1, 2
+ANCHOR = "anchor long, id long, h long, span long, kind int"
+
+
+def _kinds(anchor: np.ndarray, ids: np.ndarray, content: list[np.ndarray]) -> np.ndarray:
+    """Sort out occurrences inside a task, so that of a common passage few rows must meet others.
+
+    Of equal content the smallest id stays open; of an anchor, rows of two ids do.
+    """
+    kind = np.zeros(len(anchor), dtype=np.int32)
+    if not len(anchor):
+        return kind
+    order = np.lexsort((ids, *content, anchor))
+    same = np.ones(len(order) - 1, dtype=bool)
+    for x in (anchor, *content):
+        same &= x[order][1:] == x[order][:-1]
+    starts = np.flatnonzero(np.append(True, ~same))
+    least = np.repeat(ids[order][starts], np.diff(np.append(starts, len(order))))
+    kind[order[ids[order] > least]] = REPEAT
+    left = np.flatnonzero(kind == OPEN)
+    left = left[np.lexsort((ids[left], anchor[left]))]
+    a, i = anchor[left], ids[left]
+    starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    is_least = i == np.repeat(i[starts], np.diff(np.append(starts, len(a))))
+    second = ~is_least & np.append(False, is_least[:-1])
+    kind[left[~is_least & ~second]] = SHARED
+    return kind
+
+
 def _anchors(size: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
             data, offsets = text_bytes(batch.column("text"))
             starts, stops, bounds = words_of(data, offsets)
-            place, seeds, _ = _windows(word_hashes(data, starts, stops), size, seed)
+            place, seeds, prefix = _windows(word_hashes(data, starts, stops), size, seed)
             ok = np.flatnonzero(_inside(bounds, len(place), size))
             doc = np.searchsorted(bounds, ok, side="right") - 1
             first, past = runs_of(place[ok], np.flatnonzero(np.diff(doc, prepend=-1)))
             d = doc[first]
             at = ok[first] - bounds[d]
-            cols = [
-                pa.array(seeds[place[ok[first]]].view(np.int64)),
-                batch.column("id").take(pa.array(d)),
-                batch.column("h").take(pa.array(d)),
-                pa.array((at << 8) | (past - first)),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, ["anchor", "id", "h", "span"])
+            anchor = seeds[place[ok[first]]].view(np.int64)
+            ids = batch.column("id").to_numpy()[d]
+            # the first and the last window of a run hold all its words
+            ends = [span_hash(prefix, w, w + size) for w in (ok[first], ok[past - 1])]
+            kind = _kinds(anchor, ids, [*ends, past - first])
+            cols = [pa.array(anchor), pa.array(ids), batch.column("h").take(pa.array(d)), pa.array((at << 8) | (past - first)), pa.array(kind)]
+            yield pa.RecordBatch.from_arrays(cols, ["anchor", "id", "h", "span", "kind"])
 
     return run
 
@@ -106,11 +137,16 @@ def _anchors(size: int, seed: int):
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows, sorted by anchor, whose anchor occurs in documents with different ids.
 
-    Rows of an anchor are held back only as long as all of them are of one document.
+    Rows of an anchor are held back only as long as all of them are of one document. Rows whose
+    kind is known already pass through.
     """
     held: pd.DataFrame | None = None
     open_anchor = None  # an anchor already known to be shared
     for pdf in batches:
+        known = (pdf["kind"] != OPEN).to_numpy()
+        if known.any():
+            yield pdf[known]
+            pdf = pdf[~known]
         if pdf.empty:
             continue
         if held is not None:
@@ -194,9 +230,12 @@ def _repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED, hot: int = 50_000) -> DataFrame:
     """id, h, start, n: n windows from word `start` on that a document with a smaller id has."""
     d = identified(docs)
-    seeds = d.select("id", "h", "text").mapInArrow(_anchors(size, seed), "anchor long, id long, h long, span long")
-    together = seeds.repartition("anchor").sortWithinPartitions("anchor", "id")
-    shared = materialise(together.mapInPandas(_shared, "anchor long, id long, h long, span long"), "shared-anchors")
+    seeds = d.select("id", "h", "text").mapInArrow(_anchors(size, seed), ANCHOR)
+    # occurrences that need no others are dealt evenly, the rest by anchor
+    deal = F.when(F.col("kind") == OPEN, F.col("anchor")).otherwise(F.xxhash64("id", "span"))
+    together = seeds.repartition(deal).sortWithinPartitions("anchor", "id")
+    met = materialise(together.mapInPandas(_shared, ANCHOR), "shared-anchors")
+    shared = met.where(F.col("kind") != REPEAT).select("anchor", "id", "h", "span")
     per_doc = shared.groupBy("id", "h").agg(F.collect_set(F.struct("anchor", "span")).alias("seen"))
     texts = d.join(per_doc, ["id", "h"]).select("id", "h", "text", "seen")
     extended = texts.mapInArrow(_extend(size, seed), "anchor long, id long, h long, at long, windows binary")
@@ -209,6 +248,8 @@ def repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED, hot: int = 50_0
         extended = split.where("is_hot IS NULL").drop("is_hot")
     sorted_rows = extended.repartition("anchor").sortWithinPartitions("anchor", "id")
     found = sorted_rows.mapInPandas(_repeats, "id long, h long, start long, n long")
+    repeat = met.where(F.col("kind") == REPEAT).select("id", "h", F.shiftright("span", 8).alias("start"), F.col("span").bitwiseAND(255).alias("n"))
+    found = found.unionByName(repeat)
     if n_hot:
         one = split.where("is_hot").select("anchor", "id", "h", "at", F.posexplode(F.expr(
             "transform(sequence(0, length(windows) div 8 - 1), i -> substring(windows, i * 8 + 1, 8))")).alias("k", "window"))
