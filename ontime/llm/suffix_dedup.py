@@ -43,7 +43,9 @@ from ontime.llm.substring_dedup import identified, least_places
 SIZE, SEED = 400, 32
 #: Bits of `span` for the number of strings and for the anchor's distance from the first one.
 _FEW = 12
-PIECE = "anchor long, piece long, id long, h long, span long"
+PIECE = "anchor long, piece long, id long, h long, span long, kind int"
+#: What a task knows of a piece: nothing; that it has a copy, for which it stands; that it is such a copy.
+OPEN, FIRST, COPY = 0, 1, 2
 
 
 def _pieces(size: int, seed: int):
@@ -71,33 +73,51 @@ def _pieces(size: int, seed: int):
                 rows, anchors, contents, spans = (np.concatenate(x) for x in zip(*out, strict=True))
                 rows = pa.array(rows)
                 cols = [pa.array(anchors), pa.array(contents), batch.column("id").take(rows), batch.column("h").take(rows), pa.array(spans)]
-                yield pa.RecordBatch.from_arrays(cols, ["anchor", "piece", "id", "h", "span"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(_kinds(anchors, contents))], ["anchor", "piece", "id", "h", "span", "kind"])
 
     return run
 
 
+def _kinds(anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Copies inside a task: one of each content stands for the others."""
+    order = np.lexsort((content, anchor))
+    starts = np.flatnonzero(np.append(True, (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1])))
+    sizes = np.diff(np.append(starts, len(order)))
+    kind = np.full(len(order), COPY, dtype=np.int32)
+    kind[order[starts]] = np.where(sizes > 1, FIRST, OPEN)
+    return kind
+
+
 def _sort_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of pieces sorted by anchor and content: all with a copy (copies), and one of each content
     whose anchor has other contents too (not copies).
 
-    Between batches only the first row of the open content is kept, so copies may be many.
+    Between batches only the first row of the open content is kept, so copies may be many. Copies
+    that a task has found already pass through.
     """
     held, held_size, held_done, held_after = None, 0, False, False
     # held: first row of the open content; done: it was given out as a copy; after: its anchor had another before it
 
     for pdf in _with_end(batches):
         ended = pdf is None
-        if ended and held is None:
+        if not ended:
+            known = (pdf["kind"] == COPY).to_numpy()
+            if known.any():
+                yield pdf[known].assign(copy=True)
+                pdf = pdf[~known]
+            if pdf.empty:
+                continue
+        elif held is None:
             return
         joined = held if ended else (pdf if held is None else pd.concat([held, pdf], ignore_index=True))
         anchor, piece = joined["anchor"].to_numpy(), joined["piece"].to_numpy()
         new = np.append(True, (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1]))
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(joined)))
-        total = sizes.copy()
+        total = sizes + np.add.reduceat((joined["kind"] == FIRST).to_numpy().astype(np.int64), starts)
         after = np.append(False, anchor[starts][1:] == anchor[starts][:-1])
         if held is not None:
-            total[0] += held_size - 1
+            total[0] += held_size - 1 - int(joined["kind"].iloc[0] == FIRST)
             after[0] = held_after
         before = np.append(anchor[starts][:-1] == anchor[starts][1:], False)
         copies = np.repeat(total > 1, sizes)
@@ -244,7 +264,9 @@ def repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED, hot: int = 20_0
     """id, h, start, n: n strings of `size` bytes from `start` on that also start elsewhere."""
     d = identified(docs)
     pieces = d.select("id", "h", "text").mapInArrow(_pieces(size, seed), PIECE)
-    together = pieces.repartition("anchor").sortWithinPartitions("anchor", "piece")
+    # copies found in a task are dealt evenly, the rest by anchor
+    deal = F.when(F.col("kind") == COPY, F.xxhash64("id", "span")).otherwise(F.col("anchor"))
+    together = pieces.repartition(deal).sortWithinPartitions("anchor", "piece")
     sorted_out = materialise(together.mapInPandas(_sort_out, PIECE + ", copy boolean"), "pieces")
     few = F.lit((1 << _FEW) - 1)
     copies = sorted_out.where("copy").select("id", "h", F.shiftright("span", 2 * _FEW).alias("start"), F.col("span").bitwiseAND(few).alias("n"))
