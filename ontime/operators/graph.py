@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontime.functions import scalar as S
+from ontime.session import stored
 
 
 def flight_graph(flights: DataFrame, src: str = "ORIGIN", dst: str = "DEST", carrier: str = "OP_UNIQUE_CARRIER", delay: str = "PREV_DEP_DEL15"):
@@ -84,21 +84,19 @@ def random_rows(df: DataFrame, k: int, seed: int) -> DataFrame:
     return df.orderBy(F.rand(seed)).limit(k)
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.15, rounds: int = 10, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, alpha: float = 0.15, rounds: int = 10) -> DataFrame:
     """id, rank after `rounds` rounds of alpha / N + (1 - alpha) * (dangling mass / N + what comes in).
 
     Edges count by `n` where there is such a column. The sum of ranks stays 1. Each round is one
-    join on the node and one aggregation; lineage is cut every few rounds by checkpoint().
+    join on the node and one aggregation. Ranks are used twice in a round, so plans would double:
+    each round's ranks are stored.
     """
-    sc = edges.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:  # as in tests: a cluster names it in spark.checkpoint.dir
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     many = F.col("n").cast("double") if "n" in edges.columns else F.lit(1.0)
     e = edges.where("dst IS NOT NULL").groupBy("src", "dst").agg(F.sum(many).alias("w"))
     out = e.groupBy("src").agg(F.sum("w").alias("total"))
-    e = e.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("w")).checkpoint()
+    e = stored(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("w")))
     base = nodes(edges).where("id IS NOT NULL").join(out.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left")
-    base = base.select("id", F.coalesce("dangling", F.lit(True)).alias("dangling")).checkpoint()
+    base = stored(base.select("id", F.coalesce("dangling", F.lit(True)).alias("dangling")))
     n = base.count()
     ranks = base.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for i in range(1, rounds + 1):
@@ -107,8 +105,8 @@ def pagerank(edges: DataFrame, alpha: float = 0.15, rounds: int = 10, every: int
         new = base.join(moved, base["id"] == moved["dst"], "left").join(F.broadcast(mass))
         rank = F.lit(alpha / max(n, 1)) + (1 - alpha) * (F.col("mass") / n + F.coalesce("got", F.lit(0.0)))
         ranks = new.select("id", "dangling", rank.alias("rank"))
-        if i % every == 0 and i < rounds:
-            ranks = ranks.checkpoint()
+        if i < rounds:
+            ranks = stored(ranks)
     return ranks.select("id", "rank")
 
 

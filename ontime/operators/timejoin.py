@@ -8,15 +8,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontime.functions import scalar as S
+from ontime.session import stored
 
-#: Rows of a dimension up to which its broadcast is known to stay under a few MB.
-SMALL = 100_000
+#: A dimension's size that a broadcast may have: in bytes as its plan knows them, or else in rows.
+SMALL_BYTES, SMALL = 10 << 20, 100_000
 
 
 def dimension(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """The table marked for broadcast if it has at most `rows` rows, else as it is."""
-    n = df.limit(rows + 1).count()
-    return F.broadcast(df) if n <= rows else df
+    """The table marked for broadcast if it is known to be small, else as it is.
+
+    Files and what is read from them have sizes in their plans. Other tables (aggregates, joins) are
+    stored first, so that counting them doesn't compute them twice.
+    """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES:
+        return F.broadcast(df)
+    df = stored(df)
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def window_bounds(df: DataFrame, ts: str = "TIMESTAMP_UTC", start: int = 6, end: int = 2,

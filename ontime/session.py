@@ -1,6 +1,10 @@
 """A session with the settings the library counts on."""
 
-from pyspark.sql import SparkSession
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "ontime", master: str | None = None, **conf) -> SparkSession:
@@ -15,3 +19,15 @@ def session(name: str = "ontime", master: str | None = None, **conf) -> SparkSes
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
     } | conf
     return builder.config(map=settings).getOrCreate()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table computed and written to the checkpoint folder: later plans start from there.
+
+    A cluster names the folder in spark.checkpoint.dir; only where it is unset, as in tests, a
+    temporary one takes its place.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
