@@ -190,6 +190,17 @@ def apply_changes(live: DataFrame, changes: DataFrame, buckets: int = 64) -> Dat
     return left.cogroup(right).applyInPandas(one, "digest binary, doc_id long")
 
 
+def _index(keys: DataFrame, bucket_rows: int = 50_000) -> DataFrame:
+    """digest, keep_id, keep_row, group_size of stored keys (doc_id, digest, row)."""
+    buckets = max(8, -(-keys.count() // bucket_rows))
+    counted = keys.mapInPandas(_combine, "digest binary, doc_id long, row long, n long")
+    return (
+        counted.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
+        .groupBy("bucket")
+        .applyInPandas(_index_bucket, "digest binary, keep_id long, keep_row long, group_size long")
+    )
+
+
 def exact_dedup(docs: DataFrame, bucket_rows: int = 50_000) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs.
 
@@ -203,13 +214,7 @@ def exact_dedup(docs: DataFrame, bucket_rows: int = 50_000) -> DataFrame:
         ),
         "dedup-keys",
     )
-    buckets = max(8, -(-keys.count() // bucket_rows))
-    counted = keys.mapInPandas(_combine, "digest binary, doc_id long, row long, n long")
-    index = (
-        counted.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
-        .groupBy("bucket")
-        .applyInPandas(_index_bucket, "digest binary, keep_id long, keep_row long, group_size long")
-    )
+    index = _index(keys, bucket_rows)
     return keys.join(index, "digest").select(
         "doc_id",
         "keep_id",
@@ -221,19 +226,16 @@ def exact_dedup(docs: DataFrame, bucket_rows: int = 50_000) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
-    keyed = docs.withColumn("_sha", text_sha256()).withColumn("_id", F.col("doc_id").cast("long"))
-    keyed = keyed.withColumn("_row", F.monotonically_increasing_id())
-    stored = materialise(keyed, "dedup-docs")
-    keys = stored.select(F.col("_id").alias("doc_id"), F.unhex("_sha").alias("digest"), F.col("_row").alias("row"))
-    buckets = max(8, -(-keys.count() // 50_000))
-    index = (
-        keys.mapInPandas(_combine, "digest binary, doc_id long, row long, n long")
-        .withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
-        .groupBy("bucket")
-        .applyInPandas(_index_bucket, "digest binary, keep_id long, keep_row long, group_size long")
+    keyed = docs.select(
+        *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)],
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.unhex(text_sha256()).alias("digest"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    kept = index.select(F.col("keep_row").alias("_row"))
-    return stored.join(kept, "_row", "left_semi").select(*[stored[c] for c in docs.columns])
+    stored = materialise(keyed, "dedup-docs")
+    kept = _index(stored.select("doc_id", "digest", "row")).select(F.col("keep_row").alias("row"))
+    rows = stored.join(kept, "row", "left_semi")
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def false_positive_rate(n: int = 20_000, seed: int = 7) -> float:

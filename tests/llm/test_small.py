@@ -92,6 +92,8 @@ def test_exact_odd_rows(odd, none):
     assert sum(r["kept"] for r in got) == 3
     kept = exact_dedup.keep_first(odd)
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 7, 7] and kept.columns == odd.columns
+    clash = odd.withColumns({c: F.lit(i) for i, c in enumerate(CLASHING)})
+    assert {tuple(r)[-len(CLASHING) :] for r in exact_dedup.keep_first(clash).collect()} == {tuple(range(len(CLASHING)))}
     assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.keep_first(none).count() == 0
 
 
@@ -262,6 +264,8 @@ def test_links_of_a_dense_cloud(spark):
 
 def test_near_odd_rows(odd, none):
     assert simhash.near_dedup(odd).count() == 7
+    clash = odd.withColumns({c: F.lit(i) for i, c in enumerate(CLASHING)})
+    assert {tuple(r)[-len(CLASHING) :] for r in simhash.keep_one(clash).collect()} == {tuple(range(len(CLASHING)))}
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} <= {3, 7}
     assert simhash.near_dedup(none).count() == 0 and simhash.keep_one(none).count() == 0
