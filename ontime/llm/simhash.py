@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ontime.llm import jaccard
 from ontime.llm.common import materialise, text_chunks
 from ontime.llm.components import components, forest
 
@@ -190,12 +191,15 @@ def near_dedup(docs: DataFrame, bits: int = BITS, cap: int = 4096, blocks: int |
     return rows.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = jaccard.WIDTH, similarity: float = jaccard.SIMILARITY) -> DataFrame:
     """The document with the smallest id of each group of near copies, all columns kept.
 
-    A group without any id keeps its rows: nothing tells them apart. Rows that share id and text
-    with the one that stays are copies of it; exact dedup removes them.
+    Near copies are as jaccard finds them, by sets of `width`-word shingles; fingerprints of three
+    words and few bits would leave most of them in. A group without any id keeps its rows: nothing
+    tells them apart. Rows that share id and text with the one that stays are copies of it; exact
+    dedup removes them.
     """
-    stays = near_dedup(docs, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    groups = jaccard.near_groups(docs, width, similarity)
+    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     stays = stays.withColumnRenamed("doc_id", "_stays")
     return docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(F.col("_stays")), "left_semi")

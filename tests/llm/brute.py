@@ -132,6 +132,32 @@ def near(rows, bits=3):
     return {i: (f"{prints[i]:016x}", find(i)) for i in ids}
 
 
+def shingles(text, width=5):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+
+
+def near_jaccard(rows, width=5, similarity=0.8):
+    """Each id's group, named by its smallest id; every pair of sets is compared."""
+    sets = {r["doc_id"]: shingles(r["text"], width) for r in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            both = len(sets[a] & sets[b])
+            alike = both / (len(sets[a]) + len(sets[b]) - both) >= similarity if sets[a] or sets[b] else True
+            if alike and find(a) != find(b):
+                a2, b2 = sorted((find(a), find(b)))
+                root[b2] = a2
+    return {i: find(i) for i in ids}
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from ontime.llm import (
     common,
     components,
     exact_dedup,
+    jaccard,
     mixing,
     quality,
     queries,
@@ -271,6 +273,33 @@ def test_near_odd_rows(odd, none):
     assert simhash.near_dedup(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_near_by_jaccard(spark, docs, rows, rounds):
+    """Copies with edits of many sizes, chains of them and a passage that many share."""
+    rng = random.Random(9)
+    more, line = list(rows), some_words(rng, 30)
+    for base in range(12):
+        w = some_words(rng, 80 + 10 * base, 5000).split()
+        for k in range(8):  # each one from the last: far ends are less alike
+            for j in rng.sample(range(len(w)), rng.randrange(4)):
+                w[j] = f"new{base}-{k}-{j}"
+            more.append({"doc_id": 1000 + 10 * base + k, "text": " ".join(w).upper() if k % 2 else "\n".join(w)})
+    more += [{"doc_id": 2000 + i, "text": f"{some_words(rng, 20)} {line} {some_words(rng, 20)}"} for i in range(30)]
+    df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in more], "doc_id long, text string").repartition(3)
+    want = brute.near_jaccard(more)
+    linked = {r["node"]: r["root"] for r in jaccard.set_links(df, rounds=rounds).collect()}
+    names = dict(zip(want, (jaccard.set_id(h) for h in jaccard.shingle_sets(pa.array([r["text"] for r in sorted(more, key=lambda r: r["doc_id"])]), 5)), strict=True))
+    got, first = {}, {}
+    for i in sorted(names):
+        root = linked.get(names[i], names[i])
+        got[i] = first.setdefault(root, i)
+    assert got == want
+    if rounds:
+        assert by_id(jaccard.near_groups(df), "component_id") == {i: (c,) for i, c in want.items()}
+        assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == set(want.values())
+        assert set(want.values()) != {c for _, c in brute.near(more).values()}
+
+
 def test_components_of_a_path(spark):
     n = 60
     df = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 200), (5, 5)], "a long, b long")
