@@ -178,7 +178,11 @@ def features(words: list[str], found: list[tuple[int, int, int]], context: dict[
         return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
     exact = sum(e == 0 for _, e, _ in found)
     quotes = sum(quoted(words, i) for i, _, _ in found) / len(found)
-    near = [context.get(w, 0.0) for i, _, _ in found[:200] for w in around(words, i)]
+    near, n_near = 0.0, 0
+    for i, _, _ in found:
+        for w in around(words, i):
+            near += context.get(w, 0.0)
+            n_near += 1
     return [
         1.0,
         math.log1p(exact),
@@ -186,7 +190,7 @@ def features(words: list[str], found: list[tuple[int, int, int]], context: dict[
         min(len({t for _, _, t in found}), 6) / 2,
         math.sqrt(100 * len(found) / len(words)),
         quotes,
-        sum(near) / max(len(near), 1),
+        near / max(n_near, 1),
     ]
 
 
@@ -255,7 +259,7 @@ def _examples(terms: list[tuple[str, bool]]):
         for pdf in batches:
             for text, label in zip(pdf["text"], pdf["toxic"], strict=True):
                 words = tokens(text)
-                for i, _, _ in hits(lexicon, words, cache)[:200]:
+                for i, _, _ in hits(lexicon, words, cache):
                     counts[int(label)].update(set(around(words, i)) - {""})
         yield from _table(counts)
 

@@ -324,6 +324,18 @@ def test_quotation_is_seen():
     assert toxicity.quoted(words, 5) and not toxicity.quoted(words, 11) and not toxicity.quoted("you are an idiot".split(), 3)
 
 
+def test_contexts_of_all_hits_count():
+    """A document that quotes early and abuses late."""
+    words = ["bad", *["quiet"] * 12] * 200 + ["bad", *["loud"] * 12] * 200
+    found = [(i, 0, 0) for i, w in enumerate(words) if w == "bad"]
+    near = [w for i, _, _ in found for w in toxicity.around(words, i)]
+    assert toxicity.features(words, found, {"loud": 1.0})[-1] == near.count("loud") / len(near) > 0.4
+    import pandas as pd
+
+    (table,) = toxicity._examples([("bad", False)])(iter([pd.DataFrame({"text": [" ".join(words)], "toxic": [1]})]))
+    assert set(table["term"]) == {"quiet", "loud"}
+
+
 def test_toxicity_learns_and_holds_out(spark, none):
     rng = random.Random(4)
     rows, labels = [], []
