@@ -42,6 +42,17 @@ def test_query_runs(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_random_search_takes_every_fold(spark, monkeypatch):
+    class Nothing:
+        def metrics(self, spark):
+            return None
+
+    seen = []
+    monkeypatch.setattr(queries.K.TimeFoldValidator, "fit", lambda self, df, folds, time: seen.append(len(folds)) or Nothing())
+    queries.random_search(spark, DATA)
+    assert seen == [len(queries.day_folds())] == [3]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
