@@ -1,48 +1,69 @@
-"""Quality rules whose thresholds follow the data, as DataFrame expressions only.
+"""Quality rules whose thresholds are quantiles of the data, as DataFrame expressions only.
 
 Every document gets counts from its whole text. For each language and source a KLL sketch of
-each rate is built; sketches merge, so a language's and the whole table's come from merging
-their sources' without reading the documents again. A group with fewer than `least` documents
-uses its language's sketch, and a small language the table's. A document goes when a rate lies
-beyond a fence around its group's median: the distance of the fence is a multiple of that
-group's own quartile distance, and at least a tolerance that keeps groups without spread whole.
+each rate is built from the texts that pass the base rule; sketches merge, so a language's and
+the whole table's come from merging their sources' without reading the documents again. A group
+with fewer than `least` such texts uses its language's sketch, and a small language the table's.
+
+All fences come from the sketches. A rate's upper fence is q + multiple * (q - median), where q
+is the quantile at that rate's `level`: what most of the group does, and as far again as the
+group itself spreads. A group without spread (all rates 0, say) has its fence at that value. A
+rate is a count over a length, so it has no finer resolution than one event: a text goes when it
+is beyond the fence even with one event less. RULES gives levels and multiples; nothing else is
+fixed.
 
 Cases: null and empty texts have no words and fail the base rule; null language or source is a
-group of its own; repeated rows are separate rows. An empty table gives an empty result. Other
-columns are ignored unless asked for with `keep`.
+group of its own; repeated rows are separate rows. Texts on a fence stay. Where no text passes the
+base rule there are no fences, and nothing is kept anyway. Texts of any length are counted whole,
+in one row; those of 2**24 words or more are compared word by word instead of by hash. An empty
+table gives an empty result. Other columns are ignored unless asked for with `keep`.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontime.llm.common import SPACE, WORD, materialise, text_or_empty
+from ontime.llm.common import WORD, materialise, text_or_empty
 
-#: Rate: (multiple of the quartile distance, least distance, whether low values fail too).
+#: Rate: (its count, its length, level of the quantile, multiple of its distance from the median,
+#: whether low values fail too). Levels say what share of a group may be junk: characters and word
+#: lengths leave room for a fifth; repeats are rare in most texts and frequent in a few good ones,
+#: so their quantile lies further out.
 RULES = {
-    "symbol_rate": (6.0, 0.05, False),
-    "shout_rate": (6.0, 0.10, False),
-    "capital_rate": (6.0, 0.30, False),
-    "dup_line_rate": (6.0, 0.50, False),
-    "repeat_rate": (6.0, 0.45, False),
-    "word_length": (8.0, 2.50, True),
+    "symbol_rate": ("n_symbols", "word_chars", 0.80, 5.0, False),
+    "shout_rate": ("n_shouts", "word_chars", 0.80, 5.0, False),
+    "capital_rate": ("n_capitals", "word_chars", 0.80, 5.0, False),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 0.98, 3.0, False),
+    "repeat_rate": ("n_repeat_words", "n_words", 0.98, 3.0, False),
+    "word_length": ("word_chars", "n_words", 0.80, 5.0, True),
 }
+#: The base rule, over the counts.
+BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
 _BITS = 24  # of a packed number that hold a position in a text
 _LOW = (1 << _BITS) - 1
 _WHITE = " \t\n\x0b\x0c\r"
 
 
+#: Positions of three-word windows found twice or more, by their words.
+_EXACT = """sort_array(flatten(transform(array(sort_array(transform(sequence(0, _n - 3),
+    i -> struct(_w[i] AS a, _w[i + 1] AS b, _w[i + 2] AS c, i AS i)))),
+    s -> transform(filter(sequence(0, size(s) - 1),
+        j -> (j > 0 AND struct(s[greatest(j - 1, 0)].a, s[greatest(j - 1, 0)].b, s[greatest(j - 1, 0)].c) = struct(s[j].a, s[j].b, s[j].c))
+          OR (j < size(s) - 1 AND struct(s[least(j + 1, size(s) - 1)].a, s[least(j + 1, size(s) - 1)].b, s[least(j + 1, size(s) - 1)].c) = struct(s[j].a, s[j].b, s[j].c))),
+        j -> s[j].i))))"""
+
+
 def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep, and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the rates."""
     t = docs.select(*keep, text_or_empty().alias("_t"))
     t = t.select("*", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)).alias("_w"))
     t = t.select("*", F.size("_w").alias("_n"))
     # three-word windows as numbers: a hash above, the position below; equal windows sort together
-    packed = f"""CASE WHEN _n >= 3 THEN sort_array(transform(sequence(0, _n - 3),
+    packed = f"""CASE WHEN _n BETWEEN 3 AND {_LOW} THEN sort_array(transform(sequence(0, _n - 3),
         i -> (xxhash64(_w[i], _w[i + 1], _w[i + 2]) & {~_LOW}) | i)) ELSE array() END"""
     t = t.select("*", F.expr(packed).alias("_p"))
     same = f"""(shiftright(_p[a], {_BITS}) = shiftright(_p[b], {_BITS})
@@ -53,7 +74,10 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     found = f"""CASE WHEN size(_p) > 1 THEN sort_array(transform(filter(sequence(0, size(_p) - 1),
         j -> (j > 0 AND {at('greatest(j - 1, 0)', 'j')}) OR (j < size(_p) - 1 AND {at('j', 'least(j + 1, size(_p) - 1)')})),
         j -> int(_p[j] & {_LOW}))) ELSE array() END"""
-    t = t.select("*", F.expr(found).alias("_r"))
+    # different windows with the same bits of hash may part equal ones: then words themselves are sorted
+    clash = f"""size(_p) > 1 AND exists(sequence(1, size(_p) - 1),
+        j -> shiftright(_p[j - 1], {_BITS}) = shiftright(_p[j], {_BITS}) AND NOT {at('j - 1', 'j')})"""
+    t = t.select("*", F.expr(f"CASE WHEN _n > {_LOW} OR {clash} THEN {_EXACT} ELSE {found} END").alias("_r"))
     covered = """CASE WHEN size(_r) = 0 THEN 0L ELSE aggregate(sequence(0, size(_r) - 1), 3L,
         (s, k) -> s + CASE WHEN k = 0 THEN 0L ELSE least(3, _r[k] - _r[k - 1]) END) END"""
     t = t.select(
@@ -61,49 +85,59 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.col("_n").cast("long").alias("n_words"),
         F.length(F.translate("_t", _WHITE, "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.length("_t") - F.length(F.translate("_t", "!?", ""))).alias("_shouts"),
-        (F.length("_t") - F.length(F.translate("_t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("_capitals"),
+        (F.length("_t") - F.length(F.translate("_t", "!?", ""))).cast("long").alias("n_shouts"),
+        (F.length("_t") - F.length(F.translate("_t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_capitals"),
         F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"),
         F.expr(covered).alias("n_repeat_words"),
     )
-    t = t.select("*", F.size("_l").alias("_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"))
-    rate = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return t.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        rate("n_symbols", "word_chars").alias("symbol_rate"),
-        rate("_shouts", "word_chars").alias("shout_rate"),
-        rate("_capitals", "word_chars").alias("capital_rate"),
-        rate("n_dup_lines", "_lines").alias("dup_line_rate"),
-        rate("n_repeat_words", "n_words").alias("repeat_rate"),
-        rate("word_chars", "n_words").alias("word_length"),
-    )
-
-
-def thresholds(measured: DataFrame, least: int = 100, k: int = 200) -> DataFrame:
-    """lang, source, and low and high for each rate: one row per language and source."""
-    group = measured.groupBy("lang", "source").agg(
-        F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(r), k).alias(r) for r in RULES]
-    )
-    group = materialise(group, "quality-sketches")  # a few KB per group
+    lines = F.size("_l").cast("long")
+    t = t.select("*", lines.alias("n_lines"), (lines - F.size(F.array_distinct("_l"))).alias("n_dup_lines"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_shouts", "n_capitals", "n_lines"]
+    rates = [(F.col(a) / F.greatest(F.col(b), F.lit(1))).alias(rate) for rate, (a, b, *_) in RULES.items()]
+    return t.select(*keep, *counts, *rates, F.expr(BASE_FAILED).alias("base_failed"))
+
+
+def _fences(sketch) -> list[Column]:
+    """low and high of each rate; sketch gives the sketch column of a rate."""
+    out = []
+    for rate, (_, _, level, multiple, both) in RULES.items():
+        at = lambda p: F.kll_sketch_get_quantile_double(sketch(rate), F.lit(p))  # noqa: B023, E731
+        middle, high, low = at(0.5), at(level), at(1 - level)
+        out.append((high + multiple * (high - middle)).alias(f"high_{rate}"))
+        if both:
+            out.append((low - multiple * (middle - low)).alias(f"low_{rate}"))
+    return out
+
+
+def thresholds(measured: DataFrame, least: int = 50, k: int = 1024) -> DataFrame:
+    """lang, source, group_docs, and low and high for each rate: one row per language and source.
+
+    k: size of the sketches; ranks are off by 0.3 % at 1024, and by nothing up to k values.
+    """
+    good = measured.where("NOT base_failed")
+    group = good.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(r), k).alias(r) for r in RULES])
+    group = materialise(group, "quality-sketches")  # at most 30 KB per group and rate
     merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(F.col(r)).alias(r) for r in RULES]]
     by_lang = group.groupBy("lang").agg(*merged)
-    whole = group.agg(*merged)
-    renamed = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in df.columns])
-    by_lang, whole = renamed(by_lang, "l_"), renamed(whole, "t_").withColumn("one", F.lit(1))
+    by_lang = by_lang.select(*[F.col(c).alias(f"l_{c}") for c in by_lang.columns])
+    names = [f.split("_", 1) for f in fence_names()]
+    whole = group.agg(*merged).where("n > 0").select(*_fences(F.col)).first()  # one row of numbers
     g = group.join(by_lang, group["lang"].eqNullSafe(by_lang["l_lang"]), "left")
-    g = g.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")  # a single row
-    out = [F.col("lang"), F.col("source"), F.col("n").alias("group_docs")]
-    for rate, (times, tolerance, both) in RULES.items():
-        sketch = F.when(F.col("n") >= least, F.col(rate)).when(F.col("l_n") >= least, F.col(f"l_{rate}")).otherwise(F.col(f"t_{rate}"))
-        q = [F.kll_sketch_get_quantile_double(sketch, F.lit(p)) for p in (0.25, 0.5, 0.75)]
-        out.append((q[1] + F.greatest(times * (q[2] - q[1]), F.lit(tolerance))).alias(f"high_{rate}"))
-        if both:
-            out.append((q[1] - F.greatest(times * (q[1] - q[0]), F.lit(tolerance))).alias(f"low_{rate}"))
-    return g.select(*out)
+    own, lang = _fences(F.col), _fences(lambda r: F.col(f"l_{r}"))
+    table = [F.lit(whole[f"{side}_{rate}"] if whole else None).cast("double") for side, rate in names]
+    fences = [
+        F.when(F.col("n") >= least, a).when(F.col("l_n") >= least, b).otherwise(c).alias(f"{side}_{rate}")
+        for a, b, c, (side, rate) in zip(own, lang, table, names, strict=True)
+    ]
+    return g.select("lang", "source", F.col("n").alias("group_docs"), *fences)
+
 
+def fence_names() -> list[str]:
+    return [x for rate, (*_, both) in RULES.items() for x in ([f"high_{rate}", f"low_{rate}"] if both else [f"high_{rate}"])]
 
-def quality(docs: DataFrame, keep: list[str] | None = None, least: int = 100) -> DataFrame:
-    """keep (doc_id) and the counts, base_failed, reasons (rates beyond their fence) and kept."""
+
+def quality(docs: DataFrame, keep: list[str] | None = None, least: int = 50) -> DataFrame:
+    """keep (doc_id) and the counts, base_failed, kept and reasons (rates beyond their fence)."""
     keep = list(keep or ["doc_id"])
     extra = [c for c in ("lang", "source") if c not in keep]
     m = materialise(measures(docs, keep + extra), "quality-counts")
@@ -115,20 +149,17 @@ def quality(docs: DataFrame, keep: list[str] | None = None, least: int = 100) ->
         m["lang"].eqNullSafe(F.col("_lang")) & m["source"].eqNullSafe(F.col("_source")),
         "left",
     )
-    beyond = {
-        rate: reduce(lambda a, b: a | b, [F.col(rate) > F.col(f"high_{rate}")] + ([F.col(rate) < F.col(f"low_{rate}")] if both else []))
-        for rate, (_, _, both) in RULES.items()
-    }
+    beyond = {}
+    for rate, (count, length, _, _, both) in RULES.items():
+        moved = lambda by: (F.col(count) + by) / F.greatest(F.col(length), F.lit(1))  # noqa: B023, E731
+        sides = [moved(-1) > F.col(f"high_{rate}")] + ([moved(1) < F.col(f"low_{rate}")] if both else [])
+        beyond[rate] = F.coalesce(reduce(lambda a, b: a | b, sides), F.lit(False))
     reasons = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in beyond.items()]))
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    m = m.withColumn("base_failed", base).withColumn("reasons", reasons)
-    m = m.withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))
-    return m.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons"
-    )
+    m = m.withColumn("reasons", reasons).withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))
+    return m.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons")
 
 
-def keep_good(docs: DataFrame, least: int = 100) -> DataFrame:
+def keep_good(docs: DataFrame, least: int = 50) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)],
                         F.col("text"), F.col("lang").alias("lang"), F.col("source").alias("source"))
@@ -136,6 +167,3 @@ def keep_good(docs: DataFrame, least: int = 100) -> DataFrame:
     q = quality(plain, names, least).where("kept")
     return q.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
-
-def squeeze(name: str = "text"):
-    return F.regexp_replace(text_or_empty(name), SPACE, " ")
