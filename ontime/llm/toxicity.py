@@ -6,22 +6,28 @@ automata: the states of the product are sets of (trie node, edits), determinised
 for them, so a word is looked up in one step per character and mostly given up after a few. Short
 terms must match exactly, longer ones may differ by one edit or two; the first letter is kept.
 
-Each hit is weighed by its context window: learned weights of the words around it, and whether
-quotation marks enclose it, tell quoting from abuse. A logistic model on counts of exact and
-misspelled hits, their density, their variety and their contexts gives the score.
+Each hit is weighed by its context window. A hit between quotation marks counts a fraction of one
+that isn't: the fraction is the ratio of toxic shares among labelled documents whose hits are all
+quoted and all others with hits, drawn towards QUOTED as if QUOTED_LIKE such documents had been
+seen. So quotations count less even where no label shows one. Words around hits have learned
+weights. A logistic model on the weighed counts of exact and misspelled hits, their variety and
+density, and their contexts gives the score; the first four never lower it.
 
-Labels are read only for rows whose crc32(doc_id as text) mod 4 is not 2. The fit uses at most
-`sample` labelled documents, chosen by a hash of their ids; every document is scored.
+Labels are read only for rows whose crc32(doc_id as text) mod 4 is not 2. The fit uses about
+`sample` labelled documents at most, chosen by a hash of their ids; terms and context words come
+from those documents, without other bounds. Every document is scored, from all its hits.
 
 Cases: null and empty texts have no hits and the score of such documents. A null id is not held
-out and never a training row. Without labels of both kinds there is no lexicon and every score
-is the share of toxic labels (0 without labels). Repeated rows are scored alike. An empty table
-gives an empty result. Other columns are ignored.
+out and never a training row; of rows that share an id one is a training row, the least text.
+Texts of any length are read whole, one text at a time beyond the size of a chunk. Without labels
+of both kinds there is no lexicon and every score is the share of toxic labels (0 without labels).
+Repeated rows are scored alike. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,8 +44,11 @@ WINDOW = 6
 PREFIXES = (4, 5, 6)
 #: A lexicon entry needs this log-likelihood ratio and this ratio of document frequencies.
 LEAST_G, LEAST_RATIO = 18.0, 15.0
-MOST_TERMS = 2_000
+LEAST_TOXIC, LEAST_NEAR = 4, 5
+#: What a quoted hit counts without labelled quotations, and how many documents that is worth.
+QUOTED, QUOTED_LIKE = 0.25, 20.0
 _TRIM = "\"'`.,;:!?()[]{}<>«»“”‘’„-–—*_~#|"
+_STOPS = ".,;:!?"
 _OPEN, _CLOSE = "\"“„«‘'", "\"”“»’'"
 
 
@@ -162,9 +171,22 @@ def hits(lexicon: FuzzyLexicon, words: list[str], cache: dict) -> list[tuple[int
 
 
 def quoted(words: list[str], i: int) -> bool:
-    """Whether quotation marks open at or before word i and close at or after it, in the window."""
-    before, after = words[max(0, i - WINDOW) : i + 1], words[i : i + WINDOW + 1]
-    return any(w[0] in _OPEN for w in before) and any(w.rstrip(".,;:!?")[-1:] in _CLOSE and w.rstrip(".,;:!?") != "" for w in after)
+    """Whether word i stands in quotation marks: looking out from it, inside the window, the first
+    mark before it opens and the first one after it closes."""
+
+    def outwards(places, wanted: str, other: str, first: bool) -> bool:
+        for j in places:
+            w = words[j].strip(_STOPS)
+            begins, ends = w[:1] in _OPEN and w != "", w[-1:] in _CLOSE and w != ""
+            found = {"open": begins, "close": ends}
+            if found[other] and not (first and j == i):
+                return False
+            if found[wanted]:
+                return True
+        return False
+
+    before, after = range(i, max(-1, i - WINDOW - 1), -1), range(i, min(len(words), i + WINDOW + 1))
+    return outwards(before, "open", "close", True) and outwards(after, "close", "open", True)
 
 
 def around(words: list[str], i: int) -> list[str]:
@@ -172,26 +194,26 @@ def around(words: list[str], i: int) -> list[str]:
     return [w.strip(_TRIM) for w in near]
 
 
-def features(words: list[str], found: list[tuple[int, int, int]], context: dict[str, float]) -> list[float]:
-    """Numbers of one document for the logistic model; the first is the constant."""
+def features(words: list[str], found: list[tuple[int, int, int]], context: dict[str, float], quote: float = QUOTED) -> list[float]:
+    """Numbers of one document for the logistic model; the first is the constant. A quoted hit
+    counts `quote`."""
     if not found:
-        return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
-    exact = sum(e == 0 for _, e, _ in found)
-    quotes = sum(quoted(words, i) for i, _, _ in found) / len(found)
-    near, n_near = 0.0, 0
-    for i, _, _ in found:
+        return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    exact = fuzzy = near = 0.0
+    n_near = 0
+    terms: dict[int, float] = {}
+    for i, e, term in found:
+        weight = quote if quoted(words, i) else 1.0
+        if e:
+            fuzzy += weight
+        else:
+            exact += weight
+        terms[term] = max(terms.get(term, 0.0), weight)
         for w in around(words, i):
             near += context.get(w, 0.0)
             n_near += 1
-    return [
-        1.0,
-        math.log1p(exact),
-        math.log1p(len(found) - exact),
-        min(len({t for _, _, t in found}), 6) / 2,
-        math.sqrt(100 * len(found) / len(words)),
-        quotes,
-        near / max(n_near, 1),
-    ]
+    density = math.sqrt(100 * (exact + fuzzy) / len(words))
+    return [1.0, math.log1p(exact), math.log1p(fuzzy), min(sum(terms.values()), 6) / 2, density, near / max(n_near, 1)]
 
 
 def _terms_of(words: list[str]) -> set[str]:
@@ -200,80 +222,82 @@ def _terms_of(words: list[str]) -> set[str]:
     return plain | {w[:n] + "*" for w in plain for n in PREFIXES if len(w) > n}
 
 
-def _table(counts: tuple[Counter, Counter]) -> Iterator[pd.DataFrame]:
-    terms = list(counts[0].keys() | counts[1].keys())
-    for i in range(0, len(terms), 20_000):
-        part = terms[i : i + 20_000]
-        yield pd.DataFrame({"term": part, "clean": [counts[0][t] for t in part], "toxic": [counts[1][t] for t in part]})
-
-
-def _frequencies(wanted: set[str] | None):
-    """Document frequencies of terms by label, summed up inside each task."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for pdf in batches:
-            for text, label in zip(pdf["text"], pdf["toxic"], strict=True):
-                if wanted is None and not label:
-                    continue
-                found = _terms_of(tokens(text))
-                counts[int(label)].update(found if wanted is None else found & wanted)
-        yield from _table(counts)
-
-    return run
-
-
-def choose_terms(table: list[tuple[str, int, int]], n_clean: int, n_toxic: int) -> list[tuple[str, bool]]:
-    """Lexicon from (term, clean, toxic) document frequencies: (term, whether a beginning)."""
+def _sums(counts: Counter) -> pd.DataFrame:
+    out = pd.DataFrame({"term": list(counts.keys()), "n": list(counts.values())})
+    counts.clear()
+    return out
 
-    def g(c, t):
-        """Log-likelihood ratio of the term's documents against the share of toxic ones."""
-        n, share = c + t, n_toxic / (n_clean + n_toxic)
-        part = lambda x, s: x * math.log(x / (n * s)) if x else 0.0
-        return 2 * (part(t, share) + part(c, 1 - share))
 
-    good = {
-        term: (c, t)
-        for term, c, t in table
-        if ((t + 0.5) / n_toxic) / ((c + 0.5) / n_clean) >= LEAST_RATIO and g(c, t) >= LEAST_G
-    }
-    stems = {}
-    for term in sorted((t for t in good if t.endswith("*")), key=len):
+def _frequencies(batches: Iterator[pd.DataFrame], most: int = 200_000) -> Iterator[pd.DataFrame]:
+    """Document frequencies of terms, summed up inside each task, at most about `most` at a time."""
+    counts: Counter = Counter()
+    for pdf in batches:
+        for text in pdf["text"]:
+            counts.update(_terms_of(tokens(text)))
+            if len(counts) > most:
+                yield _sums(counts)
+    yield _sums(counts)
+
+
+def ratio_and_g(clean: Column, toxic: Column, n_clean: int, n_toxic: int) -> tuple[Column, Column]:
+    """Of document frequencies: toxic against clean, and the log-likelihood ratio against the share
+    of toxic documents."""
+    n, share = clean + toxic, n_toxic / (n_clean + n_toxic)
+    part = lambda x, s: F.when(x > 0, x * F.log(x / (n * F.lit(s)))).otherwise(0.0)
+    ratio = ((toxic + 0.5) / F.lit(float(n_toxic))) / ((clean + 0.5) / F.lit(float(n_clean)))
+    return ratio, 2 * (part(toxic, share) + part(clean, 1 - share))
+
+
+def choose_terms(table: list[tuple[str, int]]) -> list[tuple[str, bool]]:
+    """Lexicon from telling terms and their toxic document frequencies: (term, whether a beginning).
+    A beginning is taken where no single word stands for it."""
+    good = dict(table)
+    words = sorted(t for t in good if not t.endswith("*"))
+    stems: dict[str, int] = {}
+    for term in sorted((t for t in good if t.endswith("*")), key=lambda t: (len(t), t)):
         stem = term[:-1]
-        if any(stem.startswith(s) for s in stems):
+        if any(stem[:n] in stems for n in PREFIXES if n < len(stem)):
             continue
-        whole = max((good[w][1] for w in good if not w.endswith("*") and w.startswith(stem)), default=0)
-        if whole < 0.7 * good[term][1]:  # no single word stands for it
+        whole, i = 0, bisect_left(words, stem)
+        while i < len(words) and words[i].startswith(stem):
+            whole, i = max(whole, good[words[i]]), i + 1
+        if whole < 0.7 * good[term]:
             stems[stem] = good[term]
-    words = {w: v for w, v in good.items() if not w.endswith("*") and not any(w.startswith(s) for s in stems)}
-    ranked = sorted([(-v[1], w, False) for w, v in words.items()] + [(-v[1], s, True) for s, v in stems.items()])
-    return [(w, prefix) for _, w, prefix in ranked[:MOST_TERMS]]
+    left = {w: good[w] for w in words if not any(w[:n] in stems for n in PREFIXES)}
+    ranked = sorted([(-v, w, False) for w, v in left.items()] + [(-v, s, True) for s, v in stems.items()])
+    return [(w, prefix) for _, w, prefix in ranked]
 
 
-def _examples(terms: list[tuple[str, bool]]):
-    """Hits' context words by label, and per document what the model is fitted on."""
+def _near(terms: list[tuple[str, bool]], most: int = 200_000):
+    """Context words of hits and in how many documents; under the empty word: documents with hits,
+    and under a quotation mark those whose hits are all quoted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon, cache = FuzzyLexicon(terms), {}
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        lexicon, cache, counts = FuzzyLexicon(terms), {}, Counter()
         for pdf in batches:
-            for text, label in zip(pdf["text"], pdf["toxic"], strict=True):
+            for text in pdf["text"]:
                 words = tokens(text)
-                for i, _, _ in hits(lexicon, words, cache):
-                    counts[int(label)].update(set(around(words, i)) - {""})
-        yield from _table(counts)
+                found = hits(lexicon, words, cache)
+                if not found:
+                    continue
+                counts.update({w for i, _, _ in found for w in around(words, i)} - {"", '"'})
+                counts[""] += 1
+                counts['"'] += all(quoted(words, i) for i, _, _ in found)
+                if len(counts) > most:
+                    yield _sums(counts)
+        yield _sums(counts)
 
     return run
 
 
-def _feature_rows(terms, context):
+def _feature_rows(terms, context, quote):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon, cache = FuzzyLexicon(terms), {}
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
                 words = tokens(text)
-                rows.append(features(words, hits(lexicon, words, cache), context))
+                rows.append(features(words, hits(lexicon, words, cache), context, quote))
             yield pd.DataFrame({"x": rows, "toxic": pdf["toxic"]})
 
     return run
@@ -293,37 +317,65 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int
     return w
 
 
+def fit_rising(x: np.ndarray, y: np.ndarray, rising: range) -> np.ndarray:
+    """fit_logistic without the features of `rising` that would have a negative weight."""
+    used = list(range(x.shape[1]))
+    while True:
+        w = np.zeros(x.shape[1])
+        w[used] = fit_logistic(x[:, used], y)
+        worst = min(rising, key=lambda i: w[i])
+        if w[worst] >= 0:
+            return w
+        used.remove(worst)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """Lexicon, context weights and coefficients, from labelled rows that are not held out."""
-    spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = materialise(known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")), "toxicity-labels")
     share = min(1.0, sample / max(known.count(), 1))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
-    rows = materialise(texts.join(chosen, "doc_id").select("text", "toxic"), "toxicity-sample")
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(chosen, "doc_id")
+    rows = materialise(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "toxicity-sample")
     n_toxic, n_clean = (rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first())
     if not n_toxic or not n_clean:
-        return {"terms": [], "context": {}, "weights": None, "share": float(bool(n_toxic))}
-    counted = "term string, clean long, toxic long"
-    total = lambda df: df.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # terms of toxic documents first, then how often clean ones have them
-    candidates = total(rows.mapInPandas(_frequencies(None), counted)).where("toxic >= 4")
-    names = [r["term"] for r in candidates.orderBy(F.desc("toxic"), "term").limit(50_000).collect()]
-    wanted = spark.sparkContext.broadcast(set(names))
-    both = total(rows.mapInPandas(lambda it: _frequencies(wanted.value)(it), counted))
-    likely = both.where(F.col("toxic") / F.lit(float(n_toxic)) >= F.lit(LEAST_RATIO / 2) * F.col("clean") / F.lit(float(n_clean)))
-    terms = choose_terms([tuple(r) for r in likely.orderBy(F.desc("toxic"), "term").limit(50_000).collect()], n_clean, n_toxic)
-    near = total(rows.mapInPandas(_examples(terms), counted)).where("clean + toxic >= 5").orderBy(F.desc("toxic"), "term").limit(20_000).collect()
-    all_toxic, all_clean = sum(r["toxic"] for r in near), sum(r["clean"] for r in near)
+        return {"terms": [], "context": {}, "weights": None, "share": float(bool(n_toxic)), "quote": QUOTED}
+    counted = "term string, n long"
+
+    def by_label(count, only: DataFrame | None = None) -> DataFrame:
+        """term, clean, toxic"""
+        sums = []
+        for name, label in (("clean", 0), ("toxic", 1)):
+            part = rows.where(F.col("toxic") == label).select("text").mapInPandas(count, counted)
+            if only is not None:
+                part = part.join(only, "term", "left_semi")
+            sums.append(part.groupBy("term").agg(F.sum("n").alias(name)))
+        both = sums[0].join(sums[1], "term", "full")
+        return both.select("term", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("clean", "toxic")])
+
+    often = rows.where("toxic = 1").select("text").mapInPandas(_frequencies, counted).groupBy("term").agg(F.sum("n").alias("n"))
+    often = materialise(often.where(F.col("n") >= LEAST_TOXIC).select("term"), "toxicity-terms")
+    ratio, g = ratio_and_g(F.col("clean"), F.col("toxic"), n_clean, n_toxic)
+    telling = by_label(_frequencies, often).where((ratio >= LEAST_RATIO) & (g >= LEAST_G)).select("term", "toxic")
+    terms = choose_terms([tuple(r) for r in telling.collect()])  # of the sample, few
+    near = {r["term"]: (r["clean"], r["toxic"]) for r in by_label(_near(terms)).where(F.col("clean") + F.col("toxic") >= LEAST_NEAR).collect()}
+    (any_clean, any_toxic), (all_clean, all_toxic) = (near.pop(k, (0, 0)) for k in ("", '"'))
+    quote = quote_weight(all_clean, all_toxic, any_clean, any_toxic)
+    total_clean, total_toxic = (sum(v[i] for v in near.values()) for i in (0, 1))
     context = {}
-    if all_clean:  # else no hit is a quotation, and contexts tell nothing
-        context = {
-            r["term"]: math.log((r["toxic"] + 1) / (all_toxic + 1)) - math.log((r["clean"] + 1) / (all_clean + 1)) for r in near
-        }
-    got = rows.mapInPandas(_feature_rows(terms, context), "x array<double>, toxic int").toPandas()
-    weights = fit_logistic(np.array(got["x"].tolist()), got["toxic"].to_numpy(float))
-    return {"terms": terms, "context": context, "weights": weights.tolist(), "share": n_toxic / (n_toxic + n_clean)}
+    if total_clean:  # else contexts tell nothing
+        context = {w: math.log((t + 1) / (total_toxic + 1)) - math.log((c + 1) / (total_clean + 1)) for w, (c, t) in near.items()}
+    got = rows.select("text", "toxic").mapInPandas(_feature_rows(terms, context, quote), "x array<double>, toxic int").toPandas()
+    weights = fit_rising(np.array(got["x"].tolist()), got["toxic"].to_numpy(float), range(1, 5))
+    return {"terms": terms, "context": context, "weights": weights.tolist(), "share": n_toxic / (n_toxic + n_clean), "quote": quote}
+
+
+def quote_weight(all_clean: int, all_toxic: int, any_clean: int, any_toxic: int) -> float:
+    """What a quoted hit counts, from documents whose hits are all quoted and documents with hits."""
+    clean, toxic = any_clean - all_clean, any_toxic - all_toxic
+    share = (toxic + 0.5) / (clean + toxic + 1)
+    ratio = min(1.0, (all_toxic + QUOTED_LIKE * QUOTED * share) / (all_clean + all_toxic + QUOTED_LIKE) / share)
+    return max(ratio, 0.01)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -339,7 +391,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 words = tokens(text)
                 found = hits(lexicon, words, cache)
-                x.append(features(words, found, m["context"]))
+                x.append(features(words, found, m["context"], m["quote"]))
                 n.append(len(found))
                 fuzzy.append(sum(e > 0 for _, e, _ in found))
             if weights is None:
