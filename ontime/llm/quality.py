@@ -5,16 +5,16 @@ each rate is built from the texts that pass the base rule; sketches merge, so a
 the whole table's come from merging their sources' without reading the documents again. A group
 with fewer than `least` such texts uses its language's sketch, and a small language the table's.
 
-All fences come from the sketches. A rate's upper fence is q + multiple * (q - median), where q
-is the quantile at that rate's `level`: what most of the group does, and as far again as the
-group itself spreads. A group without spread (all rates 0, say) has its fence at that value. A
-rate is a count over a length, so it has no finer resolution than one event: a text goes when it
-is beyond the fence even with one event less. RULES gives levels and multiples; nothing else is
-fixed.
+All fences come from the sketches. A rate's upper fence is q + multiple * spread, where q is the
+group's quantile at that rate's `level` and spread the distance from the median to it, the
+group's or the whole table's, whichever is larger: what most of the group does, and as far again
+as texts spread. Where nothing spreads (all rates 0, say) the fence is that value. A rate is a
+count over a length, so it has no finer resolution than one event: a text goes when it is beyond
+the fence even with one event less. RULES gives levels and multiples; nothing else is fixed.
 
 Cases: null and empty texts have no words and fail the base rule; null language or source is a
-group of its own; repeated rows are separate rows. Texts on a fence stay. Where no text passes the
-base rule there are no fences, and nothing is kept anyway. Texts of any length are counted whole,
+group of its own; repeated rows are separate rows. Texts on a fence stay. A table with fewer than
+`least` texts that pass the base rule has no fences, only the base rule. Texts of any length are counted whole,
 in one row; those of 2**24 words or more are compared word by word instead of by hash. An empty
 table gives an empty result. Other columns are ignored unless asked for with `keep`.
 """
@@ -97,15 +97,26 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     return t.select(*keep, *counts, *rates, F.expr(BASE_FAILED).alias("base_failed"))
 
 
-def _fences(sketch) -> list[Column]:
-    """low and high of each rate; sketch gives the sketch column of a rate."""
+def _spreads(sketch) -> list[Column]:
+    """Distances of the median from the quantiles that fences start at, above and below."""
+    at = lambda rate, p: F.kll_sketch_get_quantile_double(sketch(rate), F.lit(p))
     out = []
-    for rate, (_, _, level, multiple, both) in RULES.items():
-        at = lambda p: F.kll_sketch_get_quantile_double(sketch(rate), F.lit(p))  # noqa: B023, E731
-        middle, high, low = at(0.5), at(level), at(1 - level)
-        out.append((high + multiple * (high - middle)).alias(f"high_{rate}"))
+    for rate, (_, _, level, _, both) in RULES.items():
+        out.append((at(rate, level) - at(rate, 0.5)).alias(f"high_{rate}"))
         if both:
-            out.append((low - multiple * (middle - low)).alias(f"low_{rate}"))
+            out.append((at(rate, 0.5) - at(rate, 1 - level)).alias(f"low_{rate}"))
+    return out
+
+
+def _fences(sketch, least_spread: dict[str, float]) -> list[Column]:
+    """Fences of each rate, in the order of fence_names; sketch gives the sketch column of a rate."""
+    out = []
+    for name, spread in zip(fence_names(), _spreads(sketch), strict=True):
+        side, rate = name.split("_", 1)
+        _, _, level, multiple, _ = RULES[rate]
+        start = F.kll_sketch_get_quantile_double(sketch(rate), F.lit(level if side == "high" else 1 - level))
+        reach = multiple * F.greatest(spread, F.lit(least_spread[name]))
+        out.append((start + reach if side == "high" else start - reach).alias(name))
     return out
 
 
@@ -120,14 +131,16 @@ def thresholds(measured: DataFrame, least: int = 50, k: int = 1024) -> DataFrame
     merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(F.col(r)).alias(r) for r in RULES]]
     by_lang = group.groupBy("lang").agg(*merged)
     by_lang = by_lang.select(*[F.col(c).alias(f"l_{c}") for c in by_lang.columns])
-    names = [f.split("_", 1) for f in fence_names()]
-    whole = group.agg(*merged).where("n > 0").select(*_fences(F.col)).first()  # one row of numbers
+    whole = materialise(group.agg(*merged).where(F.col("n") >= least), "quality-table")
+    spreads = whole.select(*_spreads(F.col)).first()  # one row of numbers, or none
+    if spreads is None:
+        return group.select("lang", "source", F.col("n").alias("group_docs"), *[F.lit(None).cast("double").alias(f) for f in fence_names()])
+    table = whole.select(*_fences(F.col, spreads.asDict())).first()
     g = group.join(by_lang, group["lang"].eqNullSafe(by_lang["l_lang"]), "left")
-    own, lang = _fences(F.col), _fences(lambda r: F.col(f"l_{r}"))
-    table = [F.lit(whole[f"{side}_{rate}"] if whole else None).cast("double") for side, rate in names]
+    own, lang = (_fences(sketch, spreads.asDict()) for sketch in (F.col, lambda r: F.col(f"l_{r}")))
     fences = [
-        F.when(F.col("n") >= least, a).when(F.col("l_n") >= least, b).otherwise(c).alias(f"{side}_{rate}")
-        for a, b, c, (side, rate) in zip(own, lang, table, names, strict=True)
+        F.when(F.col("n") >= least, a).when(F.col("l_n") >= least, b).otherwise(F.lit(table[name])).alias(name)
+        for a, b, name in zip(own, lang, fence_names(), strict=True)
     ]
     return g.select("lang", "source", F.col("n").alias("group_docs"), *fences)
 

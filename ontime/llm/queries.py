@@ -104,19 +104,23 @@ m AS (SELECT *, {quality.BASE_FAILED} AS base_failed FROM c)"""
     rate = lambda a, b, by="": f"({a}{by})::DOUBLE / greatest({b}, 1)"
     at = lambda name, p: f"{name}[greatest(1, ceil({p} * len({name})))::INT]"
     lists = ", ".join(f"list_sort(list({rate(a, b)})) AS {name}" for name, (a, b, *_) in rules)
-    fences = []
+    fences, spreads = [], []
     for name, (_, _, level, multiple, both) in rules:
         hi, mid, lo = at(name, level), at(name, 0.5), at(name, 1 - level)
-        fences.append(f"{hi} + {multiple}::DOUBLE * ({hi} - {mid}) AS high_{name}")
-        fences += [f"{lo} - {multiple}::DOUBLE * ({mid} - {lo}) AS low_{name}"] if both else []
+        fences.append(f"{hi} + {multiple}::DOUBLE * greatest({hi} - {mid}, s.high_{name}) AS high_{name}")
+        spreads.append(f"{hi} - {mid} AS high_{name}")
+        if both:
+            fences.append(f"{lo} - {multiple}::DOUBLE * greatest({mid} - {lo}, s.low_{name}) AS low_{name}")
+            spreads.append(f"{mid} - {lo} AS low_{name}")
     names = quality.fence_names()
-    level = lambda by: f"(SELECT {by + ', ' if by else ''}n, {', '.join(fences)} FROM (SELECT {by + ', ' if by else ''}count(*) AS n, {lists} FROM m WHERE NOT base_failed {'GROUP BY ' + by if by else ''}))"
+    sorted_ = lambda by: f"(SELECT {by + ', ' if by else ''}count(*) AS n, {lists} FROM m WHERE NOT base_failed {'GROUP BY ' + by if by else ''})"
+    level = lambda by: f"(SELECT {by + ', ' if by else ''}n, {', '.join(fences)} FROM {sorted_(by)}, s)"
     pick = ", ".join(f"CASE WHEN o.n >= 50 THEN o.{x} WHEN l.n >= 50 THEN l.{x} ELSE a.{x} END AS {x}" for x in names)
     beyond = " OR ".join(
         [f"coalesce({rate(a, b, ' - 1')} > high_{name}, false)" for name, (a, b, *_) in rules]
         + [f"coalesce({rate(a, b, ' + 1')} < low_{name}, false)" for name, (a, b, _, _, both) in rules if both]
     )
-    return f"""WITH {measured}, o AS {level('lang, source')}, l AS {level('lang')}, a AS {level('')},
+    return f"""WITH {measured}, s AS (SELECT {', '.join(spreads)} FROM {sorted_('')} WHERE n >= 50), o AS {level('lang, source')}, l AS {level('lang')}, a AS {level('')},
 f AS (SELECT o.lang, o.source, {pick} FROM o LEFT JOIN l ON o.lang IS NOT DISTINCT FROM l.lang CROSS JOIN a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({beyond}) AS kept
 FROM m LEFT JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source"""
