@@ -223,7 +223,7 @@ def _terms_of(words: list[str]) -> set[str]:
 
 
 def _sums(counts: Counter) -> pd.DataFrame:
-    out = pd.DataFrame({"term": list(counts.keys()), "n": list(counts.values())})
+    out = pd.DataFrame({"term": pd.Series(list(counts.keys()), dtype=object), "n": pd.Series(list(counts.values()), dtype="int64")})
     counts.clear()
     return out
 
