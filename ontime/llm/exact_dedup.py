@@ -4,7 +4,8 @@ Digests are dealt to buckets by their leading bits. Each bucket holds its conten
 per live digest: the id that stays and how many rows share it) and a cuckoo filter over it. A
 digest is first looked up in the filter; a hit is verified against the bucket's content, a
 miss is inserted. When an insertion finds no free slot the filter is rebuilt at twice the size
-from the bucket's stored keys. Digests can be deleted again, which keeps the filter small.
+from the bucket's stored keys. Documents can be deleted again (apply_changes): a digest lives as long as any of its
+documents does, and leaves its bucket's filter with the last one.
 
 Copies of one text, however many, are counted inside each task before they are dealt out, so
 a bucket gets at most one row per digest and task.
@@ -12,14 +13,14 @@ a bucket gets at most one row per digest and task.
 Cases: null text counts as empty; empty texts are equal to each other and to texts that only
 hold nothing (a text of white space is one space, not empty). The smallest id stays; among
 rows that share text and id, or that all lack an id, one row stays. A null id never stays
-while a row with an id exists. An empty table gives an empty result. Other columns are ignored.
+while a row with an id exists. Texts of any length are hashed in the JVM and go no further. An empty table gives an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,10 +105,15 @@ class CuckooIndex:
             entry[0] = min(entry[0], key)
             entry[1] += rows
 
-    def remove(self, digest: bytes) -> bool:
-        """Forget a live digest; False if it isn't one."""
-        if self.find(digest) is None:
+    def remove(self, digest: bytes, rows: int | None = None) -> bool:
+        """Take away some rows (or all) of a live digest, which is forgotten with its last row; False
+        if it isn't live."""
+        entry = self.find(digest)
+        if entry is None:
             return False
+        entry[1] -= entry[1] if rows is None else rows
+        if entry[1] > 0:
+            return True
         del self.content[digest]
         return self.filter.delete(digest)
 
@@ -125,8 +131,16 @@ def text_sha256(name: str = "text") -> Column:
     return F.sha2(F.regexp_replace(text_or_empty(name), SPACE, " ").cast("binary"), 256)
 
 
-def _order(no_id: bool, doc_id, row: int) -> tuple:
-    return (no_id, 0 if no_id else int(doc_id), int(row))
+#: An id as pandas gets it: with nulls in it a column would come as floats, which hold 53 bits.
+ID = "no_id boolean, id long"
+
+
+def _id(name: str) -> list[Column]:
+    return [F.col(name).isNull().alias("no_id"), F.coalesce(F.col(name), F.lit(0)).cast("long").alias("id")]
+
+
+def _id_or_null() -> Column:
+    return F.when(~F.col("no_id"), F.col("id"))
 
 
 def _combine(batches: Iterator[pd.DataFrame], keep: int = 100_000) -> Iterator[pd.DataFrame]:
@@ -134,15 +148,13 @@ def _combine(batches: Iterator[pd.DataFrame], keep: int = 100_000) -> Iterator[p
     held: dict[bytes, list] = {}
 
     def out():
-        rows = [(d, None if k[0] else k[1], k[2], n) for d, (k, n) in held.items()]
+        rows = [(d, *k, n) for d, (k, n) in held.items()]
         held.clear()
-        frame = pd.DataFrame(rows, columns=["digest", "doc_id", "row", "n"])
-        return frame.astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=["digest", "no_id", "id", "row", "n"])
 
     for pdf in batches:
-        missing = pdf["doc_id"].isna().to_numpy()
-        for d, no_id, i, r in zip(pdf["digest"], missing, pdf["doc_id"], pdf["row"], strict=True):
-            d, key = bytes(d), _order(no_id, i, r)
+        for d, no_id, i, r in zip(pdf["digest"], pdf["no_id"], pdf["id"], pdf["row"], strict=True):
+            d, key = bytes(d), (no_id, i, r)
             entry = held.get(d)
             if entry is None:
                 held[d] = [key, 1]
@@ -156,49 +168,65 @@ def _combine(batches: Iterator[pd.DataFrame], keep: int = 100_000) -> Iterator[p
 
 def _index_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     index = CuckooIndex()
-    missing = pdf["doc_id"].isna().to_numpy()
-    for d, no_id, i, r, n in zip(pdf["digest"], missing, pdf["doc_id"], pdf["row"], pdf["n"], strict=True):
-        index.add(bytes(d), _order(no_id, i, r), int(n))
-    rows = [(d, None if k[0] else k[1], k[2], n) for d, (k, n) in index.content.items()]
-    out = pd.DataFrame(rows, columns=["digest", "keep_id", "keep_row", "group_size"])
-    return out.astype({"keep_id": "Int64"})
+    for d, no_id, i, r, n in zip(pdf["digest"], pdf["no_id"], pdf["id"], pdf["row"], pdf["n"], strict=True):
+        index.add(bytes(d), (no_id, i, r), int(n))
+    rows = [(d, *k, n) for d, (k, n) in index.content.items()]
+    return pd.DataFrame(rows, columns=["digest", "no_id", "id", "keep_row", "group_size"])
 
 
-def apply_changes(live: DataFrame, changes: DataFrame, buckets: int = 64) -> DataFrame:
-    """Live digests after insertions and deletions.
-
-    live: digest binary, doc_id long. changes: digest, doc_id, op string ('insert' or 'delete'),
-    applied in the order: deletions, then insertions. Each bucket rebuilds its index from its
-    stored keys, then works through its changes.
+def _change_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rebuild a bucket's index from its stored keys, then delete, then insert."""
+    index = CuckooIndex()
+    columns = [pdf[c].tolist() for c in ("digest", "no_id", "id", "before", "gone", "added")]
+    rows = [(bytes(d), (no_id, i), *n) for d, no_id, i, *n in zip(*columns, strict=True)]
+    for d, key, before, _, _ in rows:
+        if before:
+            index.add(d, key, before)
+    for d, _, _, gone, _ in rows:
+        if gone:
+            index.remove(d, gone)
+    for d, key, _, _, added in rows:
+        if added:
+            index.add(d, key, added)
+    return pd.DataFrame([(d, *k, n) for d, (k, n) in index.content.items()], columns=["digest", "no_id", "id", "group_size"])
+
+
+def apply_changes(live: DataFrame, changes: DataFrame, bucket_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """(live documents, index of live digests) after deletions and then insertions.
+
+    live: digest binary, doc_id long, n long (rows that share both). changes: digest, doc_id, op
+    ('insert' or 'delete'), a row for each document. Deleting a document that isn't live does
+    nothing. The first result is like live; the second has digest, keep_id (the smallest live id),
+    group_size. Documents are counted by digest and id first, so a bucket gets one row per digest,
+    and about bucket_rows of them, however many documents share one.
     """
-    cols = ["digest", "doc_id"]
-
-    def one(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        index = CuckooIndex()
-        for d, i in zip(old["digest"], old["doc_id"], strict=True):
-            index.add(bytes(d), (int(i),))
-        for d in new.loc[new["op"] == "delete", "digest"]:
-            index.remove(bytes(d))
-        added = new[new["op"] == "insert"]
-        for d, i in zip(added["digest"], added["doc_id"], strict=True):
-            index.add(bytes(d), (int(i),))
-        return pd.DataFrame([(d, k[0]) for d, (k, _) in index.content.items()], columns=cols)
-
-    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket")
-    left = live.select(*cols, bucket).groupBy("bucket")
-    right = changes.select(*cols, "op", bucket).groupBy("bucket")
-    return left.cogroup(right).applyInPandas(one, "digest binary, doc_id long")
+    none = F.lit(0).cast("long")
+    count = lambda op: F.when(F.col("op") == op, 1).otherwise(0).cast("long")
+    rows = live.select("digest", "doc_id", F.col("n").cast("long").alias("n"), none.alias("minus"), none.alias("plus"))
+    rows = rows.unionByName(changes.select("digest", "doc_id", none.alias("n"), count("delete").alias("minus"), count("insert").alias("plus")))
+    docs = rows.groupBy("digest", "doc_id").agg(F.sum("n").alias("before"), F.sum("minus").alias("minus"), F.sum("plus").alias("added"))
+    docs = docs.withColumn("gone", F.least("before", "minus"))
+    docs = materialise(docs.withColumn("n", F.col("before") - F.col("gone") + F.col("added")), "dedup-documents")
+    sums = [F.sum(c).alias(c) for c in ("before", "gone", "added")]
+    digests = docs.groupBy("digest").agg(F.min(F.when(F.col("n") > 0, F.col("doc_id"))).alias("keep_id"), *sums)
+    digests = materialise(digests, "dedup-digests")
+    buckets = max(8, -(-digests.count() // bucket_rows))
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets))
+    rows = digests.select("digest", *_id("keep_id"), "before", "gone", "added", bucket.alias("bucket"))
+    index = rows.groupBy("bucket").applyInPandas(_change_bucket, f"digest binary, {ID}, group_size long")
+    return docs.where("n > 0").select("digest", "doc_id", "n"), index.select("digest", _id_or_null().alias("keep_id"), "group_size")
 
 
 def _index(keys: DataFrame, bucket_rows: int = 50_000) -> DataFrame:
     """digest, keep_id, keep_row, group_size of stored keys (doc_id, digest, row)."""
     buckets = max(8, -(-keys.count() // bucket_rows))
-    counted = keys.mapInPandas(_combine, "digest binary, doc_id long, row long, n long")
-    return (
+    counted = keys.select("digest", *_id("doc_id"), "row").mapInPandas(_combine, f"digest binary, {ID}, row long, n long")
+    index = (
         counted.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
         .groupBy("bucket")
-        .applyInPandas(_index_bucket, "digest binary, keep_id long, keep_row long, group_size long")
+        .applyInPandas(_index_bucket, f"digest binary, {ID}, keep_row long, group_size long")
     )
+    return index.select("digest", _id_or_null().alias("keep_id"), "keep_row", "group_size")
 
 
 def exact_dedup(docs: DataFrame, bucket_rows: int = 50_000) -> DataFrame:
@@ -237,11 +265,3 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rows = stored.join(kept, "row", "left_semi")
     return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
-
-def false_positive_rate(n: int = 20_000, seed: int = 7) -> float:
-    """Share of unseen digests that the filter passes on to verification."""
-    rng = np.random.default_rng(seed)
-    index = CuckooIndex()
-    for _ in range(n):
-        index.add(rng.bytes(32), (0,))
-    return sum(rng.bytes(32) in index.filter for _ in range(n)) / n
