@@ -15,8 +15,9 @@ the response and the others revisit it; smaller payloads are always responses.
 
 Cases: null html is an empty payload, null url an empty target. Rows with a null page_id are
 written and read like others; among equal payloads any page_id counts as larger. Rows that share
-page_id and payload are alike: all of them responses, or all revisits. An empty table gives an
-empty index and an empty result. Other columns are ignored.
+page_id and payload are alike: all of them responses, or all revisits. Payloads of any length are
+one record, held once by the task that writes or reads it. An empty table gives an empty index and
+an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from ontime.llm.common import materialise, new_path, text_chunks
 INDEX = "page_id long, url string, file string, offset long, length long, digest string, payload_bytes long, record_type string"
 #: Bytes between two records that are rather read than skipped, and the longest read.
 GAP, LONGEST = 1 << 16, 8 << 20
+#: Beyond so many read tasks each gets more pieces, one after the other.
+MOST_TASKS = 20_000
 _NO_ID = -(1 << 63)
 
 
@@ -172,13 +175,17 @@ def _row(member: bytes) -> tuple:
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
 
 
-def read(index: DataFrame, folder: str, piece: int = 32 << 20) -> DataFrame:
+def read(index: DataFrame, folder: str, piece: int = 8 << 20) -> DataFrame:
     """The records that index rows name, read by sorted and coalesced byte ranges.
 
-    Each task gets neighbouring records of one file: pieces of `piece` bytes.
+    Neighbouring records of one file, `piece` bytes of it, go to the same task. There are as many
+    tasks as the records have such pieces: index rows are a hundredth of what they point at, so
+    adaptive execution, which goes by their size, would read all with a few tasks.
     """
     wanted = index.select("file", "offset", "length", F.floor(F.col("offset") / piece).alias("piece"))
-    wanted = wanted.repartition("file", "piece").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = min(max(index.sparkSession.sparkContext.defaultParallelism, -(-total // piece)), MOST_TASKS)
+    wanted = wanted.repartition(tasks, "file", "piece").sortWithinPartitions("file", "offset")
     return wanted.mapInPandas(_reader(folder), READ)
 
 
