@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -52,6 +53,42 @@ def apportion(claims, seats):
     return got
 
 
+def quantile(values, p):
+    """The least value that a share p of all values doesn't exceed."""
+    return sorted(values)[max(1, math.ceil(p * len(values))) - 1]
+
+
+def quality_kept(rows, rules, least):
+    """Verdicts by exact quantiles; rules as the operator has them."""
+    shouts = lambda t, chars: sum(c in chars for c in t or "")
+    seen = {}
+    for r in rows:
+        n, chars, symbols, dup, repeat, failed = quality(r["text"])
+        lines = sum(bool(words(x)) for x in (r["text"] or "").split("\n"))
+        seen[r["doc_id"]] = (failed, {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "n_lines": lines,
+                                      "n_shouts": shouts(r["text"], "!?"), "n_capitals": shouts(r["text"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ")})
+    good = [r for r in rows if not seen[r["doc_id"]][0]]
+    out = {}
+    for r in rows:
+        failed, c = seen[r["doc_id"]]
+        keep = not failed
+        if keep and len(good) >= least:
+            group = [g for g in good if (g["lang"], g["source"]) == (r["lang"], r["source"])]
+            group = group if len(group) >= least else [g for g in good if g["lang"] == r["lang"]]
+            group = group if len(group) >= least else good
+            for count, length, level, multiple, both in rules.values():
+                rate = lambda c: c[count] / max(c[length], 1)  # noqa: B023, E731
+                own, all_ = ([rate(seen[g["doc_id"]][1]) for g in x] for x in (group, good))
+                q = lambda v, p: quantile(v, p)
+                up = max(q(v, level) - q(v, 0.5) for v in (own, all_))
+                keep &= (c[count] - 1) / max(c[length], 1) <= q(own, level) + multiple * up
+                if both:
+                    down = max(q(v, 0.5) - q(v, 1 - level) for v in (own, all_))
+                    keep &= (c[count] + 1) / max(c[length], 1) >= q(own, 1 - level) - multiple * down
+        out[r["doc_id"]] = keep
+    return out
+
+
 def quality(text):
     text = text or ""
     w = words(text)
@@ -105,6 +142,64 @@ def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left = [i]
+        for j, y in enumerate(b, 1):
+            left.append(min(row[j] + 1, left[-1] + 1, row[j - 1] + (x != y)))
+        row = left
+    return row[-1]
+
+
+def toxicity(text, model):
+    """(score, hits, misspelled hits); the first letter is never misspelled."""
+    trim, marks, window = "\"'`.,;:!?()[]{}<>«»“”‘’„-–—*_~#|", ".,;:!?", 6
+    words_ = (text or "").lower().split()
+    found = []
+    for i, w in enumerate(words_):
+        w, best = w.strip(trim), None
+        for t, (term, beginning) in enumerate(model["terms"]):
+            if beginning:
+                e = 0 if w.startswith(term) else None
+            else:
+                most = 0 if len(term) < 5 else 1 if len(term) < 10 else 2
+                e = edit_distance(w[1:], term[1:]) if w[:1] == term[0] else None
+                e = e if e is not None and e <= most else None
+            if e is not None and (best is None or (e, t) < best):
+                best = (e, t)
+        if best:
+            found.append((i, *best))
+    x = [1.0] + [0.0] * 5
+    if found:
+
+        def mark(w, places):
+            return w != "" and w[0 if places == "open" else -1] in ("\"“„«‘'" if places == "open" else "\"”“»’'")
+
+        def quoted(i):
+            sides = []
+            for step, wanted, other in ((-1, "open", "close"), (1, "close", "open")):
+                ok = False
+                for j in range(i, i + step * (window + 1), step):
+                    if not 0 <= j < len(words_):
+                        break
+                    w = words_[j].strip(marks)
+                    if j != i and mark(w, other):
+                        break
+                    if mark(w, wanted):
+                        ok = True
+                        break
+                sides.append(ok)
+            return all(sides)
+
+        weight = {i: model["quote"] if quoted(i) else 1.0 for i, _, _ in found}
+        exact, fuzzy = (sum(weight[i] for i, e, _ in found if bool(e) == b) for b in (False, True))
+        variety = sum(max(weight[i] for i, _, t in found if t == term) for term in {t for _, _, t in found})
+        near = [words_[j].strip(trim) for i, _, _ in found for j in range(max(0, i - window), min(len(words_), i + window + 1)) if j != i]
+        x[1:] = [math.log1p(exact), math.log1p(fuzzy), min(variety, 6) / 2, math.sqrt(100 * (exact + fuzzy) / len(words_)), sum(model["context"].get(w, 0.0) for w in near) / max(len(near), 1)]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model["weights"], strict=True)))), len(found), sum(bool(e) for _, e, _ in found)
+
+
 def simhash(text):
     import xxhash
 

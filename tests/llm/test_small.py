@@ -3,8 +3,10 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -109,13 +111,37 @@ def test_cuckoo_index_resizes_and_forgets():
     assert index.resized > 0 and all(index.find(d) == [(i,), 2] for i, d in enumerate(digests))
     assert all(index.remove(d) for d in digests[:2500]) and not index.remove(digests[0])
     assert all(index.find(d) is None for d in digests[:2500]) and all(index.find(d) for d in digests[2500:])
-    assert exact_dedup.false_positive_rate(3000) < 0.01
+    passed = sum(rng.bytes(32) in index.filter for _ in range(5000))
+    assert passed < 50  # most unseen digests need no look at the content
 
 
-def test_index_changes(spark):
-    live = spark.createDataFrame([(b"a" * 32, 1), (b"b" * 32, 2)], "digest binary, doc_id long")
-    changes = spark.createDataFrame([(b"a" * 32, 0, "delete"), (b"c" * 32, 9, "insert"), (b"b" * 32, 1, "insert")], "digest binary, doc_id long, op string")
-    assert sorted((bytes(r[0])[:1], r[1]) for r in exact_dedup.apply_changes(live, changes, 4).collect()) == [(b"b", 1), (b"c", 9)]
+@pytest.mark.parametrize("seed", range(3))
+def test_index_changes(spark, seed):
+    """Documents that share digests come and go; the index follows, against plain counting."""
+    rng = random.Random(seed)
+    ids = [None, 2**60, 2**60 + 1, *range(6)]
+    pick = lambda n: [(bytes([rng.randrange(5)]) * 32, rng.choice(ids)) for _ in range(n)]
+    before, minus, plus = Counter(pick(30)), pick(25), pick(rng.choice([0, 10]))
+    live = spark.createDataFrame([(d, i, n) for (d, i), n in before.items()], "digest binary, doc_id long, n long")
+    rows = [(d, i, "delete") for d, i in minus] + [(d, i, "insert") for d, i in plus]
+    changes = spark.createDataFrame(rows, "digest binary, doc_id long, op string")
+    want = before - Counter(minus) + Counter(plus)
+    docs, index = exact_dedup.apply_changes(live, changes, bucket_rows=1)
+    assert {(bytes(r[0]), r[1]): r[2] for r in docs.collect()} == dict(want)
+    groups = {}
+    for (d, i), n in want.items():
+        keep, size = groups.get(d, (None, 0))
+        groups[d] = (i if keep is None else keep if i is None else min(keep, i), size + n)
+    assert {bytes(r[0]): (r[1], r[2]) for r in index.collect()} == groups
+
+
+def test_deleting_one_of_two(spark):
+    live = spark.createDataFrame([(b"a" * 32, 1, 1), (b"a" * 32, 2, 1)], "digest binary, doc_id long, n long")
+    gone = spark.createDataFrame([(b"a" * 32, 1, "delete")], "digest binary, doc_id long, op string")
+    docs, index = exact_dedup.apply_changes(live, gone)
+    assert [tuple(r)[1:] for r in docs.collect()] == [(2, 1)] and [tuple(r)[1:] for r in index.collect()] == [(2, 1)]
+    docs, index = exact_dedup.apply_changes(docs, spark.createDataFrame([(b"a" * 32, 2, "delete")], gone.schema))
+    assert not docs.count() and not index.count()
 
 
 # --- mixing
@@ -180,6 +206,39 @@ def test_thresholds_follow_the_group(spark):
     assert not kept.pop(1000) and all(kept.values())
 
 
+@pytest.mark.parametrize("least", [20, 60, 1000])
+def test_verdicts_equal_exact_quantiles(spark, least):
+    """Groups of many kinds, small ones among them, junk of several kinds and texts on fences."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(500):
+        w = [f"{'x' * rng.randrange(1, 6)}{rng.randrange(900)}" + rng.choice(["", "", "!", "\n"]) for _ in range(rng.randrange(40, 160))]
+        if i % 11 == 0:
+            w = [x + "#$" for x in w]
+        if i % 17 == 0:
+            w[10:60] = w[10:20] * 5
+        if i % 23 == 0:
+            w = [x.upper() + "LONGWORD" for x in w]
+        rows.append({"doc_id": i, "text": " ".join(w), "lang": rng.choice(["en", "en", "de", None]), "source": rng.choice(["a", "b", None]), "n_chars": 0})
+    docs = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA).repartition(3)
+    got = {i: k for i, (k,) in by_id(quality.quality(docs, least=least), "kept").items()}
+    assert got == brute.quality_kept(rows, quality.RULES, least)
+    dropped = [r["reasons"] for r in quality.quality(docs, least=least).collect() if not r["kept"] and not r["base_failed"]]
+    assert not dropped if least > 500 else {"symbol_rate"} < {x for r in dropped for x in r}
+
+
+def test_windows_whose_hashes_clash(spark):
+    """Windows are told apart by words where bits of their hashes agree: here all bits do."""
+    texts = ["a b c d a b c", "a b c a b c a", "a b", "x y z x y w x y z", " ".join("pq"[i % 2] for i in range(9))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    words = df.select("doc_id", F.split("text", " ").alias("_w")).withColumn("_n", F.size("_w")).where("_n > 2")
+    got = {r[0]: r[1] for r in words.select("doc_id", F.expr(quality._EXACT)).collect()}
+    for i, positions in got.items():
+        w = texts[i].split()
+        grams = [tuple(w[j : j + 3]) for j in range(len(w) - 2)]
+        assert positions == [j for j, g in enumerate(grams) if grams.count(g) > 1]
+
+
 def test_quality_odd_rows(odd, none):
     assert quality.quality(odd).count() == 7
     good = quality.keep_good(odd)
@@ -322,6 +381,36 @@ def test_fuzzy_lexicon():
 def test_quotation_is_seen():
     words = 'they said "you are an idiot" and left the room quietly after that'.split()
     assert toxicity.quoted(words, 5) and not toxicity.quoted(words, 11) and not toxicity.quoted("you are an idiot".split(), 3)
+    between = 'he said "hello" to the idiot who said "bye" then'.split()
+    assert not toxicity.quoted(between, 5) and toxicity.quoted(between, 2)
+    assert toxicity.quoted("an „Idiot“, he".split(), 1) and not toxicity.quoted('an "idiot he'.split(), 1)
+
+
+def test_quoted_hits_count_less(spark):
+    """The same term scores lower in quotation marks, though no label shows a quotation."""
+    rng = random.Random(8)
+    texts = [some_words(rng, 60) for _ in range(300)]
+    for i in range(0, 300, 4):
+        texts[i] = texts[i].replace(" ", " zornig ", 1 + i % 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int"))
+    assert ("zornig", False) in model["terms"] and model["quote"] == pytest.approx(toxicity.QUOTED, abs=0.05)
+    pairs = [("say zornig now", 'say "zornig" now'), ("say zornig zurnig now", 'say "zornig zurnig" now')]
+    rows = [(2 * i + k, f"{some_words(random.Random(i), 30)} {t} {some_words(random.Random(i), 30)}") for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    got = by_id(toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model), "score", "n_hits")
+    assert all(got[2 * i + 1][0] < got[2 * i][0] and got[2 * i + 1][1] == got[2 * i][1] > 0 for i in range(len(pairs)))
+    seen = toxicity.quote_weight(all_clean=90, all_toxic=10, any_clean=100, any_toxic=110)
+    assert seen < toxicity.QUOTED < toxicity.quote_weight(0, 50, 10, 100) <= 1
+
+
+def test_scores_equal_brute_force(spark, docs, rows):
+    """Every word against every term by plain edit distance, and the model's sum by hand."""
+    terms = [("w12", False), ("w399", False), ("abcdefghijklmnop", False), ("deadbee", True), ("changed", False), ("日本", True)]
+    model = {"terms": terms, "context": {"w1": 0.5, "w2": -0.25, "x": 1.0}, "weights": [-3.0, 1.0, 0.5, 0.25, 0.75, 0.5], "share": 0.1, "quote": 0.3}
+    got = by_id(toxicity.score(docs, model), "score", "n_hits", "n_misspelled")
+    for r in rows:
+        score, n, wrong = brute.toxicity(r["text"], model)
+        assert got[r["doc_id"]][0] == pytest.approx(score, abs=1e-12) and got[r["doc_id"]][1:] == (n, wrong)
 
 
 def test_contexts_of_all_hits_count():
@@ -330,10 +419,8 @@ def test_contexts_of_all_hits_count():
     found = [(i, 0, 0) for i, w in enumerate(words) if w == "bad"]
     near = [w for i, _, _ in found for w in toxicity.around(words, i)]
     assert toxicity.features(words, found, {"loud": 1.0})[-1] == near.count("loud") / len(near) > 0.4
-    import pandas as pd
-
-    (table,) = toxicity._examples([("bad", False)])(iter([pd.DataFrame({"text": [" ".join(words)], "toxic": [1]})]))
-    assert set(table["term"]) == {"quiet", "loud"}
+    (table,) = toxicity._near([("bad", False)])(iter([pd.DataFrame({"text": [" ".join(words)]})]))
+    assert dict(zip(table["term"], table["n"], strict=True)) == {"quiet": 1, "loud": 1, "": 1, '"': 0}
 
 
 def test_toxicity_learns_and_holds_out(spark, none):
