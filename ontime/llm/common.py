@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,34 +39,38 @@ def text_or_empty(name: str = "text") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application in spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is unset (tests on one machine) a temporary folder takes its place.
+    Where that setting is unset and the session runs on this machine alone (tests) a temporary
+    folder takes its place; on a cluster executors would not see it, so there it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder.get(spark.sparkContext.applicationId)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-ontime-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _own_folder[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-ontime-")
     return f"{base.rstrip('/')}/ontime-{spark.sparkContext.applicationId}"
 
 
-_dropped_at_exit: list[tuple[SparkSession, str]] = []
+_own_folder: dict[str, str] = {}
+_paths: dict[str, SparkSession] = {}
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path nobody has used, removed when the application ends."""
+    """A path nobody has used, removed when the application ends, or before by drop_path."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    if not _dropped_at_exit:
+    if not _paths:
         atexit.register(_drop_all)
-    _dropped_at_exit.append((spark, path))
+    _paths[path] = spark
     return path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
+    _paths.pop(path, None)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _drop_all() -> None:
-    for spark, path in _dropped_at_exit:
+    for path, spark in list(_paths.items()):
         try:
             drop_path(spark, path)
         except Exception:  # the session has ended; the folder's owner clears it
@@ -81,6 +85,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_of(df: DataFrame) -> set[str]:
+    """The paths of materialised tables that df reads."""
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    bare = lambda p: p.split(":", 1)[-1].lstrip("/")
+    read = {bare(f) for f in folders}
+    return {p for p in _paths if bare(p) in read}
+
+
+def drop_tables(*tables: DataFrame | None) -> None:
+    """Remove materialised tables that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            for path in scratch_of(df):
+                drop_path(df.sparkSession, path)
+
+
+def drop_scratch(spark: SparkSession, paths: set[str], docs: DataFrame | None = None) -> None:
+    """Remove those of paths that docs doesn't read."""
+    for path in paths & set(_paths) - (scratch_of(docs) if docs is not None else set()):
+        drop_path(spark, path)
+
+
+def scratch_paths() -> set[str]:
+    return set(_paths)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `limit` bytes of text (one text at least)."""
     for batch in batches:
@@ -194,16 +224,3 @@ def runs_of(values: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts = np.flatnonzero(new)
     return starts, np.append(starts[1:], len(values))
 
-
-def local_session(name: str = "ontime") -> SparkSession:
-    """A session on this machine, for tests and the benchmark."""
-    return (
-        SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]")
-        .appName(name)
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "8g")
-        .config("spark.sql.adaptive.enabled", "true")
-        .getOrCreate()
-    )

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontime.llm.common import materialise
+from ontime.llm.common import drop_tables, materialise
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -43,7 +43,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: smaller neighbours, and the node itself, are linked to the smallest one
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last = edges
         edges = materialise(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
+        drop_tables(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
