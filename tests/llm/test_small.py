@@ -570,8 +570,8 @@ def test_pipeline_equals_brute_force(spark, library):
     good = [r for r in good if first[r["doc_id"]][2]]
     step = stages["exact dedup"](spark, step, DATA)
     assert step.columns == docs.columns and sorted(r["doc_id"] for r in step.collect()) == sorted(r["doc_id"] for r in good)
-    groups = brute.near(good)
-    good = [r for r in good if groups[r["doc_id"]][1] == r["doc_id"]]
+    groups = brute.near_jaccard(good)
+    good = [r for r in good if groups[r["doc_id"]] == r["doc_id"]]
     step = stages["SimHash near-dedup"](spark, step, DATA)
     assert step.columns == docs.columns and sorted(r["doc_id"] for r in step.collect()) == sorted(r["doc_id"] for r in good)
     mixed = stages["mixing"](spark, step, DATA)
