@@ -61,6 +61,12 @@ def subfield(packed: Column, i: int, kind: str = "string", separator: str = ",")
     return F.get(F.split(packed, separator), F.lit(i)).try_cast(kind)
 
 
+def uniform(seed: int, *keys: Column) -> Column:
+    """A number in [0, 1) from a seed and keys: the same for the same row however rows are dealt out."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
 def log_of(value: Column, shift: float = 1e-6) -> Column:
     return F.log(value + F.lit(shift))
 

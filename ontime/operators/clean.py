@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontime import columns as C
@@ -21,11 +21,15 @@ def to_integers(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def drop_duplicates(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """One row for each key. With `order` the first in that order stays, so reruns agree."""
+    """One row for each key: the first in the order of `order`, or else of all other columns, nulls
+    first. So reruns agree; an aggregate, so most duplicates go before the shuffle."""
+    others = [c for c in df.columns if c not in keys]
+    order = order or others
     if not order:
-        return df.dropDuplicates(keys)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+        return df.select(*keys).distinct()
+    row = F.min_by(F.struct(*others), F.struct(*[F.col(c) for c in [*order, *others] if c not in keys]))
+    kept = df.groupBy(*keys).agg(row.alias("_row"))
+    return kept.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
 def duplicate_report(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,7 +37,7 @@ def duplicate_report(df: DataFrame, keys: list[str]) -> DataFrame:
     before = df.agg(F.count("*").alias("before"))
     after = df.select(*keys).distinct().agg(F.count("*").alias("after"))
     dropped = F.col("before") - F.col("after")
-    both = before.join(after)
+    both = before.crossJoin(after)  # a row each
     return both.select("before", "after", dropped.alias("dropped"), F.round(F.try_divide(dropped * 100, "after"), 2).alias("percent"))
 
 
@@ -134,8 +138,15 @@ def drop_nearly_empty(df: DataFrame, most: float = 0.99) -> DataFrame:
     return df.drop(*[c for c in df.columns if (shares[c] or 0.0) > most])
 
 
-def sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:
-    return df.sample(False, fraction, seed)
+def plain_columns(df: DataFrame) -> list[str]:
+    """Columns with one value, so neither vectors nor nested."""
+    return [c for c, kind in df.dtypes if kind.partition("(")[0].partition("<")[0] not in ("array", "map", "struct", "vector", "udt")]
+
+
+def sample(df: DataFrame, fraction: float, seed: int, key: list[str] | None = None) -> DataFrame:
+    """About a fraction of the rows, chosen by a hash of key (else of all plain columns): reruns agree
+    however the rows are dealt out, and rows with equal keys stay or go together."""
+    return df.where(S.uniform(seed, *[F.col(c) for c in key or plain_columns(df)]) < F.lit(float(fraction)))
 
 
 def split_by_month(df: DataFrame, month: str, last: int, day: str | None = None, last_day: int | None = None):

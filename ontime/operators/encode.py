@@ -34,7 +34,7 @@ class TargetMeanModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         means = dimension(self.means.where(F.col(self.column).isNotNull()))
-        out = df.join(means, self.column, "left").join(F.broadcast(self.overall))
+        out = df.join(means, self.column, "left").crossJoin(F.broadcast(self.overall))
         new = F.coalesce("_mean", "_all").alias(f"{self.column}_mean_encoding")
         return out.select(*[out[c] for c in df.columns], new)
 
@@ -55,7 +55,7 @@ def frequency_index(train: DataFrame, column: str, ascending: bool = False) -> D
 def apply_index(df: DataFrame, index: DataFrame, column: str) -> DataFrame:
     """X_Index; unseen values get the number after the last."""
     n = index.agg(F.count("*").cast("int").alias("_unseen"))
-    out = df.join(dimension(index), column, "left").join(F.broadcast(n))
+    out = df.join(dimension(index), column, "left").crossJoin(F.broadcast(n))
     return out.select(*[out[c] for c in df.columns], F.coalesce("index", "_unseen").alias(f"{column}_Index"))
 
 
@@ -90,7 +90,7 @@ def bucketise(df: DataFrame, column: str = "CRS_DEP_TIME", splits: list[float] |
 def standardise(df: DataFrame, train: DataFrame, columns: list[str], with_mean: bool = False) -> DataFrame:
     """X_scaled: divided by the training deviation, centred if asked; constant columns give 0."""
     stats = train.agg(*[x for c in columns for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"))])
-    out = df.join(F.broadcast(stats))
+    out = df.crossJoin(F.broadcast(stats))  # one row
     centre = lambda c: F.col(c) - F.col(f"_m_{c}") if with_mean else F.col(c)
     new = {f"{c}_scaled": F.when(F.col(f"_s_{c}") == 0, F.lit(0.0)).otherwise(centre(c) / F.col(f"_s_{c}")) for c in columns}
     return out.withColumns(new).drop(*[f"_{k}_{c}" for c in columns for k in "ms"])

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ontime.functions import scalar as S
+from ontime.operators.clean import plain_columns
 from ontime.operators.timejoin import dimension
 
 
@@ -36,27 +40,31 @@ def rolling_share(df: DataFrame, keys: list[str], ts: str = "TIMESTAMP_UTC", lab
     return df.withColumn(name, F.avg(label).over(w))
 
 
-def _fill(df: DataFrame, columns: list[str], suffix: str, value) -> DataFrame:
-    new = [F.coalesce(F.col(c), value(c)).alias(f"{c}_{suffix}") for c in columns]
-    return df.select(*[c for c in df.columns if c not in columns], *new)
+def _fill(df: DataFrame, columns: list[str], keys: list[str], suffix: str, value, fallback=None) -> DataFrame:
+    """Aggregated first and joined, so no task gets all rows of a common key; null keys are a group."""
+    groups = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(*[value(c).alias(f"_{c}") for c in columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    joined = df.join(groups, reduce(lambda a, b: a & b, same), "left")
+    kinds = dict(df.dtypes)
+    last = lambda c: [] if fallback is None else [F.lit(fallback).cast(kinds[c])]
+    new = [F.coalesce(F.col(c), F.col(f"_{c}"), *last(c)).alias(f"{c}_{suffix}") for c in columns]
+    return joined.select(*[c for c in df.columns if c not in columns], *new)
 
 
 def fill_group_mean(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """X_mean instead of X: nulls get their group's mean."""
-    return _fill(df, columns, "mean", lambda c: F.avg(c).over(Window.partitionBy(*keys)))
+    return _fill(df, columns, keys, "mean", F.avg)
 
 
 def fill_group_median(df: DataFrame, columns: list[str], keys: list[str], accuracy: int = 10_000) -> DataFrame:
     """X_median instead of X: nulls get their group's (approximate, lower) median."""
-    return _fill(df, columns, "median", lambda c: F.percentile_approx(c, 0.5, accuracy).over(Window.partitionBy(*keys)))
+    return _fill(df, columns, keys, "median", lambda c: F.percentile_approx(c, 0.5, accuracy))
 
 
 def fill_group_mode(df: DataFrame, columns: list[str], keys: list[str], fallback) -> DataFrame:
     """X_mode instead of X: nulls get their group's most frequent value (the smallest of equals),
     or the fallback where the group has none."""
-    w = Window.partitionBy(*keys)
-    kinds = dict(df.dtypes)
-    return _fill(df, columns, "mode", lambda c: F.coalesce(F.mode(F.col(c), True).over(w), F.lit(fallback).cast(kinds[c])))
+    return _fill(df, columns, keys, "mode", lambda c: F.mode(F.col(c), True), fallback)
 
 
 def fill_from_train(df: DataFrame, train: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
@@ -102,16 +110,17 @@ def oversample(df: DataFrame, label: str, minority=1) -> DataFrame:
     """Each row of the minority int(majority / minority) times; the others once."""
     n = df.agg(F.count_if(F.col(label) == minority).alias("_few"), F.count_if(F.col(label) != minority).alias("_many"))
     times = F.when(F.col(label) == minority, F.greatest(F.lit(1), F.floor(F.try_divide("_many", "_few")))).otherwise(1)
-    return df.join(F.broadcast(n)).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long")))).drop("_i", "_few", "_many")
+    return df.crossJoin(F.broadcast(n)).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long")))).drop("_i", "_few", "_many")
 
 
-def undersample(df: DataFrame, label: str, seed: int, minority=1) -> DataFrame:
-    """All of the minority, and of the rest a seeded sample of about as many."""
+def undersample(df: DataFrame, label: str, seed: int, minority=1, key: list[str] | None = None) -> DataFrame:
+    """All of the minority, and of the rest about as many, chosen by a hash of key (see clean.sample)."""
     few, many = df.agg(F.count_if(F.col(label) == minority), F.count_if(F.col(label) != minority)).first()
-    return df.where(F.col(label) == minority).unionByName(df.where(F.col(label) != minority).sample(False, min(1.0, few / max(many, 1)), seed))
+    chosen = S.uniform(seed, *[F.col(c) for c in key or plain_columns(df)]) < F.lit(few / max(many, 1))
+    return df.where((F.col(label) == minority) | ((F.col(label) != minority) & chosen))
 
 
 def class_weights(df: DataFrame, label: str, name: str = "classWeights") -> DataFrame:
     """Positives weigh the share of negatives, negatives the rest."""
     ratio = df.agg((F.count_if(F.col(label) == 0) / F.count("*")).alias("_ratio"))
-    return df.join(F.broadcast(ratio)).withColumn(name, F.when(F.col(label) == 1, F.col("_ratio")).otherwise(1 - F.col("_ratio"))).drop("_ratio")
+    return df.crossJoin(F.broadcast(ratio)).withColumn(name, F.when(F.col(label) == 1, F.col("_ratio")).otherwise(1 - F.col("_ratio"))).drop("_ratio")

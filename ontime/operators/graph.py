@@ -63,7 +63,7 @@ def degree_stats(edges: DataFrame) -> DataFrame:
     """One row: nodes, those with targets, dangling ones, mean degree of those with targets."""
     d = out_degrees(edges).agg(F.count("*").alias("n_with_targets"), F.avg("degree").alias("mean_degree"))
     n = nodes(edges).where("id IS NOT NULL").agg(F.count("*").alias("n_nodes"))
-    return n.join(d).select("n_nodes", "n_with_targets", (F.col("n_nodes") - F.col("n_with_targets")).alias("n_dangling"), "mean_degree")
+    return n.crossJoin(d).select("n_nodes", "n_with_targets", (F.col("n_nodes") - F.col("n_with_targets")).alias("n_dangling"), "mean_degree")
 
 
 def dangling(edges: DataFrame) -> DataFrame:
@@ -80,8 +80,9 @@ def top(df: DataFrame, by: str, k: int, tie: str) -> DataFrame:
     return df.orderBy(F.desc(by), F.asc(tie)).limit(k)
 
 
-def random_rows(df: DataFrame, k: int, seed: int) -> DataFrame:
-    return df.orderBy(F.rand(seed)).limit(k)
+def random_rows(df: DataFrame, k: int, seed: int, key: list[str]) -> DataFrame:
+    """k rows in an order by a hash of their key: reruns agree however the rows are dealt out."""
+    return df.orderBy(S.uniform(seed, *[F.col(c) for c in key]), *key).limit(k)
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.15, rounds: int = 10) -> DataFrame:
@@ -102,7 +103,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.15, rounds: int = 10) -> DataFra
     for i in range(1, rounds + 1):
         mass = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("mass"))
         moved = e.join(ranks, e["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("w") * F.col("rank")).alias("got"))
-        new = base.join(moved, base["id"] == moved["dst"], "left").join(F.broadcast(mass))
+        new = base.join(moved, base["id"] == moved["dst"], "left").crossJoin(F.broadcast(mass))
         rank = F.lit(alpha / max(n, 1)) + (1 - alpha) * (F.col("mass") / n + F.coalesce("got", F.lit(0.0)))
         ranks = new.select("id", "dangling", rank.alias("rank"))
         if i < rounds:

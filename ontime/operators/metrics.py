@@ -34,7 +34,7 @@ def error_groups(df: DataFrame, columns: list[str], prediction: str = "predictio
 
 def train_share(train: DataFrame, test: DataFrame) -> DataFrame:
     """One row: rows of each and train / (train + test)."""
-    both = train.agg(F.count("*").alias("n_train")).join(test.agg(F.count("*").alias("n_test")))
+    both = train.agg(F.count("*").alias("n_train")).crossJoin(test.agg(F.count("*").alias("n_test")))
     return both.withColumn("share", F.try_divide("n_train", F.col("n_train") + F.col("n_test")))
 
 

@@ -1,15 +1,20 @@
-"""Classifiers, importances, and gradient descent with the weights on the driver."""
+"""Classifiers and regressors, importances, and gradient descent with the weights on the driver."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterable
 
-from pyspark.ml import Model
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasPredictionCol
+from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontime.functions.scalar import sigmoid
+from ontime.session import stored
 
 
 def logistic(label: str = "DEP_DEL15", reg: float = 0.0, threshold: float = 0.5, rounds: int = 10, **more) -> LogisticRegression:
@@ -20,9 +25,38 @@ def forest(label: str = "DEP_DEL15", depth: int = 5, trees: int = 20, seed: int
     return RandomForestClassifier(labelCol=label, featuresCol="features", maxDepth=depth, numTrees=trees, seed=seed, **more)
 
 
-def boosted(label: str = "DEP_DEL15", depth: int = 4, rounds: int = 20, step: float = 0.1, seed: int = 1, **more) -> GBTClassifier:
-    """Boosted trees. Penalties on leaf weights have no counterpart here."""
-    return GBTClassifier(labelCol=label, featuresCol="features", maxDepth=depth, maxIter=rounds, stepSize=step, seed=seed, **more)
+def boosted(label: str = "DEP_DEL15", depth: int = 4, rounds: int = 20, step: float = 0.1, seed: int = 1, regression: bool = False, **more):
+    """Boosted trees, for classes or (regression) for numbers. more: any of their parameters by name.
+    Penalties on leaf weights have no counterpart here."""
+    kind = GBTRegressor if regression else GBTClassifier
+    settings = {"labelCol": label, "featuresCol": "features", "maxDepth": depth, "maxIter": rounds, "stepSize": step, "seed": seed} | more
+    return kind(**settings)
+
+
+class _Rule(HasInputCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
+    factor = Param(Params._dummy(), "factor", "multiple of the mean above which a row counts as positive", TypeConverters.toFloat)
+
+
+class MeanRule(Estimator, _Rule):
+    """A baseline without features: positive where a column is above `factor` times its mean among the
+    training rows with a positive label. Models that can't beat it have learned nothing."""
+
+    def __init__(self, column: str = "value", label: str = "DEP_DEL15", factor: float = 1.0):
+        super().__init__()
+        self._setDefault(factor=1.0, predictionCol="prediction")
+        self._set(inputCol=column, labelCol=label, factor=factor)
+
+    def _fit(self, df: DataFrame) -> MeanRuleModel:
+        mean = df.where(F.col(self.getLabelCol()) == 1).agg(F.avg(self.getInputCol())).first()[0]
+        return self._copyValues(MeanRuleModel()._set(limit=self.getOrDefault("factor") * (mean or 0.0)))
+
+
+class MeanRuleModel(Model, _Rule):
+    limit = Param(Params._dummy(), "limit", "what a row has to exceed", TypeConverters.toFloat)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        above = F.coalesce(F.col(self.getInputCol()) > F.lit(self.getOrDefault("limit")), F.lit(False))
+        return df.withColumn(self.getPredictionCol(), above.cast("double"))
 
 
 def fit_predict(estimator, train: DataFrame, test: DataFrame) -> tuple[Model, DataFrame]:
@@ -37,12 +71,16 @@ def feature_names(df: DataFrame, vector: str = "features") -> list[str]:
     return [name for _, name in found]
 
 
+def ranked(spark: SparkSession, names: Iterable[str], values: Iterable[float]) -> DataFrame:
+    """feature, importance: the largest, whatever its sign, first; equal ones by name."""
+    df = spark.createDataFrame([(n, float(v)) for n, v in zip(names, values, strict=True)], "feature string, importance double")
+    return df.orderBy(F.desc(F.abs("importance")), "feature")
+
+
 def importances(spark: SparkSession, model, names: list[str]) -> DataFrame:
     """feature, importance (or coefficient), most important first."""
     values = model.featureImportances if hasattr(model, "featureImportances") else model.coefficients
-    rows = [(n, float(values[i])) for i, n in enumerate(names)]
-    df = spark.createDataFrame(rows, "feature string, importance double")
-    return df.orderBy(F.desc(F.abs("importance")), "feature")
+    return ranked(spark, names, [values[i] for i in range(len(names))])
 
 
 def gradient_step(df: DataFrame, features: list[str], label: str, weights: list[float], rate: float, kind: str = "logistic",
@@ -72,7 +110,9 @@ def gradient_step(df: DataFrame, features: list[str], label: str, weights: list[
 
 
 def gradient_descent(df: DataFrame, features: list[str], label: str, rounds: int = 20, rate: float = 0.1, **step) -> DataFrame:
-    """step, loss and the weights before each step, and after the last."""
+    """step, loss and the weights before each step, and after the last. The columns in use are stored
+    once; each round reads those."""
+    df = stored(df.select(*features, label))
     weights, history = [0.0] * (len(features) + 1), []
     for i in range(rounds):
         new, loss = gradient_step(df, features, label, weights, rate, **step)
@@ -81,6 +121,3 @@ def gradient_descent(df: DataFrame, features: list[str], label: str, rounds: int
     history.append((rounds, None, *weights))
     names = ", ".join(f"w_{c} double" for c in [*features, "constant"])
     return df.sparkSession.createDataFrame(history, f"step int, loss double, {names}")
-
-
-Scorer = Callable[[DataFrame], DataFrame]

@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontime.functions import scalar as S
-from ontime.session import stored
-
-#: A dimension's size that a broadcast may have: in bytes as its plan knows them, or else in rows.
-SMALL_BYTES, SMALL = 10 << 20, 100_000
 
+#: Bytes, as its plan knows them, up to which a dimension is broadcast.
+SMALL_BYTES = 10 << 20
 
-def dimension(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """The table marked for broadcast if it is known to be small, else as it is.
 
-    Files and what is read from them have sizes in their plans. Other tables (aggregates, joins) are
-    stored first, so that counting them doesn't compute them twice.
-    """
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES:
-        return F.broadcast(df)
-    df = stored(df)
-    return F.broadcast(df) if df.count() <= rows else df
+def dimension(df: DataFrame) -> DataFrame:
+    """The table marked for broadcast if its plan says that it is small, else as it is: for others
+    adaptive execution decides by the size that it finds."""
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+    return F.broadcast(df) if small else df
 
 
 def window_bounds(df: DataFrame, ts: str = "TIMESTAMP_UTC", start: int = 6, end: int = 2,
@@ -71,36 +63,29 @@ def airport_readings(airports: DataFrame, stations: DataFrame, readings: DataFra
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], point: str, start: str, end: str,
-                  how: str = "left", bucket_hours: int | None = None) -> DataFrame:
+                  how: str = "left", longest_hours: float | None = None) -> DataFrame:
     """Rows of right whose `point` lies in [start, end] of left and whose keys are equal.
 
-    Without bucket_hours the keys are hashed and the range is tested on each match. With it, both
-    sides are also dealt by buckets of time, so that a key with very many rows is spread over
-    tasks: a left row goes to each bucket its interval touches, and each match is found once.
+    longest_hours: how long an interval can be. Then time is cut into buckets of that length, which
+    join the keys of the hash: a left row is in the bucket of its end, a right row in its own and
+    the next one, where every interval ends that can hold it. So a key with very many rows is spread
+    over its buckets, each row meets those of two buckets instead of all of its key, and left rows
+    aren't copied, which keeps outer joins a single join. A longer interval is an error. Without it
+    the range is tested on each match of the keys.
     """
-    within = F.col(point).between(F.col(start), F.col(end))
-    equal = [F.col(a) == F.col(b) for a, b in on]
-    if bucket_hours is None:
-        cond = within
-        for e in equal:
-            cond = cond & e
+    cond = F.col(point).between(F.col(start), F.col(end))
+    for a, b in on:
+        cond = cond & (F.col(a) == F.col(b))
+    if longest_hours is None:
         return left.join(right, cond, how)
-    width = bucket_hours * 3600
-    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(width * 1_000_000))
-    touched = F.when(F.col(start) <= F.col(end), F.sequence(bucket(start), bucket(end)))
-    cond = within & (F.col("_bucket") == F.col("_other_bucket"))
-    for e in equal:
-        cond = cond & e
-    found = left.withColumn("_bucket", F.explode(touched)).join(right.withColumn("_other_bucket", bucket(point)), cond)
-    found = found.drop("_bucket", "_other_bucket")
-    if how == "inner":
-        return found
-    if how != "left":
-        raise ValueError("with buckets: inner or left")
-    matched = found.select(*[F.col(c).alias(f"_m_{c}") for c in left.columns]).distinct()
-    same = [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in left.columns]
-    rest = left.join(matched, reduce(lambda a, b: a & b, same), "left_anti")
-    return found.unionByName(rest, allowMissingColumns=True)
+    width = F.lit(int(longest_hours * 3_600_000_000))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    bucket = lambda c: F.floor(micros(c) / width)
+    too_long = F.raise_error(F.concat(F.lit("an interval is longer than "), F.lit(str(longest_hours)), F.lit(" hours")))
+    ends = F.when(micros(end) - micros(start) > width, too_long.cast("long")).otherwise(bucket(end))
+    near = F.explode(F.sequence(bucket(point), bucket(point) + 1))
+    x, y = left.withColumn("_ends_in", ends), right.withColumn("_near", near)
+    return x.join(y, cond & (F.col("_ends_in") == F.col("_near")), how).drop("_ends_in", "_near")
 
 
 def unmapped(df: DataFrame, known: DataFrame, on: str, known_on: str) -> DataFrame:

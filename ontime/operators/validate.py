@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import importlib
+import json
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import product
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator, RegressionEvaluator
+from pyspark.ml.param import Param
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ontime.functions.scalar import uniform
 from ontime.operators import features as W
+from ontime.operators.clean import plain_columns
 from ontime.operators.metrics import confusion
 
 
@@ -57,6 +61,27 @@ def grid(values: dict) -> list[dict]:
     return [dict(zip(values, combination, strict=True)) for combination in product(*values.values())]
 
 
+class Grid:
+    """Builds parameter maps: fixed values by base_on, lists of values by add, all combinations by build."""
+
+    def __init__(self):
+        self._values: dict[Param, list] = {}
+
+    def add(self, param: Param, values: Iterable) -> Grid:
+        if not isinstance(param, Param):
+            raise TypeError(f"not a parameter: {param!r}")
+        self._values[param] = list(values)
+        return self
+
+    def base_on(self, fixed: dict | Iterable[tuple]) -> Grid:
+        for param, value in dict(fixed).items():
+            self.add(param, [value])
+        return self
+
+    def build(self) -> list[dict]:
+        return [{p: p.typeConverter(v) for p, v in m.items()} for m in grid(self._values)]
+
+
 @dataclass
 class RandomGrid:
     """Parameter maps drawn from functions of a random.Random; equal seeds give equal maps."""
@@ -93,77 +118,115 @@ def skip_folds(n: int, seed: int | None = None) -> list[int]:
     return random.Random(seed).sample(range(n), 2)
 
 
-def resample(df: DataFrame, label: str, mode: str | None, seed: int = 1) -> DataFrame:
-    """mode: 'over', 'under' or none; for training rows only."""
+def resample(df: DataFrame, label: str, mode: str | None, seed: int = 1, key: list[str] | None = None) -> DataFrame:
+    """mode: 'over', 'under' (by a hash of key) or none; for training rows only."""
     if mode == "over":
         return W.oversample(df, label)
     if mode == "under":
-        return W.undersample(df, label, seed)
+        return W.undersample(df, label, seed, key=key)
     if mode not in (None, "none"):
         raise ValueError(f"no such sampling: {mode}")
     return df
 
 
-@dataclass
-class TimeFoldValidator:
+class TimeFoldValidator(Estimator):
     """Cross-validation over given folds: every map is fitted on each fold's training part and
     scored on its validation part; the best by the mean is refitted on the last fold's training part.
 
-    prepare(train, other) -> (train, other) fits encoders on the training part only.
+    metric: precision, recall or f_beta; or give an evaluator of Spark's, or any function of the
+    scored rows that returns a number, with larger_is_better. prepare(train, other) -> (train, other)
+    fits encoders on the training part only. sampling: 'over' or 'under', by a hash of `key`.
+    keep_models: the models of all folds and maps stay in the result (sub_models[fold][map]).
+    folds and time, a column of month numbers, may be given here, for use inside a Pipeline, or to fit.
+
+    One fold after the other is prepared and held, its maps are fitted side by side.
     """
 
-    estimator: Estimator
-    maps: list[dict]
-    label: str
-    metric: str = "f_beta"
-    larger_is_better: bool = True
-    parallelism: int = 4
-    sampling: str | None = None
-    prepare: Callable | None = None
-
-    def fit(self, df: DataFrame, folds: list[Fold], month: Column) -> TimeFoldModel:
-        parts = []
-        for f in folds:
-            train, valid = f.part(df, "train", month), f.part(df, "valid", month)
+    def __init__(self, estimator: Estimator, maps: list[dict], label: str, metric: str = "f_beta", larger_is_better: bool = True, parallelism: int = 4,
+                 sampling: str | None = None, prepare: Callable | None = None, evaluator: Evaluator | Callable | None = None, keep_models: bool = False,
+                 folds: list[Fold] | None = None, time: Column | None = None, key: list[str] | None = None):
+        super().__init__()
+        self.estimator, self.maps, self.label, self.metric = estimator, maps, label, metric
+        self.parallelism, self.sampling, self.prepare, self.evaluator = parallelism, sampling, prepare, evaluator
+        self.larger_is_better = evaluator.isLargerBetter() if isinstance(evaluator, Evaluator) else larger_is_better
+        self.keep_models, self.folds, self.time, self.key = keep_models, folds, time, key
+
+    def fit(self, df: DataFrame, folds: list[Fold] | None = None, time: Column | None = None) -> TimeFoldModel:
+        folds, time = folds or self.folds, self.time if time is None else time
+        rows, models, last = [], {}, None
+        for n, f in enumerate(folds):
+            train, valid = f.part(df, "train", time), f.part(df, "valid", time)
             if self.prepare:
                 train, valid = self.prepare(train, valid)
-            parts.append((f, resample(train, self.label, self.sampling).persist(), valid.persist()))
-
-        def one(task):
-            (f, train, valid), i = task
-            model = self.estimator.fit(train, self.maps[i])
-            row = confusion(model.transform(valid), label=self.label).first()
-            return (f.number, i, *[float(row[m]) for m in ("precision", "recall", "f_beta")])
-
-        with ThreadPoolExecutor(self.parallelism) as pool:
-            rows = list(pool.map(inheritable_thread_target(one), [(p, i) for p in parts for i in range(len(self.maps))]))
-        at = {"precision": 2, "recall": 3, "f_beta": 4}[self.metric]
-        mean = [sum(r[at] for r in rows if r[1] == i) / max(len(parts), 1) for i in range(len(self.maps))]
-        best = (max if self.larger_is_better else min)(range(len(mean)), key=mean.__getitem__)
-        model = self.estimator.fit(parts[-1][1], self.maps[best])
-        for _, train, valid in parts:
-            train.unpersist()
+            train, valid = resample(train, self.label, self.sampling, key=self.key).persist(), valid.persist()
+
+            def one(i, f=f, train=train, valid=valid):
+                model = self.estimator.fit(train, self.maps[i])
+                return model, (f.number, i, *self._judge(model.transform(valid)))
+
+            with ThreadPoolExecutor(self.parallelism) as pool:
+                found = list(pool.map(inheritable_thread_target(one), range(len(self.maps))))
+            rows += [row for _, row in found]
+            if self.keep_models:
+                models[f.number] = [model for model, _ in found]
             valid.unpersist()
-        return TimeFoldModel(model, best, mean, rows)
+            if n < len(folds) - 1:
+                train.unpersist()
+            else:
+                last = train
+        mean = [sum(r[-1] for r in rows if r[1] == i) / len(folds) for i in range(len(self.maps))]
+        best = (max if self.larger_is_better else min)(range(len(mean)), key=mean.__getitem__)
+        model = self.estimator.fit(last, self.maps[best])
+        last.unpersist()
+        return TimeFoldModel(model, best, mean, rows, models, [{p.name: v for p, v in m.items()} for m in self.maps])
 
+    def _fit(self, df: DataFrame) -> TimeFoldModel:
+        return self.fit(df)
 
-@dataclass
-class TimeFoldModel:
-    best_model: Model
-    best: int
-    mean_metrics: list[float]
-    rows: list[tuple]
+    def _judge(self, scored: DataFrame) -> tuple[float, ...]:
+        """precision, recall, f_beta (nothing where the evaluator isn't about classes) and the score."""
+        if self.evaluator is None:
+            row = confusion(scored, label=self.label).first()
+            three = tuple(float(row[m]) for m in ("precision", "recall", "f_beta"))
+            return (*three, three[("precision", "recall", "f_beta").index(self.metric)])
+        judge = self.evaluator.evaluate if isinstance(self.evaluator, Evaluator) else self.evaluator
+        return (None, None, None, float(judge(scored)))
+
+
+class TimeFoldModel(Model):
+    """The best model, and how each map did on each fold."""
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def __init__(self, best_model: Model, best: int, mean_metrics: list[float], rows: list[tuple], sub_models: dict[int, list[Model]], settings: list[dict]):
+        super().__init__()
+        self.best_model, self.best, self.mean_metrics, self.rows, self.sub_models, self.settings = best_model, best, mean_metrics, rows, sub_models, settings
+
+    def _transform(self, df: DataFrame) -> DataFrame:
         return self.best_model.transform(df)
 
     def metrics(self, spark: SparkSession) -> DataFrame:
-        """fold, map, precision, recall, f_beta."""
-        return spark.createDataFrame(self.rows, "fold int, map int, precision double, recall double, f_beta double")
+        """fold, map, precision, recall, f_beta, score."""
+        return spark.createDataFrame(self.rows, "fold int, map int, precision double, recall double, f_beta double, score double")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.best_model.write().overwrite().save(f"{path}/model")
+        """The best model, those of the folds that were kept, the metrics, and a line of JSON with the
+        rest; models are read again by the class that is named there."""
+        kept = {f"sub/{fold}/{i}": m for fold, models in self.sub_models.items() for i, m in enumerate(models)}
+        for name, model in {"model": self.best_model, **kept}.items():
+            model.write().overwrite().save(f"{path}/{name}")
         self.metrics(spark).write.mode("overwrite").parquet(f"{path}/metrics")
+        kind = type(self.best_model)
+        about = {"class": f"{kind.__module__}:{kind.__qualname__}", "best": self.best, "mean_metrics": self.mean_metrics, "settings": self.settings,
+                 "sub": {fold: len(models) for fold, models in self.sub_models.items()}}
+        spark.createDataFrame([(json.dumps(about),)], "value string").write.mode("overwrite").text(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TimeFoldModel:
+        about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+        module, _, name = about["class"].partition(":")
+        kind = getattr(importlib.import_module(module), name)
+        sub = {int(fold): [kind.load(f"{path}/sub/{fold}/{i}") for i in range(n)] for fold, n in about["sub"].items()}
+        rows = [tuple(r) for r in spark.read.parquet(f"{path}/metrics").orderBy("fold", "map").collect()]
+        return cls(kind.load(f"{path}/model"), about["best"], about["mean_metrics"], rows, sub, about["settings"])
 
 
 def evaluate_holdout(estimator, train: DataFrame, test: DataFrame, label: str, sampling: str | None = None, prepare: Callable | None = None) -> tuple[Model, DataFrame]:
@@ -174,12 +237,31 @@ def evaluate_holdout(estimator, train: DataFrame, test: DataFrame, label: str, s
     return model, model.transform(test)
 
 
-def kfold(estimator, maps: list[dict], df: DataFrame, label: str, metric: str = "rmse", folds: int = 3, seed: int = 1):
-    """Plain k-fold cross-validation: (best model, mean metric of each map). Rows are dealt at random,
-    so it suits data without an order in time."""
+def judge_of(label: str, metric: str) -> Evaluator:
     if metric in ("rmse", "mae", "r2", "mse"):
-        judge = RegressionEvaluator(labelCol=label, metricName=metric)
-    else:
-        judge = BinaryClassificationEvaluator(labelCol=label, metricName=metric)
-    model = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, seed=seed).fit(df)
-    return model.bestModel, [float(x) for x in model.avgMetrics]
+        return RegressionEvaluator(labelCol=label, metricName=metric)
+    return BinaryClassificationEvaluator(labelCol=label, metricName=metric)
+
+
+def kfold(estimator, maps: list[dict], df: DataFrame, label: str, metric: str = "rmse", folds: int = 3, seed: int = 1,
+          prepare: Callable | None = None, key: list[str] | None = None, evaluator: Evaluator | Callable | None = None):
+    """Plain k-fold cross-validation: (best model, mean metric of each map). Rows are dealt by a hash of
+    their key, so it suits data without an order in time; encoders are fitted fold by fold."""
+    judge = evaluator or judge_of(label, metric)
+    deal = F.floor(uniform(seed, *[F.col(c) for c in key or plain_columns(df)]) * folds).cast("int")
+    dealt = df.withColumn("_fold", deal)
+    totals = [0.0] * len(maps)
+    for n in range(folds):
+        train, valid = dealt.where(F.col("_fold") != n).drop("_fold"), dealt.where(F.col("_fold") == n).drop("_fold")
+        if prepare:
+            train, valid = prepare(train, valid)
+        train, valid = train.persist(), valid.persist()
+        for i, m in enumerate(maps):
+            scored = estimator.fit(train, m).transform(valid)
+            totals[i] += float(judge.evaluate(scored) if isinstance(judge, Evaluator) else judge(scored)) / folds
+        train.unpersist()
+        valid.unpersist()
+    up = judge.isLargerBetter() if isinstance(judge, Evaluator) else True
+    best = (max if up else min)(range(len(maps)), key=totals.__getitem__)
+    whole = prepare(df, df)[0] if prepare else df
+    return estimator.fit(whole, maps[best]), totals

@@ -48,7 +48,7 @@ def airport_codes(flights: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def join_weather(flights: DataFrame, weather: DataFrame, stations: DataFrame, codes: DataFrame, zones: DataFrame,
-                 start: int = 6, end: int = 2, nearest: int = 3, bucket_hours: int | None = None) -> DataFrame:
+                 start: int = 6, end: int = 2, nearest: int = 3) -> DataFrame:
     """Each flight with every report of its airport's nearest stations inside its window."""
     airports = airport_codes(flights, codes)
     mapped = airports.where("ident IS NOT NULL").join(stations.select("neighbor_call").distinct(), airports["ident"] == stations["neighbor_call"], "left_semi")
@@ -56,7 +56,7 @@ def join_weather(flights: DataFrame, weather: DataFrame, stations: DataFrame, co
     timed = J.departure_times(J.drop_unmapped(flights, missing, "ORIGIN"), zones, start, end)
     near = J.nearest(stations, n=nearest)
     readings = J.airport_readings(mapped.drop("ORIGIN"), near, weather)
-    return J.interval_join(timed, readings, [("ORIGIN", "iata_code")], "DATE_UTC", "WEATHER_WINDOW_START", "WEATHER_WINDOW_END", "left", bucket_hours)
+    return J.interval_join(timed, readings, [("ORIGIN", "iata_code")], "DATE_UTC", "WEATHER_WINDOW_START", "WEATHER_WINDOW_END", "left", start - end)
 
 
 def collapse(joined: DataFrame, key: list[str] | None = None) -> DataFrame:

@@ -2,16 +2,19 @@
 
 The tables have no flights, so roles are mapped: aircraft is user_id, departure is ts, the label is
 event_type = 'error', a reading is value (all of events); lineitem stands for flight facts, routes
-are supplier nation to customer nation.
+are supplier nation to customer nation. For whole chains events also give raw flights and weather
+reports, suppliers the stations, nations the airports and their zones.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ontime import columns as C
 from ontime.functions import scalar as S
 from ontime.operators import aggregate as A
 from ontime.operators import clean as P
@@ -23,6 +26,8 @@ from ontime.operators import metrics as M
 from ontime.operators import models
 from ontime.operators import timejoin as J
 from ontime.operators import validate as K
+from ontime.plans import flights
+from ontime.session import shared_folder
 from ontime.sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +46,11 @@ def query(sql: str | None = None):
     return add
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(spark)}/ontime-queries-{uuid.uuid4().hex[:12]}/{name}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
@@ -57,7 +67,7 @@ def targets_and_readings(spark, d) -> DataFrame:
     readings = e.where("label = 0").select(
         F.col("user_id").alias("r_user"), F.col("ts").alias("r_ts"), F.col("value").alias("reading"), F.col("event_type").alias("kind"), (F.col("event_id") % 5).alias("distance")
     )
-    return J.interval_join(targets, readings, [("user_id", "r_user")], "r_ts", "w_start", "w_end")
+    return J.interval_join(targets, readings, [("user_id", "r_user")], "r_ts", "w_start", "w_end", longest_hours=22)
 
 
 _READINGS = """t AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'),
@@ -83,11 +93,11 @@ def interval_join_mode(spark, d):
 
 @query(f"WITH {_READINGS} SELECT event_id, count(value) AS n FROM j GROUP BY event_id")
 def interval_join_bucketed(spark, d):
-    """The interval join dealt by six-hour buckets."""
+    """The interval join without buckets of time gives the same."""
     e = events(spark, d)
     targets = J.window_bounds(e.where("label = 1").select("event_id", "user_id", "ts"), "ts", 24, 2, ("w_start", "w_end"))
     readings = e.where("label = 0").select(F.col("user_id").alias("r_user"), F.col("ts").alias("r_ts"), "value")
-    j = J.interval_join(targets, readings, [("user_id", "r_user")], "r_ts", "w_start", "w_end", "left", bucket_hours=6)
+    j = J.interval_join(targets, readings, [("user_id", "r_user")], "r_ts", "w_start", "w_end", "left")
     return j.groupBy("event_id").agg(F.count("value").alias("n"))
 
 
@@ -420,9 +430,16 @@ def oversample(spark, d):
     return W.oversample(events(spark, d), "label").select("event_id", "event_type")
 
 
-@query()
+def _uniform(seed: int, *keys: str) -> str:
+    """functions.scalar.uniform in SQL."""
+    text = " || ':' || ".join([f"'{seed}'", *[f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys]])
+    return f"CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
+@query(f"""WITH k AS (SELECT count(*) FILTER (event_type = 'error')::DOUBLE / count(*) FILTER (event_type <> 'error') AS share FROM events)
+SELECT event_id, event_type FROM events, k WHERE event_type = 'error' OR {_uniform(7, 'event_id')} < share""")
 def undersample(spark, d):
-    return W.undersample(events(spark, d), "label", seed=7).select("event_id", "event_type")
+    return W.undersample(events(spark, d), "label", seed=7, key=["event_id"]).select("event_id", "event_type")
 
 
 @query("""SELECT event_id, round(CASE WHEN event_type = 'error' THEN r ELSE 1 - r END, 9) AS "classWeights" FROM events,
@@ -631,9 +648,57 @@ def scaled_events(spark, d):
     return e.select("event_id", "label", (F.col("value") / 100).alias("value"), (F.hour("ts") / 24).alias("hour"), F.month("ts").alias("month"), F.dayofmonth("ts").alias("day"), "user_id", "ts")
 
 
-@query()
+def _descent_sql(rounds: int, rate: float) -> str:
+    """Steps of gradient descent for the log loss, one table per step."""
+    parts = ["WITH e AS (SELECT value / 100 AS a, hour(ts) / 24::DOUBLE AS b, CAST(event_type = 'error' AS DOUBLE) AS y FROM events)",
+             "w0 AS (SELECT 0 AS step, 0.0::DOUBLE AS wa, 0.0::DOUBLE AS wb, 0.0::DOUBLE AS wc)"]
+    for i in range(1, rounds + 1):
+        p = "(1 / (1 + exp(-(wc + wa * a + wb * b))))"
+        parts.append(
+            f"w{i} AS (SELECT {i} AS step, any_value(wa) - {rate}::DOUBLE * avg(({p} - y) * a) AS wa, any_value(wb) - {rate}::DOUBLE * avg(({p} - y) * b) AS wb,"
+            f" any_value(wc) - {rate}::DOUBLE * avg({p} - y) AS wc FROM e, w{i - 1})"
+        )
+    p = "(1 / (1 + exp(-(wc + wa * a + wb * b))))"
+    loss = f"(SELECT avg(-(y * ln({p} + 1e-5) + (1 - y) * ln(1 - {p} + 1e-5))) FROM e, (SELECT w.wa, w.wb, w.wc))"
+    rows = " UNION ALL ".join(f"SELECT * FROM w{i}" for i in range(rounds + 1))
+    return ",\n".join(parts) + f"""
+SELECT step, CASE WHEN step < {rounds} THEN round({loss}, 8) END AS loss, round(wa, 8) AS w_value, round(wb, 8) AS w_hour, round(wc, 8) AS w_constant FROM ({rows}) w"""
+
+
+@query(_descent_sql(10, 0.5))
 def gd_logistic(spark, d):
-    return models.gradient_descent(scaled_events(spark, d), ["value", "hour"], "label", rounds=10, rate=0.5)
+    h = models.gradient_descent(scaled_events(spark, d), ["value", "hour"], "label", rounds=10, rate=0.5)
+    return h.select("step", *[F.round(c, 8).alias(c) for c in h.columns[1:]])
+
+
+def _one_step(penalty: str | None):
+    def run(spark, d):
+        li = table(spark, d, "lineitem").select((F.col("l_quantity") / 50).alias("x"), F.col("l_discount").alias("y"))
+        (w, c), loss = models.gradient_step(li, ["x"], "y", [0.5, 0.1], 0.01, "linear", penalty, 0.1)
+        return spark.createDataFrame([(0, round(loss, 6), round(w, 9), round(c, 9))], "step int, loss double, w_x double, w_constant double")
+
+    return run
+
+
+def _one_step_sql(extra: str) -> str:
+    return f"""SELECT 0 AS step, round(avg(r * r), 6) AS loss, round(0.5 - 0.01 * (2 * avg(r * x) + {extra}), 9) AS w_x, round(0.1 - 0.01 * 2 * avg(r), 9) AS w_constant
+FROM (SELECT *, 0.5 * x + 0.1 - y AS r FROM (SELECT l_quantity / 50 AS x, l_discount AS y FROM lineitem))"""
+
+
+@query(_one_step_sql("0"))
+def gd_plain(spark, d):
+    """One step of least squares without a penalty."""
+    return _one_step(None)(spark, d)
+
+
+@query(_one_step_sql("2 * 0.1 * 0.5"))
+def gd_ridge(spark, d):
+    return _one_step("ridge")(spark, d)
+
+
+@query(_one_step_sql("0.1"))
+def gd_lasso(spark, d):
+    return _one_step("lasso")(spark, d)
 
 
 @query("""SELECT 0 AS step, round(avg(y * y), 6) AS loss, round(0.01 * 2 * avg(x * y), 9) AS w_x, round(0.01 * 2 * avg(y), 9) AS w_constant
@@ -703,11 +768,13 @@ def node_count(spark, d):
     return G.nodes(routes(spark, d)).agg(F.count("*").alias("n"))
 
 
-_SPARSE = f"{_ROUTES}, s AS (SELECT src, dst FROM e WHERE (src * 7 + dst) % 5 = 0 AND src % 4 <> 0)"
+_SPARSE = """s AS (SELECT o_custkey AS src, -1 - l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def sparse_routes(spark, d):
-    return routes(spark, d).where("(src * 7 + dst) % 5 = 0 AND src % 4 <> 0").select("src", "dst")
+    """Customer -> supplier, one edge per line; suppliers have negative ids and no edges of their own."""
+    j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.select(F.col("o_custkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst"))
 
 
 @query(f"""WITH {_SPARSE}, o AS (SELECT src, count(DISTINCT dst) AS g FROM s GROUP BY src), n AS (SELECT src AS id FROM s UNION SELECT dst FROM s)
@@ -728,11 +795,13 @@ def adjacency_list(spark, d):
 
 @query(f"WITH {_SPARSE} SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, CAST(count(*) AS INTEGER) AS n FROM s GROUP BY ALL")
 def adjacency_text(spark, d):
-    """Edges written as lines 'node TAB {{dest: count}}' and read back."""
+    """Edges written to files as lines 'node TAB {dest: count}' and read back."""
     counts = sparse_routes(spark, d).groupBy("src", "dst").agg(F.count("*").alias("n"))
     cells = F.concat_ws(", ", F.collect_list(F.format_string("'%s': %s", F.col("dst").cast("string"), F.col("n").cast("string"))))
     lines = counts.groupBy("src").agg(cells.alias("c")).select(F.concat(F.col("src").cast("string"), F.lit("\t{"), "c", F.lit("}")).alias("value"))
-    return G.edges_of_text(lines)
+    path = folder(spark, "lines")
+    io.write_lines(lines, path)
+    return G.edges_of_text(io.read_lines(spark, path))
 
 
 def _pagerank_sql(rounds: int, alpha: float) -> str:
@@ -757,10 +826,11 @@ def pagerank(spark, d):
     return G.pagerank(sparse_routes(spark, d), 0.15, 8).withColumn("rank", F.round("rank", 9))
 
 
-@query(_pagerank_sql(8, 0.15) + " SELECT id, n_name, round(rank, 9) AS rank FROM r8 JOIN nation ON id = n_nationkey ORDER BY rank DESC, id LIMIT 10")
+@query(_pagerank_sql(8, 0.15) + " SELECT id, s_name, round(rank, 9) AS rank FROM r8 JOIN supplier ON id = -1 - s_suppkey ORDER BY round(r8.rank, 12) DESC, id LIMIT 10")
 def pagerank_topk_named(spark, d):
-    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), "n_name")
-    return G.named(G.pagerank(sparse_routes(spark, d), 0.15, 8), names, k=10).select("id", "n_name", F.round("rank", 9).alias("rank"))
+    names = table(spark, d, "supplier").select((-1 - F.col("s_suppkey")).alias("id"), "s_name")
+    ranks = G.pagerank(sparse_routes(spark, d), 0.15, 8).where("id < 0").withColumn("rank", F.round("rank", 12))
+    return G.named(ranks, names, k=10).select("id", "s_name", F.round("rank", 9).alias("rank"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
@@ -815,30 +885,285 @@ def graph_vertices(spark, d):
     return G.vertices_with_code(table(spark, d, "customer"), "c_nationkey", "c_name")
 
 
-@query()
+_STATS = ["count", "mean", "stddev", "min", "25%", "50%", "75%", "max"]
+
+
+def _summary_sql(column: str) -> str:
+    at = lambda p: f"v[ceil({p} * len(v))::INT]::DOUBLE"
+    values = [f"count({column})::DOUBLE", f"avg({column})", f"stddev_samp({column})", f"min({column})::DOUBLE", *map(at, (0.25, 0.5, 0.75)), f"max({column})::DOUBLE"]
+    values = [x if "v[" not in x else x.replace("v[", f"list_sort(list({column}))[").replace("len(v)", f"count({column})") for x in values]
+    return f"SELECT unnest({_STATS}) AS summary, unnest([{', '.join(values)}]) AS {column} FROM part"
+
+
+@query(f"""SELECT summary, round(p_size, 6) AS p_size, round(p_retailprice, 6) AS p_retailprice
+FROM ({_summary_sql('p_size')}) JOIN ({_summary_sql('p_retailprice')}) USING (summary)""")
 def dataset_summary(spark, d):
-    return table(spark, d, "part").summary()
+    s = table(spark, d, "part").select("p_size", "p_retailprice").summary(*_STATS)
+    return s.select("summary", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in s.columns[1:]])
 
 
-@query()
+@query(f"SELECT * FROM lineitem WHERE {_uniform(5, 'l_orderkey', 'l_linenumber')} < 0.1")
 def sampled_rows(spark, d):
-    return P.sample(table(spark, d, "lineitem"), 0.1, seed=5)
+    return P.sample(table(spark, d, "lineitem"), 0.1, seed=5, key=["l_orderkey", "l_linenumber"])
 
 
-@query()
+@query(f"SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY {_uniform(5, 'o_orderkey')}, o_orderkey LIMIT 5")
 def random_orders(spark, d):
-    return G.random_rows(table(spark, d, "orders"), 5, seed=5)
+    return G.random_rows(table(spark, d, "orders"), 5, seed=5, key=["o_orderkey"]).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query()
+# --- a rule instead of a learned model, so that SQL can follow folds, grids and votes
+
+
+_FACTORS = [0.5, 1.0, 1.5]
+_RANDOM_FACTORS = [m["factor"] for m in K.RandomGrid(3, seed=11).add("factor", lambda r: round(r.uniform(0.2, 2.0), 3)).build()]
+
+
+def _scores(group: str) -> str:
+    """Precision, recall and F of half beta from tp, fp, fn in a table c."""
+    return f"""m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p, coalesce(tp / nullif(tp + fn, 0), 0.0) AS r FROM c)
+SELECT {group}, round(p, 9) AS precision, round(r, 9) AS recall, round(coalesce(1.25 * p * r / nullif(0.25 * p + r, 0), 0.0), 9) AS f_beta FROM m"""
+
+
+def _fold_sql(factors: list[float], skip: list[int] = ()) -> str:
+    """Counts of each fold and map. Days 1 to 9, 10 to 18, 19 to 27 train, the 3 days after each validate."""
+    folds = ", ".join(f"({f.number}, {f.train[0]}, {f.valid[0]}, {f.valid[1]})" for f in day_folds() if f.number not in skip)
+    maps = ", ".join(f"({i}, {x}::DOUBLE)" for i, x in enumerate(factors))
+    return f"""WITH f(fold, a, b, z) AS (VALUES {folds}), g(map, factor) AS (VALUES {maps}),
+e AS (SELECT day(ts) AS day, value / 100 AS value, event_type = 'error' AS y FROM events),
+t AS (SELECT fold, avg(value) FILTER (y) AS mean FROM f JOIN e ON day >= a AND day < b GROUP BY fold),
+c AS (SELECT CAST(f.fold AS INTEGER) AS fold, CAST(map AS INTEGER) AS map, count(*) FILTER (value > factor * mean AND y) AS tp, count(*) FILTER (value > factor * mean AND NOT y) AS fp,
+  count(*) FILTER (value <= factor * mean AND y) AS fn FROM f JOIN t USING (fold) JOIN e ON day >= b AND day < z CROSS JOIN g GROUP BY ALL)"""
+
+
+def rule_folds(spark, d, maps, folds=None, **more):
+    rule = models.MeanRule("value", "label")
+    cv = K.TimeFoldValidator(rule, maps(rule), "label", **more)
+    return cv.fit(scaled_events(spark, d), folds or day_folds(), F.col("day"))
+
+
+def _rounded(metrics: DataFrame, keys: list[str]) -> DataFrame:
+    return metrics.select(*keys, *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f_beta")])
+
+
+@query(f"{_fold_sql(_FACTORS)}, {_scores('fold, map')}")
+def rule_cv(spark, d):
+    """Every map on every fold, maps from a grid builder."""
+    model = rule_folds(spark, d, lambda rule: K.Grid().base_on({rule.labelCol: "label"}).add(rule.factor, _FACTORS).build())
+    return _rounded(model.metrics(spark), ["fold", "map"])
+
+
+@query(f"{_fold_sql(_RANDOM_FACTORS)}, {_scores('fold, map')}")
+def rule_random_search(spark, d):
+    draw = lambda rule: K.RandomGrid(3, seed=11).add(rule.factor, lambda r: round(r.uniform(0.2, 2.0), 3)).build()
+    return _rounded(rule_folds(spark, d, draw).metrics(spark), ["fold", "map"])
+
+
+@query(f"{_fold_sql([1.0], K.skip_folds(3, 4))}, {_scores('fold, map')}")
+def rule_skipped_folds(spark, d):
+    """Two folds left out."""
+    skip = K.skip_folds(3, 4)
+    left = [f for f in day_folds() if f.number not in skip]
+    return _rounded(rule_folds(spark, d, lambda rule: [{rule.factor: 1.0}], left).metrics(spark), ["fold", "map"])
+
+
+@query(f"SELECT map, round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall, round(avg(f_beta), 9) AS f_beta FROM ({_fold_sql(_FACTORS)}, {_scores('fold, map')}) GROUP BY map")
 def mean_fold_metrics(spark, d):
-    return M.mean_metrics(lr_cv(spark, d), ["precision", "recall", "f_beta"], ["map"])
+    return _rounded(M.mean_metrics(rule_cv(spark, d), ["precision", "recall", "f_beta"], ["map"]), ["map"])
+
+
+@query(f"""{_fold_sql(_FACTORS)}, s AS ({_scores('fold, map').replace('m AS', 'WITH m AS')}), best AS (SELECT map FROM s GROUP BY map ORDER BY avg(f_beta) DESC, map LIMIT 1),
+l AS (SELECT factor * mean AS lim FROM best JOIN g USING (map), t WHERE fold = 3)
+SELECT day, count(*) FILTER (value > lim) AS n_positive, count(*) AS n FROM e, l GROUP BY day""")
+def rule_saved(spark, d):
+    """The tuner's best model, saved with those of the folds, loaded and applied."""
+    model = rule_folds(spark, d, lambda rule: [{rule.factor: x} for x in _FACTORS], keep_models=True, evaluator=lambda scored: M.confusion(scored, label="label").first()["f_beta"])
+    path = folder(spark, "tuned")
+    model.save(spark, path)
+    scored = K.TimeFoldModel.load(spark, path).transform(scaled_events(spark, d))
+    return scored.groupBy(F.col("day").cast("long").alias("day")).agg(F.count_if(F.col("prediction") == 1).alias("n_positive"), F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT *, value / 100 AS v, event_type = 'error' AS y FROM events),
+t AS (SELECT 0.8::DOUBLE * avg(v) FILTER (y) AS lim FROM e WHERE day(ts) <= 24)
+SELECT event_id, CAST(y AS INTEGER) AS label, CAST(v > lim AS INTEGER) AS prediction FROM e, t WHERE day(ts) > 24""")
+def rule_holdout(spark, d):
+    e = scaled_events(spark, d)
+    _, scored = K.evaluate_holdout(models.MeanRule("value", "label", 0.8), e.where("day <= 24"), e.where("day > 24"), "label", "over")
+    return scored.select("event_id", "label", F.col("prediction").cast("int").alias("prediction"))
+
+
+@query(f"""WITH e AS (SELECT value / 100 AS v, event_type = 'error' AS y, CAST(floor({_uniform(1, 'event_id')} * 3) AS INTEGER) AS f FROM events),
+g(map, factor) AS (VALUES (0, 0.5::DOUBLE), (1, 1.0::DOUBLE), (2, 1.5::DOUBLE)), n AS (SELECT unnest(range(3)) AS n),
+t AS (SELECT n, avg(v) FILTER (y) AS mean FROM n JOIN e ON f <> n GROUP BY n),
+c AS (SELECT n, CAST(map AS INTEGER) AS map, count(*) FILTER (v > factor * mean AND y) AS tp, count(*) FILTER (v > factor * mean AND NOT y) AS fp,
+  count(*) FILTER (v <= factor * mean AND y) AS fn FROM t JOIN e ON f = n CROSS JOIN g GROUP BY ALL), s AS (WITH {_scores('map')})
+SELECT map, round(avg(f_beta), 6) AS f_beta FROM s GROUP BY map""")
+def rule_kfold(spark, d):
+    """Plain k-fold, rows dealt by a hash of their key."""
+    rule = models.MeanRule("value", "label")
+    judge = lambda scored: M.confusion(scored, label="label").first()["f_beta"]
+    _, means = K.kfold(rule, K.grid({rule.factor: _FACTORS}), scaled_events(spark, d), "label", folds=3, key=["event_id"], evaluator=judge)
+    return spark.createDataFrame([(i, round(m, 6)) for i, m in enumerate(means)], "map int, f_beta double")
+
+
+_FEATURES = ["value", "hour", "day"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr({x}, CAST(event_type = 'error' AS INTEGER)), 9) AS importance FROM events" for c, x in zip(_FEATURES, ("value", "hour(ts)", "day(ts)"), strict=True)))
+def ranked_correlations(spark, d):
+    """Features ranked by how they go with the label."""
+    row = scaled_events(spark, d).agg(*[F.corr(c, "label").alias(c) for c in _FEATURES]).first()
+    return models.ranked(spark, _FEATURES, [row[c] for c in _FEATURES]).withColumn("importance", F.round("importance", 9))
 
 
 @query()
 def kfold_forest(spark, d):
-    """Plain k-fold: mean area under the curve for each depth."""
-    rows, _ = prepared(*[scaled_events(spark, d)] * 2)
+    """Plain k-fold: mean area under the curve for each depth, encoders fitted fold by fold."""
     rf = models.forest("label", trees=5)
-    _, means = K.kfold(rf, K.grid({rf.maxDepth: [2, 4]}), rows, "label", "areaUnderROC", folds=2)
+    _, means = K.kfold(rf, K.grid({rf.maxDepth: [2, 4]}), scaled_events(spark, d), "label", "areaUnderROC", 2, prepare=prepared, key=["event_id"])
     return spark.createDataFrame([(depth, m) for depth, m in zip((2, 4), means, strict=True)], "depth int, area double")
+
+
+# --- sources and whole chains
+
+
+@query("SELECT * FROM supplier UNION ALL BY NAME SELECT * FROM customer")
+def period_union(spark, d):
+    """Several files as one table; what one of them lacks is null there."""
+    return io.read_periods(spark, [f"{d}/supplier.parquet", f"{d}/customer.parquet"])
+
+
+@query("SELECT o_orderkey, NULL::INTEGER AS n_regionkey FROM orders UNION ALL SELECT NULL, n_regionkey FROM nation")
+def period_columns(spark, d):
+    """Only some columns of several files."""
+    return io.read_periods(spark, [f"{d}/orders.parquet", f"{d}/nation.parquet"], ["o_orderkey", "n_regionkey"])
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_totalprice, 12 * year(o_orderdate) + month(o_orderdate) - 1 AS m FROM orders)
+SELECT o_orderkey, o_totalprice FROM o WHERE m >= 23940 + 9 + 9 AND m < 23940 + 9 + 12""")
+def stored_fold(spark, d):
+    """Folds written as one table with a folder for each; one of them read."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    parts = K.label_folds(o, order_folds(), K.month_number(F.year("o_orderdate"), F.month("o_orderdate")))
+    path = folder(spark, "folds")
+    io.write_folds(parts, path)
+    return io.read_fold(spark, path, 2, "valid").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT n_name AS title, CAST(n_nationkey AS VARCHAR) AS id, CAST(n_regionkey AS INTEGER) AS in_degree, CAST(NULL AS INTEGER) AS out_degree FROM nation")
+def title_lines(spark, d):
+    """Tab-separated lines with a number that isn't one."""
+    n = table(spark, d, "nation")
+    return G.title_index(n.select(F.concat_ws("\t", "n_name", F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string"), F.lit("x")).alias("value")))
+
+
+@query("""SELECT 'p_name' AS "column", count(p_name) AS n_values, count(DISTINCT p_name) AS n_distinct FROM part
+UNION ALL SELECT 'p_brand', count(p_brand), count(DISTINCT p_brand) FROM part UNION ALL SELECT 'p_type', count(p_type), count(DISTINCT p_type) FROM part""")
+def text_columns(spark, d):
+    """The audit of all text columns, found by type."""
+    p = table(spark, d, "part")
+    return A.distinct_audit(p, P.dtypes_split(p)[0])
+
+
+@query(f"""SELECT o_orderkey, o_totalprice AS price, CASE WHEN h < 900 THEN 0.0 WHEN h < 1200 THEN 1.0 WHEN h < 1600 THEN 2.0 WHEN h < 2000 THEN 3.0 ELSE 4.0 END::DOUBLE AS part
+FROM (SELECT o_orderkey, o_totalprice, ({_HHMM}) % 2400 AS h FROM orders)""")
+def vector_elements(spark, d):
+    """The tree pipeline's vector, taken apart again."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.expr(f"({_HHMM}) % 2400").cast("double").alias("CRS_DEP_TIME"))
+    v = T.tree_pipeline(["CRS_DEP_TIME", "o_totalprice"]).fit(o).transform(o)
+    return T.vector_columns(v, "features", ["price", "part"]).select("o_orderkey", "price", "part")
+
+
+@query("""WITH b AS (SELECT p_brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 1),
+s AS (SELECT stddev_samp(p_size) AS size, stddev_samp(p_retailprice) AS price, stddev_samp(CAST(p_brand = (SELECT p_brand FROM b) AS INTEGER)) AS brand FROM part)
+SELECT p_partkey, round(CAST(p_brand = (SELECT p_brand FROM b) AS INTEGER) / brand, 9) AS first_brand, round(p_size / size, 9) AS size, round(p_retailprice / price, 9) AS price FROM part, s""")
+def scaled_vector(spark, d):
+    """The regression pipeline's vector: one-hot categories and numbers, all scaled."""
+    p = table(spark, d, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    v = T.regression_pipeline(["p_brand"], ["p_size", "p_retailprice"]).fit(p).transform(p)
+    n = len(models.feature_names(v, "vectorized_features"))
+    out = T.vector_columns(v, "features", ["first_brand", *[f"_{i}" for i in range(n - 3)], "size", "price"])
+    return out.select("p_partkey", *[F.round(c, 9).alias(c) for c in ("first_brand", "size", "price")])
+
+
+@query("""WITH e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS "ORIGIN", event_type AS "DEST", coalesce(CASE WHEN event_id % 3 > 0 THEN value END, 0.0) AS value, CAST(event_type = 'error' AS INTEGER) AS label FROM events),
+k AS (SELECT *, "ORIGIN" || '-' || "DEST" AS route FROM e), m AS (SELECT route, avg(label) AS a FROM k WHERE event_id % 4 <> 0 GROUP BY route), g AS (SELECT avg(label) AS g FROM k WHERE event_id % 4 <> 0)
+SELECT event_id, value, route AS "ORIGIN_DEST", round(coalesce(a, g), 9) AS "ORIGIN_DEST_mean_encoding" FROM k LEFT JOIN m USING (route) CROSS JOIN g WHERE event_id % 4 = 0""")
+def preprocessed(spark, d):
+    """Fills, the route key and target means of training rows, applied to the others."""
+    e = events(spark, d).select("event_id", F.col("user_id").cast("string").alias("ORIGIN"), F.col("event_type").alias("DEST"), F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("value"), "label")
+    prepare = flights.preprocess("label", ["ORIGIN_DEST"], {"value": 0.0}, drop=["ORIGIN", "DEST"])
+    _, other = prepare(e.where("event_id % 4 <> 0"), e.where("event_id % 4 = 0"))
+    return other.select("event_id", "value", "ORIGIN_DEST", F.round("ORIGIN_DEST_mean_encoding", 9).alias("ORIGIN_DEST_mean_encoding"))
+
+
+def raw_tables(spark, d) -> dict[str, str]:
+    """Flights of two periods that share a day, weather reports, stations, airport codes and zones, as
+    files of the kinds that the readers take."""
+    e, n = table(spark, d, "events"), table(spark, d, "nation").where("n_nationkey < 8")
+    f = e.where("event_type IN ('error', 'click')")
+    known = {
+        "FL_DATE": F.date_format("ts", "yyyy-MM-dd"), "CRS_DEP_TIME": F.hour("ts") * 100 + F.minute("ts"), "DISTANCE": F.col("event_id"),
+        "ORIGIN": F.concat(F.lit("A"), (F.col("user_id") % 8).cast("string")), "DEST": F.concat(F.lit("A"), (F.col("user_id") % 5).cast("string")),
+        "DEST_AIRPORT_ID": F.col("event_id"), "ORIGIN_AIRPORT_ID": F.col("user_id") % 8, "OP_CARRIER_FL_NUM": F.col("user_id") % 5,
+        "TAIL_NUM": F.concat(F.lit("t"), (F.col("user_id") % 7).cast("string")), "DEP_DELAY": F.when(F.col("event_id") % 10 != 0, F.col("value")),
+        "DEP_DEL15": (F.col("event_type") == "error").cast("int"), **dict.fromkeys(C.DELAY_CAUSES, F.lit(None).cast("double")),
+    }
+    f = f.select("ts", *[known.get(c, F.lit(None).cast("string")).alias(c) for c in C.FLIGHT_COLUMNS])
+    w = e.where("event_type NOT IN ('error', 'click')")
+    whole = lambda x: F.floor(x).cast("string")
+    tmp = F.when(F.col("event_id") % 13 == 0, "9999").otherwise(whole(F.col("value") * 10))
+    known = {
+        "STATION": F.concat(F.lit("s"), (F.col("user_id") % 20).cast("string")), "DATE": F.col("ts"), "SOURCE": F.col("event_id").cast("string"), "REPORT_TYPE": F.col("event_type"),
+        "TMP": F.concat_ws(",", tmp, F.when(F.col("event_id") % 9 == 0, "2").otherwise("1")), "WND": F.concat_ws(",", F.lit("90,1,N"), whole(F.col("value")), F.lit("1")),
+    }
+    w = w.select(*[known.get(c, F.lit(None).cast("string")).alias(c) for c in [*C.WEATHER_COLUMNS, *C.packed_columns()]])
+    s = table(spark, d, "supplier").groupBy((F.col("s_suppkey") % 8).alias("k"), (F.col("s_suppkey") % 20).alias("n")).agg(F.min(F.col("s_suppkey") * 7 % 31).alias("distance"))
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    none = F.lit(None).cast("string")
+    s = s.select(text("st", "k").alias("station_id"), none.alias("lat"), none.alias("lon"), text("s", "n").alias("neighbor_id"), none.alias("neighbor_name"), none.alias("neighbor_state"),
+                 text("K", "k").alias("neighbor_call"), F.col("distance").cast("double").alias("distance_to_neighbor"))
+    path = {name: folder(spark, name) for name in ("first", "second", "weather", "stations", "codes", "zones")}
+    io.write_parquet(f.where("ts < '2024-01-16'").drop("ts"), path["first"])
+    io.write_parquet(f.where("ts >= '2024-01-15'").drop("ts", "OP_CARRIER"), path["second"])
+    io.write_parquet(w, path["weather"])
+    io.write_parquet(s, path["stations"])
+    iata = F.when(F.col("n_nationkey") == 7, "null").otherwise(text("A", "n_nationkey"))
+    n.select(text("K", "n_nationkey").alias("ident"), F.lit("10").alias("elevation_ft"), iata.alias("iata_code"), F.lit("0").alias("coordinates")).write.csv(path["codes"], header=True)
+    n.select(text("A", "n_nationkey").alias("iata_code"), F.expr(_ZONE).alias("tz")).write.csv(path["zones"], header=True)
+    return path
+
+
+def joined_flights(spark, d) -> DataFrame:
+    path = raw_tables(spark, d)
+    f = flights.load_flights(spark, [path["first"], path["second"]])
+    w = flights.load_weather(spark, path["weather"], until="2024-01-25 00:00:00")
+    codes, zones = io.read_airport_codes(spark, path["codes"]), io.read_csv(spark, path["zones"], "iata_code string, tz string")
+    return flights.collapse(flights.join_weather(f, w, io.read_stations(spark, path["stations"]), codes, zones))
+
+
+_CHAIN = f"""f AS (SELECT event_id, user_id % 8 AS k, user_id % 5 AS num, user_id % 7 AS tail, hour(ts) * 100 + minute(ts) AS hhmm, date_trunc('minute', ts) AS local
+  FROM events WHERE event_type IN ('error', 'click') AND event_id % 10 <> 0),
+st AS (SELECT s_suppkey % 8 AS k, s_suppkey % 20 AS n, min(s_suppkey * 7 % 31)::DOUBLE AS dist FROM supplier GROUP BY ALL),
+nr AS (SELECT * FROM st QUALIFY rank() OVER (PARTITION BY k ORDER BY dist) <= 3),
+t AS (SELECT f.*, epoch_us(local AT TIME ZONE ({_ZONE})) AS u FROM f JOIN nation ON k = n_nationkey WHERE k < 7 AND k IN (SELECT k FROM st)),
+w AS (SELECT user_id % 20 AS n, epoch_us(ts) AS seen, CASE WHEN event_id % 9 <> 0 AND event_id % 13 <> 0 THEN floor(value * 10) END AS tmp, floor(value) AS speed
+  FROM events WHERE event_type NOT IN ('error', 'click') AND ts < TIMESTAMP '2024-01-25 00:00:00'),
+r AS (SELECT nr.k, nr.dist, w.* FROM nr JOIN w USING (n)),
+j AS (SELECT t.event_id, num, tail, hhmm, tmp, speed, (CASE WHEN dist = 0 THEN 1.0 ELSE 1 / dist END)::DOUBLE * (60000000.0 / (u - seen))::DOUBLE AS w
+  FROM t LEFT JOIN r ON t.k = r.k AND seen BETWEEN u - 6 * 3600000000 AND u - 2 * 3600000000),
+c AS (SELECT event_id, any_value(num) AS num, any_value(tail) AS tail, any_value(hhmm) AS hhmm, round(sum(tmp * w) / sum(w) FILTER (tmp IS NOT NULL), 2) AS tmp, round(sum(speed * w) / sum(w) FILTER (speed IS NOT NULL), 2) AS speed FROM j GROUP BY event_id)"""
+
+
+@query(f'WITH {_CHAIN} SELECT event_id, tmp AS "TMP_Value", speed AS "WND_Speed" FROM c')
+def flight_chain(spark, d):
+    """From raw files to one row per flight with its weather."""
+    return joined_flights(spark, d).select(F.col("DISTANCE").alias("event_id"), "TMP_Value", "WND_Speed")
+
+
+@query(f"""WITH {_CHAIN} SELECT event_id, CAST(hhmm AS INTEGER) AS "CRS_DEP_TIME", tmp AS "TMP_Value", round(coalesce(speed, avg(speed) OVER (PARTITION BY num, tail), 0), 6) AS "WND_Speed_mean", 0.0::DOUBLE AS "AA_RainDepth", '0' AS weather_condition FROM c""")
+def flight_features(spark, d):
+    """The same, filled and shaped for a model, without the columns that tell the outcome."""
+    out = flights.drop_features(flights.shape_features(joined_flights(spark, d)))
+    return out.select(F.col("DISTANCE").alias("event_id"), "CRS_DEP_TIME", "TMP_Value", F.round("WND_Speed_mean", 6).alias("WND_Speed_mean"), "AA_RainDepth", "weather_condition")

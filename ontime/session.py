@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +25,20 @@ def session(name: str = "ontime", master: str | None = None, **conf) -> SparkSes
 def stored(df: DataFrame) -> DataFrame:
     """The table computed and written to the checkpoint folder: later plans start from there.
 
-    A cluster names the folder in spark.checkpoint.dir; only where it is unset, as in tests, a
-    temporary one takes its place.
+    A cluster names the folder in spark.checkpoint.dir. Where it is unset and the session runs on this
+    machine alone, as in tests, a temporary one takes its place; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")

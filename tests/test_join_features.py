@@ -1,6 +1,7 @@
 """Time joins, aggregation, features, encoders."""
 
 import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ontime import columns as C
 from ontime.operators import aggregate as A
+from ontime.operators import clean as P
 from ontime.operators import encode as T
 from ontime.operators import features as W
+from ontime.operators import graph as G
 from ontime.operators import timejoin as J
 from ontime.plans import flights
 from ontime.plans.inspect import uses_python
@@ -39,14 +42,36 @@ def flights_and_readings(spark):
     return f, r
 
 
-@pytest.mark.parametrize("bucket", [None, 1, 3])
-def test_interval_join_includes_both_ends(spark, bucket):
+@pytest.mark.parametrize("longest", [None, 4, 5.5, 100])
+def test_interval_join_includes_both_ends(spark, longest):
     f, r = flights_and_readings(spark)
-    j = J.interval_join(f, r, [("k", "rk")], "DATE_UTC", "WEATHER_WINDOW_START", "WEATHER_WINDOW_END", "left", bucket)
+    j = J.interval_join(f, r, [("k", "rk")], "DATE_UTC", "WEATHER_WINDOW_START", "WEATHER_WINDOW_END", "left", longest)
+    assert j.columns == f.columns + r.columns
     got = sorted((x["id"], -1 if x["v"] is None else x["v"]) for x in j.collect())
     assert got == sorted(2 * [(1, 1), (1, 2), (1, 3)] + [(2, -1), (3, -1)])
 
 
+def test_intervals_of_any_kind(spark):
+    """Random intervals, null and empty ones among them, against all pairs."""
+    rng = random.Random(6)
+    at = lambda: NOON + timedelta(minutes=rng.randrange(3000))
+    left = []
+    for i in range(120):
+        a = at()
+        b = a + timedelta(minutes=rng.choice([0, 5, 239, 240, -30]))
+        left.append((i, rng.choice("ABC"), None if i % 17 == 0 else a, None if i % 19 == 0 else b))
+    right = [(rng.choice("ABD"), None if i % 23 == 0 else at(), i) for i in range(150)]
+    x = spark.createDataFrame(left, "id int, k string, s timestamp, e timestamp")
+    y = spark.createDataFrame(right, "rk string, p timestamp, v int")
+    want = sorted((i, v) for i, k, s, e in left for rk, p, v in right if s and e and p and k == rk and s <= p <= e)
+    for how in ("inner", "left"):
+        got = [(r["id"], r["v"]) for r in J.interval_join(x, y, [("k", "rk")], "p", "s", "e", how, 4).collect()]
+        none = [(i, None) for i, *_ in left if i not in {i for i, _ in want}] if how == "left" else []
+        assert sorted(got, key=str) == sorted(want + none, key=str)
+    with pytest.raises(Exception, match="longer than"):
+        J.interval_join(x, y, [("k", "rk")], "p", "s", "e", "left", 3).collect()
+
+
 @pytest.mark.parametrize(
     ("rows", "want"),
     [([(10, 2.0, 120), (20, 1.0, 240)], 15.0), ([(10, 0.0, 60), (30, 1.0, 60)], 20.0), ([(None, 1.0, 60), (7, 9.0, 0)], 7.0), ([(None, 1.0, 60)], None)],
@@ -114,6 +139,16 @@ def test_sampling_sizes(spark):
     assert math.isclose(weights[1], 10 / 13) and math.isclose(weights[0], 3 / 13)
 
 
+def test_choices_follow_the_key(spark):
+    """Chosen rows are the same however rows are dealt out."""
+    df = spark.range(2000).select("id", (F.col("id") % 10 == 0).cast("int").alias("y"), F.lit(None).cast("string").alias("n"))
+    for choose in (lambda d: W.undersample(d, "y", 3), lambda d: P.sample(d, 0.3, 3), lambda d: P.sample(d, 0.3, 3, ["id"]), lambda d: G.random_rows(d, 50, 3, ["id"])):
+        one, two = (sorted(r["id"] for r in choose(d).collect()) for d in (df.repartition(7), df.coalesce(1)))
+        assert one == two and len(one) < 1000
+    under = W.undersample(df, "y", 3, key=["id"])
+    assert under.where("y = 1").count() == 200 and 150 < under.where("y = 0").count() < 250
+
+
 def test_interactions(spark):
     df, names = W.interactions(spark.createDataFrame([(0.0, 1.0), (2.0, 3.0)], "a double, b double"), ["a", "b"])
     assert names == ["a_b"] and [r["a_b"] for r in df.collect()] == [0.0, 6.0]

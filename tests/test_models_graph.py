@@ -58,14 +58,49 @@ def test_cross_validation_and_models(spark, points, tmp_path):
     lr = models.logistic("y", rounds=10)
     cv = K.TimeFoldValidator(lr, K.grid({lr.regParam: [0.0, 5.0]}), "y", sampling="over", prepare=prepare)
     model = cv.fit(points, K.rolling_folds(0, 60, 20, 60, 2), F.col("m"))
-    assert model.best == 0 and model.metrics(spark).count() == 4
+    assert model.best == 0 and model.metrics(spark).count() == 4 and not model.sub_models
     model.save(spark, str(tmp_path / "cv"))
+    again = K.TimeFoldModel.load(spark, str(tmp_path / "cv"))
+    assert again.best_model.coefficients == model.best_model.coefficients and again.settings == [{"regParam": 0.0}, {"regParam": 5.0}]
     fitted, scored = K.evaluate_holdout(models.forest("y", 3, 5), points.where("m < 150"), points.where("m >= 150"), "y", prepare=prepare)
     assert M.confusion(scored, label="y").first()["f_beta"] > 0.9
     names = models.feature_names(scored, "vectorized_features")
     assert models.importances(spark, fitted, names).first()["feature"] == "x"
 
 
+def test_tuner_takes_any_evaluator(spark, points, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+
+    df = T.tree_pipeline(["x", "z"]).fit(points).transform(points)
+    folds, lr = K.rolling_folds(0, 60, 20, 60, 2), models.logistic("y", rounds=10)
+    area = BinaryClassificationEvaluator(labelCol="y")
+    cv = K.TimeFoldValidator(lr, K.Grid().base_on({lr.threshold: 0.5}).add(lr.regParam, [0.0, 0.1]).build(), "y", evaluator=area, keep_models=True)
+    model = cv.fit(df, folds, F.col("m"))
+    assert set(model.sub_models) == {1, 2} and all(len(m) == 2 for m in model.sub_models.values())
+    for r in model.metrics(spark).collect():
+        valid = df.where(f"m >= {folds[r['fold'] - 1].valid[0]} AND m < {folds[r['fold'] - 1].valid[1]}")
+        assert r["score"] == pytest.approx(area.evaluate(model.sub_models[r["fold"]][r["map"]].transform(valid))) and r["f_beta"] is None
+    model.save(spark, str(tmp_path / "t"))
+    again = K.TimeFoldModel.load(spark, str(tmp_path / "t"))
+    assert again.best == model.best and again.rows == sorted(model.rows) and again.sub_models[2][1].coefficients == model.sub_models[2][1].coefficients
+    # a smaller error is better, and the tuner is an estimator
+    trees = models.boosted("z", depth=2, rounds=2, regression=True, minInstancesPerNode=3)
+    error = K.TimeFoldValidator(trees, K.grid({trees.maxDepth: [1, 4]}), "z", evaluator=RegressionEvaluator(labelCol="z"), folds=folds, time=F.col("m"))
+    fitted = Pipeline(stages=[error]).fit(df)
+    best = fitted.stages[0]
+    assert not error.larger_is_better and best.mean_metrics[best.best] == min(best.mean_metrics) and "prediction" in fitted.transform(df).columns
+
+
+def test_grid_builder():
+    lr = models.logistic("y")
+    maps = K.Grid().base_on({lr.labelCol: "l"}).base_on([(lr.predictionCol, "p")]).add(lr.regParam, [1, 2.0]).add(lr.maxIter, [1, 5]).build()
+    assert len(maps) == 4 and all(m[lr.labelCol] == "l" and m[lr.predictionCol] == "p" and isinstance(m[lr.regParam], float) for m in maps)
+    assert {(m[lr.regParam], m[lr.maxIter]) for m in maps} == {(1.0, 1), (1.0, 5), (2.0, 1), (2.0, 5)}
+    with pytest.raises(TypeError):
+        K.Grid().add("regParam", [1])
+
+
 def test_plain_folds(points):
     from pyspark.ml.regression import RandomForestRegressor
 

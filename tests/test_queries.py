@@ -11,7 +11,7 @@ from ontime import queries
 from ontime.plans.inspect import uses_python
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"lr_cv", "random_search", "mean_fold_metrics", "kfold_forest"}
+SLOW = {"lr_cv", "random_search", "kfold_forest"}
 
 
 @pytest.fixture(scope="module")
