@@ -249,10 +249,32 @@ def test_quality_odd_rows(odd, none):
 # --- substrings
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_repeated_bytes(docs, rows, hot):
-    got = by_id(suffix_dedup.suffix_dedup(docs, hot=hot), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+@pytest.mark.parametrize(("hot", "passage"), [(20_000, 256), (2, 256), (20_000, 400), (20_000, 100)])
+def test_repeated_bytes(docs, rows, hot, passage):
+    got = by_id(suffix_dedup.suffix_dedup(docs, hot=hot, passage=passage), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == brute.repeated_bytes(rows)
+    shared = by_id(suffix_dedup.suffix_dedup(docs, hot=hot, passage=passage), "n_passage_bytes")
+    assert shared == {i: (r[1],) for i, r in brute.repeated_bytes(rows, passage).items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_near_the_lengths(spark, seed):
+    """Shared strings just below and above both lengths, at the ends of texts, periodic ones among them."""
+    rng = random.Random(seed)
+    pool = ["".join(rng.choice("abcd ") for _ in range(1200)) for _ in range(3)] + ["ab" * 400, "x" * 500]
+    rows = []
+    for i in range(40):
+        parts = ["".join(rng.choice("klmn") for _ in range(rng.randrange(0, 60)))]
+        for _ in range(rng.randrange(1, 4)):
+            p, n = rng.choice(pool), rng.choice([99, 100, 101, 149, 150, 151, 160, 300])
+            at = rng.randrange(max(1, len(p) - n))
+            parts += [p[at : at + n], "".join(rng.choice("klmn") for _ in range(rng.randrange(0, 3)))]
+        rows.append({"doc_id": i, "text": "".join(parts)})
+    df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string").repartition(3)
+    for hot in (10_000, 3):
+        got = by_id(suffix_dedup.suffix_dedup(df, size=150, passage=100, hot=hot), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes")
+        want, shared = brute.repeated_bytes(rows, 150), brute.repeated_bytes(rows, 100)
+        assert got == {i: (*want[i], shared[i][1]) for i in want}
 
 
 def test_repeated_bytes_odd_rows(odd, none):
@@ -268,12 +290,12 @@ def test_columns_find_aligned_repeats():
     columns[20, 3:12] = columns[21, 3:12]
     columns[::7, 25:] = 256
     group = np.sort(rng.integers(0, 4, 40))
-    found = suffix_dedup.insert_columns(columns, group, 6, 25)
-    for i in range(40):
-        for p in range(25):
-            part = columns[i, p : p + 6]
-            same = len(part) == 6 and 256 not in part and any(group[j] == group[i] and (columns[j, p : p + 6] == part).all() for j in range(40) if j != i)
-            assert found[i, p] == same, (i, p)
+    for size, found in zip((6, 4), suffix_dedup.insert_columns(columns, group, (6, 4), 25), strict=True):
+        for i in range(40):
+            for p in range(25):
+                part = columns[i, p : p + size]
+                same = len(part) == size and 256 not in part and any(group[j] == group[i] and (columns[j, p : p + size] == part).all() for j in range(40) if j != i)
+                assert found[i, p] == same, (i, p)
 
 
 @pytest.mark.parametrize("hot", [50_000, 3])
