@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by weighted finite-state transduction.
 
-A model file is compiled into three transducers: the normaliser (spaces become U+2581, one is put
-before a text), the pieces as a trie whose arcs write piece ids, and byte fallback arcs for
-characters that no piece has. A text is composed with them position by position, and the
+A model file is compiled into three transducers: the normaliser (the model's character map, longest
+match first; then spaces become U+2581, and one is put before a text), the pieces as a trie whose
+arcs write piece ids, and byte fallback arcs for characters that no piece has. A text is composed with them position by position, and the
 shortest path in the tropical semiring (weights add along a path, the least sum wins) is its
 encoding.
 
@@ -16,7 +16,13 @@ left edge of the other.
 No piece has a space mark after another character, so paths meet before each run of marks:
 texts are composed run by run, and runs seen before are not composed again.
 
-Cases: null and empty texts have no ids. U+2581 in a text is read as a space. Very long runs are
+The character map is a double array in the model file: it is walked once, into a trie of characters
+with outputs. A text goes through it from left to right, and through a second, three-state
+transducer for spaces (at the start, after a space, after anything else), which a regular
+expression stands for.
+
+Cases: null and empty texts have no ids. A text that the normaliser changes doesn't decode to
+itself, but to the normalised text. U+2581 in a text is read as a space. Very long runs are
 composed like others and not remembered. Rows with null or equal ids are separate rows. An
 empty table gives an empty result. Other columns are ignored.
 """
@@ -83,12 +89,91 @@ class Model:
             elif field == 2:
                 self.kind = dict(_wire(value)).get(3, UNIGRAM)
             elif field == 3:
-                n = dict(_wire(value))
-                self.charsmap, self.dummy_prefix, self.squeeze = n.get(2, b""), bool(n.get(3, 1)), bool(n.get(4, 1))
+                n = dict(_wire(value))  # a message that comes in parts is merged
+                self.charsmap = n.get(2, self.charsmap)
+                self.dummy_prefix, self.squeeze = bool(n.get(3, self.dummy_prefix)), bool(n.get(4, self.squeeze))
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models")
-        if self.charsmap:
-            raise ValueError("only models with the identity normaliser")
+
+
+def character_map(data: bytes) -> dict[str, str]:
+    """What a precompiled character map replaces, by what.
+
+    Its first four bytes are the size of a double array, whose units hold a label (low byte), whether
+    a key ends there (bit 8), where the children are (bits 10 to 30, times 256 if bit 9 is set), or at
+    a key's end the place of its output. Outputs follow, each ended by a zero byte.
+    """
+    if not data:
+        return {}
+    size = int(np.frombuffer(data[:4], "<u4")[0])
+    units, outputs = np.frombuffer(data[4 : 4 + size], "<u4").astype(np.int64), data[4 + size :]
+    children = lambda u: (u >> 10) << ((u & 512) >> 6)
+    labels = np.arange(1, 256)
+    found: dict[str, str] = {}
+    todo = [(int(children(units[0])), b"")]  # place that children's labels are added to, key so far
+    while todo:
+        at, key = todo.pop()
+        places = at ^ labels
+        places, bytes_ = places[places < len(units)], labels[places < len(units)]
+        hit = (units[places] & (0x80000000 | 255)) == bytes_
+        for place, c in zip(places[hit].tolist(), bytes_[hit].tolist(), strict=True):
+            unit = int(units[place])
+            below = place ^ children(unit)
+            longer = key + bytes([c])
+            if unit >> 8 & 1:
+                start = int(units[below]) & 0x7FFFFFFF
+                found[longer.decode()] = outputs[start : outputs.index(b"\0", start)].decode()
+            todo.append((below, longer))
+    return found
+
+
+class Normaliser:
+    """The character map and the handling of spaces."""
+
+    def __init__(self, model: Model):
+        self.dummy_prefix, self.squeeze = model.dummy_prefix, model.squeeze
+        rules = character_map(model.charsmap)
+        kept = {model.pieces[i]: model.pieces[i] for i, t in enumerate(model.types) if t == USER} if rules else {}
+        self.trie: dict = {}  # nested by character; "" holds the output of the key that ends there
+        for key, out in (rules | kept).items():
+            node = self.trie
+            for c in key:
+                node = node.setdefault(c, {})
+            node[""] = out
+        starts = "".join(map(re.escape, self.trie))
+        self._may_start = re.compile(f"[{starts}]") if starts else None
+
+    def _mapped(self, text: str) -> str:
+        """The text with the longest match at each place replaced, from left to right."""
+        out, end = [], 0
+        m = self._may_start.search(text)
+        while m:
+            i = j = m.start()
+            node, best = self.trie, None
+            while j < len(text) and (node := node.get(text[j])) is not None:
+                j += 1
+                if "" in node:
+                    best = (j, node[""])
+            if best is None:
+                m = self._may_start.search(text, i + 1)
+                continue
+            out += [text[end:i], best[1]]
+            end = best[0]
+            m = self._may_start.search(text, end)
+        return "".join([*out, text[end:]])
+
+    def __call__(self, text: str) -> str:
+        if self._may_start is not None:
+            text = self._mapped(text)
+        if self.squeeze:
+            text = _SPACES.sub(" ", text).strip(" ")
+        if not text:
+            return ""
+        out = (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
+        return out.rstrip(MARK) if self.squeeze else out  # a mark that a text ends with goes like a space
+
+
+_SPACES = re.compile("  +")
 
 
 class Transducer:
@@ -108,6 +193,7 @@ class Transducer:
         self.byte = {int(model.pieces[i][1:-1], 16): i for i, t in enumerate(model.types) if t == BYTE}
         self.weight = {p: -model.scores[i] for p, i in self.id.items()}
         self.worst = max(self.weight.values(), default=0.0) + 10.0
+        self.normalise = Normaliser(model)
         self.by_run = not any(MARK in p.lstrip(MARK) for p in self.id)
         self.out = [self._bytes_of(i) for i in range(len(model.pieces))]
         self._edges: dict[str, tuple] = {}
@@ -258,13 +344,6 @@ class Transducer:
                 ids += self._fallback(piece)
         return tuple(ids)
 
-    def normalise(self, text: str) -> str:
-        if self.model.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
-
     def encode(self, text: str) -> list[int]:
         whole = self.normalise(text)
         if not self.by_run:
@@ -311,7 +390,8 @@ def _model(path: str) -> bytes:
 def encode(docs: DataFrame, model: str = MODEL, check: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids, round_trip, decoded_sha256: one row for each row of docs.
 
-    round_trip: decoding the ids gives the text again (with U+2581 read as a space).
+    round_trip: decoding the ids gives the text again (with U+2581 read as a space). The model file is
+    read by the driver and sent along.
     """
     sent = docs.sparkSession.sparkContext.broadcast(_model(model))
 
