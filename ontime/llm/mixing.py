@@ -11,7 +11,10 @@ and then the leading blocks of the seeded order, so few documents are cut.
 Highest quotients are found without listing all of them: the seats that every entry is sure to
 get follow from bounds on the divisor, and only the few quotients around it are ranked.
 
-Cases: null and empty texts have size 0 and take nothing; null sources form one source, the
+Texts are counted once into a narrow table of sizes, from which shares, shards and quotas follow.
+
+Cases: null and empty texts have size 0 and take nothing; a text of any length is one document, cut
+at most once; null sources form one source, the
 last; rows with equal or null ids are mixed as separate rows, in the order of id, then size.
 An empty table gives an empty result. Other columns are carried along.
 """
@@ -88,24 +91,31 @@ def quotas(sizes: DataFrame, weights, share, repeats, block, shard_tokens, shard
     return s.select("source", "rank", "source_size", "target", "source_blocks", F.greatest(F.lit(1), parts).alias("shards"))
 
 
+def words_in(name: str = "text"):
+    """The number of words of a text."""
+    return F.regexp_count(text_or_empty(name), F.lit(WORD)).cast("long")
+
+
 def _mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int = 2, block: int = 16,
-         shard_tokens: int = 1_000_000, shard_rows: int = 50_000, seed: int = 1) -> DataFrame:
+         shard_tokens: int = 1_000_000, shard_rows: int = 50_000, seed: int = 1, words: str | None = None) -> DataFrame:
     """The columns of docs as c0, c1, ..., and what mix adds."""
     rows = docs.select(
         *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)],
         F.col("doc_id").alias("doc_id"),
         F.col("source").alias("source"),
-        F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
+        (F.col(words).cast("long") if words else words_in()).alias("size"),
         md5_key(str(seed)).alias("key"),
     )
-    sources = quotas(rows.select("source", "size"), weights, share, repeats, block, shard_tokens, shard_rows)
+    sizes = rows.select("doc_id", "source", "size")
+    sizes = sizes if words else materialise(sizes, "mix-sizes")
+    sources = quotas(sizes.select("source", "size"), weights, share, repeats, block, shard_tokens, shard_rows)
     sources = materialise(sources, "mix-sources")
     few = sources.count() <= 50_000  # under a few MB
     named = sources.withColumnRenamed("source", "named")
     named = F.broadcast(named) if few else named
     shard = F.pmod(_long_of_md5(md5_key(f"{seed}:shard")), F.col("shards"))
     with_source = lambda df: df.join(named, F.col("source").eqNullSafe(F.col("named")), "left").withColumn("shard", shard)
-    sums = with_source(rows.select("doc_id", "source", "size")).groupBy("rank", "shard").agg(
+    sums = with_source(sizes).groupBy("rank", "shard").agg(
         F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks")
     )
     sums = sums.withColumn("nb", F.ceil(F.col("shard_size") / F.lit(float(block))))
@@ -132,7 +142,8 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     """docs with size, source_size, target, taken, passes (whole copies) and extra (leading
     words of one more copy): taken = passes * size + extra. They replace columns of these names.
 
-    Settings: weights, share, repeats, block, shard_tokens, shard_rows, seed.
+    Settings: weights, share, repeats, block, shard_tokens, shard_rows, seed, and words: a column of
+    docs that holds the texts' sizes already, so that texts aren't needed.
     """
     mixed = _mix(docs, **settings)
     kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ADDED]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ontime.llm import exact_dedup, mixing, quality, secret_scan, sentencepiece_fst, simhash, substring_dedup, suffix_dedup, toxicity, warc
-from ontime.llm.common import table
+from ontime.llm.common import materialise, table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +13,8 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words_in().alias("words"))
+    return mixing.mix(materialise(docs, "mix-words"), words="words").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
