@@ -14,7 +14,8 @@ before the shuffle, so no task gets all occurrences of a common passage.
 
 Cases: null text has no words; texts shorter than a window lose nothing. A null id counts as
 larger than any other, and rows without ids, or with equal ids, never remove words of each
-other. An empty table gives an empty result. Other columns are ignored.
+other. Texts of any length are cut into windows in one go, by one task each. An empty table gives an
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,12 +54,15 @@ def identified(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("h"), "text")
 
 
-def least_places(hashes: np.ndarray, width: int) -> np.ndarray:
-    """For each run of `width` hashes: the place of its least one, leftmost of equals."""
-    if len(hashes) < width:
-        return np.zeros(0, dtype=np.int64)
-    packed = (hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)
-    return (sliding_min(packed, width) & _POSITION).astype(np.int64)
+def least_places(hashes: np.ndarray, width: int, block: int = 1 << 27) -> np.ndarray:
+    """For each run of `width` hashes: the place of its least one, leftmost of equals. Looked at in
+    blocks, so that places inside a block fit into the low bits of a hash."""
+    out = [np.zeros(0, dtype=np.int64)]
+    for b in range(0, len(hashes) - width + 1, block):
+        part = hashes[b : b + block + width - 1]
+        packed = (part & ~_POSITION) | np.arange(len(part), dtype=np.uint64)
+        out.append((sliding_min(packed, width) & _POSITION).astype(np.int64) + b)
+    return np.concatenate(out)
 
 
 def _windows(words: np.ndarray, size: int, seed: int):
@@ -134,11 +138,16 @@ def _anchors(size: int, seed: int):
     return run
 
 
+#: Rows of one id under one anchor that a task holds back.
+MOST_HELD = 50_000
+
+
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows, sorted by anchor, whose anchor occurs in documents with different ids.
 
-    Rows of an anchor are held back only as long as all of them are of one document. Rows whose
-    kind is known already pass through.
+    Rows of an anchor are held back only as long as all of them are of one id, and not more than
+    MOST_HELD: beyond that they are handed on as if another id had followed, which costs work if
+    none does, but changes nothing. Rows whose kind is known already pass through.
     """
     held: pd.DataFrame | None = None
     open_anchor = None  # an anchor already known to be shared
@@ -162,6 +171,9 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep = np.repeat(shared, sizes)
         if shared[-1]:
             open_anchor = anchor[-1]
+        elif sizes[-1] > MOST_HELD:
+            keep[starts[-1] :] = True
+            open_anchor = anchor[-1]
         else:
             held = pdf.iloc[starts[-1] :]
         yield pdf[keep]
