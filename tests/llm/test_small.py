@@ -304,6 +304,30 @@ def test_repeated_words(docs, rows, hot):
     assert got == brute.repeated_words(rows)
 
 
+def test_many_rows_of_one_id(spark, monkeypatch):
+    """Rows without ids share a passage; more of them than a task holds back."""
+    rng = random.Random(12)
+    passage = some_words(rng, 40)
+    rows = [(None, f"{some_words(rng, 5)} {passage} {i}") for i in range(60)] + [(4, f"{passage} end"), (9, f"x y {passage}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = {(r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(df).collect()}
+    assert (9, 42, 40) in want and (4, 41, 0) in want and all(n == 40 for i, _, n in want if i is None)
+    anchors = pd.DataFrame({"anchor": 1, "id": [5] * 30 + [6], "h": range(31), "span": 0, "kind": 0})
+    monkeypatch.setattr(substring_dedup, "MOST_HELD", 10)
+    for rows in (anchors, anchors.iloc[:30]):
+        got = pd.concat(substring_dedup._shared(rows.iloc[i : i + 4] for i in range(0, len(rows), 4)))
+        assert sorted(got["h"]) == list(range(len(rows)))  # handed on, whether another id follows or not
+    assert not sum(map(len, substring_dedup._shared(iter([anchors.iloc[:5]]))))
+
+
+def test_places_in_blocks():
+    hashes = np.random.default_rng(2).integers(0, 2**63, 1000, dtype=np.uint64) >> np.uint64(33) << np.uint64(33)
+    want = [i + int(np.argmin(hashes[i : i + 20])) for i in range(981)]
+    for block in (7, 64, 981, 5000):
+        assert substring_dedup.least_places(hashes, 20, block).tolist() == want
+    assert not len(substring_dedup.least_places(hashes[:19], 20))
+
+
 def test_repeated_words_odd_rows(odd, none):
     out = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(odd).collect())
     assert out == [(False, 3, 0, 0), (False, 7, 120, 0), (False, 7, 120, 0), (False, 7, 121, 0), (True, 0, 0, 0), (True, 0, 120, 120), (True, 0, 120, 120)]
@@ -568,13 +592,136 @@ def test_unigram_takes_the_cheapest_path():
     assert t.decode(t.encode("ab ab")) == "ab ab"
 
 
+def _field(number, data):
+    size, out = len(data), [number << 3 | 2]
+    while size > 127:
+        out.append(size & 127 | 128)
+        size >>= 7
+    return bytes([*out, size]) + data
+
+
+AWKWARD = ["ＡＢＣ　①ﬁ\u200b x\t y", "ｶﾞ e\u0301 ½ ㍿ …", "  two  \u3000 spaces \n", "\u00a0", "", "plain words", "한글 \u1112\u1161\u11ab", "ﷺ x", "a\u0327\u0301b", "\ufb03\ufb03 ▁ ▁"]
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "nfkc_cf"])
+def test_normaliser_equals_the_library(rule):
+    """Character maps of the library's own rules, compiled from the double array of the model file."""
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+    model = sentencepiece_fst.Model(own.serialized_model_proto())
+    assert len(sentencepiece_fst.character_map(model.charsmap)) > 3000
+    normal = sentencepiece_fst.Normaliser(model)
+    rng = random.Random(1)
+    alphabet = "aZé ｱﾞ①\u0301\u0327ﬁ\t\u3000\u200bß…ǅ½ 한\u1112\u1161ﷺ\n▁"
+    texts = [*AWKWARD, *("".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(800))]
+    for text in texts:
+        assert normal(text) == own.normalize(text), ascii(text)
+
+
+def test_tokens_with_a_character_map(spark, tmp_path):
+    """The public model with a character map in its normaliser: ids equal the library's."""
+    import sentencepiece
+
+    spec = sentencepiece_fst.Model(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()).charsmap
+    data = sentencepiece_fst._model(sentencepiece_fst.MODEL) + _field(3, _field(2, spec))
+    path = tmp_path / "nfkc.model"
+    path.write_bytes(data)
+    own = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    t = sentencepiece_fst.transducer(data)
+    assert t.encode("ﬁ ①") == own.encode("ﬁ ①") != sentencepiece_fst.transducer(sentencepiece_fst._model(sentencepiece_fst.MODEL)).encode("ﬁ ①")
+    df = spark.createDataFrame(list(enumerate(AWKWARD)), "doc_id long, text string")
+    got = by_id(sentencepiece_fst.encode(df, model=str(path)), "ids", "round_trip")
+    assert {i: ids for i, (ids, _) in got.items()} == {i: own.encode(x) for i, x in enumerate(AWKWARD)}
+    assert got[5][1] and not got[0][1]
+
+
 def test_tokens_odd_rows(odd, none):
     assert sentencepiece_fst.encode(odd).count() == 7 and sentencepiece_fst.encode(none).count() == 0
 
 
+# --- very long texts, and awkward tables for all operators
+
+
+def test_very_long_texts(spark, library):
+    """Two texts of 300,000 words that are the same, and one that shares half of them."""
+    rng = random.Random(21)
+    text = some_words(rng, 300_000, 50_000)
+    half = " ".join(text.split(" ")[:150_000]) + " password: abcdefghijkl0123 " + some_words(rng, 1000)
+    texts = {1: text, 2: text, 3: half, 4: "short"}
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA).repartition(2)
+    n = {i: len(t.split()) for i, t in texts.items()}
+    assert by_id(exact_dedup.exact_dedup(df), "keep_id", "group_size") == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (4, 1)}
+    assert by_id(mixing.mix(df), "size") == {i: (x,) for i, x in n.items()}
+    counts = by_id(quality.quality(df), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert counts == {i: brute.quality(t) for i, t in texts.items()}
+    cut = by_id(suffix_dedup.suffix_dedup(df), "n_bytes", "n_removed", "n_spans")
+    shared = len(" ".join(text.split(" ")[:150_000])) + 1
+    assert cut == {1: (len(text), len(text), 1), 2: (len(text), len(text), 1), 3: (len(half), shared, 1), 4: (5, 0, 0)}
+    assert by_id(substring_dedup.substring_dedup(df), "n_words", "n_removed") == {1: (n[1], 0), 2: (n[2], n[2]), 3: (n[3], 150_000), 4: (1, 0)}
+    model = {"terms": [("w12", False)], "context": {}, "weights": [-1.0, 1.0, 0.0, 0.0, 0.0, 0.0], "share": 0.1, "quote": 0.3}
+    assert by_id(toxicity.score(df, model), "n_hits") == {i: (t.split().count("w12"),) for i, t in texts.items()}
+    assert by_id(simhash.fingerprints(df), "fp")[3] != by_id(simhash.fingerprints(df), "fp")[1]
+    assert by_id(simhash.near_dedup(df), "fingerprint") == {i: (f"{brute.simhash(t):016x}",) for i, t in texts.items()}
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == {1, 3, 4}
+    found = by_id(secret_scan.report(secret_scan.secret_scan(df)[0]), "n_assign", "base_sha256")
+    assert found == {i: (brute.secrets(t)[0], brute.secrets(t)[3]) for i, t in texts.items()}
+    pages = spark.createDataFrame([(i, "u", t) for i, t in texts.items()], "page_id long, url string, html string")
+    assert {r["page_id"]: (r["payload_bytes"], r["refers_to"]) for r in warc.round_trip(pages).collect()} == {1: (len(text), 2), 2: (len(text), None), 3: (len(half), None), 4: (5, None)}
+    tokens = by_id(sentencepiece_fst.encode(df), "n_tokens", "round_trip")
+    assert tokens == {i: (len(library.encode(t)), True) for i, t in texts.items()}
+
+
+def test_odd_rows_have_defined_results(odd, none):
+    """Null ids, repeated rows and repeated ids with other texts, compared in value."""
+    text = " ".join(f"v{i}" for i in range(120))
+    clash = odd.withColumns({c: F.lit(1) for c in CLASHING if c not in odd.columns})
+    for df in (odd, clash):
+        print_ = f"{brute.simhash(text):016x}"
+        near = [(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_dedup(df).collect()]
+        assert near.count((None, print_, 7)) == 2 and near.count((7, print_, 7)) == 2 and near.count((None, "0" * 16, 3)) == 1 and (3, "0" * 16, 3) in near
+        taken = mixing.mix(df).collect()
+        assert len(taken) == 7 and all(0 <= r["taken"] <= 2 * r["size"] for r in taken) and abs(sum(r["taken"] for r in taken) - 1.5 * sum(r["size"] for r in taken)) <= 32
+        assert {r["size"] for r in taken} == {0, 120, 121} and set(df.columns) - {"target"} <= set(taken[0].asDict())
+        again = sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in mixing.mix(df.repartition(3)).collect())
+        assert again == sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in taken)
+        assert sum(len(brute.words(r["text"])) for r in mixing.take(df).collect()) == sum(r["taken"] for r in taken)
+        found = secret_scan.report(secret_scan.secret_scan(df)[0]).collect()
+        assert sorted(str(r["doc_id"]) for r in found) == ["3", "7", "7", "7", "None", "None", "None"] and {r["spans"] for r in found} == {""}
+        ids = {(r["doc_id"], r["n_tokens"]) for r in sentencepiece_fst.encode(df).collect()}
+        assert len(ids) == 5 and {n for i, n in ids if i == 3} == {0}
+        model = {"terms": [("v7", False)], "context": {}, "weights": [-1.0, 1.0, 0.0, 0.0, 0.0, 0.0], "share": 0.1, "quote": 0.3}
+        scores = sorted((str(r["doc_id"]), r["n_hits"], r["held_out"]) for r in toxicity.score(df, model).collect())
+        assert scores == sorted([("None", 1, False)] * 2 + [("None", 0, False), ("3", 0, brute.held_out(3))] + [("7", 1, brute.held_out(7))] * 3)
+        same = odd.sparkSession.createDataFrame([(7, 1), (7, 0), (3, 0), (None, 1)], "doc_id long, toxic int")
+        assert toxicity.toxicity(df, same).count() == 7
+    assert mixing.mix(none).count() == toxicity.score(none, model).count() == secret_scan.report(secret_scan.secret_scan(none)[0]).count() == 0
+
+
+def test_repeated_pages(spark):
+    """Rows that share page_id, with equal and with other payloads."""
+    pages = spark.createDataFrame([(1, "a", "p"), (1, "a", "p"), (1, "a", "q"), (0, "b", "p"), (None, "c", "p"), (None, None, None)], "page_id long, url string, html string")
+    got = sorted((str(r["page_id"]), r["payload_digest"] == warc.sha1_base32(b"p"), r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect())
+    assert got == sorted([("1", True, "response", None)] * 2 + [("1", False, "response", None), ("0", True, "revisit", 1), ("None", True, "revisit", 1), ("None", False, "response", None)], key=str)
+
+
 # --- queries and pipeline
 
 
+def test_pipeline_of_odd_tables(odd, none):
+    """Every stage takes null ids, repeated rows, clashing columns and no rows at all."""
+    import corpus_pipeline as pipeline
+
+    extra = {"size": F.lit(1), "row": F.lit(2)}
+    for df in (odd.withColumns(extra), none.withColumns(extra)):
+        docs = df
+        for name, stage in pipeline.STAGES[:-1]:
+            docs = common.materialise(stage(df.sparkSession, docs, DATA), "odd-stage")
+            assert docs.columns == df.columns, name
+        last = pipeline.STAGES[-1][1](df.sparkSession, docs, DATA)
+        assert last.count() == docs.count() and (df is none or last.where("round_trip").count() == docs.count())
+
+
 def test_pipeline_equals_brute_force(spark, library):
     """Every stage on the smallest tables, one after the other, against plain Python."""
     import corpus_pipeline as pipeline
