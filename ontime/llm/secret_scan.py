@@ -9,7 +9,8 @@ new version of the rules costs one scan of each blob.
 Spans are code points, end exclusive. Where a rule matched follows from the text between its
 matches: split and extract give both, and their lengths add up to positions.
 
-Cases: null text counts as empty; blobs without findings have ledger rows too, with no spans.
+Cases: null text counts as empty; spans that start together stand in the order of RULES; a text of any
+length is scanned whole, in one row; blobs without findings have ledger rows too, with no spans.
 A null id is a path like any other. An empty table gives an empty result. Other columns are
 ignored.
 """
@@ -74,6 +75,9 @@ def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
     return t.select("blob", F.array_sort(F.concat(*found)).alias("spans"))
 
 
+#: Blobs with several paths that are sent to all tasks, 40 bytes each.
+FEW = 100_000
+
 LEDGER = "blob binary, rules int, spans array<struct<start:int,rank:int,kind:string,end:int>>"
 _NO_ID = -(1 << 63)
 
@@ -87,12 +91,20 @@ def versions(docs: DataFrame) -> DataFrame:
 def extend_ledger(all_versions: DataFrame, paths: DataFrame, ledger: DataFrame | None, rules=RULES, version: int = RULES_VERSION) -> DataFrame:
     """Ledger rows of the blobs in paths that `ledger` lacks under this version of the rules.
 
-    One copy of each unseen blob is scanned, the one with the largest id.
+    One copy of each unseen blob is scanned, the one with the largest id. Without a ledger only blobs
+    with several paths have to be told apart: where these are few, texts stay where they are.
     """
-    one = paths.groupBy("blob").agg(F.max("id").alias("id"))
+    one = paths.groupBy("blob").agg(F.max("id").alias("id"), F.count("*").alias("n"))
+    texts = all_versions.select("blob", "id", "text")
+    copies = None
     if ledger is not None:
         one = one.join(ledger.where(F.col("rules") == version), "blob", "left_anti")
-    unseen = all_versions.select("blob", "id", "text").join(one, ["blob", "id"])
+    else:
+        copies = materialise(one.where("n > 1").select("blob", F.col("id").alias("last")), "blob-copies")
+    if copies is not None and copies.count() <= FEW:
+        unseen = texts.join(F.broadcast(copies), "blob", "left").where(F.col("last").isNull() | (F.col("id") == F.col("last")))
+    else:  # by both keys, so that the copies of one blob are dealt out
+        unseen = texts.join(one.select("blob", "id"), ["blob", "id"])
     # rows that share id and content are scanned twice, but noted once
     return scan(unseen, rules).select("blob", F.lit(version).alias("rules"), "spans").dropDuplicates(["blob"])
 
