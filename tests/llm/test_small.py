@@ -496,7 +496,9 @@ def test_toxicity_learns_and_holds_out(spark, none):
 # --- secrets
 
 
-def test_secrets(docs, rows):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_secrets(docs, rows, few, monkeypatch):
+    monkeypatch.setattr(secret_scan, "FEW", few)
     findings, _ = secret_scan.secret_scan(docs)
     got = by_id(secret_scan.report(findings), "n_assign", "n_access", "n_hex", "base_sha256")
     assert got == {r["doc_id"]: brute.secrets(r["text"])[:4] for r in rows}
