@@ -378,9 +378,12 @@ def test_near_odd_rows(odd, none):
     assert simhash.near_dedup(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_near_by_jaccard(spark, docs, rows, rounds):
-    """Copies with edits of many sizes, chains of them and a passage that many share."""
+@pytest.mark.parametrize(("rounds", "many", "sent"), [(0, 64, 8 << 20), (2, 2, 0)])
+def test_near_by_jaccard(spark, docs, rows, rounds, many, sent, monkeypatch):
+    """Copies with edits of many sizes, chains of them and a passage that many share; with and without
+    bitmaps, sets sent or joined."""
+    monkeypatch.setattr(jaccard, "MANY", many)
+    monkeypatch.setattr(jaccard, "SENT", sent)
     rng = random.Random(9)
     more, line = list(rows), some_words(rng, 30)
     for base in range(12):
@@ -405,6 +408,15 @@ def test_near_by_jaccard(spark, docs, rows, rounds):
         assert set(want.values()) != {c for _, c in brute.near(more).values()}
 
 
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (3, 60, 900):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[n // 4 :], rng.integers(0, 2**63, n // 3, dtype=np.uint64)]))
+        apart = int(np.bitwise_count(jaccard.bitmap(x) ^ jaccard.bitmap(y)).sum())
+        assert apart <= len(np.setxor1d(x, y)) and not (jaccard.bitmap(x) ^ jaccard.bitmap(x)).any()
+
+
 def test_components_of_a_path(spark):
     n = 60
     df = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 200), (5, 5)], "a long, b long")
@@ -646,10 +658,10 @@ def test_tokens_odd_rows(odd, none):
 
 
 def test_very_long_texts(spark, library):
-    """Two texts of 300,000 words that are the same, and one that shares half of them."""
+    """Two texts of 120,000 words that are the same, and one that shares half of them."""
     rng = random.Random(21)
-    text = some_words(rng, 300_000, 50_000)
-    half = " ".join(text.split(" ")[:150_000]) + " password: abcdefghijkl0123 " + some_words(rng, 1000)
+    text = some_words(rng, 120_000, 50_000)
+    half = " ".join(text.split(" ")[:60_000]) + " password: abcdefghijkl0123 " + some_words(rng, 1000)
     texts = {1: text, 2: text, 3: half, 4: "short"}
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA).repartition(2)
     n = {i: len(t.split()) for i, t in texts.items()}
@@ -658,9 +670,9 @@ def test_very_long_texts(spark, library):
     counts = by_id(quality.quality(df), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert counts == {i: brute.quality(t) for i, t in texts.items()}
     cut = by_id(suffix_dedup.suffix_dedup(df), "n_bytes", "n_removed", "n_spans")
-    shared = len(" ".join(text.split(" ")[:150_000])) + 1
+    shared = len(" ".join(text.split(" ")[:60_000])) + 1
     assert cut == {1: (len(text), len(text), 1), 2: (len(text), len(text), 1), 3: (len(half), shared, 1), 4: (5, 0, 0)}
-    assert by_id(substring_dedup.substring_dedup(df), "n_words", "n_removed") == {1: (n[1], 0), 2: (n[2], n[2]), 3: (n[3], 150_000), 4: (1, 0)}
+    assert by_id(substring_dedup.substring_dedup(df), "n_words", "n_removed") == {1: (n[1], 0), 2: (n[2], n[2]), 3: (n[3], 60_000), 4: (1, 0)}
     model = {"terms": [("w12", False)], "context": {}, "weights": [-1.0, 1.0, 0.0, 0.0, 0.0, 0.0], "share": 0.1, "quote": 0.3}
     assert by_id(toxicity.score(df, model), "n_hits") == {i: (t.split().count("w12"),) for i, t in texts.items()}
     assert by_id(simhash.fingerprints(df), "fp")[3] != by_id(simhash.fingerprints(df), "fp")[1]
