@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import DataFrame, SparkSession
 
-from ontime.llm import exact_dedup, mixing, quality, secret_scan, sentencepiece_fst, simhash, substring_dedup, suffix_dedup, toxicity, warc
+from ontime.llm import decontaminate, exact_dedup, filter_audit, merkle, mixing, quality, secret_scan, sentencepiece_fst, simhash, substring_dedup, suffix_dedup, toxicity, warc
 from ontime.llm.common import materialise, table
 
 
@@ -50,6 +52,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.encode(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("longest_match")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
@@ -61,6 +75,9 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_merkle": op11_merkle,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_decontaminate": op13_decontaminate,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -155,6 +172,77 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, array_to_string(list
     1 + 16 * substr(bits, i * 5 + 1, 1)::INT + 8 * substr(bits, i * 5 + 2, 1)::INT + 4 * substr(bits, i * 5 + 3, 1)::INT + 2 * substr(bits, i * 5 + 4, 1)::INT + substr(bits, i * 5 + 5, 1)::INT, 1)), '') AS payload_digest,
   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM p JOIN b USING (h)"""
 
+
+
+def _merkle(deep: int = 4) -> str:
+    """Trees of up to 16^deep leaves, level by level: nodes, and per leaf the text of siblings and the folded digest."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    low = f"translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"  # noqa: F541
+    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    byte = "c"
+    for _ in range(8):
+        byte = f"(SELECT {step} FROM (SELECT {byte} AS c))" if byte != "c" else f"(SELECT {step} FROM (SELECT n AS c))"
+    sql = [f"""crc AS (SELECT list({byte} ORDER BY n) AS t FROM range(256) r(n)),
+ids AS (SELECT DISTINCT doc_id FROM documents),
+hit AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1])), 4294967295::BIGINT) % 5 = 0 AS hit FROM ids, crc),
+l0 AS (SELECT d.doc_id, source, {leaf('text')} AS leaf, CASE WHEN hit THEN {leaf('low')} ELSE {leaf('text')} END AS seen
+  FROM (SELECT *, {low} AS low FROM documents) d LEFT JOIN hit USING (doc_id)),
+d0 AS (SELECT *, row_number() OVER w - 1 AS rank, leaf AS node, seen AS folded, '' AS proof FROM l0 WINDOW w AS (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf))"""]
+
+    def climb(table: str, by: str, rank: str, n: int) -> str:
+        """From nodes of a level (numbered by `rank`, as often as they have leaves) to the next."""
+        name = f"{table[0]}{n + 1}"
+        own = f"e{table[0]}{n}"
+        sql.append(f"""u{name} AS (SELECT DISTINCT {by}, rank, node FROM {table}),
+s{name} AS (SELECT {by}, rank // 16 AS up, list(node ORDER BY rank) AS kin, min(rank) AS first, any_value(many) AS many
+  FROM (SELECT *, count(*) OVER (PARTITION BY {by}) > 1 AS many FROM u{name}) GROUP BY {by}, rank // 16),
+{name} AS (SELECT x.* EXCLUDE (rank, node, folded, proof), CASE WHEN many THEN up ELSE 0 END AS rank,
+  CASE WHEN many THEN sha256(array_to_string(kin, '')) ELSE node END AS node,
+  CASE WHEN many THEN sha256(array_to_string(kin[1:rank - first], '') || folded || array_to_string(kin[rank - first + 2:], '')) ELSE folded END AS folded,
+  CASE WHEN many THEN proof || array_to_string(kin[1:rank - first], '') || array_to_string(kin[rank - first + 2:], '') ELSE proof END AS proof
+  FROM {table} x JOIN s{name} s ON x.rank // 16 = s.up AND {' AND '.join(f'x.{c} IS NOT DISTINCT FROM s.{c}' for c in by.split(', '))})""")
+        return name
+
+    last = "d0"
+    for n in range(deep):
+        last = climb(last, "source", "rank", n)
+    sql.append(f"t0 AS (SELECT * EXCLUDE (rank), node AS subroot, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS rank, 0 AS one FROM {last})")
+    last = "t0"
+    for n in range(deep):
+        last = climb(last, "one", "rank", n)
+    return f"WITH {', '.join(sql)} SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = node AS verified FROM {last}"
+
+
+def _audit() -> str:
+    orders = ", ".join(f"'{''.join(p)}'" for p in permutations("ABCDE"))
+    bits = "list_sum(list_transform(string_split(substr(o, 1, step{}), ''), lambda x: CASE x WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 4 WHEN 'D' THEN 8 WHEN 'E' THEN 16 ELSE 0 END))::INT"
+    return rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+e AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(t))::INT
+  + 8 * (length(translate(t, '#$%&*|', '')) < length(t))::INT + 16 * (first < d.doc_id)::INT AS mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM d JOIN e USING (t) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, mask),
+s AS (SELECT o AS filter_order, step, substr(o, step, 1) AS f, coalesce({bits.format(' - 1')}, 0) AS before, {bits.format('')} - coalesce({bits.format(' - 1')}, 0) AS own
+  FROM (SELECT unnest([{orders}]) AS o), range(1, 6) r(step)),
+x AS (SELECT part, filter_order, CAST(step AS INT) AS step, f, CAST(sum(n) FILTER (mask & own = 0 AND mask & before = 0) AS BIGINT) AS kept, CAST(sum(n) FILTER (mask & own <> 0 AND mask & before = 0) AS BIGINT) AS removed,
+  CAST(sum(n) FILTER (mask & own <> 0 AND mask & before <> 0) AS BIGINT) AS redundant, CAST(sum(n) FILTER (mask = own) AS BIGINT) AS unique_fails,
+  CAST(sum(good) FILTER (mask & own <> 0 AND mask & before = 0) AS BIGINT) AS good_lost, CAST(sum(toxic) FILTER (mask & own <> 0 AND mask & before = 0) AS BIGINT) AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, {', '.join(f'coalesce({k}, 0) AS {k}' for k in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost'))},
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley FROM x"""
+
+
+_LEAKS = r"""WITH b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) u(i) WHERE len(w) > 0),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT row, i, s.size, array_to_string(w[i:i + s.size - 1], ' ') AS win FROM d, unnest(range(1, len(w) + 1)) u(i), (SELECT DISTINCT size FROM g) s WHERE i + s.size - 1 <= len(w)),
+f AS (SELECT row, i, p.size, item_id FROM p JOIN g ON p.size = g.size AND p.win = g.win),
+h AS (SELECT row, count(DISTINCT i + j) AS n_hit FROM f, unnest(range(size)) u(j) GROUP BY row),
+n AS (SELECT row, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS items FROM (SELECT DISTINCT row, item_id::VARCHAR AS name FROM f) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (row) LEFT JOIN n USING (row)"""
+
 #: Columns of byte strings, learned scores, XXH64 and token
 #: paths have no SQL form; the tests hold those queries against brute force.
 ORACLE: dict[str, str] = {
@@ -164,4 +252,7 @@ ORACLE: dict[str, str] = {
     "op5_substring_dedup": _SUBSTRINGS,
     "op8_secret_scan": _SECRETS,
     "op9_warc": _WARC,
+    "op11_merkle": _merkle(),
+    "op12_filter_audit": _audit(),
+    "op13_decontaminate": _LEAKS,
 }
