@@ -97,13 +97,13 @@ def suffix_array(symbols: np.ndarray, deepest: int) -> np.ndarray:
 
 
 def search(symbols: np.ndarray, array: np.ndarray, queries: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: np.ndarray):
-    """For each query suffix (lengths[i] symbols of queries from starts[i] on): lo and hi of the range of the
-    array that begins with its first window[i] symbols (empty if none does), the length of its longest match and
-    the place of one."""
+    """For each query suffix (lengths[i] symbols of queries from starts[i] on): lo and hi of the range of the array that
+    begins with its first window[i] symbols (empty if none does). And for each length from there on, up to the longest
+    match: length, and lo, hi and suffix of the ranges that begin with so many of its symbols."""
     n = len(starts)
     low, high = np.zeros(n, dtype=np.int64), np.full(n, len(array), dtype=np.int64)
     found = np.zeros((n, 2), dtype=np.int64)
-    longest, place = np.zeros(n, dtype=np.int64), np.full(n, -1, dtype=np.int64)
+    deeper: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
     live = np.flatnonzero(lengths > 0) if len(array) else np.zeros(0, np.int64)
     padded = np.append(symbols, -1)
     depth = 0
@@ -127,11 +127,13 @@ def search(symbols: np.ndarray, array: np.ndarray, queries: np.ndarray, starts:
         live, lo, hi = live[hit], lo[hit], hi[hit]
         depth += 1
         low[live], high[live] = lo, hi
-        longest[live], place[live] = depth, array[lo]
         whole = window[live] == depth
         found[live[whole], 0], found[live[whole], 1] = lo[whole], hi[whole]
+        at_least = (window[live] > 0) & (window[live] <= depth)
+        if at_least.any():
+            deeper.append((depth, lo[at_least], hi[at_least], live[at_least]))
         live = live[lengths[live] > depth]
-    return found[:, 0], found[:, 1], longest, place
+    return found[:, 0], found[:, 1], deeper
 
 
 class Block:
@@ -176,23 +178,34 @@ class Block:
         pairs = np.unique(np.stack([group[whole], owner[at][whole]], axis=1), axis=0) if whole.any() else np.zeros((0, 2), np.int64)
         self.owners = pairs[:, 1]
         self.owned = np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
-        self.owner_of = np.zeros(len(first), dtype=np.int64)
-        self.owner_of[group] = owner[at]
+        self.owner_of = np.full(len(first), len(self.names), dtype=np.int64)
+        np.minimum.at(self.owner_of, group, owner[at])
+
+
+def _longest(array: np.ndarray, bounds: np.ndarray, deeper: list, block: Block) -> np.ndarray:
+    """For each text: length, first place and first item of its longest match of a window or more (else zeros)."""
+    best = np.zeros((len(bounds) - 1, 3), dtype=np.int64)
+    for depth, lo, hi, query in reversed(deeper):
+        order = np.lexsort((block.owner_of[query], hi, lo))  # ranges once, with the first of their items
+        new = np.append(True, (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1]))
+        lo, hi, query = lo[order][new], hi[order][new], query[order][new]
+        count = hi - lo
+        place = array[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        item = np.repeat(block.owner_of[query], count)
+        text = np.searchsorted(bounds, place, side="right") - 1
+        order = np.lexsort((item, place, text))
+        order = order[np.append(True, text[order][1:] != text[order][:-1])]
+        order = order[best[text[order], 0] == 0]
+        best[text[order]] = np.stack([np.full(len(order), depth), place[order], item[order]], axis=1)
+    return best
 
 
 def _hits(symbols: np.ndarray, bounds: np.ndarray, block: Block):
     """In a shard of texts (bounds: n + 1): runs (start, end) of hit places, pairs (text, item), and for each
     text its longest match: length, place, item."""
-    n = len(bounds) - 1
     array = suffix_array(symbols, block.deepest)
-    low, high, longest, place = search(symbols, array, block.symbols, block.starts, block.lengths, block.window)
-    best = np.zeros((n, 3), dtype=np.int64)
-    matched = np.flatnonzero(longest > 0)
-    if len(matched):
-        text = np.searchsorted(bounds, place[matched], side="right") - 1
-        order = np.lexsort((place[matched], longest[matched], text))
-        last = order[np.append(text[order][1:] != text[order][:-1], True)]
-        best[text[last]] = np.stack([longest[matched][last], place[matched][last], block.owner_of[matched][last]], axis=1)
+    low, high, deeper = search(symbols, array, block.symbols, block.starts, block.lengths, block.window)
+    best = _longest(array, bounds, deeper, block)
     query = np.flatnonzero(high > low)
     if not len(query):
         return np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64), best
@@ -252,7 +265,7 @@ def _search_block(shared, window: int, shard: int):
             n = batch.num_rows
             runs: list[list] = [[] for _ in range(n)]
             items: list[set] = [set() for _ in range(n)]
-            best = [(0, 0, None)] * n
+            best = [(0, 0, "")] * n
             for part in _shards(bounds, max(shard, 2 * window), window - 1):
                 own = np.concatenate([np.append(symbols[s:e], -1) for _, s, e in part])
                 edges = np.cumsum([0, *[e - s + 1 for _, s, e in part]])
@@ -266,13 +279,13 @@ def _search_block(shared, window: int, shard: int):
                     items[part[k][0]].add(item)
                 for k, (length, place, item) in enumerate(most.tolist()):
                     i, s, _ = part[k]
-                    if length > best[i][0]:
-                        best[i] = (length, place - int(edges[k]) + s - int(bounds[i]), block.names[item])
+                    if length:
+                        best[i] = min(best[i], (-length, place - int(edges[k]) + s - int(bounds[i]), block.names[item]))
             before = {c: batch.column(c).to_pylist() for c in ("_bench_runs", "_bench_items", "_bench_best")}
             merged = [_merged(list(zip(r[::2], r[1::2], strict=True)) + new) for r, new in zip(before["_bench_runs"], runs, strict=True)]
             named = [sorted({*old, *(block.names[k] for k in new)}) for old, new in zip(before["_bench_items"], items, strict=True)]
-            best = [b if b[0] > old["words"] else (old["words"], old["start"], old["item"]) for old, b in zip(before["_bench_best"], best, strict=True)]
-            best = [{"words": int(w), "start": int(s), "item": x} for w, s, x in best]
+            best = [min(b, (-old["words"], old["start"], old["item"] or "")) for old, b in zip(before["_bench_best"], best, strict=True)]
+            best = [{"words": -w, "start": s, "item": x if w else None} for w, s, x in best]
             new = {"_bench_n": pa.array(np.diff(bounds), pa.int64()), "_bench_runs": pa.array([[x for r in m for x in r] for m in merged], pa.list_(pa.int64())),
                    "_bench_items": pa.array(named, pa.list_(pa.string())), "_bench_best": pa.array(best, batch.schema.field("_bench_best").type)}
             columns = [new[c].cast(batch.schema.field(c).type) if c in new else batch.column(c) for c in names]
@@ -349,7 +362,8 @@ def _searched(docs: DataFrame, benchmark: DataFrame, window: int, shard: int, bl
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs' columns, n_words, hits (runs of hit words: start, end), items (ids of items with a window in the text, as
-    text, sorted) and longest (the longest verbatim match: words, start, item)."""
+    text, sorted) and longest (the longest verbatim match of a window or more, the first of equals: words, start,
+    item; of texts longer than a shard, as far as a stretch goes)."""
     d = _searched(docs, benchmark, window, shard, block_bytes)
     pair = "transform(sequence(1, size(_bench_runs) div 2), i -> struct(_bench_runs[2 * i - 2] AS start, _bench_runs[2 * i - 1] AS end))"
     new = {

@@ -6,12 +6,13 @@ fifth asks whether the same text stands in a document with a smaller id, anywher
 1. Where texts are read, a task keeps in mind the texts it has seen, up to a bound. A copy with a larger id
    than one of them is a duplicate at once; only a text with the smallest id so far goes on. So of a text
    that fills a third of the table, one row or few per task are left.
-2. Texts are dealt out by prefixes of their own: first by some characters, and wherever a prefix has too
-   many bytes, by longer ones, until all have few or the prefix is the whole text. Prefixes are the
-   keys of a range partitioning, sorted inside a task.
+2. Texts are dealt out by prefixes of their own: 16 characters, and where a prefix has more than its
+   share of the table's bytes, 256 or 4096; below a head that long the whole text's digest is added. A
+   text's prefixes are hashed when it is read, so one count of hashes finds the heavy ones, `parts` of a
+   length at most. Prefixes are the keys of a range partitioning; inside a task texts are sorted.
 3. Prefix by prefix, a task inserts full texts into a compressed trie, whose terminals hold the smallest id. A
-   row that comes after a smaller id, or before one, is a duplicate. What a trie holds is bounded by the
-   bytes of a prefix, or one text.
+   row that comes after a smaller id, or before one, is a duplicate. A trie that has grown over its bound is
+   given out when another text follows: all texts before that one are complete.
 4. Rows are narrow now (id, part, mask); labels join them, and they are counted by part and mask. All
    orders, steps and Shapley sums come from these counts.
 
@@ -27,7 +28,9 @@ import re
 from collections.abc import Iterator
 from itertools import permutations
 
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +38,10 @@ from ontime.llm.common import drop_tables, materialise, text_chunks, text_or_emp
 
 FILTERS = "ABCDE"
 LAST_ID = (1 << 63) - 1
-#: Bytes of texts that a task keeps in mind; that a trie may hold; characters of a first prefix.
-SEEN_BYTES, TRIE_BYTES, FIRST = 32 << 20, 8 << 20, 2
+#: Bytes of texts that a task keeps in mind; that a trie may hold; characters of prefixes, shorter ones first.
+SEEN_BYTES, TRIE_BYTES, LENGTHS = 32 << 20, 8 << 20, (16, 256, 4096)
+#: Into how many equal shares the texts' bytes are thought to be cut, at least and at most, and bytes of a share between.
+PARTS, MOST_PARTS, PART_BYTES = 4096, 50_000, 64 << 20
 #: Bytes of a text whose words are looked at together.
 STRETCH = 4 << 20
 
@@ -68,7 +73,13 @@ def mask_of(raw: bytes) -> int:
 
 
 DUPLICATE = 1 << 4
-_ROW = pa.schema([("id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("text", pa.string())])
+_ROW = pa.schema([("id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("text", pa.string()), ("size", pa.int64()), ("heads", pa.list_(pa.int64()))])
+MEASURED = "id long, part string, mask int, text string, size long, heads array<long>"
+
+
+def _heads(text: str) -> list[int]:
+    """Hashes of a text's prefixes: of one as long as each of LENGTHS that is shorter than the text."""
+    return [xxhash.xxh64_intdigest(text[:n].encode()) - (1 << 63) for n in LENGTHS if n < len(text)]
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +101,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen[raw] = i
             masks.append(mask if first else mask | DUPLICATE)
             kept.append(text if first else None)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.string()), pa.array(masks, pa.int32()), pa.array(kept, pa.string())], schema=_ROW)
+        sizes = [None if t is None else len(t.encode()) for t in kept]
+        heads = [None if t is None else _heads(t) for t in kept]
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, parts, masks, kept, sizes, heads), _ROW, strict=True)], schema=_ROW)
 
 
 class Trie:
@@ -142,78 +155,86 @@ def _common(label: bytes, raw: bytes, at: int) -> int:
     return low
 
 
-def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with their duplicate bit, a trie for each prefix; rows come sorted by prefix."""
-    trie, prefix, out = Trie(), None, []
+def _tries(most: int):
+    """Rows with their duplicate bit; rows come sorted by prefix and text."""
 
     def flush(rows):
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
+        cols = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], ["id", "part", "mask"])
 
-    def firsts():
-        for _, rows in trie.terminals():
-            out.extend((i, p, m) for (i, p, m), n in rows.items() for _ in range(n))
-
-    for batch in text_chunks(batches):
-        for key, text, i, part, mask in zip(*[batch.column(c).to_pylist() for c in ("prefix", "text", "id", "part", "mask")], strict=True):
-            if key != prefix:
-                firsts()
-                trie, prefix = Trie(), key
-            terminal = trie.insert(text.encode())
-            least = terminal[0]
-            if least is None or i < least:
-                if least is not None:
-                    out.extend((x, p, m | DUPLICATE) for (x, p, m), n in terminal[1].items() for _ in range(n))
-                terminal[0], terminal[1] = i, {(i, part, mask): 1}
-            elif i == least:  # rows of one id: counted, not listed
-                terminal[1][(i, part, mask)] = terminal[1].get((i, part, mask), 0) + 1
-            else:
-                out.append((i, part, mask | DUPLICATE))
-            if len(out) >= 10_000:
-                yield flush(out)
-                out.clear()
-    firsts()
-    if out:
-        yield flush(out)
-
-
-def prefixed(rows: DataFrame, most: int = TRIE_BYTES, first: int = FIRST) -> DataFrame:
-    """Adds prefix to rows with text: long enough that rows of a prefix have `most` bytes of text at most, or the whole text.
-
-    Lengths grow fourfold; each round looks only at prefixes that are still too heavy. Their number is bounded by
-    the table's bytes over `most`. Columns: id, part, mask, text, prefix.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, held, prefix, last, out = Trie(), 0, None, None, []
+        for batch in text_chunks(batches):
+            for key, text, i, part, mask in zip(*[batch.column(c).to_pylist() for c in ("prefix", "text", "id", "part", "mask")], strict=True):
+                raw = text.encode()
+                if key != prefix or (held > most and raw != last):
+                    out += _firsts(trie)
+                    trie, held, prefix = Trie(), 0, key
+                terminal = trie.insert(raw)
+                least = terminal[0]
+                if least is None or i < least:
+                    if least is None:
+                        held += len(raw) + 256
+                    else:
+                        out += [(x, p, m | DUPLICATE) for (x, p, m), n in terminal[1].items() for _ in range(n)]
+                    terminal[0], terminal[1] = i, {(i, part, mask): 1}
+                elif i == least:  # rows of one id: counted, not listed
+                    terminal[1][(i, part, mask)] = terminal[1].get((i, part, mask), 0) + 1
+                else:
+                    out.append((i, part, mask | DUPLICATE))
+                last = raw
+                if len(out) >= 10_000:
+                    yield flush(out)
+                    out = []
+        out += _firsts(trie)
+        if out:
+            yield flush(out)
+
+    return run
+
+
+def _firsts(trie: Trie) -> list[tuple]:
+    return [row for _, rows in trie.terminals() if rows for row, n in rows.items() for _ in range(n)]
+
+
+def prefixed(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """Adds prefix, the key by which texts are dealt out, to rows as MEASURED with text.
+
+    parts: a prefix is heavy from this part of all bytes on (default: by the table's size).
     """
-    columns = ["id", "part", "mask", "text"]
-    at = lambda n: F.substring("text", 1, n)
-    heavy: DataFrame | None = None
-    levels: list[tuple[int, DataFrame]] = []
-    n = first
-    while True:
-        here = rows.where(F.length("text") > n).select(at(n).alias("_p"), F.octet_length("text").alias("_size"))
-        if heavy is not None:
-            inside = rows.where(F.length("text") > n).withColumn("_q", at(levels[-1][0]))
-            here = inside.join(F.broadcast(heavy), F.col("_q") == F.col("_p0")).select(at(n).alias("_p"), F.octet_length("text").alias("_size"))
-        heavy = materialise(here.groupBy("_p").agg(F.sum("_size").alias("_s")).where(F.col("_s") > most).select(F.col("_p").alias("_p0")), "heavy-prefixes")
-        if heavy.isEmpty():
-            break
-        levels.append((n, heavy))
-        n *= 4
-    out = rows.select(*columns, at(first).alias("prefix"))
-    for length, table in levels:  # a heavy prefix gives way to a longer one
-        t = table.select(F.col("_p0").alias("_h"))
-        longer = F.length("text") > length
-        joined = out.join(F.broadcast(t), (F.col("prefix") == F.col("_h")) & longer, "left")
-        out = joined.select(*columns, F.when(F.col("_h").isNotNull(), at(4 * length)).otherwise(F.col("prefix")).alias("prefix"))
-    return out
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = parts or min(max(PARTS, total // PART_BYTES), MOST_PARTS)
+    hashes = rows.select("size", F.posexplode("heads").alias("level", "head"))
+    sums = hashes.groupBy("level", "head").agg(F.sum("size").alias("bytes")).where(F.col("bytes") * parts > total)
+    heavy: list[set] = [set() for _ in LENGTHS]
+    for level, head, _ in sums.toLocalIterator():
+        heavy[level].add(head)
+
+    @F.pandas_udf("int")
+    def cut(heads: pd.Series) -> pd.Series:
+        """Characters of the prefix; 0 if even the longest one is heavy."""
+
+        def one(found):
+            for level, n in enumerate(LENGTHS):
+                if level >= len(found) or found[level] not in heavy[level]:
+                    return n
+            return 0
+
+        return heads.map(one)
+
+    cuts = rows.withColumn("_cut", cut("heads"))
+    longest = F.concat(F.substring("text", 1, LENGTHS[-1]), F.sha2("text", 256))
+    prefix = F.when(F.col("_cut") == 0, longest).otherwise(F.expr("substring(text, 1, _cut)"))
+    return cuts.select("id", "part", "mask", "text", prefix.alias("prefix"))
 
 
-def masks(docs: DataFrame, part: str = "source", trie_bytes: int = TRIE_BYTES) -> DataFrame:
+def masks(docs: DataFrame, part: str = "source", trie_bytes: int = TRIE_BYTES, parts: int | None = None) -> DataFrame:
     """id, part, mask (bits of A to E that the document fails): one row per row of docs."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), text_or_empty().alias("text"))
-    rows = materialise(d.mapInArrow(_measure, "id long, part string, mask int, text string"), "measured")
-    texts = prefixed(rows.where("text IS NOT NULL"), trie_bytes)
-    dealt = texts.repartitionByRange("prefix").sortWithinPartitions("prefix")
-    tried = dealt.mapInArrow(_tries, "id long, part string, mask int")
+    rows = materialise(d.mapInArrow(_measure, MEASURED), "measured")
+    texts = prefixed(rows.where("text IS NOT NULL"), parts)
+    dealt = texts.repartitionByRange("prefix").sortWithinPartitions("prefix", "text")
+    tried = dealt.mapInArrow(_tries(trie_bytes), "id long, part string, mask int")
     out = materialise(tried.unionByName(rows.where("text IS NULL").select("id", "part", "mask")), "masks")
     drop_tables(rows)
     return out
@@ -262,6 +283,6 @@ def shares(audit: DataFrame) -> Column:
     return audit["shapley"] / len(list(permutations(FILTERS)))
 
 
-def filter_audit(docs: DataFrame, labels: DataFrame, part: str = "source", trie_bytes: int = TRIE_BYTES) -> DataFrame:
+def filter_audit(docs: DataFrame, labels: DataFrame, part: str = "source", trie_bytes: int = TRIE_BYTES, parts: int | None = None) -> DataFrame:
     """part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley."""
-    return interactions(cells(masks(docs, part, trie_bytes), labels))
+    return interactions(cells(masks(docs, part, trie_bytes, parts), labels))
