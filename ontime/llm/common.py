@@ -7,9 +7,12 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow import compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,9 +63,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     if not _paths:
         atexit.register(_drop_all)
     _paths[path] = spark
+    if (made := _scope.get()) is not None:
+        made.add(path)
     return path
 
 
+_scope: ContextVar[set[str] | None] = ContextVar("paths made in a scope", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[set[str]]:
+    """The set of paths that are made inside, by this thread: whoever opens the scope may drop them."""
+    outer, made = _scope.get(), set()
+    token = _scope.set(made)
+    try:
+        yield made
+    finally:
+        _scope.reset(token)
+        if outer is not None:
+            outer |= made
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     _paths.pop(path, None)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -200,8 +221,17 @@ def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_hash(_BYTE[data]), starts, stops)
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of 64 bits for each word (as words_of finds them), the halves of its XXH3 of 128 bits.
+
+    Not a polynomial over bytes: there are plain strings of a thousand bytes that those can't tell apart modulo 2**64.
+    """
+    at = np.append(0, np.cumsum(stops - starts)).astype(np.int64)
+    packed = np.ascontiguousarray(data[~_IS_SPACE[data]])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(packed)]).dictionary_encode()
+    digests = b"".join([xxhash.xxh3_128_digest(w) for w in words.dictionary.to_pylist()])
+    each = np.frombuffer(digests, dtype=np.uint64).reshape(-1, 2)[words.indices.to_numpy()]
+    return np.ascontiguousarray(each[:, 0]), np.ascontiguousarray(each[:, 1])
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

@@ -8,7 +8,7 @@ occurrence is extended both ways, as far as the windows go that chose it. A wind
 when a document with a smaller id has it under the same anchor; neighbouring repeats join to
 maximal ones.
 
-Extensions are compared in the order of ids, streaming, with one entry per distinct window. For
+Windows are compared by hashes of 128 bits, made of such hashes of their words. Extensions are compared in the order of ids, streaming, with one entry per distinct window. For
 anchors with more than `hot` occurrences the windows themselves are dealt out and aggregated
 before the shuffle, so no task gets all occurrences of a common passage.
 
@@ -43,6 +43,8 @@ from ontime.llm.common import (
 )
 
 SIZE, SEED = 13, 4
+#: Bytes of a window's two hashes.
+WIDTH = 16
 LAST_ID = (1 << 63) - 1
 _POSITION = np.uint64((1 << 28) - 1)
 
@@ -65,15 +67,16 @@ def least_places(hashes: np.ndarray, width: int, block: int = 1 << 27) -> np.nda
     return np.concatenate(out)
 
 
-def _windows(words: np.ndarray, size: int, seed: int):
-    """Over the word hashes of several texts: anchor place of each window start, and seed hashes."""
-    prefix = prefix_hash(words)
-    n = len(words) - seed + 1
+def _windows(words: tuple[np.ndarray, np.ndarray], size: int, seed: int):
+    """Over both hashes of the words of several texts: anchor place of each window start, seed hashes, and what
+    span_hash needs for each of the two."""
+    prefixes = [prefix_hash(w) for w in words]
+    n = len(words[0]) - seed + 1
     if n < size - seed + 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), prefix
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), prefixes
     at = np.arange(n)
-    seeds = span_hash(prefix, at, at + seed)
-    return least_places(seeds, size - seed + 1), seeds, prefix
+    seeds = span_hash(prefixes[0], at, at + seed)
+    return least_places(seeds, size - seed + 1), seeds, prefixes
 
 
 def _inside(bounds: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -121,7 +124,7 @@ def _anchors(size: int, seed: int):
         for batch in text_chunks(batches):
             data, offsets = text_bytes(batch.column("text"))
             starts, stops, bounds = words_of(data, offsets)
-            place, seeds, prefix = _windows(word_hashes(data, starts, stops), size, seed)
+            place, seeds, prefixes = _windows(word_hashes(data, starts, stops), size, seed)
             ok = np.flatnonzero(_inside(bounds, len(place), size))
             doc = np.searchsorted(bounds, ok, side="right") - 1
             first, past = runs_of(place[ok], np.flatnonzero(np.diff(doc, prepend=-1)))
@@ -130,7 +133,7 @@ def _anchors(size: int, seed: int):
             anchor = seeds[place[ok[first]]].view(np.int64)
             ids = batch.column("id").to_numpy()[d]
             # the first and the last window of a run hold all its words
-            ends = [span_hash(prefix, w, w + size) for w in (ok[first], ok[past - 1])]
+            ends = [span_hash(p, w, w + size) for w in (ok[first], ok[past - 1]) for p in prefixes]
             kind = _kinds(anchor, ids, [*ends, past - first])
             cols = [pa.array(anchor), pa.array(ids), batch.column("h").take(pa.array(d)), pa.array((at << 8) | (past - first)), pa.array(kind)]
             yield pa.RecordBatch.from_arrays(cols, ["anchor", "id", "h", "span", "kind"])
@@ -186,7 +189,7 @@ def _extend(size: int, seed: int):
         for batch in text_chunks(batches):
             data, offsets = text_bytes(batch.column("text"))
             starts, stops, bounds = words_of(data, offsets)
-            prefix = prefix_hash(word_hashes(data, starts, stops))
+            prefixes = [prefix_hash(w) for w in word_hashes(data, starts, stops)]
             seen = batch.column("seen")
             each = seen.flatten()  # of all texts one after the other
             row = np.repeat(np.arange(len(seen)), np.diff(seen.offsets.to_numpy()))
@@ -194,9 +197,9 @@ def _extend(size: int, seed: int):
             at, n = span >> 8, span & 255
             ends = np.cumsum(n)
             begin = np.repeat(bounds[row] + at - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-            windows = span_hash(prefix, begin, begin + size)
-            edges = np.append(0, ends * 8).astype(np.int32)
-            packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(windows)])
+            windows = np.stack([span_hash(p, begin, begin + size) for p in prefixes], axis=1)
+            edges = np.append(0, ends * WIDTH).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(windows))])
             row = pa.array(row)
             cols = [each.field("anchor"), batch.column("id").take(row), batch.column("h").take(row), pa.array(at), packed]
             yield pa.RecordBatch.from_arrays(cols, ["anchor", "id", "h", "at", "windows"])
@@ -207,28 +210,28 @@ def _extend(size: int, seed: int):
 def _repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Window starts that an earlier id has too; rows come sorted by anchor, then id."""
     names = ["id", "h", "start", "n"]
-    known: dict[tuple[int, int], int] = {}  # of the open anchor: window -> smallest id
+    known: dict[bytes, int] = {}  # of the open anchor: window -> smallest id
     open_anchor = None
     for pdf in batches:
         if pdf.empty:
             continue
-        count = pdf["windows"].str.len().to_numpy() // 8
-        window = np.frombuffer(b"".join(pdf["windows"]), dtype=np.int64)
+        count = pdf["windows"].str.len().to_numpy() // WIDTH
+        window = np.frombuffer(b"".join(pdf["windows"]), dtype=np.int64).reshape(-1, 2)
         row = np.repeat(np.arange(len(pdf)), count)
         anchor, ids = pdf["anchor"].to_numpy()[row], pdf["id"].to_numpy()[row]
-        order = np.lexsort((ids, window, anchor))
+        order = np.lexsort((ids, window[:, 1], window[:, 0], anchor))
         a, w, i = anchor[order], window[order], ids[order]
-        new = np.append(True, (a[1:] != a[:-1]) | (w[1:] != w[:-1]))
+        new = np.append(True, (a[1:] != a[:-1]) | (w[1:] != w[:-1]).any(axis=1))
         starts = np.flatnonzero(new)
         least = i[starts]
         if open_anchor is not None:
             for k in np.flatnonzero(a[starts] == open_anchor):
-                least[k] = min(least[k], known.get(int(w[starts[k]]), LAST_ID))
+                least[k] = min(least[k], known.get(w[starts[k]].tobytes(), LAST_ID))
         if a[-1] != open_anchor:
             known = {}
             open_anchor = a[-1]
         for k in np.flatnonzero(a[starts] == open_anchor):
-            known[int(w[starts[k]])] = int(least[k])
+            known[w[starts[k]].tobytes()] = int(least[k])
         again = np.zeros(len(row), dtype=bool)
         again[order] = i > np.repeat(least, np.diff(np.append(starts, len(i))))
         within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
@@ -264,7 +267,7 @@ def repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED, hot: int = 50_0
     found = found.unionByName(repeat)
     if n_hot:
         one = split.where("is_hot").select("anchor", "id", "h", "at", F.posexplode(F.expr(
-            "transform(sequence(0, length(windows) div 8 - 1), i -> substring(windows, i * 8 + 1, 8))")).alias("k", "window"))
+            f"transform(sequence(0, length(windows) div {WIDTH} - 1), i -> substring(windows, i * {WIDTH} + 1, {WIDTH}))")).alias("k", "window"))
         least = one.groupBy("anchor", "window").agg(F.min("id").alias("least"))
         again = one.join(least, ["anchor", "window"]).where("id > least")
         found = found.unionByName(again.select("id", "h", (F.col("at") + F.col("k")).alias("start"), F.lit(1).cast("long").alias("n")))
