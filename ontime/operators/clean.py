@@ -24,10 +24,9 @@ def drop_duplicates(df: DataFrame, keys: list[str], order: list[str] | None = No
     """One row for each key: the first in the order of `order`, or else of all other columns, nulls
     first. So reruns agree; an aggregate, so most duplicates go before the shuffle."""
     others = [c for c in df.columns if c not in keys]
-    order = order or others
-    if not order:
+    if not others:
         return df.select(*keys).distinct()
-    row = F.min_by(F.struct(*others), F.struct(*[F.col(c) for c in [*order, *others] if c not in keys]))
+    row = F.min(F.struct(*[c for c in dict.fromkeys([*(order or []), *others]) if c not in keys]))
     kept = df.groupBy(*keys).agg(row.alias("_row"))
     return kept.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 

@@ -8,36 +8,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontime.functions import scalar as S
+from ontime.operators import history as H
 from ontime.operators.clean import plain_columns
 from ontime.operators.timejoin import dimension
 
 
 def previous_flag(df: DataFrame, key: str = "TAIL_NUM", ts: str = "TIMESTAMP_UTC", label: str = "DEP_DEL15", name: str = "PREV_DEP_DEL15",
-                  least_hours: int = 2, most_hours: int = 12, tie: list[str] = ()) -> DataFrame:
+                  least_hours: int = 2, most_hours: int = 12, tie: list[str] = (), block_hours: float = H.BLOCK_HOURS) -> DataFrame:
     """The label of the key's previous row, if that lies least_hours <= gap < most_hours back; else 0.
 
-    Only the immediately previous row counts. A usable row without a label gives null.
+    Only the immediately previous row counts. A usable row without a label gives null. Rows without a key or
+    a time have no previous row, and so 0; they are dealt out evenly. A key's history is cut into blocks of
+    block_hours, whose last most_hours are seen by the next one too: a task holds a block of a key at a time.
     """
-    w = Window.partitionBy(key).orderBy(ts, *tie)
+    spread = H.overlapping(df, ts, most_hours, block_hours)
+    unknown = F.col(key).isNull() | F.col(ts).isNull()
+    spread = spread.withColumn("_salt", F.when(unknown, F.xxhash64(*plain_columns(df))))
+    w = Window.partitionBy(key, "_block", "_salt").orderBy(ts, *tie)
     before, label_before = F.lag(ts).over(w), F.lag(label).over(w)
     hours = lambda n: F.make_interval(hours=F.lit(n))
-    usable = (F.col(ts) - hours(least_hours) >= before) & (F.col(ts) - hours(most_hours) < before)
+    usable = ~unknown & (F.col(ts) - hours(least_hours) >= before) & (F.col(ts) - hours(most_hours) < before)
     kind = dict(df.dtypes)[label]
-    return df.withColumn(name, F.when(usable, label_before).otherwise(F.lit(0).cast(kind)))
+    flag = F.when(usable, label_before).otherwise(F.lit(0).cast(kind))
+    return spread.withColumn(name, flag).where(~F.col("_carried")).select(*[c for c in df.columns if c != name], name)
 
 
 def rolling_share(df: DataFrame, keys: list[str], ts: str = "TIMESTAMP_UTC", label: str = "DEP_DEL15", name: str = "AIRLINE_AIRPORT_STATUS",
-                  first: int = -20, last: int = -5, tie: list[str] = (), least_hours: int | None = None) -> DataFrame:
+                  first: int = -20, last: int = -5, tie: list[str] = (), least_hours: int | None = None, block_hours: float = H.BLOCK_HOURS) -> DataFrame:
     """Mean label of the key's rows from `first` to `last` (negative: before this one).
 
     least_hours: take the rows by time instead: `-first` hours back up to least_hours back, so no
-    outcome younger than that gets in.
+    outcome younger than that gets in; a row without a time then has none. A key's history is cut into blocks
+    of block_hours (see history), so that a hub's rows are spread over tasks.
     """
-    w = Window.partitionBy(*keys).orderBy(ts, *tie).rowsBetween(first, last)
-    if least_hours is not None:
-        seconds = F.unix_micros(F.col(ts).cast("timestamp"))
-        w = Window.partitionBy(*keys).orderBy(seconds).rangeBetween(first * 3_600_000_000, -least_hours * 3_600_000_000)
-    return df.withColumn(name, F.avg(label).over(w))
+    if least_hours is None:
+        return H.rolling_mean(df, keys, ts, label, name, first, last, list(tie), block_hours)
+    spread = H.overlapping(df, ts, -first, block_hours)
+    w = Window.partitionBy(*keys, "_block").orderBy(H.micros(ts)).rangeBetween(first * H.HOUR, -least_hours * H.HOUR)
+    mean = F.when(F.col(ts).isNotNull(), F.avg(label).over(w))
+    return spread.withColumn(name, mean).where(~F.col("_carried")).select(*[c for c in df.columns if c != name], name)
 
 
 def _fill(df: DataFrame, columns: list[str], keys: list[str], suffix: str, value, fallback=None) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasPredictionCol
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontime.functions.scalar import sigmoid
@@ -26,8 +30,8 @@ def forest(label: str = "DEP_DEL15", depth: int = 5, trees: int = 20, seed: int
 
 
 def boosted(label: str = "DEP_DEL15", depth: int = 4, rounds: int = 20, step: float = 0.1, seed: int = 1, regression: bool = False, **more):
-    """Boosted trees, for classes or (regression) for numbers. more: any of their parameters by name.
-    Penalties on leaf weights have no counterpart here."""
+    """Spark's boosted trees, for classes or (regression) for numbers. more: any of their parameters by name.
+    Penalties on leaf weights have no counterpart there: see trees.fit_boosted."""
     kind = GBTRegressor if regression else GBTClassifier
     settings = {"labelCol": label, "featuresCol": "features", "maxDepth": depth, "maxIter": rounds, "stepSize": step, "seed": seed} | more
     return kind(**settings)
@@ -83,6 +87,79 @@ def importances(spark: SparkSession, model, names: list[str]) -> DataFrame:
     return ranked(spark, names, [values[i] for i in range(len(names))])
 
 
+@dataclass
+class LogisticFit:
+    """Weights of a logistic regression (the constant last), their standard errors, and the steps that led there."""
+
+    features: list[str]
+    weights: list[float]
+    errors: list[float]
+    history: list[tuple[float, list[float]]]  # log loss before each step, weights after it
+
+    def score(self) -> Column:
+        return sigmoid(_linear(self.features, self.weights))
+
+    def transform(self, df: DataFrame, threshold: float = 0.5) -> DataFrame:
+        """Adds probability and prediction (null where a feature is null)."""
+        return df.withColumn("probability", self.score()).withColumn("prediction", (F.col("probability") >= threshold).cast("int"))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """feature, weight, error (null without curvature): a row per feature and one for the constant."""
+        rows = zip([*self.features, "constant"], self.weights, self.errors, strict=True)
+        return spark.createDataFrame([(c, float(w), None if math.isnan(e) else float(e)) for c, w, e in rows], "feature string, weight double, error double")
+
+
+def _linear(features: list[str], weights: list[float]) -> Column:
+    return reduce(lambda z, x: z + F.lit(float(x[0])) * F.col(x[1]), zip(weights, features, strict=False), F.lit(float(weights[-1])))
+
+
+def newton_logistic(df: DataFrame, features: list[str], label: str = "DEP_DEL15", ridge: float = 0.0, rounds: int = 25, tolerance: float = 1e-10, weight: str | None = None) -> LogisticFit:
+    """Logistic regression by Newton steps on the summed log loss plus ridge / 2 times the squared weights (not the constant's).
+
+    Each step is one aggregation: gradient and Gram matrix of the weighted features, whose size is the square of
+    the number of features whatever the table's; the driver solves for the step. Halved where it would raise
+    the loss, ended when no weight moves by more than tolerance. Rows with a null label or feature are left out. A
+    direction without curvature (a constant feature, no ridge) gets the least step that solves the rest.
+    """
+    names = [*features, "constant"]
+    n = len(names)
+    used = reduce(lambda a, c: a & F.col(c).isNotNull(), [*features, *([weight] if weight else [])], F.col(label).isNotNull())
+    rows = stored(df.where(used).select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("_y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w")))
+    x = [*[F.col(c) for c in features], F.lit(1.0)]
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    penalty = np.array([ridge] * (n - 1) + [0.0])
+
+    def look(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        z = _linear(features, w.tolist())
+        p = sigmoid(z)
+        r, v = F.col("_w") * (F.col("_y") - p), F.col("_w") * p * (1 - p)
+        loss = F.col("_w") * (F.greatest(z, F.lit(0.0)) - z * F.col("_y") + F.log1p(F.exp(-F.abs(z))))
+        row = [t or 0.0 for t in rows.agg(F.sum(loss), *[F.sum(r * c) for c in x], *[F.sum(v * x[i] * x[j]) for i, j in pairs]).first()]
+        gram = np.zeros((n, n))
+        for (i, j), t in zip(pairs, row[n + 1 :], strict=True):
+            gram[i, j] = gram[j, i] = t
+        return row[0] + float(penalty @ (w * w)) / 2, np.array(row[1 : n + 1]) - penalty * w, gram + np.diag(penalty)
+
+    w, history = np.zeros(n), []
+    loss, gradient, gram = look(w)
+    for _ in range(rounds):
+        step = np.linalg.pinv(gram) @ gradient
+        for _ in range(30):
+            found = look(w + step)
+            if found[0] <= loss + 1e-9 * abs(loss):
+                break
+            step = step / 2
+        w = w + step
+        history.append((loss, w.tolist()))
+        loss, gradient, gram = found
+        if np.abs(step).max() <= tolerance:
+            break
+    spread = np.diag(np.linalg.pinv(gram))
+    free = np.diag(gram) > 0
+    errors = [math.sqrt(s) if f and s >= 0 else math.nan for s, f in zip(spread, free, strict=True)]
+    return LogisticFit(features, w.tolist(), errors, history)
+
+
 def gradient_step(df: DataFrame, features: list[str], label: str, weights: list[float], rate: float, kind: str = "logistic",
                   penalty: str | None = None, strength: float = 0.0) -> tuple[list[float], float]:
     """(new weights, loss before the step); weights: one for each feature, then the constant.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontime.functions import scalar as S
@@ -62,30 +62,62 @@ def airport_readings(airports: DataFrame, stations: DataFrame, readings: DataFra
     return local_to_utc(out, zones, "iata_code", "DATE", "DATE_UTC")
 
 
+#: Buckets are so many times as wide as the longest interval of their level; levels end at these quantiles of the
+#: lengths, if the next one is STEP times as long at least.
+WIDE, STEP, ENDS = 4, 8, (0.9, 0.99, 0.999)
+
+
+def interval_levels(left: DataFrame, start: str, end: str) -> list[int]:
+    """Longest interval of each level, in microseconds, shortest first: by a quantile sketch of the lengths and the
+    longest there is. One aggregation, four levels at most."""
+    length = _micros(end) - _micros(start)
+    row = left.where(length >= 0).agg(F.percentile_approx(length, list(ENDS), 10_000).alias("q"), F.max(length).alias("m")).first()
+    if row["m"] is None:
+        return [1]
+    levels = [max(int(row["m"]), 1)]
+    for q in reversed(row["q"]):
+        if max(int(q), 1) * STEP <= levels[0]:
+            levels.insert(0, max(int(q), 1))
+    return levels
+
+
+def _micros(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
 def interval_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], point: str, start: str, end: str,
-                  how: str = "left", longest_hours: float | None = None) -> DataFrame:
-    """Rows of right whose `point` lies in [start, end] of left and whose keys are equal.
-
-    longest_hours: how long an interval can be. Then time is cut into buckets of that length, which
-    join the keys of the hash: a left row is in the bucket of its end, a right row in its own and
-    the next one, where every interval ends that can hold it. So a key with very many rows is spread
-    over its buckets, each row meets those of two buckets instead of all of its key, and left rows
-    aren't copied, which keeps outer joins a single join. A longer interval is an error. Without it
-    the range is tested on each match of the keys.
+                  how: str = "left", longest_hours: float | None = None, buckets: bool = True) -> DataFrame:
+    """Rows of right whose `point` lies in [start, end] of left and whose keys are equal. how: inner or left.
+
+    Time is cut into buckets, which join the keys of the hash, so a key with very many rows is spread over its
+    buckets and a row meets those nearby. Intervals may be of any length: few long ones have coarser buckets on
+    levels of their own. A left row is in one bucket, that of its end on the level of its length, which keeps an
+    outer join a single join; a right row is on each level in its own bucket, and in the next one if an interval
+    that ends there may reach back to it (one in WIDE of them).
+
+    longest_hours: a promise that no interval is longer, which saves measuring them; one that is raises an error.
+    buckets=False tests the range on each match of the keys.
     """
+    if how not in ("inner", "left"):
+        raise ValueError("an interval join is inner or left")
     cond = F.col(point).between(F.col(start), F.col(end))
     for a, b in on:
         cond = cond & (F.col(a) == F.col(b))
-    if longest_hours is None:
+    if not buckets:
         return left.join(right, cond, how)
-    width = F.lit(int(longest_hours * 3_600_000_000))
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    bucket = lambda c: F.floor(micros(c) / width)
-    too_long = F.raise_error(F.concat(F.lit("an interval is longer than "), F.lit(str(longest_hours)), F.lit(" hours")))
-    ends = F.when(micros(end) - micros(start) > width, too_long.cast("long")).otherwise(bucket(end))
-    near = F.explode(F.sequence(bucket(point), bucket(point) + 1))
-    x, y = left.withColumn("_ends_in", ends), right.withColumn("_near", near)
-    return x.join(y, cond & (F.col("_ends_in") == F.col("_near")), how).drop("_ends_in", "_near")
+    levels = interval_levels(left, start, end) if longest_hours is None else [max(1, int(longest_hours * 3_600_000_000))]
+    length, at = _micros(end) - _micros(start), _micros(point)
+    bucket = lambda x, n: F.floor(x / F.lit(WIDE * n))
+    place = lambda level, b: F.struct(F.lit(level).alias("level"), b.alias("bucket"))
+    ends = F.raise_error(F.lit(f"an interval is longer than {longest_hours} hours")).cast("struct<level:int,bucket:bigint>")
+    for level in range(len(levels) - 1, -1, -1):
+        mine = place(level, bucket(_micros(end), levels[level]))
+        ends = F.when(length > levels[level], ends).otherwise(mine)
+    on_level = lambda level: lambda b: place(level, b)
+    near = F.concat(*[F.transform(F.sequence(bucket(at, n), bucket(at + n, n)), on_level(i)) for i, n in enumerate(levels)])
+    x = left.withColumn("_end", ends).select(*left.columns, F.col("_end.level").alias("_level"), F.col("_end.bucket").alias("_bucket"))
+    y = right.withColumn("_near", F.explode(near)).select(*right.columns, F.col("_near.level").alias("_on"), F.col("_near.bucket").alias("_in"))
+    return x.join(y, cond & (F.col("_level") == F.col("_on")) & (F.col("_bucket") == F.col("_in")), how).drop("_level", "_bucket", "_on", "_in")
 
 
 def unmapped(df: DataFrame, known: DataFrame, on: str, known_on: str) -> DataFrame:

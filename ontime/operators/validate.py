@@ -153,31 +153,31 @@ class TimeFoldValidator(Estimator):
 
     def fit(self, df: DataFrame, folds: list[Fold] | None = None, time: Column | None = None) -> TimeFoldModel:
         folds, time = folds or self.folds, self.time if time is None else time
-        rows, models, last = [], {}, None
-        for n, f in enumerate(folds):
-            train, valid = f.part(df, "train", time), f.part(df, "valid", time)
-            if self.prepare:
-                train, valid = self.prepare(train, valid)
-            train, valid = resample(train, self.label, self.sampling, key=self.key).persist(), valid.persist()
-
-            def one(i, f=f, train=train, valid=valid):
-                model = self.estimator.fit(train, self.maps[i])
-                return model, (f.number, i, *self._judge(model.transform(valid)))
-
-            with ThreadPoolExecutor(self.parallelism) as pool:
-                found = list(pool.map(inheritable_thread_target(one), range(len(self.maps))))
-            rows += [row for _, row in found]
-            if self.keep_models:
-                models[f.number] = [model for model, _ in found]
-            valid.unpersist()
-            if n < len(folds) - 1:
-                train.unpersist()
-            else:
-                last = train
-        mean = [sum(r[-1] for r in rows if r[1] == i) / len(folds) for i in range(len(self.maps))]
-        best = (max if self.larger_is_better else min)(range(len(mean)), key=mean.__getitem__)
-        model = self.estimator.fit(last, self.maps[best])
-        last.unpersist()
+        rows, models, held = [], {}, []
+        try:
+            for f in folds:
+                for part in held:
+                    part.unpersist()
+                train, valid = f.part(df, "train", time), f.part(df, "valid", time)
+                if self.prepare:
+                    train, valid = self.prepare(train, valid)
+                held = [resample(train, self.label, self.sampling, key=self.key).persist(), valid.persist()]
+
+                def one(i, f=f, train=held[0], valid=held[1]):
+                    model = self.estimator.fit(train, self.maps[i])
+                    return model, (f.number, i, *self._judge(model.transform(valid)))
+
+                with ThreadPoolExecutor(self.parallelism) as pool:
+                    found = list(pool.map(inheritable_thread_target(one), range(len(self.maps))))
+                rows += [row for _, row in found]
+                if self.keep_models:
+                    models[f.number] = [model for model, _ in found]
+            mean = [sum(r[-1] for r in rows if r[1] == i) / len(folds) for i in range(len(self.maps))]
+            best = (max if self.larger_is_better else min)(range(len(mean)), key=mean.__getitem__)
+            model = self.estimator.fit(held[0], self.maps[best])
+        finally:  # also when a fit fails
+            for part in held:
+                part.unpersist()
         return TimeFoldModel(model, best, mean, rows, models, [{p.name: v for p, v in m.items()} for m in self.maps])
 
     def _fit(self, df: DataFrame) -> TimeFoldModel:

@@ -8,6 +8,7 @@ reports, suppliers the stations, nations the airports and their zones.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -25,6 +26,7 @@ from ontime.operators import graph as G
 from ontime.operators import metrics as M
 from ontime.operators import models
 from ontime.operators import timejoin as J
+from ontime.operators import trees
 from ontime.operators import validate as K
 from ontime.plans import flights
 from ontime.session import shared_folder
@@ -97,10 +99,26 @@ def interval_join_bucketed(spark, d):
     e = events(spark, d)
     targets = J.window_bounds(e.where("label = 1").select("event_id", "user_id", "ts"), "ts", 24, 2, ("w_start", "w_end"))
     readings = e.where("label = 0").select(F.col("user_id").alias("r_user"), F.col("ts").alias("r_ts"), "value")
-    j = J.interval_join(targets, readings, [("user_id", "r_user")], "r_ts", "w_start", "w_end", "left")
+    j = J.interval_join(targets, readings, [("user_id", "r_user")], "r_ts", "w_start", "w_end", "left", buckets=False)
     return j.groupBy("event_id").agg(F.count("value").alias("n"))
 
 
+#: Hours before an event: most spans have two, one in fifty has weeks.
+_SPAN = "CASE WHEN event_id % 50 = 0 THEN 24 * (event_id % 700 // 50 + 7) ELSE 2 END"
+
+
+@query(f"""WITH t AS (SELECT event_id, user_id, ts, {_SPAN} AS h FROM events WHERE event_id % 2 = 0), r AS (SELECT user_id, ts, value FROM events WHERE event_id % 2 = 1)
+SELECT event_id, count(r.value) AS n, round(coalesce(sum(r.value), 0), 6) AS total FROM t
+LEFT JOIN r ON t.user_id = r.user_id AND r.ts BETWEEN t.ts - to_hours(CAST(h AS BIGINT)) AND t.ts GROUP BY event_id""")
+def interval_join_any_length(spark, d):
+    """Spans of two hours and of weeks in one join: the lengths are measured, long spans have coarser buckets."""
+    e = table(spark, d, "events")
+    t = e.where("event_id % 2 = 0").select("event_id", "user_id", F.col("ts").alias("w_end"), S.hours_before(F.col("ts"), F.expr(_SPAN.replace("//", "div"))).alias("w_start"))
+    r = e.where("event_id % 2 = 1").select(F.col("user_id").alias("r_user"), F.col("ts").alias("r_ts"), "value")
+    j = J.interval_join(t, r, [("user_id", "r_user")], "r_ts", "w_start", "w_end", "left")
+    return j.groupBy("event_id").agg(F.count("value").alias("n"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 6).alias("total"))
+
+
 @query("""SELECT * FROM (SELECT s_suppkey, n_nationkey, abs(s_suppkey * 7 % 31 - n_nationkey) AS distance,
   CAST(rank() OVER (PARTITION BY s_suppkey ORDER BY abs(s_suppkey * 7 % 31 - n_nationkey)) AS INTEGER) AS nearness
   FROM supplier JOIN nation ON s_nationkey % 5 = n_regionkey) WHERE nearness <= 3""")
@@ -134,6 +152,21 @@ def rolling_status_by_time(spark, d):
     return out.select("event_id", F.round("status", 9).alias("status"))
 
 
+_HUB = "CASE WHEN event_id % 10 < 7 THEN 0 WHEN event_id % 10 = 9 THEN NULL ELSE user_id END"
+
+
+@query(f"""WITH e AS (SELECT event_id, ts, {_HUB} AS hub, CASE WHEN event_id % 11 <> 0 THEN value END AS v FROM events)
+SELECT event_id, round(avg(v) OVER (PARTITION BY hub ORDER BY ts, event_id ROWS BETWEEN 30 PRECEDING AND 2 PRECEDING), 6) AS status,
+  CAST(CASE WHEN hub IS NOT NULL AND ts - INTERVAL 1 HOUR >= lag(ts) OVER w AND ts - INTERVAL 12 HOUR < lag(ts) OVER w THEN lag(event_id) OVER w ELSE 0 END AS BIGINT) AS previous
+FROM e WINDOW w AS (PARTITION BY hub ORDER BY ts, event_id)""")
+def hot_history(spark, d):
+    """Seven rows of ten belong to one key: its history is cut into blocks of twelve hours. Null keys have no previous row."""
+    e = events(spark, d).select("event_id", "ts", F.expr(_HUB).alias("hub"), F.expr("CASE WHEN event_id % 11 <> 0 THEN value END").alias("v"), F.col("event_id").alias("id"))
+    out = W.rolling_share(e, ["hub"], "ts", "v", "status", -30, -2, tie=["event_id"], block_hours=12)
+    out = W.previous_flag(out, "hub", "ts", "id", "previous", 1, 12, tie=["event_id"], block_hours=12)
+    return out.select("event_id", F.round("status", 6).alias("status"), "previous")
+
+
 def holey_part(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_brand", F.when(F.col("p_partkey") % 3 != 0, F.col("p_size")).alias("p_size"))
 
@@ -710,6 +743,130 @@ def gd_regularised(spark, d):
     return spark.createDataFrame([(0, round(loss, 6), round(w, 9), round(c, 9))], "step int, loss double, w_x double, w_constant double")
 
 
+_SCALED = "e AS (SELECT event_id, value / 100 AS value, hour(ts) / 24::DOUBLE AS hour, day(ts) AS day, CAST(event_type = 'error' AS DOUBLE) AS y FROM events)"
+
+
+def _newton_sql(steps: int, ridge: float) -> str:
+    """Newton steps for two features and a constant: sums, then the inverse of the Gram matrix by cofactors."""
+    parts = [f"WITH {_SCALED}", "w0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c)"]
+    p = "(1 / (1 + exp(-(w.c + w.a * value + w.b * hour))))"
+    for i in range(1, steps + 2):  # the last one gives the spread at the solution
+        parts.append(f"""s{i} AS (SELECT any_value(w.a) AS a, any_value(w.b) AS b, any_value(w.c) AS c,
+  sum((y - {p}) * value) - {ridge}::DOUBLE * any_value(w.a) AS ga, sum((y - {p}) * hour) - {ridge}::DOUBLE * any_value(w.b) AS gb, sum(y - {p}) AS gc,
+  sum({p} * (1 - {p}) * value * value) + {ridge}::DOUBLE AS aa, sum({p} * (1 - {p}) * value * hour) AS ab, sum({p} * (1 - {p}) * value) AS ac,
+  sum({p} * (1 - {p}) * hour * hour) + {ridge}::DOUBLE AS bb, sum({p} * (1 - {p}) * hour) AS bc, sum({p} * (1 - {p})) AS cc FROM e, w{i - 1} w),
+i{i} AS (SELECT *, bb * cc - bc * bc AS iaa, ac * bc - ab * cc AS iab, ab * bc - ac * bb AS iac, aa * cc - ac * ac AS ibb, ab * ac - aa * bc AS ibc, aa * bb - ab * ab AS icc,
+  aa * (bb * cc - bc * bc) - ab * (ab * cc - ac * bc) + ac * (ab * bc - ac * bb) AS det FROM s{i}),
+w{i} AS (SELECT a + (iaa * ga + iab * gb + iac * gc) / det AS a, b + (iab * ga + ibb * gb + ibc * gc) / det AS b, c + (iac * ga + ibc * gb + icc * gc) / det AS c,
+  sqrt(iaa / det) AS ea, sqrt(ibb / det) AS eb, sqrt(icc / det) AS ec FROM i{i})""")
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS feature, round({k}, 6) AS weight, round(e{k}, 6) AS error FROM w{steps + 1}" for n, k in (("value", "a"), ("hour", "b"), ("constant", "c")))
+    return ",\n".join(parts) + "\n" + rows
+
+
+@query(_newton_sql(8, 2.0))
+def newton_logistic(spark, d):
+    """Logistic regression by Newton steps with a ridge: weights and their standard errors."""
+    fit = models.newton_logistic(scaled_events(spark, d), ["value", "hour"], "label", ridge=2.0)
+    return fit.table(spark).select("feature", F.round("weight", 6).alias("weight"), F.round("error", 6).alias("error"))
+
+
+_TREE_FEATURES = ["value", "hour", "day"]
+_EDGES = {"value": [0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 1.2], "hour": [0.2, 0.4, 0.6, 0.8], "day": [5.0, 10.0, 15.0, 20.0, 25.0]}
+_BINS = "[" + ", ".join(" + ".join(f"({c} > {e})::INT" for e in _EDGES[c]) for c in _TREE_FEATURES) + "]"
+
+
+def _levels_sql(p: str, rows: str, depth: int, gain: str, least: float, allowed: list[tuple[int, int, int]]) -> list[str]:
+    """Levels of trees over a table (event_id, bins, tree, a, h): p_r<depth> has the node of each row, p_s all splits."""
+    parts = [f"{p}r0 AS (SELECT *, 1 AS node FROM {rows})", f"{p}ok(tree, node, f) AS (VALUES {', '.join(map(str, allowed))})"]
+    for n in range(depth):
+        parts.append(f"""{p}x{n} AS (SELECT tree, node, f, b, sum(a) OVER w AS la, sum(h) OVER w AS lh, sum(a) OVER (PARTITION BY tree, node, f) AS ta, sum(h) OVER (PARTITION BY tree, node, f) AS th
+  FROM (SELECT tree, node, f, bins[f + 1] AS b, sum(a) AS a, sum(h) AS h FROM {p}r{n}, range(3) k(f) WHERE node >= {2**n} GROUP BY ALL) WINDOW w AS (PARTITION BY tree, node, f ORDER BY b)),
+{p}s{n} AS (SELECT tree, node, CAST(f AS INT) AS f, b, g, th FROM (SELECT *, round({gain}, 10) AS g FROM (SELECT *, ta - la AS ra, th - lh AS rh FROM {p}x{n} WHERE lh >= {least} AND th - lh >= {least} AND lh > 0 AND th - lh > 0))
+  JOIN {p}ok USING (tree, node, f) WHERE g > 0 QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY g DESC, f, b) = 1),
+{p}r{n + 1} AS (SELECT r.* REPLACE (CASE WHEN s.f IS NULL THEN r.node WHEN bins[s.f + 1] <= s.b THEN 2 * r.node ELSE 2 * r.node + 1 END AS node) FROM {p}r{n} r LEFT JOIN {p}s{n} s ON r.tree = s.tree AND r.node = s.node)""")
+    parts.append(f"{p}s AS ({' UNION ALL '.join(f'SELECT * FROM {p}s{n}' for n in range(depth))})")
+    return parts
+
+
+def _descend(rows: str, p: str, depth: int) -> str:
+    """Any table (event_id, bins, tree) with the node that its rows come to."""
+    out = f"(SELECT *, 1 AS node FROM {rows})"
+    for n in range(depth):
+        out = f"(SELECT r.* REPLACE (CASE WHEN s.f IS NULL THEN r.node WHEN bins[s.f + 1] <= s.b THEN 2 * r.node ELSE 2 * r.node + 1 END AS node) FROM {out} r LEFT JOIN {p}s{n} s ON r.tree = s.tree AND r.node = s.node)"
+    return out
+
+
+_FOREST = {"trees": 3, "depth": 2, "some": 2, "least": 5.0, "seed": 4}
+
+
+def _forest_sql(result: str) -> str:
+    k = _FOREST
+    seeds = ", ".join(f"({t})" for t in range(k["trees"]))
+    below, total = [], 0.0
+    for i in range(8):
+        total += math.exp(-1) / math.factorial(i)
+        below.append(f"(u >= {total!r}::DOUBLE)::INT")
+    allowed = [(t, n, f) for t in range(k["trees"]) for n in range(1, 2 ** k["depth"]) for f in trees.chosen(_TREE_FEATURES, k["some"], k["seed"], t, n)]
+    gini = lambda a, h: f"2 * {a} / {h} * (1 - {a} / {h})"
+    gain = f"{gini('ta', 'th')} - lh / th * {gini('la', 'lh')} - rh / th * {gini('ra', 'rh')}"
+    parts = [
+        f"WITH {_SCALED}",
+        f"b AS (SELECT event_id, y, {_BINS} AS bins, tree, {_uniform(k['seed'], 'event_id', 'tree')} AS u FROM e, (VALUES {seeds}) t(tree))",
+        f"d AS (SELECT event_id, bins, tree, w * y AS a, w::DOUBLE AS h FROM (SELECT *, {' + '.join(below)} AS w FROM b) WHERE w > 0)",
+        *_levels_sql("f", "d", k["depth"], gain, k["least"], allowed),
+        f"v AS (SELECT tree, node, sum(a) / sum(h) AS v FROM fr{k['depth']} GROUP BY tree, node)",
+    ]
+    return ",\n".join(parts) + "\n" + result
+
+
+def forest_of(spark, d) -> trees.Trees:
+    k = _FOREST
+    return trees.fit_forest(scaled_events(spark, d), _TREE_FEATURES, "label", ["event_id"], k["trees"], k["depth"], edges=_EDGES, some=k["some"], least=k["least"], seed=k["seed"])
+
+
+@query(_forest_sql(f"SELECT event_id, round(avg(v), 8) AS probability FROM {_descend('b', 'f', _FOREST['depth'])} JOIN v USING (tree, node) GROUP BY event_id"))
+def forest_levels(spark, d):
+    """A forest of three trees grown level by level: share of errors that it gives each event."""
+    out = forest_of(spark, d).transform(scaled_events(spark, d))
+    return out.select("event_id", F.round("probability", 8).alias("probability"))
+
+
+@query(_forest_sql(f"""SELECT feature, round(coalesce(gain / sum(gain) OVER (), 0), 6) AS importance FROM (VALUES ('value', 0), ('hour', 1), ('day', 2)) n(feature, f)
+LEFT JOIN (SELECT f, sum(round(g * s.th / root, 10)) AS gain FROM fs s JOIN (SELECT tree, max(th) AS root FROM fs GROUP BY tree) USING (tree) GROUP BY f) USING (f)""").replace("coalesce(gain / sum(gain) OVER (), 0)", "coalesce(gain, 0) / sum(gain) OVER ()"))
+def forest_importance(spark, d):
+    """Named importances of the same forest: shares of all gains."""
+    return forest_of(spark, d).importance(spark).withColumn("importance", F.round("importance", 6))
+
+
+_BOOST = {"rounds": 2, "depth": 2, "rate": 0.3, "gamma": 0.01, "alpha": 0.2, "lam": 1.5, "positive_weight": 2.0, "least_hessian": 1.0, "share": 0.7, "seed": 9}
+
+
+def _boosted_sql() -> str:
+    k = _BOOST
+    soft = lambda g: f"(sign({g}) * greatest(abs({g}) - {k['alpha']}::DOUBLE, 0))"
+    part = lambda g, h: f"{soft(g)} * {soft(g)} / ({h} + {k['lam']}::DOUBLE)"
+    gain = f"({part('la', 'lh')} + {part('ra', 'rh')} - {part('ta', 'th')}) / 2 - {k['gamma']}::DOUBLE"
+    parts = [f"WITH {_SCALED}", f"m0 AS (SELECT event_id, y, {_BINS} AS bins, 0.0::DOUBLE AS margin FROM e)"]
+    for r in range(k["rounds"]):
+        some = max(1, round(k["share"] * len(_TREE_FEATURES)))
+        allowed = [(0, n, f) for n in range(1, 2 ** k["depth"]) for f in trees.chosen(_TREE_FEATURES, some, k["seed"], "tree", r)]
+        p, w = "(1 / (1 + exp(-margin)))", f"CASE WHEN y = 1 THEN {k['positive_weight']}::DOUBLE ELSE 1.0::DOUBLE END"
+        parts.append(f"g{r} AS (SELECT event_id, y, bins, margin, 0 AS tree, {w} * ({p} - y) AS a, {w} * {p} * (1 - {p}) AS h FROM m{r})")
+        parts += _levels_sql(f"t{r}", f"g{r}", k["depth"], gain, k["least_hessian"], allowed)
+        last = f"t{r}r{k['depth']}"
+        parts.append(f"v{r} AS (SELECT node, -{k['rate']}::DOUBLE * {soft('sum(a)')} / (sum(h) + {k['lam']}::DOUBLE) AS v FROM {last} GROUP BY node)")
+        parts.append(f"m{r + 1} AS (SELECT event_id, y, bins, margin + v AS margin FROM {last} JOIN v{r} USING (node))")
+    return ",\n".join(parts) + f"\nSELECT event_id, round(1 / (1 + exp(-margin)), 8) AS probability FROM m{k['rounds']}"
+
+
+@query(_boosted_sql())
+def boosted_levels(spark, d):
+    """Two rounds of boosted trees with penalties on the leaves, depth 2."""
+    e = scaled_events(spark, d)
+    out = trees.fit_boosted(e, _TREE_FEATURES, "label", edges=_EDGES, **_BOOST).transform(e)
+    return out.select("event_id", F.round("probability", 8).alias("probability"))
+
+
 def day_folds() -> list[K.Fold]:
     """Folds over days instead of months."""
     return K.rolling_folds(1, train=9, valid=3, step=9, n=3)

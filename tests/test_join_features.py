@@ -68,8 +68,68 @@ def test_intervals_of_any_kind(spark):
         got = [(r["id"], r["v"]) for r in J.interval_join(x, y, [("k", "rk")], "p", "s", "e", how, 4).collect()]
         none = [(i, None) for i, *_ in left if i not in {i for i, _ in want}] if how == "left" else []
         assert sorted(got, key=str) == sorted(want + none, key=str)
+        every = [(r["id"], r["v"]) for r in J.interval_join(x, y, [("k", "rk")], "p", "s", "e", how, buckets=False).collect()]
+        assert sorted(every, key=str) == sorted(want + none, key=str)
     with pytest.raises(Exception, match="longer than"):
         J.interval_join(x, y, [("k", "rk")], "p", "s", "e", "left", 3).collect()
+    with pytest.raises(ValueError, match="inner or left"):
+        J.interval_join(x, y, [("k", "rk")], "p", "s", "e", "outer")
+
+
+def test_intervals_of_any_length(spark):
+    """Points, minutes, weeks and years in one table; nobody says how long they are."""
+    rng = random.Random(16)
+    at = lambda: NOON + timedelta(minutes=rng.randrange(60_000))
+    left = [(i, rng.choice("AB"), a := at(), a + timedelta(minutes=rng.choice([0] * 9 + [5] * 20 + [20_000, 500_000]))) for i in range(150)]
+    right = [(rng.choice("AB"), at(), i) for i in range(200)] + [("A", left[0][3], 1000), ("B", left[1][2], 1001)]
+    x, y = spark.createDataFrame(left, "id int, k string, s timestamp, e timestamp"), spark.createDataFrame(right, "rk string, p timestamp, v int")
+    assert J.interval_levels(x, "s", "e") == [5 * 60_000_000, 500_000 * 60_000_000]
+    assert J.interval_levels(x.where("e < s + INTERVAL 1 HOUR"), "s", "e") == [5 * 60_000_000] and J.interval_levels(x.limit(0), "s", "e") == [1]
+    want = {(i, v) for i, k, s, e in left for rk, p, v in right if k == rk and s <= p <= e}
+    joined = J.interval_join(x, y, [("k", "rk")], "p", "s", "e")
+    got = [(r["id"], r["v"]) for r in joined.collect()]
+    assert sorted(got, key=str) == sorted([*want, *[(i, None) for i, *_ in left if i not in {i for i, _ in want}]], key=str)
+    assert "_level" in joined._jdf.queryExecution().optimizedPlan().toString()
+    none = J.interval_join(x.limit(0), y, [("k", "rk")], "p", "s", "e")
+    assert none.count() == 0 and none.columns == x.columns + y.columns
+
+
+@pytest.mark.parametrize(("first", "last", "hours"), [(-20, -5, 1), (-3, 0, 7), (-1, -1, 2), (-5, -2, 10_000)])
+def test_blocks_of_a_history(spark, first, last, hours):
+    """A key with ten times the others' rows, null keys, times and values; blocks with fewer rows than are looked back on."""
+    rng = random.Random(first)
+    rows = [(i, rng.choice(["hub"] * 10 + ["x", None]), NOON + timedelta(minutes=rng.randrange(6000)) if i % 29 else None, rng.choice([0, 1, None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, k string, t timestamp, y int")
+    got = {r["i"]: r["m"] for r in W.rolling_share(df, ["k"], "t", "y", "m", first, last, tie=["i"], block_hours=hours).collect()}
+    for key in ("hub", "x", None):
+        mine = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2] is not None, r[2] or NOON, r[0]))
+        for n, r in enumerate(mine):
+            seen = [x[3] for x in mine[max(0, n + first) : max(0, n + last + 1)] if x[3] is not None]
+            assert got[r[0]] == (pytest.approx(sum(seen) / len(seen)) if seen else None), r
+    flags = {r["i"]: r["f"] for r in W.previous_flag(df, "k", "t", "y", "f", 0, 3, tie=["i"], block_hours=hours).collect()}
+    timed = {r["i"]: r["m"] for r in W.rolling_share(df, ["k"], "t", "y", "m", -4, tie=["i"], least_hours=1, block_hours=hours).collect()}
+    assert len(flags) == len(timed) == len(rows)
+    for key in ("hub", "x", None):
+        mine = sorted((r for r in rows if r[1] == key and r[2]), key=lambda r: (r[2], r[0]))
+        for n, r in enumerate(mine):
+            near = n > 0 and key is not None and r[2] - mine[n - 1][2] < timedelta(hours=3)
+            assert flags[r[0]] == (mine[n - 1][3] if near else 0), r
+            seen = [x[3] for x in mine if x[3] is not None and timedelta(hours=1) <= r[2] - x[2] <= timedelta(hours=4)]
+            assert timed[r[0]] == (pytest.approx(sum(seen) / len(seen)) if seen else None), r
+    assert all(flags[r[0]] == 0 and timed[r[0]] is None for r in rows if r[2] is None)
+
+
+def test_a_hub_is_spread_over_tasks(spark):
+    """The rows of one key, by the task that its window runs in."""
+    df = spark.range(40_000).select(F.lit("hub").alias("k"), (F.timestamp_seconds(F.col("id") * 600)).alias("t"), (F.col("id") % 2).alias("y"), "id").repartition(3)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for out in (W.previous_flag(df, "k", "t", "y", "f"), W.rolling_share(df, ["k"], "t", "y", "f")):
+            sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum("f")).collect()]
+            assert len(sizes) == 4 and max(sizes) < 30_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
 
 
 @pytest.mark.parametrize(
