@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontime import columns as C
@@ -40,6 +42,52 @@ def duplicate_report(df: DataFrame, keys: list[str]) -> DataFrame:
     return both.select("before", "after", dropped.alias("dropped"), F.round(F.try_divide(dropped * 100, "after"), 2).alias("percent"))
 
 
+#: Bits of a Bloom filter for each key, hashes of a key, and bytes up to which the filter is sent to all tasks.
+BLOOM_BITS, BLOOM_HASHES, BLOOM_BYTES = 16, 3, 64 << 20
+
+
+def _bloom_place(keys: list[str], n: int, bits: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(n), *[F.col(k) for k in keys]), F.lit(bits))
+
+
+def bloom_filter(df: DataFrame, keys: list[str], bits: int) -> DataFrame:
+    """_part, _bits: a Bloom filter of the rows' keys, as bitmaps of 32768 bits each, built by one aggregation."""
+    places = F.explode(F.array(*[_bloom_place(keys, n, bits) for n in range(BLOOM_HASHES)]))
+    each = df.select(places.alias("_place"))
+    return each.groupBy(F.bitmap_bucket_number("_place").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+
+
+def maybe_in(df: DataFrame, keys: list[str], bloom: DataFrame, bits: int) -> DataFrame:
+    """Rows whose keys the filter may hold: all that it holds, and few others. The filter is sent to the rows, which
+    are not shuffled. Rows with a null key count as keys too."""
+    columns = df.columns
+    for n in range(BLOOM_HASHES):
+        df = df.withColumn("_place", _bloom_place(keys, n, bits))
+        df = df.join(F.broadcast(bloom), F.bitmap_bucket_number("_place") == F.col("_part"))
+        at = F.bitmap_bit_position("_place")
+        octet = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        df = df.where(F.expr("1") == F.call_function("getbit", octet, (at % 8).cast("int"))).select(*columns)
+    return df
+
+
+def new_rows(new: DataFrame, history: DataFrame, keys: list[str], order: list[str] | None = None, bloom: bool | None = None) -> DataFrame:
+    """Rows of a new period whose keys history lacks, one per key (see drop_duplicates). Null keys equal each other.
+
+    History may be very large, so only its suspects are shuffled: rows that a Bloom filter of the new keys lets
+    through, about one in 200 of the others. The filter is built if it fits (BLOOM_BYTES), else history's keys are
+    joined as they are; the result is the same. bloom: decide it.
+    """
+    fresh = drop_duplicates(new, keys, order)
+    old = history.select(*keys)
+    if bloom is None or bloom:
+        bits = max(1 << 15, 1 << (BLOOM_BITS * max(new.count(), 1) - 1).bit_length())
+        if bloom or bits // 8 <= BLOOM_BYTES:
+            old = maybe_in(old, keys, bloom_filter(new, keys, bits), bits)
+    known = old.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return fresh.join(known, reduce(lambda a, b: a & b, same), "left_anti")
+
+
 def fill(df: DataFrame, columns: list[str], value=0) -> DataFrame:
     """Fill nulls whatever the columns' types: the value is cast to each (Spark's fillna skips
     columns of other types)."""

@@ -7,11 +7,13 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Bucketizer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontime import columns as C
+from ontime.functions import scalar as S
 from ontime.operators.timejoin import dimension
+from ontime.session import stored
 
 
 @dataclass
@@ -39,6 +41,73 @@ class TargetMeanModel:
         return out.select(*[out[c] for c in df.columns], new)
 
 
+@dataclass
+class OutOfFoldEncoder:
+    """Mean label of a category among rows of other folds, drawn towards the mean of all of those.
+
+    A row's own fold, and so its own label, is never in its value: sums by category and fold are taken once,
+    and each fold's own part is subtracted from its category's. prior: how many rows the overall mean counts
+    for. Folds follow a hash of key, so reruns agree. Null categories are one category; a category that only
+    one fold has gets the overall mean there, and so do unseen ones. Rows without a label are encoded too.
+    """
+
+    column: str
+    label: str
+    key: list[str]
+    folds: int = 5
+    prior: float = 10.0
+    seed: int = 1
+
+    def _fold(self) -> Column:
+        return F.floor(S.uniform(self.seed, *[F.col(k) for k in self.key]) * self.folds).cast("int")
+
+    def fit(self, train: DataFrame) -> OutOfFoldModel:
+        y = F.col(self.label).cast("double")
+        sums = train.groupBy(F.col(self.column).alias("_c"), self._fold().alias("_f")).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
+        return OutOfFoldModel(self, stored(sums))
+
+
+@dataclass
+class OutOfFoldModel:
+    encoder: OutOfFoldEncoder
+    sums: DataFrame  # _c, _f, _s, _n: a row per category and fold
+
+    def _shrunk(self, s: Column, n: Column, all_s: Column, all_n: Column) -> Column:
+        prior = F.lit(float(self.encoder.prior))
+        mean = F.try_divide(all_s, all_n)
+        return F.coalesce(F.try_divide(F.coalesce(s, F.lit(0.0)) + prior * mean, F.coalesce(n, F.lit(0)) + prior), mean)
+
+    def _totals(self, by: list[str]) -> DataFrame:
+        return self.sums.groupBy(*by).agg(F.coalesce(F.sum("_s"), F.lit(0.0)).alias("_as"), F.coalesce(F.sum("_n"), F.lit(0)).alias("_an"))
+
+    def _joined(self, df: DataFrame, table: DataFrame, same: Column, value: str) -> DataFrame:
+        out = df.join(dimension(table), same, "left")
+        return out.select(*[df[c] for c in df.columns if c not in ("_fold",)], F.col(value).alias(f"{self.encoder.column}_mean_encoding"))
+
+    def transform_train(self, train: DataFrame) -> DataFrame:
+        """Training rows: means of the other folds."""
+        e = self.encoder
+        by_category = self._totals(["_c"])
+        folds = self.sums.select("_f").distinct()
+        inside = self._totals(["_f"]).select("_f", F.col("_as").alias("_fs"), F.col("_an").alias("_fn"))
+        whole = self._totals([]).select(F.col("_as").alias("_ws"), F.col("_an").alias("_wn"))
+        overall = folds.join(inside, "_f").crossJoin(F.broadcast(whole)).select("_f", (F.col("_ws") - F.col("_fs")).alias("_os"), (F.col("_wn") - F.col("_fn")).alias("_on"))
+        own = self.sums.join(by_category.withColumnRenamed("_c", "_k"), F.col("_c").eqNullSafe(F.col("_k"))).join(F.broadcast(overall), "_f")  # a row per fold
+        s, n = F.col("_as") - F.coalesce("_s", F.lit(0.0)), F.col("_an") - F.col("_n")
+        values = own.select(F.col("_c"), "_f", self._shrunk(s, n, F.col("_os"), F.col("_on")).alias("_value"))
+        rows = train.withColumn("_fold", e._fold())
+        return self._joined(rows, values, F.col(e.column).eqNullSafe(F.col("_c")) & (F.col("_fold") == F.col("_f")), "_value")
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Other rows: means of all training rows."""
+        e = self.encoder
+        whole = self._totals([]).select(F.col("_as").alias("_ws"), F.col("_an").alias("_wn"))
+        values = self._totals(["_c"]).withColumn("_seen", F.lit(True))
+        out = df.join(dimension(values), F.col(e.column).eqNullSafe(F.col("_c")), "left").crossJoin(F.broadcast(whole))
+        value = self._shrunk(F.when(F.col("_seen"), F.col("_as")), F.when(F.col("_seen"), F.col("_an")), F.col("_ws"), F.col("_wn"))
+        return out.select(*[df[c] for c in df.columns], value.alias(f"{e.column}_mean_encoding"))
+
+
 def count_encode(df: DataFrame, column: str) -> DataFrame:
     """X_COUNT: how often the row's category occurs. Counted first, so no task gets a whole category."""
     counts = dimension(df.groupBy(column).agg(F.count("*").alias(f"{column}_COUNT")).withColumnRenamed(column, "_c"))

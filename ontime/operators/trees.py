@@ -2,7 +2,7 @@
 
 Features are cut into bins once. For every level the rows' statistics are summed by tree, node, feature
 and bin, before the shuffle already, and what reaches the driver is bounded by the settings: nodes times
-features times bins. The best split of each node is found from running sums over the bins; where a row
+features times bins (for a forest, times trees). The best split of each node is found from running sums over the bins; where a row
 stands is an expression over its bins, so no table is rewritten between levels.
 
 Forests draw their rows by a Poisson count from a hash of the row's key and the tree's number, and
@@ -61,8 +61,8 @@ class Trees:
 
     def score(self) -> Column:
         """Probability of the label 1, or the number (squares)."""
-        binned = {c: bin_of(F.col(c), self.edges[c]) for c in self.features}
-        total = reduce(lambda a, b: a + b, [value_at(t, binned) for t in self.trees], F.lit(self.base))
+        left = lambda s: F.coalesce(F.col(s.feature) <= F.lit(self.edges[s.feature][s.bin]), F.lit(True))
+        total = reduce(lambda a, b: a + b, [place(t, left, lambda n, t=t: t.leaves[n]) for t in self.trees], F.lit(self.base))
         return total / F.lit(float(len(self.trees))) if self.kind == "forest" else S.sigmoid(total) if self.kind == "logistic" else total
 
     def transform(self, df: DataFrame, name: str = "probability", threshold: float = 0.5) -> DataFrame:
@@ -103,22 +103,18 @@ def bin_of(value: Column, edges: list[float]) -> Column:
     return F.coalesce(reduce(lambda a, b: a + b, [(value > F.lit(e)).cast("int") for e in edges]), F.lit(0))
 
 
-def node_at(tree: Tree, binned: dict[str, Column]) -> Column:
-    """The node of the tree's open level, or the leaf, that a row has come to."""
+def place(tree: Tree, left: Callable[[Split], Column], at: Callable[[int], float]) -> Column:
+    """What `at` says of the node that a row comes to: a leaf, or one of the open level."""
 
     def below(n: int) -> Column:
         s = tree.splits.get(n)
-        return F.lit(n) if s is None else F.when(binned[s.feature] <= s.bin, below(2 * n)).otherwise(below(2 * n + 1))
+        return F.lit(at(n)) if s is None else F.when(left(s), below(2 * n)).otherwise(below(2 * n + 1))
 
     return below(1)
 
 
-def value_at(tree: Tree, binned: dict[str, Column]) -> Column:
-    def below(n: int) -> Column:
-        s = tree.splits.get(n)
-        return F.lit(tree.leaves[n]) if s is None else F.when(binned[s.feature] <= s.bin, below(2 * n)).otherwise(below(2 * n + 1))
-
-    return below(1)
+def _binned_left(s: Split) -> Column:
+    return F.col(f"_bin_{s.feature}") <= s.bin
 
 
 def histograms(rows: DataFrame, features: list[str], width: int) -> dict[tuple[int, int], np.ndarray]:
@@ -126,7 +122,7 @@ def histograms(rows: DataFrame, features: list[str], width: int) -> dict[tuple[i
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"_bin_{c}").alias("b")) for i, c in enumerate(features)]))
     sums = rows.select("_tree", "_node", "_a", "_b", each.alias("_x")).groupBy("_tree", "_node", "_x.f", "_x.b").agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"))
     out: dict[tuple[int, int], np.ndarray] = {}
-    for tree, node, f, b, a, h in sums.collect():  # nodes x features x bins at most
+    for tree, node, f, b, a, h in sums.toLocalIterator():  # trees x nodes x features x bins at most
         out.setdefault((tree, node), np.zeros((len(features), width, 2)))[f, b] = a, h
     return out
 
@@ -191,7 +187,6 @@ def fit_forest(df: DataFrame, features: list[str], label: str, key: list[str], t
     """A forest of classifiers by Gini impurity. key: columns that name a row; some: features tried at each node (default:
     the square root of their number); least: rows of a child."""
     edges = edges or bin_edges(df, features, bins)
-    binned = {c: F.col(f"_bin_{c}") for c in features}
     base = _prepared(df, features, label, edges, [F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]).alias("_key")])
     out = [Tree() for _ in range(trees)]
     some = some or max(1, round(math.sqrt(len(features))))
@@ -200,7 +195,7 @@ def fit_forest(df: DataFrame, features: list[str], label: str, key: list[str], t
     drawn = drawn.withColumn("_w", poisson(S.uniform(seed, F.col("_key"), F.col("_tree")))).where("_w > 0")
 
     def rows(level: int) -> DataFrame:
-        node = reduce(lambda a, t: F.when(F.col("_tree") == t, node_at(out[t], binned)).otherwise(a), range(trees), F.lit(0))
+        node = reduce(lambda a, t: F.when(F.col("_tree") == t, place(out[t], _binned_left, int)).otherwise(a), range(trees), F.lit(0))
         r = drawn.withColumns({"_node": node, "_a": F.col("_w") * F.col("_y"), "_b": F.col("_w").cast("double")})
         return r.where(F.col("_node") >= 2**level)  # leaves of levels before are done
 
@@ -230,7 +225,6 @@ def fit_boosted(df: DataFrame, features: list[str], label: str, rounds: int = 20
     A leaf's value is -T(G) / (H + lam) * rate, where T moves the sum of gradients towards zero by alpha.
     """
     edges = edges or bin_edges(df, features, bins)
-    binned = {c: F.col(f"_bin_{c}") for c in features}
     base = _prepared(df, features, label, edges)
     start = 0.5 if squares else 0.0
     width = 1 + max(map(len, edges.values()))
@@ -248,12 +242,12 @@ def fit_boosted(df: DataFrame, features: list[str], label: str, rounds: int = 20
         stats = base.withColumns({"_tree": F.lit(0), "_a": w * (p - F.col("_y")), "_b": w * (F.lit(1.0) if squares else p * (1 - p))})
 
         def rows(level: int, stats=stats, tree=tree) -> DataFrame:
-            return stats.withColumn("_node", node_at(tree[0], binned)).where(F.col("_node") >= 2**level)
+            return stats.withColumn("_node", place(tree[0], _binned_left, int)).where(F.col("_node") >= 2**level)
 
         _grow(tree, rows, features, width, depth, lambda t, n, cells, allowed=allowed: best_split(cells, allowed, gain, least_hessian), value)
         done += tree
         # the sum so far is a column of a stored table, so plans don't grow with the rounds
-        base = base.withColumn("_margin", margin + value_at(tree[0], binned))
+        base = base.withColumn("_margin", margin + place(tree[0], _binned_left, lambda n, tree=tree: tree[0].leaves[n]))
         if k % 10 == 9:
             base = stored(base)
         margin = F.col("_margin")

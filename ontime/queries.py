@@ -48,6 +48,12 @@ def query(sql: str | None = None):
     return add
 
 
+def _uniform(seed: int, *keys: str) -> str:
+    """functions.scalar.uniform in SQL."""
+    text = " || ':' || ".join([f"'{seed}'", *[f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys]])
+    return f"CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
     return f"{shared_folder(spark)}/ontime-queries-{uuid.uuid4().hex[:12]}/{name}"
@@ -403,6 +409,50 @@ def target_mean_encode(spark, d):
     return model.transform(e).select("event_id", F.round("user_id_mean_encoding", 9).alias("user_id_mean_encoding"))
 
 
+def _out_of_fold_sql(train: bool) -> str:
+    k = _uniform(1, "event_id")
+    own = f"""SELECT t.event_id, round((coalesce(c.s, 0) - coalesce(f.s, 0) + 10 * o.s / o.n) / (coalesce(c.n, 0) - coalesce(f.n, 0) + 10), 9) AS user_id_mean_encoding
+FROM e t JOIN a c ON t.user_id IS NOT DISTINCT FROM c.user_id JOIN b f ON t.user_id IS NOT DISTINCT FROM f.user_id AND t.fold = f.fold JOIN o ON t.fold = o.fold WHERE t.event_id % 4 <> 0"""
+    other = """SELECT t.event_id, round((coalesce(c.s, 0) + 10 * w.s / w.n) / (coalesce(c.n, 0) + 10), 9) AS user_id_mean_encoding
+FROM e t LEFT JOIN a c ON t.user_id IS NOT DISTINCT FROM c.user_id, (SELECT sum(y) AS s, count(y) AS n FROM train) w WHERE t.event_id % 4 = 0"""
+    return f"""WITH e AS (SELECT event_id, CASE WHEN user_id % 13 <> 0 THEN user_id END AS user_id, (event_type = 'error')::DOUBLE AS y, CAST(floor({k} * 5) AS INT) AS fold FROM events),
+train AS (SELECT * FROM e WHERE event_id % 4 <> 0 AND coalesce(user_id, 0) % 7 <> 1),
+b AS (SELECT user_id, fold, sum(y) AS s, count(y) AS n FROM train GROUP BY ALL), a AS (SELECT user_id, sum(s) AS s, sum(n) AS n FROM b GROUP BY ALL),
+o AS (SELECT f.fold, sum(b.s) AS s, sum(b.n) AS n FROM (SELECT DISTINCT fold FROM b) f JOIN b ON b.fold <> f.fold GROUP BY f.fold)
+{own if train else other}""".replace("FROM e t JOIN a c", "FROM train t JOIN a c")
+
+
+def _encoder(spark, d):
+    e = events(spark, d).withColumn("user_id", F.when(F.col("user_id") % 13 != 0, F.col("user_id")))
+    train = e.where("event_id % 4 <> 0 AND coalesce(user_id, 0) % 7 <> 1")
+    return e, train, T.OutOfFoldEncoder("user_id", "label", ["event_id"]).fit(train)
+
+
+@query(_out_of_fold_sql(True))
+def out_of_fold_means(spark, d):
+    """Training rows: means of their category in other folds, drawn towards the overall mean."""
+    _, train, model = _encoder(spark, d)
+    return model.transform_train(train).select("event_id", F.round("user_id_mean_encoding", 9).alias("user_id_mean_encoding"))
+
+
+@query(_out_of_fold_sql(False))
+def shrunk_means(spark, d):
+    """Other rows: means of all training rows, drawn towards the overall mean; unseen users get that one."""
+    e, _, model = _encoder(spark, d)
+    return model.transform(e.where("event_id % 4 = 0")).select("event_id", F.round("user_id_mean_encoding", 9).alias("user_id_mean_encoding"))
+
+
+@query("""WITH n AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate >= DATE '1997-01-01'), h AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate < DATE '1997-01-01')
+SELECT l_partkey, l_suppkey, l_quantity, min(l_orderkey) AS l_orderkey FROM n WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.l_partkey = n.l_partkey AND h.l_suppkey = n.l_suppkey AND h.l_quantity = n.l_quantity)
+GROUP BY ALL""")
+def incremental_load(spark, d):
+    """A new period without what history has already: only history's suspects, by a Bloom filter, are joined."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_partkey", "l_suppkey", "l_quantity", "l_orderkey", "o_orderdate")
+    new, history = P.between_dates(li, "o_orderdate", start="1997-01-01"), P.between_dates(li, "o_orderdate", until="1997-01-01")
+    keys = ["l_partkey", "l_suppkey", "l_quantity"]
+    return P.new_rows(new, history, keys, ["l_orderkey"]).select(*keys, "l_orderkey")
+
+
 @query('SELECT p_partkey, p_brand, count(*) OVER (PARTITION BY p_brand) AS "p_brand_COUNT" FROM part')
 def count_encode(spark, d):
     return T.count_encode(table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand")
@@ -463,12 +513,6 @@ def oversample(spark, d):
     return W.oversample(events(spark, d), "label").select("event_id", "event_type")
 
 
-def _uniform(seed: int, *keys: str) -> str:
-    """functions.scalar.uniform in SQL."""
-    text = " || ':' || ".join([f"'{seed}'", *[f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys]])
-    return f"CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
-
-
 @query(f"""WITH k AS (SELECT count(*) FILTER (event_type = 'error')::DOUBLE / count(*) FILTER (event_type <> 'error') AS share FROM events)
 SELECT event_id, event_type FROM events, k WHERE event_type = 'error' OR {_uniform(7, 'event_id')} < share""")
 def undersample(spark, d):
