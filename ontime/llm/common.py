@@ -98,11 +98,14 @@ def _drop_all() -> None:
             return
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage and survives lost executors."""
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    compression: a codec of Parquet's for tables that stay long (default: the session's).
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -260,7 +260,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
         F.unhex(text_sha256()).alias("digest"),
         F.monotonically_increasing_id().alias("row"),
     )
-    stored = materialise(keyed, "dedup-docs")
+    stored = materialise(keyed, "dedup-docs", "zstd")
     kept = _index(stored.select("doc_id", "digest", "row")).select(F.col("keep_row").alias("row"))
     rows = stored.join(kept, "row", "left_semi")
     return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -153,7 +153,7 @@ def quality(docs: DataFrame, keep: list[str] | None = None, least: int = 50) ->
     """keep (doc_id) and the counts, base_failed, kept and reasons (rates beyond their fence)."""
     keep = list(keep or ["doc_id"])
     extra = [c for c in ("lang", "source") if c not in keep]
-    m = materialise(measures(docs, keep + extra), "quality-counts")
+    m = materialise(measures(docs, keep + extra), "quality-counts", "zstd")
     limits = materialise(thresholds(m, least), "quality-limits")
     few = limits.count() <= 20_000  # under 4 MB
     limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
