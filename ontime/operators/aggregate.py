@@ -122,3 +122,15 @@ def monthly_spread(df: DataFrame, year: Column, month: Column, label: str) -> Da
 def day_part(hour: Column) -> Column:
     """0 to 4: night, morning, noon, afternoon, evening."""
     return F.when(hour < 6, 0).when(hour < 10, 1).when(hour < 14, 2).when(hour < 18, 3).otherwise(4)
+
+
+def summary(df: DataFrame, columns: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
+    """One row per numeric column: column, count, nulls, mean, stddev, min, q25, q50, q75, max; all in one pass over df."""
+    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    columns = columns or [c for c, kind in df.dtypes if kind in numeric or kind.startswith("decimal")]
+    x = lambda c: F.col(c).cast("double")
+    stats = lambda c: F.struct(
+        F.lit(c).alias("column"), F.count(c).alias("count"), F.count_if(F.col(c).isNull()).alias("nulls"), F.avg(x(c)).alias("mean"), F.stddev(x(c)).alias("stddev"), F.min(x(c)).alias("min"),
+        *[F.get(F.percentile_approx(x(c), [0.25, 0.5, 0.75], accuracy), F.lit(i)).alias(q) for i, q in enumerate(("q25", "q50", "q75"))], F.max(x(c)).alias("max"),
+    )
+    return df.agg(*[stats(c).alias(f"_{i}") for i, c in enumerate(columns)]).select(F.inline(F.array(*[f"_{i}" for i in range(len(columns))])))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import importlib
 import json
 import random
@@ -151,7 +152,16 @@ class TimeFoldValidator(Estimator):
         self.larger_is_better = evaluator.isLargerBetter() if isinstance(evaluator, Evaluator) else larger_is_better
         self.keep_models, self.folds, self.time, self.key = keep_models, folds, time, key
 
-    def fit(self, df: DataFrame, folds: list[Fold] | None = None, time: Column | None = None) -> TimeFoldModel:
+    def copy(self, extra: dict | None = None) -> TimeFoldValidator:
+        """The same with other settings of the estimator."""
+        other = copy.copy(self)
+        other.estimator = self.estimator.copy(extra)
+        return other
+
+    def fit(self, df: DataFrame, folds: list[Fold] | dict | None = None, time: Column | None = None) -> TimeFoldModel:
+        """folds may also be a parameter map, as for any estimator of Spark's: settings of the estimator for this fit."""
+        if isinstance(folds, dict):
+            return self.copy(folds).fit(df, None, time)
         folds, time = folds or self.folds, self.time if time is None else time
         rows, models, held = [], {}, []
         try:

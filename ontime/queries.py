@@ -216,11 +216,11 @@ def topk_category_per_class(spark, d):
     return A.top_categories(typed_lines(spark, d), "l_returnflag", "p_type", 3)
 
 
-@query("""SELECT l_orderkey, l_partkey, l_quantity, NULL::BIGINT AS l_suppkey FROM lineitem WHERE l_linenumber = 1
-UNION ALL SELECT l_orderkey, NULL, l_quantity, l_suppkey FROM lineitem WHERE l_linenumber = 2""")
+@query("""SELECT l_orderkey, l_partkey, l_quantity, NULL::BIGINT AS l_suppkey FROM lineitem WHERE l_linenumber % 2 = 1
+UNION ALL SELECT l_orderkey, NULL, l_quantity, l_suppkey FROM lineitem WHERE l_linenumber % 2 = 0""")
 def union_by_name_missing(spark, d):
     li = table(spark, d, "lineitem")
-    return io.union_all([li.where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_quantity"), li.where("l_linenumber = 2").select("l_suppkey", "l_quantity", "l_orderkey")])
+    return io.union_all([li.where("l_linenumber % 2 = 1").select("l_orderkey", "l_partkey", "l_quantity"), li.where("l_linenumber % 2 = 0").select("l_suppkey", "l_quantity", "l_orderkey")])
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (
@@ -360,6 +360,18 @@ def holiday_lookup(spark, d):
     return W.holidays(table(spark, d, "orders"), calendar, "o_orderdate").select("o_orderkey", "is_holiday", "holiday_imp")
 
 
+@query("""WITH h AS (SELECT DISTINCT o_orderdate::DATE AS day, month(o_orderdate) % 3 AS i FROM orders WHERE day(o_orderdate) = 4)
+SELECT o_orderkey, CAST(i IS NOT NULL AS INTEGER) AS is_holiday, CAST(coalesce(i + 1, 0) AS INTEGER) AS holiday_imp FROM orders LEFT JOIN h ON o_orderdate::DATE = day""")
+def holiday_table(spark, d):
+    """A calendar written as a table and read by the reader of holidays."""
+    orders = table(spark, d, "orders")
+    day = F.col("o_orderdate")
+    calendar = orders.where(F.dayofmonth(day) == 4).select(F.year(day).alias("Year"), F.month(day).alias("Month"), F.dayofmonth(day).alias("Day"), (F.month(day) % 3).alias("Importance"))
+    path = folder(spark, "holidays")
+    io.write_parquet(calendar, path)
+    return W.holidays(orders, io.read_holidays(spark, path), "o_orderdate").select("o_orderkey", "is_holiday", "holiday_imp")
+
+
 def routes(spark, d):
     """Edges supplier nation -> customer nation, one per line, with carrier and previous delay."""
     li, s = table(spark, d, "lineitem"), table(spark, d, "supplier")
@@ -1103,6 +1115,18 @@ def dataset_summary(spark, d):
     return s.select("summary", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in s.columns[1:]])
 
 
+def _columns_sql(columns: list[str]) -> str:
+    one = "SELECT '{0}' AS column, count({0}) AS count, count(*) - count({0}) AS nulls, round(avg({0}), 6) AS mean, round(stddev({0}), 6) AS stddev, min({0})::DOUBLE AS min, quantile_disc({0}, 0.25)::DOUBLE AS q25, quantile_disc({0}, 0.5)::DOUBLE AS q50, quantile_disc({0}, 0.75)::DOUBLE AS q75, max({0})::DOUBLE AS max FROM part"
+    return " UNION ALL ".join(one.format(c) for c in columns)
+
+
+@query(_columns_sql(["p_partkey", "p_size", "p_retailprice"]))
+def column_summary(spark, d):
+    """Counts, moments and quartiles of all numeric columns in one pass."""
+    out = A.summary(table(spark, d, "part"))
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "stddev")})
+
+
 @query(f"SELECT * FROM lineitem WHERE {_uniform(5, 'l_orderkey', 'l_linenumber')} < 0.1")
 def sampled_rows(spark, d):
     return P.sample(table(spark, d, "lineitem"), 0.1, seed=5, key=["l_orderkey", "l_linenumber"])

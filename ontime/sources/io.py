@@ -56,6 +56,13 @@ def with_code(df: DataFrame, column: str = "iata_code") -> DataFrame:
     return df.where(F.col(column).isNotNull() & (F.col(column) != "null"))
 
 
+def read_holidays(spark: SparkSession, path: str) -> DataFrame:
+    """A calendar for features.holidays: Year, Month, Day as text, Importance; days without a date are left out."""
+    parts = [F.col(c).cast("string").alias(c) for c in ("Year", "Month", "Day")]
+    days = spark.read.parquet(path).select(*parts, F.col("Importance").cast("int").alias("Importance"))
+    return days.na.drop(subset=["Year", "Month", "Day"])
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 

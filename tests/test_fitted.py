@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ontime.operators import clean as P
 from ontime.operators import encode as T
 from ontime.operators import models, trees
+from ontime.operators import validate as K
 from ontime.plans.inspect import uses_python
 
 FEATURES = ["a", "b", "c"]
@@ -235,3 +236,25 @@ def test_only_suspects_are_shuffled(spark):
     assert left.where("k >= 49900").count() == 100 and left.count() < 200
     plan = left._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and plan.count("BroadcastHashJoin") == P.BLOOM_HASHES
+
+
+# --- tuner
+
+
+def test_fit_takes_a_parameter_map(spark):
+    """As for any estimator: settings for one fit, which leave the tuner as it was."""
+    df = spark.createDataFrame([(m, float(i), int(i > 4)) for m in range(1, 7) for i in range(10)], "m int, value double, y int")
+    rule = models.MeanRule("value", "y", 1.0)
+    folds = K.rolling_folds(1, train=2, valid=1, step=1, n=2)
+    cv = K.TimeFoldValidator(rule, [{}], "y", folds=folds, time=F.col("m"))
+    limits = [cv.fit(df, extra).best_model.getOrDefault("limit") for extra in (None, {rule.factor: 2.0}, None)]
+    assert limits == [7.0, 14.0, 7.0]
+
+
+def test_a_failed_fit_holds_no_fold(spark):
+    df = spark.createDataFrame([(m, float(m), 1) for m in range(1, 7)], "m int, value double, y int")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    cv = K.TimeFoldValidator(models.MeanRule("nothing", "y"), [{}], "y", folds=K.rolling_folds(1, train=2, valid=1, step=1, n=2), time=F.col("m"))
+    with pytest.raises(Exception, match="nothing"):
+        cv.fit(df)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
