@@ -42,6 +42,13 @@ RULES = [
 BASE = ("assign", "access", "hex")
 
 
+SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
+
+#: Matches that one fold places. A fold copies its state at each step, so many matches of one text are placed
+#: block by block, from where the blocks before end.
+BLOCK = 256
+
+
 def _spans(pattern: str, group: int, least: int, kind: str, rank: int) -> Column:
     """An array of (start, rank, kind, end) of the pattern's matches in _t."""
     pattern_lit = F.lit(pattern)
@@ -51,21 +58,35 @@ def _spans(pattern: str, group: int, least: int, kind: str, rank: int) -> Column
     lengths = F.arrays_zip(
         F.transform(between, F.length).alias("gap"), F.transform(whole, F.length).alias("whole"), F.transform(part, F.length).alias("part")
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>").alias("found"))
+    until = lambda x: x["gap"] + F.coalesce(x["whole"], F.lit(0))
 
     def step(state, x):
-        begin = state["at"] + x["gap"]
-        end = begin + F.coalesce(x["whole"], F.lit(0))
+        begin, end = state["at"] + x["gap"], state["at"] + until(x)
         span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
         good = F.coalesce(x["part"] >= least, F.lit(False))
         return F.struct(end.alias("at"), F.when(good, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
 
-    return F.aggregate(lengths, start, step)["found"]
+    def placed(block, begin):
+        start = F.struct(begin.alias("at"), F.array().cast(SPANS).alias("found"))
+        return F.aggregate(block, start, step, lambda x: x["found"])
+
+    def all_placed(blocks):
+        lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + until(x)))
+        begins = F.aggregate(lengths, F.array(F.lit(0)), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)))
+        return F.flatten(F.zip_with(blocks, F.slice(begins, 1, F.size(blocks)), placed))
+
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(BLOCK)), lambda i: F.slice(x, i + 1, BLOCK))
+    return _once(_once(lengths, cut), all_placed)
+
+
+def _once(x: Column, f) -> Column:
+    """f(x), with x computed once however often f names it."""
+    return F.transform(F.array(x), f)[0]
 
 
 def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
     """blob, spans: what the rules find in each blob's text, in order of start and rule."""
-    empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+    empty = F.array().cast(SPANS)
     t = blobs.select("blob", text_or_empty().alias("_t"))
     t = t.withColumn("_low", F.lower("_t"))
     found = [
@@ -78,7 +99,7 @@ def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
 #: Blobs with several paths that are sent to all tasks, 40 bytes each.
 FEW = 100_000
 
-LEDGER = "blob binary, rules int, spans array<struct<start:int,rank:int,kind:string,end:int>>"
+LEDGER = f"blob binary, rules int, spans {SPANS}"
 _NO_ID = -(1 << 63)
 
 
@@ -125,7 +146,7 @@ def _joined(spans: Column) -> Column:
 
 def report(findings: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (text) from (doc_id, spans)."""
-    spans = F.coalesce("spans", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>"))
+    spans = F.coalesce("spans", F.array().cast(SPANS))
     f = findings.select("doc_id", spans.alias("s"))
     count = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("s", lambda x: x["kind"].isin(*BASE))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -806,3 +807,12 @@ def test_results_of_a_stage_outlive_later_runs(spark):
 
 def test_names():
     assert [f"op{i}" for i in range(1, 14)] == sorted((n.split("_")[0] for n in queries.QUERIES), key=lambda n: int(n[2:]))
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 3000])
+def test_secrets_of_a_text_with_many(spark, n):
+    """Matches on both sides of a block's end; every fifth is too short to count but takes its room."""
+    text = "é " + " ".join(f"token = abc{i:06d}" if i % 5 == 0 else f"token = abcdef{i:08d}" for i in range(n))
+    found, _ = secret_scan.secret_scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    got = [(s["start"], s["end"]) for s in found.first()["spans"] or []]
+    assert got == [m.span() for m in re.finditer("token = ([a-z0-9]+)", text) if len(m[1]) >= 12]
