@@ -111,6 +111,47 @@ def pagerank(edges: DataFrame, alpha: float = 0.15, rounds: int = 10) -> DataFra
     return ranks.select("id", "rank")
 
 
+def weights(edges: DataFrame) -> DataFrame:
+    """src, dst, w: each node's distinct edges with their share of what leaves it; `n` counts where it is there."""
+    many = F.col("n").cast("double") if "n" in edges.columns else F.lit(1.0)
+    e = edges.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.sum(many).alias("w"))
+    out = e.groupBy("src").agg(F.sum("w").alias("total"))
+    return e.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("w"))
+
+
+def pagerank_converged(edges: DataFrame, alpha: float = 0.15, tolerance: float = 1e-10, most: int = 500) -> tuple[DataFrame, int]:
+    """(id, rank where pagerank's rounds lead to, the number of rounds): only what changed is passed on.
+
+    What a node got and has not passed on waits as its residual; a round passes on the residuals of the active nodes,
+    those above a limit, so a round's join has the edges of these alone. It stops when the residuals' sum shows that
+    the L1 distance to the limit is below `tolerance`; after `most` rounds without that it raises an error.
+
+    The mass of dangling nodes goes to all nodes alike, as the jumps do, so it scales all ranks by one factor: rounds
+    leave it out, and the ranks are brought to the sum 1 at the end. It so leaves at once instead of going round.
+    alpha must be above 0. No edges give no ranks. Edge weights must not be negative.
+    """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be above 0 and at most 1")
+    e = stored(weights(edges))
+    state = stored(nodes(edges).where("id IS NOT NULL").select("id", F.lit(0.0).alias("x"), F.lit(1.0).alias("res")))
+    n = state.count()
+    if n == 0:
+        return state.select("id", F.col("x").alias("rank")), 0
+    # all of x is at least 1 a node, a waiting residual adds at most 1 / alpha times itself, scaling doubles the distance
+    least = tolerance * alpha / 4
+    active = F.col("res") > least
+    for done in range(most + 1):
+        waiting = state.agg(F.sum("res")).first()[0]
+        if waiting <= 2 * least * n:
+            total = state.agg(F.sum("x")).first()[0]
+            return state.select("id", (F.col("x") / F.lit(total)).alias("rank")), done
+        moved = e.join(state.where(active).select(F.col("id").alias("src"), "res"), "src").groupBy("dst").agg(F.sum(F.col("w") * F.col("res")).alias("got"))
+        new = state.join(moved.withColumnRenamed("dst", "id"), "id", "left")
+        got = F.lit(1 - alpha) * F.coalesce("got", F.lit(0.0))
+        state = stored(new.select("id", F.when(active, F.col("x") + F.col("res")).otherwise(F.col("x")).alias("x"), F.when(active, got).otherwise(F.col("res") + got).alias("res")))
+    raise RuntimeError(f"the ranks have not converged after {most} rounds")
+
+
 def named(scores: DataFrame, names: DataFrame, key: str = "id", by: str = "rank", k: int = 20) -> DataFrame:
     """The k best with their names, best first."""
     return top(scores, by, k, key).join(names, key).orderBy(F.desc(by), key)

@@ -25,12 +25,13 @@ from ontime.operators import features as W
 from ontime.operators import graph as G
 from ontime.operators import metrics as M
 from ontime.operators import models
+from ontime.operators import places, sketches
 from ontime.operators import timejoin as J
 from ontime.operators import trees
 from ontime.operators import validate as K
 from ontime.plans import flights
 from ontime.session import shared_folder
-from ontime.sources import io
+from ontime.sources import bucketed, io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -1392,3 +1393,88 @@ def flight_features(spark, d):
     """The same, filled and shaped for a model, without the columns that tell the outcome."""
     out = flights.drop_features(flights.shape_features(joined_flights(spark, d)))
     return out.select(F.col("DISTANCE").alias("event_id"), "CRS_DEP_TIME", "TMP_Value", F.round("WND_Speed_mean", 6).alias("WND_Speed_mean"), "AA_RainDepth", "weather_condition")
+
+
+@query(_pagerank_sql(40, 0.5) + " SELECT id, round(rank, 9) AS rank FROM r40")
+def pagerank_converged(spark, d):
+    """Ranks whose rounds stop by themselves equal those of so many rounds that nothing changes any more."""
+    ranks, _ = G.pagerank_converged(sparse_routes(spark, d), 0.5, 1e-12)
+    return ranks.withColumn("rank", F.round("rank", 9))
+
+
+#: Places for customers and suppliers, from their keys: latitude and longitude in degrees.
+_LAT, _LON = "({k} * 7919 % 17001) / 100.0 - 85.0", "({k} * 104729 % 36007) / 100.0 - 180.0"
+
+
+def place_of(key: str) -> tuple[str, str]:
+    return f"CAST({_LAT.format(k=key)} AS DOUBLE)", f"CAST({_LON.format(k=key)} AS DOUBLE)"
+
+
+@query(f"""WITH c AS (SELECT c_custkey, radians({place_of("c_custkey")[0]}) AS a, radians({place_of("c_custkey")[1]}) AS o FROM customer WHERE c_custkey % 7 <> 0),
+s AS (SELECT s_suppkey, radians({place_of("s_suppkey")[0]}) AS b, radians({place_of("s_suppkey")[1]}) AS p FROM supplier),
+d AS (SELECT c_custkey, s_suppkey, 2 * 6371.0088 * asin(sqrt(pow(sin((b - a) / 2), 2) + cos(a) * cos(b) * pow(sin((p - o) / 2), 2))) AS km FROM c, s)
+SELECT c_custkey, s_suppkey, round(km, 2) AS km, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY km, s_suppkey) AS INTEGER) AS nearness FROM d
+QUALIFY nearness <= 3""")
+def nearest_places(spark, d):
+    """The three suppliers nearest to each customer on the globe; customers without coordinates have none."""
+    lat, lon = place_of("c_custkey")
+    c = table(spark, d, "customer").select("c_custkey", F.expr(f"CASE WHEN c_custkey % 7 <> 0 THEN {lat} END").alias("lat"), F.expr(lon).alias("lon"))
+    lat, lon = place_of("s_suppkey")
+    s = table(spark, d, "supplier").select("s_suppkey", F.expr(lat).alias("lat"), F.expr(lon).alias("lon"))
+    near = places.nearest_places(c, s, 3, ("c_custkey", "lat", "lon"), ("s_suppkey", "lat", "lon"))
+    return near.select(F.col("left_id").alias("c_custkey"), F.col("right_id").alias("s_suppkey"), F.round("distance_km", 2).alias("km"), F.col("rank").alias("nearness"))
+
+
+def monthly_sketches(spark, d) -> DataFrame:
+    """Sketches of lineitem's numbers per month, stored."""
+    line = table(spark, d, "lineitem").withColumn("l_discount", F.when(F.col("l_orderkey") % 9 != 0, F.col("l_discount")))
+    return io.stage(sketches.by_period(line, F.trunc("l_shipdate", "month"), ["l_extendedprice", "l_quantity", "l_discount"]), folder(spark, "sketches"))
+
+
+@query("""SELECT y AS year, "column", count(*) AS rows, count(*) - count(v) AS n_null, CAST(min(v) AS DOUBLE) AS least, CAST(max(v) AS DOUBLE) AS most, true AS median_fits, true AS distinct_fits
+FROM (SELECT year(l_shipdate) AS y, unnest([{'column': 'l_extendedprice', 'v': CAST(l_extendedprice AS DOUBLE)}, {'column': 'l_quantity', 'v': CAST(l_quantity AS DOUBLE)},
+  {'column': 'l_discount', 'v': CASE WHEN l_orderkey % 9 <> 0 THEN CAST(l_discount AS DOUBLE) END}], recursive := true) FROM lineitem) GROUP BY ALL""")
+def sketched_audit(spark, d):
+    """Months' sketches merged to years; medians and numbers of distinct values lie within the stated errors of the
+    exact ones, which are counted beside them."""
+    years = sketches.merged(monthly_sketches(spark, d), [F.year("period").alias("year")])
+    got = sketches.audit(years, ["year"], {"median": 0.5})
+    columns = ["l_extendedprice", "l_quantity", "l_discount"]
+    line = table(spark, d, "lineitem").withColumn("l_discount", F.when(F.col("l_orderkey") % 9 != 0, F.col("l_discount")))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])
+    rows = line.select(F.year("l_shipdate").alias("year"), F.inline(cells)).where("v IS NOT NULL").join(F.broadcast(got.select("year", "column", "median")), ["year", "column"])
+    below, upto = F.avg((F.col("v") < F.col("median")).cast("double")), F.avg((F.col("v") <= F.col("median")).cast("double"))
+    exact = rows.groupBy("year", "column").agg((F.greatest(below - 0.5, 0.5 - upto) <= sketches.rank_error()).alias("median_fits"), F.count_distinct("v").alias("exact"))
+    fits = F.abs(F.col("n_distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.05 * F.col("exact"))
+    out = got.join(exact, ["year", "column"])
+    return out.select("year", "column", "rows", "n_null", "least", "most", "median_fits", fits.alias("distinct_fits"))
+
+
+@query("""WITH m AS (SELECT quantile_disc(l_quantity, 0.5) AS m FROM lineitem WHERE l_linenumber % 3 <> 0)
+SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity ELSE m END AS DOUBLE) AS l_quantity FROM lineitem, m""")
+def sketched_fill(spark, d):
+    """Nulls filled with the median of all months' merged sketches: the values are so few that it is the exact one."""
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity")).alias("l_quantity"))
+    kept = io.stage(sketches.by_period(line, F.trunc("l_shipdate", "month"), ["l_quantity"]), folder(spark, "sketches"))
+    return sketches.fill_median(line, sketches.merged(kept), ["l_quantity"]).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("""SELECT o_orderkey, o_orderdate, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_totalprice > 100000""")
+def bucketed_join(spark, d):
+    """Facts joined with their dimension, both stored in buckets of the key: no exchange."""
+    o, line = table(spark, d, "orders"), table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    a, b = bucketed.write_bucketed(o, ["o_orderkey"], 8), bucketed.write_bucketed(line, ["o_orderkey"], 8)
+    j = bucketed.co_join(a.where("o_totalprice > 100000"), b, ["o_orderkey"])
+    return j.select("o_orderkey", "o_orderdate", "l_linenumber", "l_quantity")
+
+
+@query("""SELECT event_id, CAST(value > 20 AS INTEGER) + CAST(value > 40 AS INTEGER) + CAST(event_id % 3 = 0 AS INTEGER) AS votes,
+  CAST(CAST(value > 20 AS INTEGER) + CAST(value > 40 AS INTEGER) + CAST(event_id % 3 = 0 AS INTEGER) > 1.5 AS INTEGER) AS vote FROM events""")
+def bucketed_votes(spark, d):
+    """Outputs of three models, each stored in buckets of the row's key as it is made, joined without an exchange."""
+    e = table(spark, d, "events")
+    rules = {"a": F.col("value") > 20, "b": F.col("value") > 40, "c": F.col("event_id") % 3 == 0}
+    outs = [bucketed.write_bucketed(e.select("event_id", rule.cast("int").alias(f"{m}_pred")), ["event_id"], 8) for m, rule in rules.items()]
+    j = V.join_outputs([outs[0], *[o.hint("merge") for o in outs[1:]]], ["event_id"])
+    preds = [F.col(f"{m}_pred") for m in rules]
+    return j.select("event_id", sum(preds[1:], preds[0]).alias("votes"), V.hard_vote(preds).alias("vote"))
