@@ -1018,9 +1018,9 @@ def adjacency_text(spark, d):
     return G.edges_of_text(io.read_lines(spark, path))
 
 
-def _pagerank_sql(rounds: int, alpha: float) -> str:
+def _pagerank_sql(rounds: int, alpha: float, edges: str = _SPARSE) -> str:
     parts = [
-        f"WITH {_SPARSE}",
+        f"WITH {edges}",
         "n AS (SELECT src AS id FROM s UNION SELECT dst FROM s)",
         "k AS (SELECT count(*)::DOUBLE AS k FROM n)",
         "w AS (SELECT src, dst, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY src) AS w FROM s GROUP BY src, dst)",
@@ -1395,10 +1395,12 @@ def flight_features(spark, d):
     return out.select(F.col("DISTANCE").alias("event_id"), "CRS_DEP_TIME", "TMP_Value", F.round("WND_Speed_mean", 6).alias("WND_Speed_mean"), "AA_RainDepth", "weather_condition")
 
 
-@query(_pagerank_sql(40, 0.5) + " SELECT id, round(rank, 9) AS rank FROM r40")
+@query(_pagerank_sql(40, 0.5, "s AS (SELECT CAST(l_suppkey AS BIGINT) AS src, CAST(l_partkey AS BIGINT) AS dst FROM lineitem)") + " SELECT id, round(rank, 9) AS rank FROM r40")
 def pagerank_converged(spark, d):
-    """Ranks whose rounds stop by themselves equal those of so many rounds that nothing changes any more."""
-    ranks, _ = G.pagerank_converged(sparse_routes(spark, d), 0.5, 1e-12)
+    """Ranks whose rounds stop by themselves equal those of so many rounds that nothing changes any more; the graph has
+    cycles, since parts and suppliers share numbers."""
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("src"), F.col("l_partkey").cast("long").alias("dst"))
+    ranks, _ = G.pagerank_converged(e, 0.5, 1e-12)
     return ranks.withColumn("rank", F.round("rank", 9))
 
 
@@ -1431,7 +1433,7 @@ def monthly_sketches(spark, d) -> DataFrame:
     return io.stage(sketches.by_period(line, F.trunc("l_shipdate", "month"), ["l_extendedprice", "l_quantity", "l_discount"]), folder(spark, "sketches"))
 
 
-@query("""SELECT y AS year, "column", count(*) AS rows, count(*) - count(v) AS n_null, CAST(min(v) AS DOUBLE) AS least, CAST(max(v) AS DOUBLE) AS most, true AS median_fits, true AS distinct_fits
+@query("""SELECT CAST(y AS INTEGER) AS year, "column", count(*) AS rows, count(*) - count(v) AS n_null, CAST(min(v) AS DOUBLE) AS least, CAST(max(v) AS DOUBLE) AS most, true AS median_fits, true AS distinct_fits
 FROM (SELECT year(l_shipdate) AS y, unnest([{'column': 'l_extendedprice', 'v': CAST(l_extendedprice AS DOUBLE)}, {'column': 'l_quantity', 'v': CAST(l_quantity AS DOUBLE)},
   {'column': 'l_discount', 'v': CASE WHEN l_orderkey % 9 <> 0 THEN CAST(l_discount AS DOUBLE) END}], recursive := true) FROM lineitem) GROUP BY ALL""")
 def sketched_audit(spark, d):
