@@ -12,6 +12,8 @@ from ontime.session import stored
 EARTH_KM = 6371.0088
 #: Cells of each level are so many times as wide as those of the one before.
 WIDER = 4
+#: Levels on which a left row looks around itself, before it comes down to its places from the whole earth.
+RINGS = 2
 
 
 def _on_sphere(df: DataFrame, key: str, lat: str, lon: str, name: str) -> DataFrame:
@@ -40,18 +42,54 @@ def candidates(left: DataFrame, right: DataFrame, side: float) -> DataFrame:
     return mine.join(there, ["_cx", "_cy", "_cz"]).select("left_id", "right_id", chord2.alias("_d"))
 
 
+def descend(left: DataFrame, right: DataFrame, k: int, side: float) -> DataFrame:
+    """left_id, right_id, _d of the places in the cells of that side that can hold one of the k nearest.
+
+    From cells that hold the earth down to those of `side`, by counts of places: a cell goes on while it is no farther
+    than the far ends of cells that together hold k. So a row far from a crowd meets the crowd's near edge alone.
+    """
+    steps = 0
+    while side * WIDER**steps < 2:
+        steps += 1
+    places = right.select("right_id", *[F.col(f"_{c}").alias(f"_r{c}") for c in "xyz"], *[_cell(f"_{c}", side).alias(f"_c{c}") for c in "xyz"])
+    counts = stored(places.groupBy("_cx", "_cy", "_cz").agg(F.count("*").alias("_n")))
+    by, slack = Window.partitionBy("left_id"), 1e-12
+    open_cells = left
+    for step in range(steps, -1, -1):
+        wide = side * WIDER**step
+        level = counts.groupBy(*[F.floor(F.col(f"_c{c}") / F.lit(WIDER**step)).alias(f"_k{c}") for c in "xyz"]).agg(F.sum("_n").alias("_n"))
+        if step == steps:  # eight cells at most
+            met = open_cells.crossJoin(F.broadcast(level))
+        else:
+            met = open_cells.join(level.withColumns({f"_p{c}": F.floor(F.col(f"_k{c}") / F.lit(WIDER)) for c in "xyz"}), ["_px", "_py", "_pz"])
+        low, high = F.lit(0.0), F.lit(0.0)
+        for c in "xyz":
+            begin, end = F.col(f"_k{c}") * F.lit(wide) - F.col(f"_{c}"), (F.col(f"_k{c}") + 1) * F.lit(wide) - F.col(f"_{c}")
+            low += F.pow(F.greatest(F.lit(0.0), begin, -end), F.lit(2))
+            high += F.pow(F.greatest(F.abs(begin), F.abs(end)), F.lit(2))
+        met = met.withColumns({"_low": low, "_high": high})
+        met = met.withColumn("_sum", F.sum("_n").over(by.orderBy("_high", "_kx", "_ky", "_kz").rowsBetween(Window.unboundedPreceding, 0)))
+        met = met.withColumn("_reach", F.min(F.when(F.col("_sum") >= k, F.col("_high"))).over(by))
+        kept = met.where(F.col("_reach").isNull() | (F.col("_low") <= F.col("_reach") + slack))
+        open_cells = stored(kept.select("left_id", "_x", "_y", "_z", *[F.col(f"_k{c}").alias(f"_p{c}") for c in "xyz"]))
+    chord2 = sum(((F.col(f"_{c}") - F.col(f"_r{c}")) ** 2 for c in "xyz"), F.lit(0.0))
+    near = open_cells.join(places.withColumnsRenamed({f"_c{c}": f"_p{c}" for c in "xyz"}), ["_px", "_py", "_pz"])
+    return near.select("left_id", "right_id", chord2.alias("_d"))
+
+
 def nearest_places(left: DataFrame, right: DataFrame, k: int = 5, left_on: tuple[str, str, str] = ("ident", "lat", "lon"),
                    right_on: tuple[str, str, str] = ("station_id", "lat", "lon"), start_km: float | None = None) -> DataFrame:
     """left_id, right_id, distance_km, rank: the k nearest right rows of each left row.
 
     left_on, right_on: key, latitude and longitude in degrees; keys are unique. Places are cut into cubic cells of
     the unit sphere, where neither poles nor the date line are borders. A left row meets the right ones of its own cell
-    and the 26 around it, so it knows all places within a cell's side; if its k-th is that near it is done, else it goes
-    on with cells WIDER times as wide. On the last level the cells hold the whole earth, so what is left is done.
+    and the 26 around it, so it knows all places within a cell's side; if its k-th is that near it is done, else it
+    looks around once more in cells WIDER times as wide. Those that are still not done come down to their places from
+    the whole earth (descend).
 
     start_km: side of the first cells; by default that at which a cell would hold some k places if they lay evenly.
-    Crowded cells are split by adaptive execution; only left rows far from any place reach wide cells, with each place
-    around them as a candidate there. Only the k best of each left row in a task are shuffled (a rank under a limit).
+    Crowded cells are split by adaptive execution. Only the k best of each left row in a task are shuffled (a rank
+    under a limit).
 
     Cases: equal distances in order of right_id; a left row has fewer than k where right has fewer; rows without key
     or coordinates, or with impossible ones, are left out on both sides; an empty table on either side gives no rows.
@@ -61,19 +99,18 @@ def nearest_places(left: DataFrame, right: DataFrame, k: int = 5, left_on: tuple
     n = b.count()
     side = start_km / EARTH_KM if start_km else math.sqrt(4 * math.pi * k / max(n, 1))
     w = Window.partitionBy("left_id").orderBy("_d", "right_id")
+    first = lambda met: met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     parts, waiting = [], a
-    while True:
-        last = side >= 2
-        met = candidates(waiting, b, side)
-        near = stored(met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-        done = near.where((F.col("rank") == k) & (F.col("_d") <= side * side)).select("left_id")
-        parts.append(near if last else near.join(done, "left_id", "left_semi"))
-        if last:
-            break
+    for ring in range(RINGS):
+        wide = side * WIDER**ring
+        near = stored(first(candidates(waiting, b, wide)))
+        done = near.where((F.col("rank") == k) & (F.col("_d") <= wide * wide)).select("left_id")
+        parts.append(near.join(done, "left_id", "left_semi"))
         waiting = stored(waiting.join(done, "left_id", "left_anti"))
         if waiting.isEmpty():
             break
-        side *= WIDER
+    else:
+        parts.append(first(descend(waiting, b, k, side)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

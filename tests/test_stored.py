@@ -182,3 +182,17 @@ def test_places_meet_by_cell(spark):
     plan = final_plan(met)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "_cx" in plan
     assert 400 <= met.count() < 4000
+
+
+def test_a_far_row_meets_the_edge_of_a_crowd_alone(spark):
+    rng = random.Random(9)
+    schema = "id long, lat double, lon double"
+    crowd = spark.createDataFrame([(i, rng.uniform(40, 55), rng.uniform(0, 25)) for i in range(5000)], schema)
+    far = spark.createDataFrame([(1, -40.0, -130.0), (2, 0.0, 10.0)], schema)
+    a, b = places._on_sphere(far, "id", "lat", "lon", "left_id"), places._on_sphere(crowd, "id", "lat", "lon", "right_id")
+    met = places.descend(a, b, 3, 50 / places.EARTH_KM)
+    assert 6 <= met.count() < 1500
+    on, at = ("id", "lat", "lon"), {r["id"]: (r["lat"], r["lon"]) for r in crowd.collect()}
+    got = [(r["left_id"], r["right_id"]) for r in places.nearest_places(far, crowd, 3, on, on, 50.0).orderBy("left_id", "rank").collect()]
+    want = [(i, j) for i, p in ((1, (-40.0, -130.0)), (2, (0.0, 10.0))) for j in sorted(at, key=lambda j: chord(p, at[j]))[:3]]
+    assert got == want
