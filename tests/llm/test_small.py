@@ -816,3 +816,31 @@ def test_secrets_of_a_text_with_many(spark, n):
     found, _ = secret_scan.secret_scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     got = [(s["start"], s["end"]) for s in found.first()["spans"] or []]
     assert got == [m.span() for m in re.finditer("token = ([a-z0-9]+)", text) if len(m[1]) >= 12]
+
+
+def test_fences_above_the_sketches_size(spark):
+    """Groups of 3,000 to 40,000 texts, far above the 1,024 values that a sketch holds exactly, over many partitions:
+    each group's fences lie between those of quantiles one percent of the ranks lower and higher."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for lang, source, n, scale in (("a", "x", 40_000, 1.0), ("a", "y", 3_000, 8.0), (None, "x", 5_000, 0.2)):
+        rows.append(pd.DataFrame({"lang": lang, "source": source, "base_failed": False, **{r: rng.gamma(2.0, scale, n) for r in quality.RULES}}))
+    data = pd.concat(rows).sample(frac=1, random_state=1)
+    schema = "lang string, source string, base_failed boolean, " + ", ".join(f"{r} double" for r in quality.RULES)
+    measured = spark.createDataFrame(data.astype({"lang": object}).where(data.notna(), None), schema).repartition(16)
+    got = {(r["lang"], r["source"]): r for r in quality.thresholds(measured).collect()}
+    assert {k: r["group_docs"] for k, r in got.items()} == {("a", "x"): 40_000, ("a", "y"): 3_000, (None, "x"): 5_000}
+
+    def bounds(v, whole, level, multiple, e):
+        """The high fence of v's quantiles e lower (or, if e is negative, higher); the low fence is that of -v."""
+        at = lambda x, p: np.quantile(x, min(max(p, 0), 1))
+        spread = lambda x: at(x, level - e) - at(x, 0.5 + e)
+        return at(v, level - e) + multiple * max(spread(v), spread(whole))
+
+    for (lang, source), r in got.items():
+        mine = data[(data["lang"].isna() if lang is None else data["lang"] == lang) & (data["source"] == source)]
+        for rate, (_, _, level, multiple, both) in quality.RULES.items():
+            v, whole = mine[rate].to_numpy(), data[rate].to_numpy()
+            assert bounds(v, whole, level, multiple, 0.01) <= r[f"high_{rate}"] <= bounds(v, whole, level, multiple, -0.01)
+            if both:
+                assert bounds(-v, -whole, level, multiple, 0.01) <= -r[f"low_{rate}"] <= bounds(-v, -whole, level, multiple, -0.01)
