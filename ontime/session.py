@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,4 +42,10 @@ def shared_folder(spark: SparkSession) -> str:
         return base
     if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+    return _scratch().name
+
+
+@cache
+def _scratch() -> tempfile.TemporaryDirectory:
+    """One folder for this process, removed when it ends."""
+    return tempfile.TemporaryDirectory(prefix="spark-checkpoint-", ignore_cleanup_errors=True)

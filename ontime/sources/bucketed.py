@@ -13,16 +13,17 @@ from ontime.session import shared_folder
 def write_bucketed(df: DataFrame, keys: list[str], buckets: int, name: str | None = None, path: str | None = None) -> DataFrame:
     """The table, stored as `buckets` files sorted by `keys`, and read again as a table of the catalog.
 
-    name: of the catalog's table; one of that name is written anew. path: where its files lie, else a new folder
-    that driver and executors share. Rows are dealt by the hash of the keys before they are written, so a bucket
-    is one file and its order holds. Rows with null keys share a bucket. Tables that are to meet need the same
+    name: of the catalog's table; one of that name is written anew, but not from its own rows (Spark raises an
+    error). path: where its files lie, else a new folder that driver and executors share. Rows are dealt by the hash of
+    the keys before they are written, so a bucket is one file and its order holds. Rows with null keys share a bucket;
+    where these are many, leave them out: a join doesn't need them. Tables that are to meet need the same
     number of buckets and keys of equal types.
     """
     name = name or f"bucketed_{uuid.uuid4().hex[:12]}"
     if not re.fullmatch(r"\w+(\.\w+)?", name):
         raise ValueError(f"not a table's name: {name}")
     spark = df.sparkSession
-    path = path or f"{shared_folder(spark)}/ontime-{name}"
+    path = path or f"{shared_folder(spark)}/ontime-{name}-{uuid.uuid4().hex[:12]}"
     dealt = df.repartition(buckets, *keys)
     dealt.write.mode("overwrite").option("path", path).format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
     return spark.table(name)

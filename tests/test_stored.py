@@ -5,11 +5,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ontime import queries
 from ontime.operators import graph as G
 from ontime.operators import places, sketches
+from ontime.session import shared_folder
 from ontime.sources import bucketed
 
 DATA = "/root/testdata/sf0.001"
@@ -20,6 +22,10 @@ def final_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_one_scratch_folder_for_a_process(spark):
+    assert spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark) == shared_folder(spark)
+
+
 # --- bucketed
 
 
@@ -35,6 +41,8 @@ def test_a_bucket_is_one_file_and_groups_need_no_exchange(spark):
     assert len(b.inputFiles()) == 4
     g = b.groupBy("k").agg(F.count("*").alias("n"))
     assert {r["n"] for r in g.collect()} == {20} and "Exchange" not in final_plan(g)
+    with pytest.raises(AnalysisException):  # from the table that it would take the place of
+        bucketed.write_bucketed(b.where("k < 3"), ["k"], 4, "some_buckets")
     again = bucketed.write_bucketed(df.where("k < 3"), ["k"], 4, "some_buckets")
     assert again.count() == 60
     bucketed.drop_bucketed(spark, "some_buckets")
