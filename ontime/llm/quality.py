@@ -1,9 +1,10 @@
 """Quality rules whose thresholds are quantiles of the data, as DataFrame expressions only.
 
-Every document gets counts from its whole text. For each language and source a KLL sketch of
-each rate is built from the texts that pass the base rule; sketches merge, so a language's and
-the whole table's come from merging their sources' without reading the documents again. A group
-with fewer than `least` such texts uses its language's sketch, and a small language the table's.
+Every document gets counts from its whole text. For each language and source a sketch of each rate
+is built from the texts that pass the base rule: a histogram whose buckets are the rates' leading
+BITS bits, so a quantile is off by 1 / 256 of its value at most, at any size. Sketches merge by
+adding counts, so a language's and the whole table's come from merging their sources' without
+reading the documents again, and reruns agree however rows are dealt out.
 
 All fences come from the sketches. A rate's upper fence is q + multiple * spread, where q is the
 group's quantile at that rate's `level` and spread the distance from the median to it, the
@@ -12,9 +13,13 @@ as texts spread. Where nothing spreads (all rates 0, say) the fence is that valu
 count over a length, so it has no finer resolution than one event: a text goes when it is beyond
 the fence even with one event less. RULES gives levels and multiples; nothing else is fixed.
 
+A small group knows little of itself: the fence of n texts is the mean of their own and their
+language's, with weights n and `shrink`, and a language's that of its own and the table's. A table
+of n texts reaches (n + shrink) / n times as far. No size switches from one rule to another.
+
 Cases: null and empty texts have no words and fail the base rule; null language or source is a
-group of its own; repeated rows are separate rows. Texts on a fence stay. A table with fewer than
-`least` texts that pass the base rule has no fences, only the base rule. Texts of any length are counted whole,
+group of its own; repeated rows are separate rows. Texts on a fence stay, so a table with one text
+keeps it if it passes the base rule. Texts of any length are counted whole,
 in one row; those of 2**24 words or more are compared word by word instead of by hash. An empty
 table gives an empty result. Other columns are ignored unless asked for with `keep`.
 """
@@ -23,7 +28,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontime.llm.common import WORD, materialise, text_or_empty
@@ -97,64 +102,84 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     return t.select(*keep, *counts, *rates, F.expr(BASE_FAILED).alias("base_failed"))
 
 
-def _spreads(sketch) -> list[Column]:
-    """Distances of the median from the quantiles that fences start at, above and below."""
-    at = lambda rate, p: F.kll_sketch_get_quantile_double(sketch(rate), F.lit(p))
-    out = []
-    for rate, (_, _, level, _, both) in RULES.items():
-        out.append((at(rate, level) - at(rate, 0.5)).alias(f"high_{rate}"))
-        if both:
-            out.append((at(rate, 0.5) - at(rate, 1 - level)).alias(f"low_{rate}"))
-    return out
+#: Leading bits of a rate that tell buckets apart, and bits after the point that a rate is cut to.
+BITS, POINT = 9, 20
+
+
+def sketches(measured: DataFrame, *by: str) -> DataFrame:
+    """by, rate, bucket, n: the histograms of the rates of texts that pass the base rule, for each of by.
+
+    A bucket is named by its least value. At most 2**(BITS - 1) of them begin with the same power of two.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), F.floor(F.col(r) * F.lit(float(1 << POINT))).alias("v")) for r in RULES]))
+    rows = measured.where("NOT base_failed").select(*by, each.alias("_r")).select(*by, "_r.rate", "_r.v")
+    return rows.withColumn("bucket", F.expr(f"shiftleft(shiftright(v, {_dropped('v')}), {_dropped('v')})")).groupBy(*by, "rate", "bucket").agg(F.count("*").alias("n"))
+
+
+def _dropped(v: str) -> str:
+    return f"greatest(length(bin({v})) - {BITS}, 0)"
 
 
-def _fences(sketch, least_spread: dict[str, float]) -> list[Column]:
-    """Fences of each rate, in the order of fence_names; sketch gives the sketch column of a rate."""
-    out = []
-    for name, spread in zip(fence_names(), _spreads(sketch), strict=True):
+def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """by, n, and for each fence start_<fence> and spread_<fence>, from the merged sketches of each of by.
+
+    Quantiles are upper ends of buckets on an upper fence's side of the spread and least values on the other, so a
+    spread is never less than what the sketch can tell apart.
+    """
+    merged = sketch.groupBy(*by, "rate", "bucket").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*by, "rate")  # a row per bucket, whatever the number of texts
+    merged = merged.select(*by, "rate", "bucket", F.sum("n").over(w.orderBy("bucket")).alias("below"), F.sum("n").over(w).alias("total"))
+    at = lambda rate, p: F.min(F.when((F.col("rate") == rate) & (F.col("below") * 100 >= F.col("total") * p), F.col("bucket")))
+    starts, spreads = [F.max("total").alias("n")], []
+    for name in fence_names():
         side, rate = name.split("_", 1)
-        _, _, level, multiple, _ = RULES[rate]
-        start = F.kll_sketch_get_quantile_double(sketch(rate), F.lit(level if side == "high" else 1 - level))
-        reach = multiple * F.greatest(spread, F.lit(least_spread[name]))
-        out.append((start + reach if side == "high" else start - reach).alias(name))
-    return out
+        level = round(100 * RULES[rate][2])
+        starts += [at(rate, level if side == "high" else 100 - level).alias(f"start_{name}"), at(rate, 50).alias(f"mid_{name}")]
+        least, end = "CAST({0} AS double)", "CAST(CASE WHEN {0} = 0 THEN 0 ELSE {0} + shiftleft(1L, {1}) END AS double)"
+        sides = zip((f"start_{name}", f"mid_{name}"), (end, least) if side == "high" else (least, end), strict=True)
+        start, mid = (F.expr(value.format(c, _dropped(c))) / F.lit(float(1 << POINT)) for c, value in sides)
+        spreads += [start.alias(f"start_{name}"), (start - mid if side == "high" else mid - start).alias(f"spread_{name}")]
+    return merged.groupBy(*by).agg(*starts).select(*by, "n", *spreads)
+
 
+def _fence(name: str, least_spread: float | None, wider: Column | None = None) -> Column:
+    side, rate = name.split("_", 1)
+    reach = F.lit(RULES[rate][3]) * F.greatest(F.col(f"spread_{name}"), F.lit(least_spread))
+    reach = reach if wider is None else reach * wider
+    return (F.col(f"start_{name}") + reach if side == "high" else F.col(f"start_{name}") - reach).alias(name)
 
-def thresholds(measured: DataFrame, least: int = 50, k: int = 1024) -> DataFrame:
+
+def thresholds(measured: DataFrame, shrink: int = 50) -> DataFrame:
     """lang, source, group_docs, and low and high for each rate: one row per language and source.
 
-    k: size of the sketches; ranks are off by 0.3 % at 1024, and by nothing up to k values.
+    shrink: how many texts a language's fence weighs beside the group's own, and the table's beside a language's.
     """
-    good = measured.where("NOT base_failed")
-    group = good.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(r), k).alias(r) for r in RULES])
-    group = materialise(group, "quality-sketches")  # at most 30 KB per group and rate
-    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(F.col(r)).alias(r) for r in RULES]]
-    by_lang = group.groupBy("lang").agg(*merged)
-    by_lang = by_lang.select(*[F.col(c).alias(f"l_{c}") for c in by_lang.columns])
-    whole = materialise(group.agg(*merged).where(F.col("n") >= least), "quality-table")
-    spreads = whole.select(*_spreads(F.col)).first()  # one row of numbers, or none
-    if spreads is None:
-        return group.select("lang", "source", F.col("n").alias("group_docs"), *[F.lit(None).cast("double").alias(f) for f in fence_names()])
-    table = whole.select(*_fences(F.col, spreads.asDict())).first()
-    g = group.join(by_lang, group["lang"].eqNullSafe(by_lang["l_lang"]), "left")
-    own, lang = (_fences(sketch, spreads.asDict()) for sketch in (F.col, lambda r: F.col(f"l_{r}")))
-    fences = [
-        F.when(F.col("n") >= least, a).when(F.col("l_n") >= least, b).otherwise(F.lit(table[name])).alias(name)
-        for a, b, name in zip(own, lang, fence_names(), strict=True)
-    ]
-    return g.select("lang", "source", F.col("n").alias("group_docs"), *fences)
+    names = fence_names()
+    sketch = materialise(sketches(measured, "lang", "source"), "quality-sketches")
+    whole = quantiles(sketch).first()  # one row of numbers, nulls where no text passes
+    spreads = {x: whole[f"spread_{x}"] for x in names}
+    table = quantiles(sketch).select(*[_fence(x, spreads[x], (F.col("n") + shrink) / F.col("n")) for x in names]).first()
+
+    def shrunk(name: str, above: Column) -> Column:
+        return ((F.col("n") * F.col(name) + shrink * above) / (F.col("n") + shrink)).alias(name)
+
+    by_lang = quantiles(sketch, "lang").select("lang", "n", *[_fence(x, spreads[x]) for x in names])
+    by_lang = by_lang.select(F.col("lang").alias("l_lang"), *[shrunk(x, F.lit(table[x])).alias(f"l_{x}") for x in names])
+    own = quantiles(sketch, "lang", "source").select("lang", "source", "n", *[_fence(x, spreads[x]) for x in names])
+    g = own.join(by_lang, own["lang"].eqNullSafe(by_lang["l_lang"]))
+    return g.select("lang", "source", F.col("n").alias("group_docs"), *[shrunk(x, F.col(f"l_{x}")) for x in names])
 
 
 def fence_names() -> list[str]:
     return [x for rate, (*_, both) in RULES.items() for x in ([f"high_{rate}", f"low_{rate}"] if both else [f"high_{rate}"])]
 
 
-def quality(docs: DataFrame, keep: list[str] | None = None, least: int = 50) -> DataFrame:
+def quality(docs: DataFrame, keep: list[str] | None = None, shrink: int = 50) -> DataFrame:
     """keep (doc_id) and the counts, base_failed, kept and reasons (rates beyond their fence)."""
     keep = list(keep or ["doc_id"])
     extra = [c for c in ("lang", "source") if c not in keep]
     m = materialise(measures(docs, keep + extra), "quality-counts", "zstd")
-    limits = materialise(thresholds(m, least), "quality-limits")
+    limits = materialise(thresholds(m, shrink), "quality-limits")
     few = limits.count() <= 20_000  # under 4 MB
     limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     m = m.join(
@@ -172,11 +197,11 @@ def quality(docs: DataFrame, keep: list[str] | None = None, least: int = 50) ->
     return m.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons")
 
 
-def keep_good(docs: DataFrame, least: int = 50) -> DataFrame:
+def keep_good(docs: DataFrame, shrink: int = 50) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)],
                         F.col("text"), F.col("lang").alias("lang"), F.col("source").alias("source"))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    q = quality(plain, names, least).where("kept")
+    q = quality(plain, names, shrink).where("kept")
     return q.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 

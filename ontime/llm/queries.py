@@ -107,7 +107,7 @@ SELECT doc_id, size, source_size, target, CAST(passes * size + least(size, great
 
 
 def _quality() -> str:
-    """Exact quantiles in place of the sketches, which are exact too up to their size."""
+    """The same histograms, merged and shrunk in SQL."""
     measured = rf"""d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) u(i)),
 r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
@@ -117,28 +117,42 @@ c AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_su
   length(t) - length(translate(t, '!?', '')) AS n_shouts, length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_capitals, len(l) AS n_lines
   FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d) d LEFT JOIN e ON d.doc_id = e.doc_id),
 m AS (SELECT *, {quality.BASE_FAILED} AS base_failed FROM c)"""
-    rules = quality.RULES.items()
+    rules, names, shrink = quality.RULES.items(), quality.fence_names(), 50
     rate = lambda a, b, by="": f"({a}{by})::DOUBLE / greatest({b}, 1)"
-    at = lambda name, p: f"{name}[greatest(1, ceil({p} * len({name})))::INT]"
-    lists = ", ".join(f"list_sort(list({rate(a, b)})) AS {name}" for name, (a, b, *_) in rules)
-    fences, spreads = [], []
-    for name, (_, _, level, multiple, both) in rules:
-        hi, mid, lo = at(name, level), at(name, 0.5), at(name, 1 - level)
-        fences.append(f"{hi} + {multiple}::DOUBLE * greatest({hi} - {mid}, s.high_{name}) AS high_{name}")
-        spreads.append(f"{hi} - {mid} AS high_{name}")
-        if both:
-            fences.append(f"{lo} - {multiple}::DOUBLE * greatest({mid} - {lo}, s.low_{name}) AS low_{name}")
-            spreads.append(f"{mid} - {lo} AS low_{name}")
-    names = quality.fence_names()
-    sorted_ = lambda by: f"(SELECT {by + ', ' if by else ''}count(*) AS n, {lists} FROM m WHERE NOT base_failed {'GROUP BY ' + by if by else ''})"
-    level = lambda by: f"(SELECT {by + ', ' if by else ''}n, {', '.join(fences)} FROM {sorted_(by)}, s)"
-    pick = ", ".join(f"CASE WHEN o.n >= 50 THEN o.{x} WHEN l.n >= 50 THEN l.{x} ELSE a.{x} END AS {x}" for x in names)
+    dropped = lambda v: f"greatest(length(bin({v})) - {quality.BITS}, 0)"
+    unit = f"{1 << quality.POINT}::DOUBLE"
+    rates = ", ".join(f"{{'rate': '{name}', 'v': floor({rate(a, b)} * {unit})::BIGINT}}" for name, (a, b, *_) in rules)
+    buckets, values, fences = [], [], []
+    for name in names:
+        side, of = name.split("_", 1)
+        _, _, level, multiple, _ = quality.RULES[of]
+        for part, p in (("start", round(100 * level) if side == "high" else 100 - round(100 * level)), ("mid", 50)):
+            bucket = f"{part}_{name}"
+            buckets.append(f"min(bucket) FILTER (rate = '{of}' AND below * 100 >= total * {p}) AS {bucket}")
+            end = f"(CASE WHEN {bucket} = 0 THEN 0 ELSE {bucket} + (1::BIGINT << {dropped(bucket)}) END)" if (side == "high") == (part == "start") else bucket
+            values.append(f"{end}::DOUBLE / {unit} AS {bucket}")
+        spread = lambda t: f"({t}start_{name} - {t}mid_{name})" if side == "high" else f"({t}mid_{name} - {t}start_{name})"  # noqa: B023, E731
+        fences.append(f"q.start_{name} {'+' if side == 'high' else '-'} {multiple}::DOUBLE * greatest({spread('q.')}, {spread('s.')})[wider] AS {name}")
+
+    def ends(*by: str) -> str:
+        by = "".join(f"{c}, " for c in by)
+        return f"""(SELECT {by}n, {', '.join(values)} FROM (SELECT {by}max(total)::BIGINT AS n, {', '.join(buckets)} FROM (
+  SELECT {by}rate, bucket, sum(n) OVER (PARTITION BY {by}rate ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {by}rate) AS total
+  FROM (SELECT {by}rate, bucket, sum(n)::BIGINT AS n FROM h GROUP BY ALL)) {'GROUP BY ' + by[:-2] if by else ''}))"""
+
+    def own(*by: str) -> str:
+        wider = "" if by else f" * ((q.n + {shrink}) / q.n)"
+        return f"(SELECT q.* EXCLUDE ({', '.join(f'start_{x}, mid_{x}' for x in names)}), {', '.join(fences).replace('[wider]', wider)} FROM {ends(*by)} q, s)"
+
+    mean = lambda below, above: ", ".join(f"({below}.n * {below}.{x} + {shrink} * {above}.{x}) / ({below}.n + {shrink}) AS {x}" for x in names)
     beyond = " OR ".join(
         [f"coalesce({rate(a, b, ' - 1')} > high_{name}, false)" for name, (a, b, *_) in rules]
         + [f"coalesce({rate(a, b, ' + 1')} < low_{name}, false)" for name, (a, b, _, _, both) in rules if both]
     )
-    return f"""WITH {measured}, s AS (SELECT {', '.join(spreads)} FROM {sorted_('')} WHERE n >= 50), o AS {level('lang, source')}, l AS {level('lang')}, a AS {level('')},
-f AS (SELECT o.lang, o.source, {pick} FROM o LEFT JOIN l ON o.lang IS NOT DISTINCT FROM l.lang CROSS JOIN a)
+    return f"""WITH {measured}, r6 AS (SELECT lang, source, unnest([{rates}], recursive := true) FROM m WHERE NOT base_failed),
+h AS (SELECT lang, source, rate, (v >> {dropped('v')}) << {dropped('v')} AS bucket, count(*) AS n FROM r6 GROUP BY ALL),
+s AS {ends()}, a AS {own()}, l AS (SELECT l.lang, l.n, {mean('l', 'a')} FROM {own('lang')} l, a),
+f AS (SELECT o.lang, o.source, {mean('o', 'l')} FROM {own('lang', 'source')} o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({beyond}) AS kept
 FROM m LEFT JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source"""
 

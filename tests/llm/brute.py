@@ -55,11 +55,29 @@ def apportion(claims, seats):
 
 def quantile(values, p):
     """The least value that a share p of all values doesn't exceed."""
-    return sorted(values)[max(1, math.ceil(p * len(values))) - 1]
+    return sorted(values)[max(1, -(-round(100 * p) * len(values) // 100)) - 1]
 
 
-def quality_kept(rows, rules, least):
-    """Verdicts by exact quantiles; rules as the operator has them."""
+def bucket(rate):
+    """Least value and upper end of the bucket of a rate, cut to 20 bits after the point and to its leading 9."""
+    v = math.floor(rate * 2**20)
+    step = 2 ** max(0, v.bit_length() - 9)
+    low = v // step * step
+    return low / 2**20, (low + step if low else 0) / 2**20
+
+
+def fences(values, table, level, multiple, both, wider=1.0):
+    """(low, high) of a group's rates, table being those of all texts."""
+    high = lambda v, p: bucket(quantile(v, p))[1]
+    low = lambda v, p: bucket(quantile(v, p))[0]
+    up = high(values, level) + multiple * max(high(v, level) - low(v, 0.5) for v in (values, table)) * wider
+    other = round(1 - level, 2)
+    down = low(values, other) - multiple * max(high(v, 0.5) - low(v, other) for v in (values, table)) * wider if both else -1e9
+    return down, up
+
+
+def quality_kept(rows, rules, shrink):
+    """Verdicts from sorted lists of rates; rules as the operator has them."""
     shouts = lambda t, chars: sum(c in chars for c in t or "")
     seen = {}
     for r in rows:
@@ -72,19 +90,16 @@ def quality_kept(rows, rules, least):
     for r in rows:
         failed, c = seen[r["doc_id"]]
         keep = not failed
-        if keep and len(good) >= least:
-            group = [g for g in good if (g["lang"], g["source"]) == (r["lang"], r["source"])]
-            group = group if len(group) >= least else [g for g in good if g["lang"] == r["lang"]]
-            group = group if len(group) >= least else good
+        if keep:
+            lang = [g for g in good if g["lang"] == r["lang"]]
+            group = [g for g in lang if g["source"] == r["source"]]
             for count, length, level, multiple, both in rules.values():
-                rate = lambda c: c[count] / max(c[length], 1)  # noqa: B023, E731
-                own, all_ = ([rate(seen[g["doc_id"]][1]) for g in x] for x in (group, good))
-                q = lambda v, p: quantile(v, p)
-                up = max(q(v, level) - q(v, 0.5) for v in (own, all_))
-                keep &= (c[count] - 1) / max(c[length], 1) <= q(own, level) + multiple * up
-                if both:
-                    down = max(q(v, 0.5) - q(v, 1 - level) for v in (own, all_))
-                    keep &= (c[count] + 1) / max(c[length], 1) >= q(own, 1 - level) - multiple * down
+                rates = [[seen[g["doc_id"]][1][count] / max(seen[g["doc_id"]][1][length], 1) for g in x] for x in (good, lang, group)]
+                down, up = fences(rates[0], rates[0], level, multiple, both, (len(good) + shrink) / len(good))
+                for mine in rates[1:]:
+                    d, u = fences(mine, rates[0], level, multiple, both)
+                    down, up = ((len(mine) * a + shrink * b) / (len(mine) + shrink) for a, b in ((d, down), (u, up)))
+                keep &= (c[count] - 1) / max(c[length], 1) <= up and (c[count] + 1) / max(c[length], 1) >= down
         out[r["doc_id"]] = keep
     return out
 

@@ -207,8 +207,8 @@ def test_thresholds_follow_the_group(spark):
     assert not kept.pop(1000) and all(kept.values())
 
 
-@pytest.mark.parametrize("least", [20, 60, 1000])
-def test_verdicts_equal_exact_quantiles(spark, least):
+@pytest.mark.parametrize("shrink", [0, 50, 1000])
+def test_verdicts_equal_sorted_lists(spark, shrink):
     """Groups of many kinds, small ones among them, junk of several kinds and texts on fences."""
     rng = random.Random(3)
     rows = []
@@ -222,10 +222,28 @@ def test_verdicts_equal_exact_quantiles(spark, least):
             w = [x.upper() + "LONGWORD" for x in w]
         rows.append({"doc_id": i, "text": " ".join(w), "lang": rng.choice(["en", "en", "de", None]), "source": rng.choice(["a", "b", None]), "n_chars": 0})
     docs = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA).repartition(3)
-    got = {i: k for i, (k,) in by_id(quality.quality(docs, least=least), "kept").items()}
-    assert got == brute.quality_kept(rows, quality.RULES, least)
-    dropped = [r["reasons"] for r in quality.quality(docs, least=least).collect() if not r["kept"] and not r["base_failed"]]
-    assert not dropped if least > 500 else {"symbol_rate"} < {x for r in dropped for x in r}
+    got = {i: k for i, (k,) in by_id(quality.quality(docs, shrink=shrink), "kept").items()}
+    assert got == brute.quality_kept(rows, quality.RULES, shrink)
+    dropped = [r["reasons"] for r in quality.quality(docs, shrink=shrink).collect() if not r["kept"] and not r["base_failed"]]
+    assert {"symbol_rate"} < {x for r in dropped for x in r}
+
+
+def test_verdicts_of_tables_of_any_size(spark):
+    """No number of texts turns the fences on or off, and a text alone is on its own fence."""
+    rng = random.Random(8)
+    text = lambda tail="": " ".join(f"x{rng.randrange(9999)}{tail}" for _ in range(80))
+    rows = [(i, text("#") if i == 9 else text(), "en", "a", 0) for i in range(60)]
+    for n in (1, 9, 10, 49, 50, 60):
+        got = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(rows[:n], SCHEMA)).collect()}
+        assert got == {i: i != 9 for i in range(n)}, n
+
+
+def test_reruns_of_quality_agree(spark):
+    """Sketches are counts, so neither partitions nor the order of rows move a fence."""
+    rng = np.random.default_rng(9)
+    data = pd.DataFrame({"lang": rng.choice(["a", "b"], 9_000), "source": "x", "base_failed": False, **{r: rng.gamma(2.0, 1.0, 9_000) for r in quality.RULES}})
+    fences = [sorted(quality.thresholds(spark.createDataFrame(data).repartition(n)).collect()) for n in (1, 7, 16)]
+    assert fences[0] == fences[1] == fences[2]
 
 
 def test_windows_whose_hashes_clash(spark):
@@ -818,9 +836,9 @@ def test_secrets_of_a_text_with_many(spark, n):
     assert got == [m.span() for m in re.finditer("token = ([a-z0-9]+)", text) if len(m[1]) >= 12]
 
 
-def test_fences_above_the_sketches_size(spark):
-    """Groups of 3,000 to 40,000 texts, far above the 1,024 values that a sketch holds exactly, over many partitions:
-    each group's fences lie between those of quantiles one percent of the ranks lower and higher."""
+def test_fences_of_large_groups(spark):
+    """Groups of 3,000 to 40,000 texts over many partitions: a group's own fences come from quantiles that are off by
+    a bucket's width at most, 1 / 256 of the value."""
     rng = np.random.default_rng(4)
     rows = []
     for lang, source, n, scale in (("a", "x", 40_000, 1.0), ("a", "y", 3_000, 8.0), (None, "x", 5_000, 0.2)):
@@ -828,19 +846,16 @@ def test_fences_above_the_sketches_size(spark):
     data = pd.concat(rows).sample(frac=1, random_state=1)
     schema = "lang string, source string, base_failed boolean, " + ", ".join(f"{r} double" for r in quality.RULES)
     measured = spark.createDataFrame(data.astype({"lang": object}).where(data.notna(), None), schema).repartition(16)
-    got = {(r["lang"], r["source"]): r for r in quality.thresholds(measured).collect()}
+    got = {(r["lang"], r["source"]): r for r in quality.thresholds(measured, shrink=0).collect()}
     assert {k: r["group_docs"] for k, r in got.items()} == {("a", "x"): 40_000, ("a", "y"): 3_000, (None, "x"): 5_000}
-
-    def bounds(v, whole, level, multiple, e):
-        """The high fence of v's quantiles e lower (or, if e is negative, higher); the low fence is that of -v."""
-        at = lambda x, p: np.quantile(x, min(max(p, 0), 1))
-        spread = lambda x: at(x, level - e) - at(x, 0.5 + e)
-        return at(v, level - e) + multiple * max(spread(v), spread(whole))
-
     for (lang, source), r in got.items():
         mine = data[(data["lang"].isna() if lang is None else data["lang"] == lang) & (data["source"] == source)]
         for rate, (_, _, level, multiple, both) in quality.RULES.items():
             v, whole = mine[rate].to_numpy(), data[rate].to_numpy()
-            assert bounds(v, whole, level, multiple, 0.01) <= r[f"high_{rate}"] <= bounds(v, whole, level, multiple, -0.01)
-            if both:
-                assert bounds(-v, -whole, level, multiple, 0.01) <= -r[f"low_{rate}"] <= bounds(-v, -whole, level, multiple, -0.01)
+            low, high = brute.fences(v, whole, level, multiple, both)
+            assert r[f"high_{rate}"] == high and (not both or r[f"low_{rate}"] == low)
+            at = lambda x: brute.quantile(x, level)  # noqa: B023, E731
+            mid = lambda x: brute.quantile(x, 0.5)
+            exact = at(v) + multiple * max(at(v) - mid(v), at(whole) - mid(whole))
+            assert abs(high - exact) <= ((1 + 2 * multiple) * max(at(v), at(whole))) / 256 + 1e-5
+
