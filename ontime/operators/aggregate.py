@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontime.functions import scalar as S
+from ontime.operators import timejoin as J
 
 
 def idw_weight(distance: Column, minutes: Column) -> Column:
@@ -39,6 +40,37 @@ def collapse_readings(joined: DataFrame, key: list[str], averaged: list[str], mo
     return df.groupBy(*key).agg(*aggs)
 
 
+def collapse_windows(left: DataFrame, right: DataFrame, on: tuple[str, str], departure: str, observed: str, start: str, end: str, averaged: list[str], modes: list[str],
+                     distance: str = "distance_to_neighbor", longest_hours: float | None = None, digits: int | None = 2) -> DataFrame:
+    """What collapse_readings makes of an interval join of left and right, per distinct (place, departure, start, end) of
+    left, without the join's rows: on[0], departure, start, end, averaged, modes; spans without readings have no row.
+
+    Departures of one place and time share a span. Readings of one place, distance and time weigh the same, so they meet
+    spans as sums and counts; for modes as counts of each value. Pairs are narrow and are summed in the task that joins them.
+    """
+    place, there = on
+    span = [place, departure, start, end]
+    spans = left.select(*span).where(F.col(start).isNotNull() & F.col(end).isNotNull()).distinct()
+    join = lambda cells: J.interval_join(spans, cells.withColumnRenamed(there, "_there"), [(place, "_there")], observed, start, end, "inner", longest_hours, wide=1)
+    sums = [f(F.col(c)).alias(f"_{n}_{c}") for c in averaged for n, f in (("s", F.sum), ("n", F.count))]
+    met = join(right.groupBy(there, distance, observed).agg(F.count("*").alias("_rows"), *sums))
+    met = met.withColumn("_w", idw_weight(F.col(distance), S.minutes_between(F.col(departure), F.col(observed))))
+    mean = lambda c: F.try_divide(F.sum(F.col(f"_s_{c}") * F.col("_w")), F.sum(F.when(F.col(f"_n_{c}") > 0, F.col(f"_n_{c}") * F.col("_w"))))
+    means = met.groupBy(*span).agg(*[(mean(c) if digits is None else F.round(mean(c), digits)).alias(c) for c in averaged])
+    if not modes:
+        return means
+    # a row for each value there is: the column's number, and the value under its own type
+    kinds = dict(right.dtypes)
+    value = lambda c, i: F.struct(F.lit(i).alias("_f"), *[(F.col(m) if m == c else F.lit(None).cast(kinds[m])).alias(m) for m in modes])
+    there_is = lambda c, i: F.when(F.col(c).cast("string") != "", value(c, i))
+    each = right.select(there, observed, F.explode(F.array_compact(F.array(*[there_is(c, i) for i, c in enumerate(modes)]))).alias("_x"))
+    cells = each.groupBy(there, observed, *[f"_x.{c}" for c in ("_f", *modes)]).agg(F.count("*").alias("_n"))
+    counts = join(cells).groupBy(*span, "_f", *modes).agg(F.sum("_n").alias("_n"))
+    first = lambda c, i: F.min_by(F.col(c), F.when(F.col("_f") == i, F.struct(-F.col("_n"), F.col(c))))
+    found = counts.groupBy(*span).agg(*[first(c, i).alias(c) for i, c in enumerate(modes)])
+    return means.join(found, span, "left")
+
+
 def class_stats(df: DataFrame, label: str, columns: list[str], scale: dict[str, float] | None = None) -> DataFrame:
     """Mean and sample deviation of each column per class; a column may be scaled."""
     value = lambda c: F.col(c) * F.lit((scale or {}).get(c, 1.0))

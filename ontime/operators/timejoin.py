@@ -86,7 +86,7 @@ def _micros(c: str) -> Column:
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], point: str, start: str, end: str,
-                  how: str = "left", longest_hours: float | None = None, buckets: bool = True) -> DataFrame:
+                  how: str = "left", longest_hours: float | None = None, buckets: bool = True, wide: float = WIDE) -> DataFrame:
     """Rows of right whose `point` lies in [start, end] of left and whose keys are equal. how: inner or left.
 
     Time is cut into buckets, which join the keys of the hash, so a key with very many rows is spread over its
@@ -96,6 +96,7 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]],
     that ends there may reach back to it (one in WIDE of them).
 
     longest_hours: a promise that no interval is longer, which saves measuring them; one that is raises an error.
+    wide: a bucket's width in longest intervals: narrower ones cost more copies of right rows and fewer misses.
     buckets=False tests the range on each match of the keys.
     """
     if how not in ("inner", "left"):
@@ -107,7 +108,7 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]],
         return left.join(right, cond, how)
     levels = interval_levels(left, start, end) if longest_hours is None else [max(1, int(longest_hours * 3_600_000_000))]
     length, at = _micros(end) - _micros(start), _micros(point)
-    bucket = lambda x, n: F.floor(x / F.lit(WIDE * n))
+    bucket = lambda x, n: F.floor(x / F.lit(wide * n))
     place = lambda level, b: F.struct(F.lit(level).alias("level"), b.alias("bucket"))
     ends = F.raise_error(F.lit(f"an interval is longer than {longest_hours} hours")).cast("struct<level:int,bucket:bigint>")
     for level in range(len(levels) - 1, -1, -1):

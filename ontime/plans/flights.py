@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ontime import columns as C
 from ontime.operators import aggregate as A
@@ -12,6 +13,7 @@ from ontime.operators import clean as P
 from ontime.operators import features as W
 from ontime.operators import timejoin as J
 from ontime.operators.encode import TargetMeanEncoder
+from ontime.session import stored
 from ontime.sources import io
 
 
@@ -50,28 +52,51 @@ def airport_codes(flights: DataFrame, codes: DataFrame) -> DataFrame:
 def join_weather(flights: DataFrame, weather: DataFrame, stations: DataFrame, codes: DataFrame, zones: DataFrame,
                  start: int = 6, end: int = 2, nearest: int = 3) -> DataFrame:
     """Each flight with every report of its airport's nearest stations inside its window."""
+    timed, readings = timed_and_readings(flights, weather, stations, codes, zones, start, end, nearest)
+    return J.interval_join(timed, readings, [("ORIGIN", "iata_code")], "DATE_UTC", "WEATHER_WINDOW_START", "WEATHER_WINDOW_END", "left", start - end)
+
+
+def timed_and_readings(flights: DataFrame, weather: DataFrame, stations: DataFrame, codes: DataFrame, zones: DataFrame, start: int, end: int, nearest: int) -> tuple[DataFrame, DataFrame]:
+    """Flights of known airports with their windows, and the reports of each airport's nearest stations."""
     airports = airport_codes(flights, codes)
     mapped = airports.where("ident IS NOT NULL").join(stations.select("neighbor_call").distinct(), airports["ident"] == stations["neighbor_call"], "left_semi")
     missing = J.unmapped(flights, mapped, "ORIGIN", "ORIGIN")
     timed = J.departure_times(J.drop_unmapped(flights, missing, "ORIGIN"), zones, start, end)
     near = J.nearest(stations, n=nearest)
-    readings = J.airport_readings(mapped.drop("ORIGIN"), near, weather)
-    return J.interval_join(timed, readings, [("ORIGIN", "iata_code")], "DATE_UTC", "WEATHER_WINDOW_START", "WEATHER_WINDOW_END", "left", start - end)
+    return timed, J.airport_readings(mapped.drop("ORIGIN"), near, weather)
 
 
 def collapse(joined: DataFrame, key: list[str] | None = None) -> DataFrame:
     """One row per flight: readings averaged by distance and time, conditions by mode."""
-    key = key or [*C.FLIGHT_KEYS, "TAIL_NUM", "OP_CARRIER_FL_NUM", "TIMESTAMP_UTC"]
-    carry = [c for c in [*C.FLIGHT_COLUMNS, "TIMESTAMP", "WEATHER_WINDOW_START", "WEATHER_WINDOW_END"] if c in joined.columns and c not in key]
-    return A.collapse_readings(joined, key, C.AVERAGED_READINGS, C.MODE_READINGS, carry=carry)
+    key = key or FLIGHT
+    return A.collapse_readings(joined, key, C.AVERAGED_READINGS, C.MODE_READINGS, carry=_carried(joined, key))
+
+
+#: Columns that name a flight and its time.
+FLIGHT = [*C.FLIGHT_KEYS, "TAIL_NUM", "OP_CARRIER_FL_NUM", "TIMESTAMP_UTC"]
+
+
+def _carried(df: DataFrame, key: list[str]) -> list[str]:
+    return [c for c in [*C.FLIGHT_COLUMNS, "TIMESTAMP", "WEATHER_WINDOW_START", "WEATHER_WINDOW_END"] if c in df.columns and c not in key]
+
+
+def flights_with_weather(flights: DataFrame, weather: DataFrame, stations: DataFrame, codes: DataFrame, zones: DataFrame,
+                         start: int = 6, end: int = 2, nearest: int = 3) -> DataFrame:
+    """collapse(join_weather(...)) for tables where many flights share an airport's minute, or many reports a
+    station's time: the weather of each airport and time is found once, from sums, and stored; flights look it up."""
+    timed, readings = timed_and_readings(flights, weather, stations, codes, zones, start, end, nearest)
+    rows = timed.groupBy(*FLIGHT).agg(*[F.any_value(c).alias(c) for c in _carried(timed, FLIGHT)])
+    there = A.collapse_windows(timed, readings, ("ORIGIN", "iata_code"), "TIMESTAMP_UTC", "DATE_UTC", "WEATHER_WINDOW_START", "WEATHER_WINDOW_END",
+                               C.AVERAGED_READINGS, C.MODE_READINGS, longest_hours=start - end)
+    there = stored(there.drop("WEATHER_WINDOW_START", "WEATHER_WINDOW_END")).hint("shuffle_hash")
+    return rows.join(there, ["ORIGIN", "TIMESTAMP_UTC"], "left").select(*rows.columns, *C.AVERAGED_READINGS, *C.MODE_READINGS)
 
 
 def shape_features(df: DataFrame) -> DataFrame:
     """Nulls filled by zero, group mean and group median; clocks and depths as numbers; one weather
     condition; codes as text."""
     df = P.fill(df, C.ZERO_WHEN_MISSING, 0)
-    df = W.fill_group_mean(df, C.MEAN_WHEN_MISSING, C.GROUP_OF_FLIGHT)
-    df = W.fill_group_median(df, C.MEDIAN_WHEN_MISSING, C.GROUP_OF_FLIGHT)
+    df = W.fill_group_mean_median(df, C.MEAN_WHEN_MISSING, C.MEDIAN_WHEN_MISSING, C.GROUP_OF_FLIGHT)
     df = P.to_integers(df, ["CRS_DEP_TIME", "AL_SnowAccumDepth"])
     df = P.merge_first(df, [f"AW{i}_PresentWeatherCond" for i in range(1, 5)], "weather_condition")
     left = ["weather_condition", "WND_DirectionAngle_median", "AA_RainDepth", "AJ1_SnowDepth_mean", "AL_SnowAccumDuration_mean", "WND_Speed_mean", "VIS_Horizontal_median"]

@@ -1366,7 +1366,7 @@ def joined_flights(spark, d) -> DataFrame:
     f = flights.load_flights(spark, [path["first"], path["second"]])
     w = flights.load_weather(spark, path["weather"], until="2024-01-25 00:00:00")
     codes, zones = io.read_airport_codes(spark, path["codes"]), io.read_csv(spark, path["zones"], "iata_code string, tz string")
-    return flights.collapse(flights.join_weather(f, w, io.read_stations(spark, path["stations"]), codes, zones))
+    return flights.flights_with_weather(f, w, io.read_stations(spark, path["stations"]), codes, zones)
 
 
 _CHAIN = f"""f AS (SELECT event_id, user_id % 8 AS k, user_id % 5 AS num, user_id % 7 AS tail, hour(ts) * 100 + minute(ts) AS hhmm, date_trunc('minute', ts) AS local

@@ -253,3 +253,27 @@ def test_from_raw_tables_to_features(spark):
     assert shaped.count() == 1 and row["weather_condition"] == "61" and row["CRS_DEP_TIME"] == 1200 and row["AL_SnowAccumDepth"] == 0
     assert math.isclose(row["TMP_Value"], round((70 / 300 + 80 / 240 + 90 / 180) / (1 / 300 + 1 / 240 + 1 / 180), 2))
     assert not {"DEP_DELAY", "ORIGIN_WAC"} & set(flights.drop_features(shaped).columns)
+
+
+def test_windows_collapse_without_their_pairs(spark, monkeypatch):
+    """Means and modes of an interval join from sums: many left rows share a place and time, many readings a station's time."""
+    rng = random.Random(6)
+    f = [(i, rng.choice(["A", "B", "C", None]), NOON + timedelta(minutes=30 * rng.randrange(6)) if rng.random() < 0.9 else None) for i in range(400)]
+    f = J.window_bounds(spark.createDataFrame(f, "id int, place string, t timestamp"), "t", 6, 2, ("s", "e"))
+    pick = lambda values: rng.choice([None, *values])
+    r = [(rng.choice(["A", "B"]), NOON - timedelta(minutes=30 * rng.randrange(16)), float(pick([0, 2, 7]) or 0), pick([1, 2, 30]), pick([0.5, 4.25]), pick([9, 10, 11]), pick(["", "x", "y"])) for _ in range(600)]
+    r = spark.createDataFrame(r, "code string, seen timestamp, far double, v int, u double, m int, k string")
+    joined = J.interval_join(f, r, [("place", "code")], "seen", "s", "e", "left", 4)
+    want = {x["id"]: x for x in A.collapse_readings(joined, ["id"], ["v", "u"], ["m", "k"], "far", "t", "seen").collect()}
+    sizes, join = [], J.interval_join
+
+    def counted(*args, **more):
+        out = join(*args, **more)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "interval_join", counted)
+    there = A.collapse_windows(f, r, ("place", "code"), "t", "seen", "s", "e", ["v", "u"], ["m", "k"], "far", 4)
+    got = f.join(there.drop("s", "e"), ["place", "t"], "left").collect()
+    assert len(got) == 400 and [(x["v"], x["u"], x["m"], x["k"]) for x in got] == [tuple(want[x["id"]][c] for c in ("v", "u", "m", "k")) for x in got]
+    assert len({x["m"] for x in got}) > 2 and 20 * sum(sizes) < joined.count()
