@@ -277,3 +277,19 @@ def test_windows_collapse_without_their_pairs(spark, monkeypatch):
     got = f.join(there.drop("s", "e"), ["place", "t"], "left").collect()
     assert len(got) == 400 and [(x["v"], x["u"], x["m"], x["k"]) for x in got] == [tuple(want[x["id"]][c] for c in ("v", "u", "m", "k")) for x in got]
     assert len({x["m"] for x in got}) > 2 and 20 * sum(sizes) < joined.count()
+
+
+def test_chain_equals_its_pairs(spark):
+    from ontime import queries
+    from ontime.sources import io
+
+    path = queries.raw_tables(spark, "/root/testdata/sf0.001")
+    f, w = flights.load_flights(spark, [path["first"], path["second"]]), flights.load_weather(spark, path["weather"])
+    tables = (f, w, io.read_stations(spark, path["stations"]), io.read_airport_codes(spark, path["codes"]), io.read_csv(spark, path["zones"], "iata_code string, tz string"))
+    one, two = flights.collapse(flights.join_weather(*tables)), flights.flights_with_weather(*tables)
+    assert sorted(one.columns) == sorted(two.columns)
+    plain = lambda df: sorted(str(tuple(r)) for r in df.select(sorted(one.columns)).collect())
+    assert plain(one) == plain(two)
+    shaped = flights.shape_features(two)
+    apart = W.fill_group_median(W.fill_group_mean(two, ["WND_Speed"], C.GROUP_OF_FLIGHT), ["DEW_Value"], C.GROUP_OF_FLIGHT)
+    assert {(r["DISTANCE"], r["WND_Speed_mean"] or 0) for r in apart.collect()} == {(r["DISTANCE"], r["WND_Speed_mean"]) for r in shaped.collect()}
