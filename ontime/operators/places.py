@@ -14,6 +14,8 @@ EARTH_KM = 6371.0088
 WIDER = 4
 #: Levels on which a left row looks around itself, before it comes down to its places from the whole earth.
 RINGS = 2
+#: Places of a cell above which they are dealt out to several arrays.
+CHUNK = 1024
 
 
 def _on_sphere(df: DataFrame, key: str, lat: str, lon: str, name: str) -> DataFrame:
@@ -32,14 +34,28 @@ def great_circle_km(chord2: Column) -> Column:
     return F.lit(2 * EARTH_KM) * F.asin(F.least(F.sqrt(chord2) / 2, F.lit(1.0)))
 
 
-def candidates(left: DataFrame, right: DataFrame, side: float) -> DataFrame:
-    """left_id, right_id, _d (square of the chord) of the right places in the 27 cells of that side around a left one."""
-    mine = left
+def chunks(right: DataFrame, side: float) -> DataFrame:
+    """_cx, _cy, _cz, _places: for each cell of that side the places in it and in the 26 around it, as arrays; a
+    crowded cell's come in arrays of their own, of about CHUNK places."""
+    cell = [_cell(f"_{c}", side).alias(f"_c{c}") for c in "xyz"]
+    there = right.select(F.struct("right_id", *[F.col(f"_{c}").alias(f"_r{c}") for c in "xyz"]).alias("_place"), *cell)
+    crowds = there.groupBy("_cx", "_cy", "_cz").agg(F.count("*").alias("_n"))
+    there = there.join(crowds, ["_cx", "_cy", "_cz"])
+    own = F.when(F.col("_n") > CHUNK, F.struct("_cx", "_cy", "_cz", F.pmod(F.xxhash64("_place.right_id"), F.ceil(F.col("_n") / CHUNK)).alias("i")))
+    there = there.select("_place", own.alias("_own"), "_cx", "_cy", "_cz")
     for c in "xyz":
-        mine = mine.withColumn("_s", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"_c{c}", _cell(f"_{c}", side, F.col("_s"))).drop("_s")
-    there = right.select("right_id", *[F.col(f"_{c}").alias(f"_r{c}") for c in "xyz"], *[_cell(f"_{c}", side).alias(f"_c{c}") for c in "xyz"])
-    chord2 = sum(((F.col(f"_{c}") - F.col(f"_r{c}")) ** 2 for c in "xyz"), F.lit(0.0))
-    return mine.join(there, ["_cx", "_cy", "_cz"]).select("left_id", "right_id", chord2.alias("_d"))
+        there = there.withColumn("_s", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"_c{c}", F.col(f"_c{c}") + F.col("_s")).drop("_s")
+    return there.groupBy("_cx", "_cy", "_cz", "_own").agg(F.collect_list("_place").alias("_places"))
+
+
+def candidates(left: DataFrame, right: DataFrame, side: float, k: int | None = None) -> DataFrame:
+    """left_id, right_id, _d (square of the chord): of each array of places in the 27 cells of that side around a left
+    row the k nearest (or all), equal ones in order of right_id. No more rows than that leave the join."""
+    mine = left.select("left_id", "_x", "_y", "_z", *[_cell(f"_{c}", side).alias(f"_c{c}") for c in "xyz"])
+    met = mine.join(chunks(right, side).hint("merge"), ["_cx", "_cy", "_cz"])
+    chord2 = lambda p: sum(((F.col(f"_{c}") - p[f"_r{c}"]) ** 2 for c in "xyz"), F.lit(0.0))
+    ordered = F.array_sort(F.transform("_places", lambda p: F.struct(chord2(p).alias("_d"), p["right_id"].alias("right_id"))))
+    return met.select("left_id", F.explode(F.slice(ordered, 1, k) if k else ordered).alias("_p")).select("left_id", "_p.right_id", "_p._d")
 
 
 def descend(left: DataFrame, right: DataFrame, k: int, side: float) -> DataFrame:
@@ -88,8 +104,8 @@ def nearest_places(left: DataFrame, right: DataFrame, k: int = 5, left_on: tuple
     the whole earth (descend).
 
     start_km: side of the first cells; by default that at which a cell would hold some k places if they lay evenly.
-    Crowded cells are split by adaptive execution. Only the k best of each left row in a task are shuffled (a rank
-    under a limit).
+    Places are copied to the cells around them, so a left row is in one cell and stays single; crowded cells are split by
+    adaptive execution. Only the k best of each left row and array of places leave the join (candidates).
 
     Cases: equal distances in order of right_id; a left row has fewer than k where right has fewer; rows without key
     or coordinates, or with impossible ones, are left out on both sides; an empty table on either side gives no rows.
@@ -103,7 +119,7 @@ def nearest_places(left: DataFrame, right: DataFrame, k: int = 5, left_on: tuple
     parts, waiting = [], a
     for ring in range(RINGS):
         wide = side * WIDER**ring
-        near = stored(first(candidates(waiting, b, wide)))
+        near = stored(first(candidates(waiting, b, wide, k)))
         done = near.where((F.col("rank") == k) & (F.col("_d") <= wide * wide)).select("left_id")
         parts.append(near.join(done, "left_id", "left_semi"))
         waiting = stored(waiting.join(done, "left_id", "left_anti"))

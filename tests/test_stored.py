@@ -204,3 +204,18 @@ def test_a_far_row_meets_the_edge_of_a_crowd_alone(spark):
     got = [(r["left_id"], r["right_id"]) for r in places.nearest_places(far, crowd, 3, on, on, 50.0).orderBy("left_id", "rank").collect()]
     want = [(i, j) for i, p in ((1, (-40.0, -130.0)), (2, (0.0, 10.0))) for j in sorted(at, key=lambda j: chord(p, at[j]))[:3]]
     assert got == want
+
+
+def test_few_candidates_leave_a_crowd(spark, monkeypatch):
+    """All places of a crowd are looked at, in arrays of a bounded length, and the nearest of each array alone go on."""
+    monkeypatch.setattr(places, "CHUNK", 100)
+    rng = random.Random(4)
+    at = {i: (rng.uniform(50, 50.1), rng.uniform(8, 8.1)) for i in range(1500)}
+    df = spark.createDataFrame([(i, *p) for i, p in at.items()], "id long, lat double, lon double")
+    a, b = places._on_sphere(df.where("id < 20"), "id", "lat", "lon", "left_id"), places._on_sphere(df, "id", "lat", "lon", "right_id")
+    arrays = places.chunks(b, 0.5).selectExpr("size(_places) AS n").agg(F.max("n"), F.sum("n")).first()
+    assert arrays[0] < 200 and arrays[1] == 27 * 1500
+    assert places.candidates(a, b, 0.5).count() == 20 * 1500 and places.candidates(a, b, 0.5, 3).count() == 20 * 15 * 3
+    on = ("id", "lat", "lon")
+    got = [(r["left_id"], r["right_id"]) for r in places.nearest_places(df.where("id < 20"), df, 3, on, on, 3000.0).orderBy("left_id", "rank").collect()]
+    assert got == [(i, j) for i in range(20) for j in sorted(at, key=lambda j: chord(at[i], at[j]))[:3]]
