@@ -44,8 +44,15 @@ def rolling_share(df: DataFrame, keys: list[str], ts: str = "TIMESTAMP_UTC", lab
     if least_hours is None:
         return H.rolling_mean(df, keys, ts, label, name, first, last, list(tie), block_hours)
     spread = H.overlapping(df, ts, -first, block_hours)
-    w = Window.partitionBy(*keys, "_block").orderBy(H.micros(ts)).rangeBetween(first * H.HOUR, -least_hours * H.HOUR)
-    mean = F.when(F.col(ts).isNotNull(), F.avg(label).over(w))
+    w = Window.partitionBy(*keys, "_block").orderBy(H.micros(ts))
+    if dict(df.dtypes)[label] in ("tinyint", "smallint", "int", "bigint"):
+        # sums up to the newer end less those before the older one: a row's work doesn't grow with the span's rows
+        upto = lambda f, end: f.over(w.rangeBetween(Window.unboundedPreceding, end))
+        past = lambda f: upto(f, -least_hours * H.HOUR) - F.coalesce(upto(f, first * H.HOUR - 1), F.lit(0))
+        share = F.try_divide(past(F.sum(F.col(label).cast("decimal(20,0)" if dict(df.dtypes)[label] == "bigint" else "bigint"))).cast("double"), past(F.count(label)))
+    else:  # differences of running sums would round numbers that aren't whole
+        share = F.avg(label).over(w.rangeBetween(first * H.HOUR, -least_hours * H.HOUR))
+    mean = F.when(F.col(ts).isNotNull(), share)
     return spread.withColumn(name, mean).where(~F.col("_carried")).select(*[c for c in df.columns if c != name], name)
 
 

@@ -293,3 +293,16 @@ def test_chain_equals_its_pairs(spark):
     shaped = flights.shape_features(two)
     apart = W.fill_group_median(W.fill_group_mean(two, ["WND_Speed"], C.GROUP_OF_FLIGHT), ["DEW_Value"], C.GROUP_OF_FLIGHT)
     assert {(r["DISTANCE"], r["WND_Speed_mean"] or 0) for r in apart.collect()} == {(r["DISTANCE"], r["WND_Speed_mean"]) for r in shaped.collect()}
+
+
+def test_shares_by_time_come_from_running_sums(spark):
+    """Whole labels: no frame slides over the span's rows, and what it gives equals the sliding mean of the same numbers."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice("ab"), NOON + timedelta(minutes=rng.randrange(4000)) if i % 9 else None, rng.choice([None, 0, 1, 7])) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, k string, t timestamp, y int")
+    share = lambda kind: W.rolling_share(df.withColumn("y", F.col("y").cast(kind)), ["k"], "t", "y", "m", -9, least_hours=2, block_hours=20)
+    want = {r["i"]: r["m"] for r in share("double").collect()}
+    for kind in ("int", "bigint"):
+        out = share(kind)
+        assert {r["i"]: r["m"] for r in out.collect()} == pytest.approx(want) and "(RangeFrame, -" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert "(RangeFrame, -" in share("double")._jdf.queryExecution().optimizedPlan().toString() and sum(m is None for m in want.values()) > 55
