@@ -67,8 +67,9 @@ def degree_stats(edges: DataFrame) -> DataFrame:
 
 
 def dangling(edges: DataFrame) -> DataFrame:
-    """Nodes that are the source of no edge."""
-    return nodes(edges).where("id IS NOT NULL").join(out_degrees(edges), "id", "left_anti").select("id")
+    """Nodes that are the source of no edge. One aggregation by node over the edges' ends, which combines before the shuffle."""
+    ends = F.inline(F.array(F.struct(F.col("src").alias("id"), F.col("dst").isNotNull().alias("_out")), F.struct(F.col("dst").alias("id"), F.lit(False).alias("_out"))))
+    return edges.select(ends).where("id IS NOT NULL").groupBy("id").agg(F.bool_or("_out").alias("_out")).where("NOT _out").select("id")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

@@ -158,3 +158,10 @@ def test_flight_graph(spark):
     v, e = G.flight_graph(f)
     assert v.count() == 2 and {r["id"]: r["inDegree"] for r in G.in_degrees(e).collect()} == {"B": 2, "A": 1}
     assert {r["src"]: r["avg_prev_delay_carrier"] for r in G.route_delay(e).collect()} == {"A": 0.5, "B": 1.0}
+
+
+def test_dangling_nodes_by_one_aggregation(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", None), (None, "f"), ("a", "c")], "src string, dst string")
+    out = G.dangling(e)
+    assert sorted(r["id"] for r in out.collect()) == ["c", "d", "f"]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
