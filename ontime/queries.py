@@ -1465,7 +1465,8 @@ def sketched_fill(spark, d):
 def bucketed_join(spark, d):
     """Facts joined with their dimension, both stored in buckets of the key: no exchange."""
     o, line = table(spark, d, "orders"), table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
-    a, b = bucketed.write_bucketed(o, ["o_orderkey"], 8), bucketed.write_bucketed(line, ["o_orderkey"], 8)
+    n = bucketed.buckets_for(o, line)
+    a, b = bucketed.write_bucketed(o, ["o_orderkey"], n), bucketed.write_bucketed(line, ["o_orderkey"], n)
     j = bucketed.co_join(a.where("o_totalprice > 100000"), b, ["o_orderkey"])
     return j.select("o_orderkey", "o_orderdate", "l_linenumber", "l_quantity")
 
@@ -1476,7 +1477,8 @@ def bucketed_votes(spark, d):
     """Outputs of three models, each stored in buckets of the row's key as it is made, joined without an exchange."""
     e = table(spark, d, "events")
     rules = {"a": F.col("value") > 20, "b": F.col("value") > 40, "c": F.col("event_id") % 3 == 0}
-    outs = [bucketed.write_bucketed(e.select("event_id", rule.cast("int").alias(f"{m}_pred")), ["event_id"], 8) for m, rule in rules.items()]
+    n = bucketed.buckets_for(e)
+    outs = [bucketed.write_bucketed(e.select("event_id", rule.cast("int").alias(f"{m}_pred")), ["event_id"], n) for m, rule in rules.items()]
     j = V.join_outputs([outs[0], *[o.hint("merge") for o in outs[1:]]], ["event_id"])
     preds = [F.col(f"{m}_pred") for m in rules]
     return j.select("event_id", sum(preds[1:], preds[0]).alias("votes"), V.hard_vote(preds).alias("vote"))

@@ -10,6 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from ontime.session import shared_folder
 
 
+#: Rows of a bucket, and the fewest buckets that tables are cut into.
+BUCKET_ROWS, FEWEST = 1_000_000, 8
+
+
+def buckets_for(*tables: DataFrame) -> int:
+    """How many buckets tables that are to meet need, so that the largest has some BUCKET_ROWS rows in each: a power of
+    two, so that a task's part doesn't grow with the tables."""
+    most = max(t.count() for t in tables)
+    return max(FEWEST, 1 << max(0, -(-most // BUCKET_ROWS) - 1).bit_length())
+
+
 def write_bucketed(df: DataFrame, keys: list[str], buckets: int, name: str | None = None, path: str | None = None) -> DataFrame:
     """The table, stored as `buckets` files sorted by `keys`, and read again as a table of the catalog.
 

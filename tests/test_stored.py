@@ -219,3 +219,11 @@ def test_few_candidates_leave_a_crowd(spark, monkeypatch):
     on = ("id", "lat", "lon")
     got = [(r["left_id"], r["right_id"]) for r in places.nearest_places(df.where("id < 20"), df, 3, on, on, 3000.0).orderBy("left_id", "rank").collect()]
     assert got == [(i, j) for i in range(20) for j in sorted(at, key=lambda j: chord(at[i], at[j]))[:3]]
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(bucketed, "BUCKET_ROWS", 100)
+    few, many = spark.range(800), spark.range(1601)
+    assert [bucketed.buckets_for(t) for t in (spark.range(0), few, many)] == [8, 8, 32] and bucketed.buckets_for(few, many) == 32
+    plan = final_plan(queries.bucketed_join(spark, "/root/testdata/sf0.001"))
+    assert "SelectedBucketsCount: 64 out of 64" in plan and "Exchange" not in plan
