@@ -32,6 +32,8 @@ from ontime.functions import scalar as S
 from ontime.session import stored
 
 DIGITS = 10
+#: Combinations of bins up to which a forest's rows are counted by combination before its levels read them.
+FEW_CELLS = 100_000
 
 
 @dataclass
@@ -191,8 +193,12 @@ def fit_forest(df: DataFrame, features: list[str], label: str, key: list[str], t
     out = [Tree() for _ in range(trees)]
     some = some or max(1, round(math.sqrt(len(features))))
     width = 1 + max(map(len, edges.values()))
-    drawn = base.withColumn("_tree", F.explode(F.array(*map(F.lit, range(trees)))))
-    drawn = drawn.withColumn("_w", poisson(S.uniform(seed, F.col("_key"), F.col("_tree")))).where("_w > 0")
+    # each row's counts are drawn once; a generator's output is a column, so its hash isn't computed for each step of the count
+    draws = base.select("*", F.posexplode(F.array(*[S.uniform(seed, F.col("_key"), F.lit(t)) for t in range(trees)])).alias("_tree", "_u"))
+    bins_of = [f"_bin_{c}" for c in features]
+    drawn = draws.select(*bins_of, "_y", "_tree", poisson(F.col("_u")).alias("_w")).where("_w > 0")
+    if math.prod(len(edges[c]) + 1 for c in features) <= FEW_CELLS:  # rows that share all bins and the label stand together
+        drawn = stored(drawn.groupBy(*bins_of, "_y", "_tree").agg(F.sum("_w").alias("_w")))
 
     def rows(level: int) -> DataFrame:
         node = reduce(lambda a, t: F.when(F.col("_tree") == t, place(out[t], _binned_left, int)).otherwise(a), range(trees), F.lit(0))

@@ -258,3 +258,16 @@ def test_a_failed_fit_holds_no_fold(spark):
     with pytest.raises(Exception, match="nothing"):
         cv.fit(df)
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_levels_of_a_forest_read_counts(spark, monkeypatch):
+    """Rows that share all bins are counted before the levels; the forest is the same without that."""
+    df = spark.range(3000).selectExpr("id", "id % 7 AS a", "id % 5 AS b", "CAST(id % 7 > 3 AND id % 5 > 1 OR id % 11 = 0 AS INT) AS y")
+    edges, seen, sums = {"a": [1.0, 3.0, 4.0], "b": [1.0, 2.0]}, [], trees.histograms
+    monkeypatch.setattr(trees, "histograms", lambda rows, *more: seen.append(rows.count()) or sums(rows, *more))
+    fit = lambda: trees.fit_forest(df, ["a", "b"], "y", ["id"], 3, 2, edges=edges, some=1, seed=5)
+    few = fit()
+    assert max(seen) <= 3 * 4 * 3 * 2
+    monkeypatch.setattr(trees, "FEW_CELLS", 0)
+    many = fit()
+    assert max(seen) > 5000 and few == many
