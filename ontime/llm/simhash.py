@@ -191,15 +191,26 @@ def near_dedup(docs: DataFrame, bits: int = BITS, cap: int = 4096, blocks: int |
     return rows.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def close_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """a, b (a < b): each set of shingles with the smallest of its SimHash component. rows: doc_id, set of every row."""
+    near = near_dedup(docs).select("doc_id", "component_id").dropDuplicates(["doc_id"])
+    ids = rows.groupBy("doc_id").agg(F.min("set").alias("set"))
+    here = ids.join(near, ids["doc_id"].eqNullSafe(near["doc_id"])).select("component_id", "set").distinct()
+    least = here.groupBy("component_id").agg(F.min("set").alias("a"))
+    pairs = here.join(least, here["component_id"].eqNullSafe(least["component_id"])).where("a < set")
+    return materialise(pairs.select("a", F.col("set").alias("b")).distinct(), "close-sets")
+
+
 def keep_one(docs: DataFrame, width: int = jaccard.WIDTH, similarity: float = jaccard.SIMILARITY) -> DataFrame:
     """The document with the smallest id of each group of near copies, all columns kept.
 
-    Near copies are as jaccard finds them, by sets of `width`-word shingles; fingerprints of three
-    words and few bits would leave most of them in. A group without any id keeps its rows: nothing
-    tells them apart. Rows that share id and text with the one that stays are copies of it; exact
-    dedup removes them.
+    Fingerprints come first: what bands and pivot distances link (near_dedup) is checked by the Jaccard similarity of the
+    texts' `width`-word shingles, and stands where that holds. Fingerprints of three words and few bits leave most near
+    copies apart, so sets that are still in different groups then meet by jaccard, which finds every pair as similar.
+    A group without any id keeps its rows: nothing tells them apart. Rows that share id and text with the one that
+    stays are copies of it; exact dedup removes them.
     """
-    groups = jaccard.near_groups(docs, width, similarity)
+    groups = jaccard.near_groups(docs, width, similarity, lambda rows: close_sets(docs, rows))
     stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     stays = stays.withColumnRenamed("doc_id", "_stays")
     return docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(F.col("_stays")), "left_semi")

@@ -859,3 +859,20 @@ def test_fences_of_large_groups(spark):
             exact = at(v) + multiple * max(at(v) - mid(v), at(whole) - mid(whole))
             assert abs(high - exact) <= ((1 + 2 * multiple) * max(at(v), at(whole))) / 256 + 1e-5
 
+
+
+def test_near_copies_come_from_fingerprints_first(spark, monkeypatch):
+    """The pipeline's stage asks SimHash; what it links is checked, and wrong links join nothing."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(12)
+    base = some_words(rng, 400, 5000).split()
+    texts = [" ".join(base), " ".join([*base[:200], "other", *base[201:]]), some_words(rng, 300, 5000), some_words(rng, 300, 5000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    prints = by_id(simhash.near_dedup(df), "component_id")
+    assert prints == {0: (0,), 1: (0,), 2: (2,), 3: (3,)}
+    asked, near = [], simhash.close_sets
+    monkeypatch.setattr(simhash, "close_sets", lambda *args: asked.append(near(*args).count()) or near(*args))
+    assert {r["doc_id"] for r in pipeline.near_copies(spark, df, DATA).collect()} == {0, 2, 3} and asked == [1]
+    monkeypatch.setattr(simhash, "near_dedup", lambda docs: docs.select("doc_id", F.lit(0).alias("component_id")))
+    assert {r["doc_id"] for r in pipeline.near_copies(spark, df, DATA).collect()} == {0, 2, 3} and asked == [1, 3]
