@@ -22,6 +22,7 @@ from ontime.functions.scalar import uniform
 from ontime.operators import features as W
 from ontime.operators.clean import plain_columns
 from ontime.operators.metrics import confusion
+from ontime.session import hold, release
 
 
 @dataclass(frozen=True)
@@ -140,7 +141,7 @@ class TimeFoldValidator(Estimator):
     keep_models: the models of all folds and maps stay in the result (sub_models[fold][map]).
     folds and time, a column of month numbers, may be given here, for use inside a Pipeline, or to fit.
 
-    One fold after the other is prepared and held, its maps are fitted side by side.
+    One fold after the other is prepared and held in the shared folder, its maps are fitted side by side.
     """
 
     def __init__(self, estimator: Estimator, maps: list[dict], label: str, metric: str = "f_beta", larger_is_better: bool = True, parallelism: int = 4,
@@ -166,14 +167,16 @@ class TimeFoldValidator(Estimator):
         rows, models, held = [], {}, []
         try:
             for f in folds:
-                for part in held:
-                    part.unpersist()
+                release(*held)
+                held = []
                 train, valid = f.part(df, "train", time), f.part(df, "valid", time)
                 if self.prepare:
                     train, valid = self.prepare(train, valid)
-                held = [resample(train, self.label, self.sampling, key=self.key).persist(), valid.persist()]
+                for part in (train, valid):
+                    held.append(hold(part))
+                train = resample(held[0], self.label, self.sampling, key=self.key)
 
-                def one(i, f=f, train=held[0], valid=held[1]):
+                def one(i, f=f, train=train, valid=held[1]):
                     model = self.estimator.fit(train, self.maps[i])
                     return model, (f.number, i, *self._judge(model.transform(valid)))
 
@@ -184,10 +187,9 @@ class TimeFoldValidator(Estimator):
                     models[f.number] = [model for model, _ in found]
             mean = [sum(r[-1] for r in rows if r[1] == i) / len(folds) for i in range(len(self.maps))]
             best = (max if self.larger_is_better else min)(range(len(mean)), key=mean.__getitem__)
-            model = self.estimator.fit(held[0], self.maps[best])
+            model = self.estimator.fit(train, self.maps[best])
         finally:  # also when a fit fails
-            for part in held:
-                part.unpersist()
+            release(*held)
         return TimeFoldModel(model, best, mean, rows, models, [{p.name: v for p, v in m.items()} for m in self.maps])
 
     def _fit(self, df: DataFrame) -> TimeFoldModel:
@@ -243,7 +245,11 @@ def evaluate_holdout(estimator, train: DataFrame, test: DataFrame, label: str, s
     """(model, scored test rows), everything fitted on the training rows."""
     if prepare:
         train, test = prepare(train, test)
-    model = estimator.fit(resample(train, label, sampling))
+    held = hold(train)
+    try:
+        model = estimator.fit(resample(held, label, sampling))
+    finally:
+        release(held)
     return model, model.transform(test)
 
 
@@ -265,13 +271,19 @@ def kfold(estimator, maps: list[dict], df: DataFrame, label: str, metric: str =
         train, valid = dealt.where(F.col("_fold") != n).drop("_fold"), dealt.where(F.col("_fold") == n).drop("_fold")
         if prepare:
             train, valid = prepare(train, valid)
-        train, valid = train.persist(), valid.persist()
-        for i, m in enumerate(maps):
-            scored = estimator.fit(train, m).transform(valid)
-            totals[i] += float(judge.evaluate(scored) if isinstance(judge, Evaluator) else judge(scored)) / folds
-        train.unpersist()
-        valid.unpersist()
+        held = []
+        try:
+            for part in (train, valid):
+                held.append(hold(part))
+            for i, m in enumerate(maps):
+                scored = estimator.fit(held[0], m).transform(held[1])
+                totals[i] += float(judge.evaluate(scored) if isinstance(judge, Evaluator) else judge(scored)) / folds
+        finally:
+            release(*held)
     up = judge.isLargerBetter() if isinstance(judge, Evaluator) else True
     best = (max if up else min)(range(len(maps)), key=totals.__getitem__)
-    whole = prepare(df, df)[0] if prepare else df
-    return estimator.fit(whole, maps[best]), totals
+    whole = hold(prepare(df, df)[0] if prepare else df)
+    try:
+        return estimator.fit(whole, maps[best]), totals
+    finally:
+        release(whole)

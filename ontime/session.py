@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder, for many passes: they read few files, while a cached plan keeps all
+    partitions of its last shuffle, however small, for each pass. release() removes it."""
+    path = f"{shared_folder(df.sparkSession)}/ontime-held-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes what hold() wrote."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/ontime-held-" in f}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)

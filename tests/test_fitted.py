@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from ontime.operators import encode as T
 from ontime.operators import models, trees
 from ontime.operators import validate as K
 from ontime.plans.inspect import uses_python
+from ontime.session import shared_folder
 
 FEATURES = ["a", "b", "c"]
 
@@ -260,6 +262,36 @@ def test_a_failed_fit_holds_no_fold(spark):
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
 
 
+def _passes(spark, monkeypatch, fit):
+    """Most partitions of what an estimator is given while `fit` runs over keys joined by a shuffle, and what is left behind."""
+    seen, shared, files = [], Path(shared_folder(spark).split(":", 1)[-1]), "ontime-held-*"
+    plain = models.MeanRule._fit
+    monkeypatch.setattr(models.MeanRule, "_fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or plain(self, df))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = spark.range(2000).selectExpr("id", "CAST(id % 9 + 1 AS INT) AS m", "id % 7 / 7D AS value", "CAST(id % 5 = 0 AS INT) AS y")
+
+        def prepare(train, other):
+            means = train.groupBy("id").agg(F.avg("y").alias("mean"))
+            return train.join(means.hint("merge"), "id"), other.join(means.hint("merge"), "id", "left")
+
+        fit(df, prepare)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert not list(shared.glob(files))
+    return max(seen)
+
+
+def test_passes_over_a_fold_read_few_partitions(spark, monkeypatch):
+    """A fit passes many times over its rows; a cached join would give each pass all partitions of its shuffle."""
+    rule = models.MeanRule("value", "y")
+    cv = lambda df, prepare: K.TimeFoldValidator(rule, [{}], "y", prepare=prepare, folds=K.rolling_folds(1, train=3, valid=1, step=3, n=2), time=F.col("m")).fit(df)
+    judge = lambda scored: scored.count()
+    plain = lambda df, prepare: K.kfold(rule, [{}], df, "y", folds=2, prepare=prepare, key=["id"], evaluator=judge)
+    once = lambda df, prepare: K.evaluate_holdout(rule, df.where("m < 8"), df.where("m >= 8"), "y", "over", prepare)[1].count()
+    assert all(_passes(spark, monkeypatch, fit) < 16 for fit in (cv, plain, once))
+
+
 def test_levels_of_a_forest_read_counts(spark, monkeypatch):
     """Rows that share all bins are counted before the levels; the forest is the same without that."""
     df = spark.range(3000).selectExpr("id", "id % 7 AS a", "id % 5 AS b", "CAST(id % 7 > 3 AND id % 5 > 1 OR id % 11 = 0 AS INT) AS y")
