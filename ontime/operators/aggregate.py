@@ -46,12 +46,14 @@ def collapse_windows(left: DataFrame, right: DataFrame, on: tuple[str, str], dep
     left, without the join's rows: on[0], departure, start, end, averaged, modes; spans without readings have no row.
 
     Departures of one place and time share a span. Readings of one place, distance and time weigh the same, so they meet
-    spans as sums and counts; for modes as counts of each value. Pairs are narrow and are summed in the task that joins them.
+    spans as sums and counts; for modes as counts of each value. Pairs are narrow and are summed in the task that joins them;
+    as their number follows no table's bytes, buckets are dealt to all of spark.sql.shuffle.partitions tasks.
     """
     place, there = on
     span = [place, departure, start, end]
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = left.select(*span).where(F.col(start).isNotNull() & F.col(end).isNotNull()).distinct()
-    join = lambda cells: J.interval_join(spans, cells.withColumnRenamed(there, "_there"), [(place, "_there")], observed, start, end, "inner", longest_hours, wide=1)
+    join = lambda cells: J.interval_join(spans, cells.withColumnRenamed(there, "_there"), [(place, "_there")], observed, start, end, "inner", longest_hours, wide=1, parts=parts)
     sums = [f(F.col(c)).alias(f"_{n}_{c}") for c in averaged for n, f in (("s", F.sum), ("n", F.count))]
     met = join(right.groupBy(there, distance, observed).agg(F.count("*").alias("_rows"), *sums))
     met = met.withColumn("_w", idw_weight(F.col(distance), S.minutes_between(F.col(departure), F.col(observed))))

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontime.functions import scalar as S
+from ontime.session import stored
 
 #: Bytes, as its plan knows them, up to which a dimension is broadcast.
 SMALL_BYTES = 10 << 20
+#: Pairs of an airport and a station up to which they are broadcast.
+FEW = 100_000
 
 
 def dimension(df: DataFrame) -> DataFrame:
@@ -55,8 +58,10 @@ def airport_readings(airports: DataFrame, stations: DataFrame, readings: DataFra
 
     Readings are in UTC already, unless zones says where the airports are.
     """
-    near = airports.join(stations, F.col("ident") == F.col("neighbor_call"), "left")
-    out = readings.join(dimension(near), F.col("STATION") == F.col("neighbor_id")).where("DATE IS NOT NULL")
+    near = stored(airports.join(stations, F.col("ident") == F.col("neighbor_call"), "left"))
+    # its plan doesn't know how few they are, and adaptive execution may take the readings for the smaller side
+    near = F.broadcast(near) if near.count() <= FEW else near.hint("merge")
+    out = readings.join(near, F.col("STATION") == F.col("neighbor_id")).where("DATE IS NOT NULL")
     if zones is None:
         return out.withColumn("DATE_UTC", F.col("DATE"))
     return local_to_utc(out, zones, "iata_code", "DATE", "DATE_UTC")
@@ -86,7 +91,7 @@ def _micros(c: str) -> Column:
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], point: str, start: str, end: str,
-                  how: str = "left", longest_hours: float | None = None, buckets: bool = True, wide: float = WIDE) -> DataFrame:
+                  how: str = "left", longest_hours: float | None = None, buckets: bool = True, wide: float = WIDE, parts: int | None = None) -> DataFrame:
     """Rows of right whose `point` lies in [start, end] of left and whose keys are equal. how: inner or left.
 
     Time is cut into buckets, which join the keys of the hash, so a key with very many rows is spread over its
@@ -97,6 +102,8 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]],
 
     longest_hours: a promise that no interval is longer, which saves measuring them; one that is raises an error.
     wide: a bucket's width in longest intervals: narrower ones cost more copies of right rows and fewer misses.
+    parts: tasks that the buckets are dealt to; where few rows make very many pairs adaptive execution, which looks at
+    the rows' bytes, would join all of them in as few tasks as there are cores.
     buckets=False tests the range on each match of the keys.
     """
     if how not in ("inner", "left"):
@@ -118,6 +125,9 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]],
     near = F.concat(*[F.transform(F.sequence(bucket(at, n), bucket(at + n, n)), on_level(i)) for i, n in enumerate(levels)])
     x = left.withColumn("_end", ends).select(*left.columns, F.col("_end.level").alias("_level"), F.col("_end.bucket").alias("_bucket"))
     y = right.withColumn("_near", F.explode(near)).select(*right.columns, F.col("_near.level").alias("_on"), F.col("_near.bucket").alias("_in"))
+    if parts:
+        x = x.repartition(parts, *[a for a, _ in on], "_level", "_bucket")
+        y = y.repartition(parts, *[b for _, b in on], "_on", "_in")
     return x.join(y, cond & (F.col("_level") == F.col("_on")) & (F.col("_bucket") == F.col("_in")), how).drop("_level", "_bucket", "_on", "_in")
 
 

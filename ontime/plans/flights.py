@@ -59,7 +59,7 @@ def join_weather(flights: DataFrame, weather: DataFrame, stations: DataFrame, co
 def timed_and_readings(flights: DataFrame, weather: DataFrame, stations: DataFrame, codes: DataFrame, zones: DataFrame, start: int, end: int, nearest: int) -> tuple[DataFrame, DataFrame]:
     """Flights of known airports with their windows, and the reports of each airport's nearest stations."""
     airports = airport_codes(flights, codes)
-    mapped = airports.where("ident IS NOT NULL").join(stations.select("neighbor_call").distinct(), airports["ident"] == stations["neighbor_call"], "left_semi")
+    mapped = stored(airports.where("ident IS NOT NULL").join(stations.select("neighbor_call").distinct(), airports["ident"] == stations["neighbor_call"], "left_semi"))
     missing = J.unmapped(flights, mapped, "ORIGIN", "ORIGIN")
     timed = J.departure_times(J.drop_unmapped(flights, missing, "ORIGIN"), zones, start, end)
     near = J.nearest(stations, n=nearest)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -295,6 +296,27 @@ def test_chain_equals_its_pairs(spark):
     assert {(r["DISTANCE"], r["WND_Speed_mean"] or 0) for r in apart.collect()} == {(r["DISTANCE"], r["WND_Speed_mean"]) for r in shaped.collect()}
 
 
+def test_windows_meet_in_all_tasks(spark):
+    """Few rows make many pairs: their bytes must not decide how many tasks join them. Few stations are what is broadcast."""
+    t = lambda column: F.expr(f"TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, 0, {column})")
+    f = spark.range(300).select(F.lit("A").alias("place"), t("id").alias("t"))
+    r = spark.range(300).select(F.lit("A").alias("code"), t("id").alias("seen"), F.lit(1.0).alias("far"), F.col("id").alias("v"), (F.col("id") % 2).alias("m"))
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        there = A.collapse_windows(J.window_bounds(f, "t", 6, 2, ("s", "e")), r, ("place", "code"), "t", "seen", "s", "e", ["v"], ["m"], "far", 4)
+        assert there.count() == 298
+        plan = there._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"RepartitionByExpression \[.*\], 9", plan)) == 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    airports = spark.range(5).selectExpr("concat('K', id) AS ident", "concat('A', id) AS iata_code").groupBy("ident").agg(F.first("iata_code").alias("iata_code"))
+    stations = spark.range(20).selectExpr("concat('K', id % 5) AS neighbor_call", "id AS neighbor_id", "1D AS distance_to_neighbor")
+    readings = spark.range(1000).selectExpr("id % 30 AS STATION", "TIMESTAMP '2024-01-01' AS DATE").groupBy("STATION", "DATE").count()
+    out = J.airport_readings(airports, stations, readings)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 20 and "rightHint=(strategy=broadcast)" in plan
+
+
 def test_shares_by_time_come_from_running_sums(spark):
     """Whole labels: no frame slides over the span's rows, and what it gives equals the sliding mean of the same numbers."""
     rng = random.Random(8)
