@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontime.llm.common import (
+    drop_scratch,
     materialise,
     prefix_hash,
     runs_of,
+    scope,
     sliding_min,
     span_hash,
     text_bytes,
@@ -249,7 +251,7 @@ def repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED, hot: int = 50_0
     # occurrences that need no others are dealt evenly, the rest by anchor
     deal = F.when(F.col("kind") == OPEN, F.col("anchor")).otherwise(F.xxhash64("id", "span"))
     together = seeds.repartition(deal).sortWithinPartitions("anchor", "id")
-    met = materialise(together.mapInPandas(_shared, ANCHOR), "shared-anchors")
+    met = materialise(together.mapInPandas(_shared, ANCHOR), "shared-anchors", drop_shuffles=True)
     shared = met.where(F.col("kind") != REPEAT).select("anchor", "id", "h", "span")
     per_doc = shared.groupBy("id", "h").agg(F.collect_set(F.struct("anchor", "span")).alias("seen"))
     texts = d.join(per_doc, ["id", "h"]).select("id", "h", "text", "seen")
@@ -258,7 +260,7 @@ def repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED, hot: int = 50_0
     common = materialise(common, "hot-anchors")
     n_hot = common.count()
     if n_hot:
-        extended = materialise(extended, "extended")
+        extended = materialise(extended, "extended", drop_shuffles=True)
         split = extended.join(F.broadcast(common) if n_hot <= 100_000 else common, "anchor", "left")
         extended = split.where("is_hot IS NULL").drop("is_hot")
     sorted_rows = extended.repartition("anchor").sortWithinPartitions("anchor", "id")
@@ -301,7 +303,9 @@ def _cut(size: int):
 
 def substring_dedup(docs: DataFrame, size: int = SIZE, seed: int = SEED, hot: int = 50_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text: one row for each row of docs."""
-    found = materialise(repeats(docs, size, seed, hot), "repeats")
+    with scope() as made:
+        found = materialise(repeats(docs, size, seed, hot), "repeats", drop_shuffles=True)
+    drop_scratch(docs.sparkSession, made, found)
     per_doc = found.groupBy("id", "h").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     joined = identified(docs).join(per_doc, ["id", "h"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut(size), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

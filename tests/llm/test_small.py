@@ -876,3 +876,14 @@ def test_near_copies_come_from_fingerprints_first(spark, monkeypatch):
     assert {r["doc_id"] for r in pipeline.near_copies(spark, df, DATA).collect()} == {0, 2, 3} and asked == [1]
     monkeypatch.setattr(simhash, "near_dedup", lambda docs: docs.select("doc_id", F.lit(0).alias("component_id")))
     assert {r["doc_id"] for r in pipeline.near_copies(spark, df, DATA).collect()} == {0, 2, 3} and asked == [1, 3]
+
+
+@pytest.mark.parametrize("hot", [50_000, 1])
+def test_substring_dedup_keeps_no_table_but_the_repeats(spark, hot):
+    """What the repeats are found from is on disk only until they are written."""
+    words = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, f"{words} own{i}") for i in range(5)], "doc_id long, text string")
+    before = common.scratch_paths()
+    out = substring_dedup.substring_dedup(docs, hot=hot)
+    assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in common.scratch_paths() - before] == ["repeats"]
+    assert {r["doc_id"]: r["n_removed"] for r in out.collect()} == {0: 0, 1: 20, 2: 20, 3: 20, 4: 20}
