@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontime.llm import jaccard
-from ontime.llm.common import materialise, text_chunks
+from ontime.llm.common import materialise, merged, text_chunks
 from ontime.llm.components import components, forest
 
 BITS = 3
@@ -195,9 +195,9 @@ def close_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """a, b (a < b): each set of shingles with the smallest of its SimHash component. rows: doc_id, set of every row."""
     near = near_dedup(docs).select("doc_id", "component_id").dropDuplicates(["doc_id"])
     ids = rows.groupBy("doc_id").agg(F.min("set").alias("set"))
-    here = ids.join(near, ids["doc_id"].eqNullSafe(near["doc_id"])).select("component_id", "set").distinct()
+    here = ids.join(merged(near), ids["doc_id"].eqNullSafe(near["doc_id"])).select("component_id", "set").distinct()
     least = here.groupBy("component_id").agg(F.min("set").alias("a"))
-    pairs = here.join(least, here["component_id"].eqNullSafe(least["component_id"])).where("a < set")
+    pairs = here.join(merged(least), here["component_id"].eqNullSafe(least["component_id"])).where("a < set")
     return materialise(pairs.select("a", F.col("set").alias("b")).distinct(), "close-sets")
 
 

@@ -457,6 +457,38 @@ def test_components_of_a_path(spark):
     assert got == dict.fromkeys(range(n + 1), 0) | {100: 100, 200: 100}
 
 
+def test_small_graphs_settle_in_one_write(spark, monkeypatch):
+    """What a task reads is a forest before any round; links that are dealt out, or looked at in parts, take rounds."""
+    written, keep = [], components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, name, *args: written.append(name) or keep(df, name, *args))
+    n = 60
+    df = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(-9, 200), (5, 5)], "a long, b long")
+    want = dict.fromkeys(range(n + 1), 0) | {-9: -9, 200: -9}
+    assert {r["node"]: r["root"] for r in components.components(df).collect()} == want and len(written) == 1
+    forests = components._forests
+    monkeypatch.setattr(components, "_forests", lambda: forests(1))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {r["node"]: r["root"] for r in components.components(df).collect()} == want and len(written) > 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for edges, stars in (([(1, 0), (2, 0), (4, 3)], True), ([(1, 0), (2, 1)], False), ([(2, 0), (2, 1)], False), ([], True)):
+        assert components.settled(spark.createDataFrame(edges, "u long, v long")) == stars
+
+
+def test_rounds_without_pairs_verify_nothing(spark, monkeypatch):
+    asked, of = [], jaccard._sets_of
+    monkeypatch.setattr(jaccard, "_sets_of", lambda *args: asked.append(1) or of(*args))
+    rng = random.Random(13)
+    base = some_words(rng, 200, 5000).split()
+    df = spark.createDataFrame([(i, some_words(rng, 100, 5000)) for i in range(5)], "doc_id long, text string")
+    assert simhash.keep_one(df).count() == 5 and not asked
+    near = spark.createDataFrame([(7, " ".join(base)), (8, " ".join([*base[:90], "other", *base[91:]]))], df.schema)
+    assert {r["doc_id"] for r in simhash.keep_one(df.unionByName(near)).collect()} == {0, 1, 2, 3, 4, 7} and len(asked) == 1
+
+
 # --- toxicity
 
 
